@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
 from .packing import op2_packing
 from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
