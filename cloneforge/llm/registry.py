@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op7_decontamination
 from .minhash import op6_minhash
 from .packing import op2_packing
+from .quality import op4_quality
 from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op6_minhash, op7_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op4_quality, op6_minhash, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
