@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op5_ann
 from .decontamination import op7_decontamination
 from .html import op10_html
 from .lines import op9_lines
@@ -16,7 +17,7 @@ from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op4_quality, op6_minhash, op7_decontamination, op9_lines, op10_html)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op4_quality, op5_ann, op6_minhash, op7_decontamination, op9_lines, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
