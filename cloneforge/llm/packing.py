@@ -5,6 +5,7 @@ stream at fixed windows; a document across a boundary becomes several pieces.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,17 @@ from pyspark.sql import Window as W
 from .common import table, written
 
 #: Entries of a worker's word caches; words beyond are encoded each time they occur.
-WHOLE_WORDS, BARE_WORDS = 250_000, 350_000
+WHOLE_WORDS, BARE_WORDS = 350_000, 500_000
 END_ID = 2
 LENGTH = 4096
 #: Bytes of text encoded at a time.
 STEP = 4 << 20
 
 
+#: Byte-level vocabularies name bytes that can't be printed by the characters from 256 on, and all others by themselves.
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
+
+
 class Encoder:
     """Token ids, as little-endian uint32 bytes, by a tokenizer that never joins tokens across white space: each distinct
     word is encoded once and then looked up. Words without letters only, or beyond the caches, go to the tokenizer."""
@@ -39,12 +44,18 @@ class Encoder:
         encode = self.tokenizer.encode
         bare = self.bare
 
+        tokenize = self.tokenizer.model.tokenize
+
         def direct(word: str) -> bytes:
             return np.array(encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
         def part(word: str) -> bytes:
             if (got := bare.get(word)) is None:
-                got = direct(word)
+                if word.isalpha():  # what stands before the model leaves it whole; it sees bytes as characters
+                    own = tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))
+                    got = struct.pack(f"<{len(own)}I", *[t.id for t in own])
+                else:
+                    got = direct(word)
                 if len(bare) < BARE_WORDS:
                     bare[word] = got
             return got
@@ -52,7 +63,7 @@ class Encoder:
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 core = word.rstrip(".,;:!?")
-                if core.isascii() and core.isalpha():
+                if core.isalpha() and core.isascii() or core.isalpha() and max(core) < "\u0100":
                     core, end = core.lower(), word[len(core):]
                     got = part(core) + part(end) if end else part(core)
                 else:
