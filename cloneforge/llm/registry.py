@@ -13,12 +13,13 @@ from .lines import op9_lines
 from .minhash import op6_minhash
 from .packing import op2_packing
 from .quality import op4_quality
+from .quotes import op8_quotes
 from .repeats import op3_suffix_array
 from .sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_suffix_array, op4_quality, op5_ann, op6_minhash, op7_decontamination, op9_lines, op10_html)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_suffix_array, op4_quality, op5_ann, op6_minhash, op7_decontamination, op8_quotes, op9_lines, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
