@@ -8,8 +8,8 @@ probability 0.8 or more, and no run of 4 among 64 has a probability of 0.8 ** 64
 Frequent shingles thus make no long lists: documents meet only where four values in a row agree.
 
 Equal sets are one class and enter once. In each list all are paired with the smallest id alone; pairs pass a size filter and the
-estimate from the union's sketch, and are verified on the full sets. What is then still in different components of one list
-is compared in blocks, so that no link is lost.
+estimate from the union's sketch, and are verified on the full sets. What stands in one list but is then still in different
+components is compared in blocks, on the full sets, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .graphs import components
 K, RUN, SHORT_RUN = 64, 4, 2
 #: Sets of up to so many values also get lists of runs of two; of at least so many, lists of runs of four.
 SHORT_MOST, LONG_LEAST = 19, 13
-#: Members of a list that are compared in one block.
-BLOCK = 1024
+#: Documents of a cluster in one block, about, and columns of a matrix that compares two blocks.
+BLOCK, COLUMNS = 512, 8192
 #: Ids that are broadcast at most, to read fewer texts.
 IDS_MOST = 500_000
 #: Pairs are dropped where the estimate is so many standard deviations below the threshold.
@@ -54,11 +54,6 @@ def features(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b")).mapInArrow(run, "doc_id bigint, n bigint, key string, sketch array<bigint>")
 
 
-def _runs(r: int) -> F.Column:
-    hashed = F.xxhash64(F.lit(r), *[F.element_at("sketch", F.col("_i") + j) for j in range(r)])
-    return hashed
-
-
 def lists(reps: DataFrame) -> DataFrame:
     """(list, doc): the inverted lists of runs of retained values."""
     at = lambda r: F.transform(F.sequence(F.lit(1), F.size("sketch") - (r - 1)), lambda i: F.xxhash64(F.lit(r), *[F.element_at("sketch", (i + j).cast("int")) for j in range(r)]))
@@ -77,12 +72,17 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> Da
     return both.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (share >= threshold - slack)).select("a", "b")
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and t, the text's bytes, of the documents in ids; where these are few, others don't leave the scan."""
+    ids = ids.distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    few = ids.limit(IDS_MOST + 1).count() <= IDS_MOST
+    return text.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those of which the full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    if ids.limit(IDS_MOST + 1).count() <= IDS_MOST:
-        text = text.join(F.broadcast(ids), "doc_id", "left_semi")
+    text = of_ids(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     one = lambda x: text.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,38 +100,68 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def leftover(entries: DataFrame, found: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs (a, b) of one list whose ends are in different components so far and whose sketches allow a link: lists are cut into
-    blocks, and block is compared with block."""
+def linked(sets: list[np.ndarray], label: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x of a, y of b) of sets that are alike, one pair for each two labels: sizes of intersections are products of 0-1 matrices over
+    the values that more than one set holds."""
+    size = np.array([len(x) for x in sets])
+    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    more = count[inverse] > 1
+    row, column = row[more], column[inverse[more]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    inter = np.zeros((len(a), len(b)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+        m = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - begin)), np.float32)
+        m[row[lo:hi], column[lo:hi] - begin] = 1
+        inter += m[a] @ m[b].T
+    inter = inter.astype(np.int64)
+    union = size[a][:, None] + size[b][None] - inter
+    x, y = np.nonzero((100 * inter >= percent * union) & (label[a][:, None] != label[b][None]))
+    x, y = a[x], b[y]
+    lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+    _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+    return x[first], y[first]
+
+
+def leftover(entries: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between what is in different components so far but stands in one list. Documents that such lists connect are a cluster; it is
+    cut by size, as only neighbouring sizes can be alike, and by hash into blocks, and each block meets each that it may be alike to once,
+    on the full sets. What comes out is one link for each two components that a pair of blocks joins."""
     labelled = entries.join(found, entries.doc == found.node, "left").select("list", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed = labelled.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = labelled.join(mixed, "list").join(reps.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # block i meets block j >= i in the group (i, j)
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "c", "n", "sketch")
-    least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / k)
+    mixed = labelled.groupBy("list").agg(F.min("doc").alias("a"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("list", "a")
+    clusters = components(labelled.join(mixed, "list").where("doc <> a").select("a", F.col("doc").alias("b")))
+    step = math.log(100 / percent)
+    own = clusters.join(reps.select(F.col("doc_id").alias("node"), "n"), "node").join(found.withColumnRenamed("component", "c"), "node", "left")
+    own = written(own.select(F.col("component").alias("cluster"), F.col("node").alias("doc"), F.coalesce("c", "node").alias("c"), F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("u")), "clusters")
+    sizes = own.groupBy("cluster", "u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    at = lambda name, by: sizes.select("cluster", (F.col("u") + by).alias("u"), F.col("blocks").alias(name))
+    own = own.join(at("own", 0), ["cluster", "u"]).join(at("above", -1), ["cluster", "u"], "left").join(at("below", 1), ["cluster", "u"], "left")
+    own = own.withColumn("s", F.pmod(F.xxhash64("doc"), F.col("own")).cast("int"))
+    upto = lambda k: F.when(F.coalesce(k, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(k, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda u1, s1, u2, s2: F.struct(u1.alias("u1"), s1.alias("s1"), u2.alias("u2"), s2.alias("s2"))
+    u, s = F.col("u"), F.col("s")
+    meets = F.concat(
+        F.transform(upto(F.col("own")), lambda o: pair(u, F.least(s, o), u, F.greatest(s, o))),
+        F.transform(upto(F.col("above")), lambda o: pair(u, s, u + 1, o)),
+        F.transform(upto(F.col("below")), lambda o: pair(u - 1, o, u, s)),
+    )
+    texts = of_ids(docs, own.select(F.col("doc").alias("doc_id")))
+    dealt = own.join(texts, own.doc == texts.doc_id).select("cluster", F.explode(meets).alias("m"), "u", "s", "doc", "c", "t").select("cluster", "m.*", "u", "s", "doc", "c", "t")
 
     def compare(t: pa.Table) -> pa.Table:
-        doc, c, n, block = (np.array(t.column(x)) for x in ("doc", "c", "n", "block"))
-        sketches = [np.array(x.values) for x in t.column("sketch")]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        order = np.argsort(n, kind="stable")
-        a_out, b_out = [], []
-        for p, x in enumerate(order):
-            for y in order[p + 1 :]:
-                if n[x] < threshold * n[y]:
-                    break
-                if c[x] == c[y] or i != j and block[x] == block[y]:
-                    continue
-                size = min(k, max(len(sketches[x]), len(sketches[y])))
-                both = np.intersect1d(sketches[x], sketches[y], assume_unique=True)
-                union = np.union1d(sketches[x], sketches[y])[:size]
-                if shingles.common(both, union) >= least * len(union):
-                    a_out.append(min(doc[x], doc[y]))
-                    b_out.append(max(doc[x], doc[y]))
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return dealt.groupBy("list", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+        one = {x: t.column(x)[0].as_py() for x in ("u1", "s1", "u2", "s2")}
+        doc, c, u, s = (np.array(t.column(x)) for x in ("doc", "c", "u", "s"))
+        a, b = np.flatnonzero((u == one["u1"]) & (s == one["s1"])), np.flatnonzero((u == one["u2"]) & (s == one["s2"]))
+        x = y = np.zeros(0, np.int64)
+        if len(a) and len(b) and c.min() != c.max():
+            sets = [shingles.shingle_set(raw.as_py(), width) for raw in t.column("t")]
+            x, y = linked(sets, c, a, b, percent)
+        return pa.table({"a": pa.array(np.minimum(doc[x], doc[y]), pa.int64()), "b": pa.array(np.maximum(doc[x], doc[y]), pa.int64())})
+
+    return dealt.groupBy("cluster", "u1", "s1", "u2", "s2").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -150,9 +180,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     stars = counted.where("m = 2").select("a", F.col("z").alias("b")).unionByName(more.where("doc <> a").select("a", F.col("doc").alias("b"))).where("a <> b").distinct()
     links = written(verified(written(estimated(stars, reps, threshold, k), "pairs"), docs, width, percent), "links")
     found = components(links)
-    rest = written(leftover(more.select("list", "doc"), found, reps, threshold, k), "leftover")
+    rest = written(leftover(more.select("list", "doc"), found, reps, docs, width, percent), "leftover")
     if rest.limit(1).count():
-        found = components(links.unionByName(verified(rest, docs, width, percent)))
+        found = components(links.unionByName(rest))
     to = classes.join(found, classes.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(to, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
