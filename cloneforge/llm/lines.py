@@ -2,10 +2,10 @@
 80 * union of their token sets. A line that matches an earlier one, by (doc_id, place in the document), is removed.
 
 Pass one counts tokens and finds the frequent ones, of which there are a bounded number. Pass two orders each line's tokens by rarity
-(those that aren't frequent first, then by count; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens, to
-inverted lists. In a list the length filter and the positional filter leave candidates, which are verified on the full sets.
-Equal lines are told by their sets' hashes, within each batch already. In a list beyond LIST_MOST lines, each is first paired with a
-few of the earlier ones; those that match none of them are then paired with all.
+(those that aren't frequent first, then by the count's magnitude; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens,
+to inverted lists. Equal lines are told by their sets' hashes, within each batch already. Of a list's other lines stay those that have a partner by
+the length filter and the positional filter; they join the family of the list's first line. Any two lines that can match thus meet in a
+family, where the sizes of intersections are counted on the full sets. A large family is cut into blocks; each block meets each once.
 """
 
 from __future__ import annotations
@@ -19,34 +19,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .minhash import IDS_MOST
 from .shingles import HASHES, P, mixed
 
 WIDTH, PERCENT = 5, 80
 #: Frequent tokens at most; entries of one bucket of inverted lists, about.
 FREQUENT_MOST, BUCKET = 50_000, 500_000
-#: Lines of a list that are paired with all earlier ones at once, and how many first and nearest ones beyond.
-LIST_MOST, FIRST, NEAREST = 256, 4, 12
-#: Rows of a batch that are worked on together, about, in bytes of text.
-STEP = 8 << 20
-
-
-def tokens(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents' texts: for each distinct token of each line, in order of line and hash, the line and the hash; for each line that has
-    words, its document's place in texts and its place in the document."""
-    words: list[bytes] = []
+#: Lists of up to so many lines have the filters tried on all pairs; lines of a block of a family, and of small families that one task gets together.
+TRIED, BLOCK, TOGETHER = 32, 512, 20_000
+#: Documents up to which a table by doc_id is broadcast.
+DOCS_MOST = 200_000
+#: Bytes of text that are worked on together, about.
+STEP = 4 << 20
+#: n and pos are told up to here; lines with more tokens pass the filters.
+LONG = 32_767
+
+
+def words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents' texts, for each token of each line, in order of lines, the line and the hash; for each line that has words, its
+    document's place in texts and its place in the document."""
+    own: list[bytes] = []
     counts, owner, place = [], [], []
     for d, raw in enumerate(texts):
         for k, line in enumerate(raw.lower().split(b"\n")):
-            if own := line.split():
-                words += own
-                counts.append(len(own))
+            if got := line.split():
+                own += got
+                counts.append(len(got))
                 owner.append(d)
                 place.append(k)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, own), np.uint64, len(own))
     n = np.array(counts, np.int64)
     line = np.repeat(np.arange(len(n)), n)
-    begin = np.cumsum(n) - n
+    ids, values = line[:0], h[:0]
     if len(h) >= width:
         m = len(h) - width + 1
         full = line[:m] == line[width - 1 :]
@@ -54,27 +57,41 @@ def tokens(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
         for k in range(1, width):
             acc = acc * P + h[k : m + k]
         ids, values = line[:m][full], mixed(acc[full])
-    else:
-        ids, values = line[:0], h[:0]
     short = np.flatnonzero(n < width)  # their whole sequence is one token
     if len(short):
-        acc = h[begin[short]].copy()
+        begin = (np.cumsum(n) - n)[short]
+        acc = h[begin].copy()
         for k in range(1, width - 1):
             more = n[short] > k
-            acc[more] = acc[more] * P + h[begin[short][more] + k]
+            acc[more] = acc[more] * P + h[begin[more] + k]
         ids, values = np.concatenate([ids, short]), np.concatenate([values, mixed(acc + n[short].astype(np.uint64))])
-    order = np.lexsort((values, ids))
-    ids, values = ids[order], values[order]
-    if len(ids):
-        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (values[1:] != values[:-1])])
-        ids, values = ids[new], values[new]
     return ids, values, np.array(owner, np.int64), np.array(place, np.int64)
 
 
+def tokens(texts: list[bytes], width: int, rank=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), each token of a line once, in order of (line, rank, hash); rank, below 64, is given for an array of hashes."""
+    ids, values, owner, place = words(texts, width)
+    if rank is None:
+        key = ids.astype(np.uint64) << np.uint64(42) | values >> np.uint64(22)
+    else:
+        key = ids.astype(np.uint64) << np.uint64(42) | rank(values).astype(np.uint64) << np.uint64(36) | values >> np.uint64(28)
+    order = np.argsort(key)
+    key, values = key[order], values[order]
+    if len(key):
+        same = key[1:] == key[:-1]
+        if (same & (values[1:] != values[:-1])).any():  # as good as never: the hashes' other bits decide
+            order = np.lexsort((values, key))
+            key, values = key[order], values[order]
+            same = key[1:] == key[:-1]
+        new = np.concatenate([[True], ~(same & (values[1:] == values[:-1]))])
+        key, values = key[new], values[new]
+    return (key >> np.uint64(42)).astype(np.int64), values, owner, place
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """doc_ids and texts, some MB at a time, in order of doc_id; rows without doc_id are left out."""
+    rows, held = [], 0
     for batch in batches:
-        rows, held = [], 0
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             if d is None:
                 continue
@@ -85,9 +102,9 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
                 rows.sort(key=lambda x: x[0])
                 yield np.array([x[0] for x in rows], np.int64), [x[1] for x in rows]
                 rows, held = [], 0
-        if rows:
-            rows.sort(key=lambda x: x[0])
-            yield np.array([x[0] for x in rows], np.int64), [x[1] for x in rows]
+    if rows:
+        rows.sort(key=lambda x: x[0])
+        yield np.array([x[0] for x in rows], np.int64), [x[1] for x in rows]
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -99,10 +116,12 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _steps(batches):
-            _, values, _, _ = tokens(texts, width)
-            own, n = np.unique(values, return_counts=True)
+            _, values, _, _ = words(texts, width)
+            values = np.sort(values)
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(values)))
             more = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array([None, *own[more].view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[len(values)], n[more]]), pa.int64())], names=["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None, *values[first[more]].view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[len(values)], n[more]]), pa.int64())], names=["token", "n"])
 
     counted = written(_slim(docs).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     total = (counted.where("token is null").agg(F.sum("n")).first()[0]) or 0
@@ -111,38 +130,43 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
     return dict(zip(got.column("token").to_pylist(), got.column("n").to_pylist())), total
 
 
-ENTRIES = "bucket int, token array<bigint>, doc array<bigint>, line array<int>, n array<int>, pos array<int>, same array<int>"
+ENTRIES = "bucket int, token array<int>, doc array<bigint>, line array<int>, n array<smallint>, pos array<smallint>, same array<int>"
 
 
 def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, percent: int) -> DataFrame:
     """Prefix tokens, packed by batch and bucket; in bucket -1 the lines that an equal line of their batch precedes."""
-    keys = np.array(sorted(common), np.int64).view(np.uint64)
-    keys = np.sort(keys)
-    counts = np.array([common[int(k)] for k in keys.view(np.int64)], np.int64)
+    keys = np.array(list(common), np.int64).view(np.uint64)
+    magnitude = 1 + np.log2(np.maximum(1, np.array(list(common.values()), np.int64))).astype(np.int64)
+    order = np.argsort(keys)
+    keys, magnitude = keys[order], np.minimum(magnitude[order], 63)
+    bits = np.zeros(1 << 20, bool)
+    bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def rank(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), np.int64)
+        maybe = np.flatnonzero(bits[(values & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
+            out[maybe] = np.where(keys[at] == values[maybe], magnitude[at], 0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "token", "doc", "line", "n", "pos", "same"]
         for docs_, texts in _steps(batches):
-            ids, values, owner, place = tokens(texts, width)
+            ids, values, owner, place = tokens(texts, width, rank if len(keys) else None)
             if not len(ids):
                 continue
             n_lines = len(owner)
             n = np.bincount(ids, minlength=n_lines)
             start = np.cumsum(n) - n
-            sig1, sig2 = np.add.reduceat(mixed(values), start), np.add.reduceat(mixed(values ^ P), start)  # lines come in order of (doc_id, place)
+            sig1, sig2 = np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(mixed(values ^ P), start)  # lines come in order of (doc_id, place)
             order = np.lexsort((np.arange(n_lines), sig2, sig1))
             twin = np.concatenate([[False], (sig1[order][1:] == sig1[order][:-1]) & (sig2[order][1:] == sig2[order][:-1])])
             gone = np.zeros(n_lines, bool)
             gone[order[twin]] = True
-            rank = np.zeros(len(values), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-                rank = np.where(keys[at] == values, counts[at], 0)
-                order = np.lexsort((values, rank, ids))
-                values = values[order]
             pos = np.arange(len(values)) - start[ids]
             prefix = n - (percent * n + 99) // 100 + 1
-            keep = (pos < prefix[ids]) & ~gone[ids]
+            keep = np.flatnonzero((pos < prefix[ids]) & ~gone[ids])
             ids, values, pos = ids[keep], values[keep], pos[keep]
             bucket = (values % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -150,108 +174,129 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             own, first = np.unique(bucket, return_index=True)
             offsets = np.append(first, len(bucket)).astype(np.int32)
             as_list = lambda x, kind, o=offsets: pa.ListArray.from_arrays(pa.array(o), pa.array(x, kind))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), as_list(values.view(np.int64), pa.int64()), as_list(docs_[owner[ids]], pa.int64()), as_list(place[ids], pa.int32()), as_list(n[ids], pa.int32()), as_list(pos, pa.int32()), as_list(sig1[ids].astype(np.uint32).view(np.int32), pa.int32())], names=names)
+            rest = (values // np.uint64(buckets)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), as_list(rest, pa.int32()), as_list(docs_[owner[ids]], pa.int64()), as_list(place[ids], pa.int32()), as_list(np.minimum(n[ids], LONG), pa.int16()), as_list(np.minimum(pos, LONG), pa.int16()), as_list(sig1[ids].astype(np.uint32).view(np.int32), pa.int32())], names=names)
             if gone.any():
                 none = lambda kind: pa.array([[]], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none(pa.int64()), pa.array([docs_[owner[gone]]], pa.list_(pa.int64())), pa.array([place[gone]], pa.list_(pa.int32())), none(pa.int32()), none(pa.int32()), none(pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none(pa.int32()), pa.array([docs_[owner[gone]]], pa.list_(pa.int64())), pa.array([place[gone]], pa.list_(pa.int32())), none(pa.int16()), none(pa.int16()), none(pa.int32())], names=names)
 
     return _slim(docs).mapInArrow(run, ENTRIES)
 
 
-#: kind 0: x is removed; 1: x may match y; 2: x, with n and pos, stands in a list that is too long to be paired at once.
-JOINED = "kind int, token bigint, xdoc bigint, xline int, ydoc bigint, yline int, n int, pos int"
+#: Without ydoc: the line x is removed; with it: x is in the family of y.
+JOINED = "xdoc bigint, xline int, ydoc bigint, yline int"
 
 
-def _fits(nx, ny, px, py, percent: int):
+def fits(nx, ny, px, py, percent: int):
     """Length filter and positional filter: what is common can still reach the share."""
     need = -(-percent * (nx + ny) // (100 + percent))
-    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= need)
+    good = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= need)
+    return good | (nx >= LONG) | (ny >= LONG)
 
 
 def joined(packed: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         flat = lambda x: np.array(t.column(x).combine_chunks().flatten())
         doc, line = flat("doc"), flat("line")
-        out: list[list[np.ndarray]] = []
-
-        def put(kind, x, y=None, token=None, n=None, pos=None):
-            m = len(x)
-            none = np.zeros(m, np.int64)
-            out.append([np.full(m, kind), none if token is None else token, doc[x], line[x], none if y is None else doc[y], none if y is None else line[y], none if n is None else n, none if pos is None else pos])
-
         if t.column("bucket")[0].as_py() < 0:
-            put(0, np.arange(len(doc)))
+            gone, x, y = np.arange(len(doc)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
             token, n, pos, same = flat("token"), flat("n").astype(np.int64), flat("pos").astype(np.int64), flat("same")
-            order = np.lexsort((line, doc, n, same, token))
-            tw = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (same[order][1:] == same[order][:-1]) & (n[order][1:] == n[order][:-1])])
-            # equal sets by 96 bits of hashes and n: later ones go; they share all prefix tokens, of which one tells
-            put(0, order[tw & (pos[order] == 0)])
-            rest = order[~tw]
+            order = np.lexsort((line, doc, same, token))
+            # equal sets, by 64 bits of hashes, n and place in order; the later ones go, and the first stands for them
+            twin = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (same[order][1:] == same[order][:-1]) & (n[order][1:] == n[order][:-1]) & (pos[order][1:] == pos[order][:-1])])
+            gone = order[twin & (pos[order] == 0)]
+            rest = order[~twin]
             rest = rest[np.lexsort((line[rest], doc[rest], token[rest]))]
             first = np.flatnonzero(np.concatenate([[True], token[rest][1:] != token[rest][:-1]]))
             size = np.diff(np.append(first, len(rest)))
             some = size > 1
-            member = np.repeat(some, size)
-            group = np.repeat(np.cumsum(some) - 1, size)[member]
-            rest = rest[member]
-            size, place = size[some], None
-            if len(rest):
-                begin = np.cumsum(size) - size
-                place = np.arange(len(rest)) - begin[group]
-                big = size > LIST_MOST
-                for d in range(1, int(min(size.max(), LIST_MOST))):
-                    ok = np.flatnonzero(place >= d)
-                    if d > NEAREST:
-                        ok = ok[~big[group[ok]]]
-                    if not len(ok):
-                        break
-                    x, y = rest[ok], rest[ok - d]
-                    fit = _fits(n[x], n[y], pos[x], pos[y], percent)
-                    put(1, x[fit], y[fit])
-                if big.any():
-                    at = np.flatnonzero(big[group])
-                    for d in range(FIRST):
-                        ok = at[place[at] > d + NEAREST]
-                        x, y = rest[ok], rest[begin[group[ok]] + d]
-                        fit = _fits(n[x], n[y], pos[x], pos[y], percent)
-                        put(1, x[fit], y[fit])
-                    put(2, rest[at], token=token[rest[at]], n=n[rest[at]], pos=pos[rest[at]])
-        cols = [np.concatenate(c) for c in zip(*out)]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)], names=["kind", "token", "xdoc", "xline", "ydoc", "yline", "n", "pos"])
+            rest, size = rest[np.repeat(some, size)], size[some]
+            group = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(rest)) - (np.cumsum(size) - size)[group]
+            stays = np.repeat(size > TRIED, size)
+            for d in range(1, min(int(size.max(initial=0)), TRIED)):
+                ok = np.flatnonzero((place >= d) & (size <= TRIED)[group])
+                fit = ok[fits(n[rest[ok]], n[rest[ok - d]], pos[rest[ok]], pos[rest[ok - d]], percent)]
+                stays[fit] = stays[fit - d] = True
+            rest, group = rest[stays], group[stays]
+            head = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+            x, y = rest, rest[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(rest) else rest
+            x, y = x[~head], y[~head]
+            new = np.unique(np.stack([doc[x], line[x], doc[y], line[y]]), axis=1, return_index=True)[1] if len(x) else x
+            x, y = x[new], y[new]
+        none = pa.nulls(len(gone))
+        return pa.concat_tables([
+            pa.table([pa.array(doc[gone], pa.int64()), pa.array(line[gone], pa.int32()), none.cast(pa.int64()), none.cast(pa.int32())], names=["xdoc", "xline", "ydoc", "yline"]),
+            pa.table([pa.array(doc[x], pa.int64()), pa.array(line[x], pa.int32()), pa.array(doc[y], pa.int64()), pa.array(line[y], pa.int32())], names=["xdoc", "xline", "ydoc", "yline"]),
+        ])
 
     return packed.groupBy("bucket").applyInArrow(run, JOINED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(xdoc, xline) of the pairs whose full token sets match."""
-    pairs = written(pairs.distinct(), "candidates")
-    x, y = pairs.select(F.col("xdoc").alias("d"), F.col("xline").alias("l")), pairs.select(F.col("ydoc").alias("d"), F.col("yline").alias("l"))
-    needed = written(x.unionByName(y).groupBy("d").agg(F.collect_set("l").alias("ls")), "needed")
+def matched(ids: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of b match one of a before them? Sets are numbered in order; ids has the set of each value."""
+    m = int(max(a.max(), b.max())) + 1
+    n = np.bincount(ids, minlength=m)
+    own, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    column = (np.cumsum(count > 1) - 1)[inverse]
+    more = count[inverse] > 1
+    row, column = ids[more], column[more]
+    inter = np.zeros((len(a), len(b)), np.float32)
+    for begin in range(0, int(column.max(initial=-1)) + 1, 8192):
+        part = (column >= begin) & (column < begin + 8192)
+        x = np.zeros((m, min(8192, int(column.max()) + 1 - begin)), np.float32)
+        x[row[part], column[part] - begin] = 1
+        inter += x[a] @ x[b].T
+    inter = inter.astype(np.int64)
+    good = (100 * inter >= percent * (n[a][:, None] + n[b][None] - inter)) & (inter > 0) & (a[:, None] < b[None])
+    return b[good.any(0)]
+
+
+def verified(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(xdoc, xline) of the lines that match an earlier one of a family. edges: x is in the family of y."""
+    x, y = F.struct(F.col("xdoc").alias("d"), F.col("xline").alias("l")), F.struct(F.col("ydoc").alias("d"), F.col("yline").alias("l"))
+    edges = written(edges.distinct().select(x.alias("x"), y.alias("y")), "edges")
+    sizes = edges.groupBy("y").agg((F.count(F.lit(1)) + 1).alias("m"))
+    edges = written(edges.unionByName(sizes.select(F.col("y").alias("x"), "y")).join(sizes, "y"), "families")
+    needed = written(edges.select("x").distinct().groupBy(F.col("x.d").alias("d")).agg(F.collect_list("x.l").alias("ls")), "needed")
+    few = needed.limit(DOCS_MOST + 1).count() <= DOCS_MOST
     text = _slim(docs)
-    near = F.broadcast(needed) if needed.limit(IDS_MOST // 4 + 1).count() <= IDS_MOST // 4 else needed
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ds, ls, sets = [], [], []
-            for d, raw, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                own = raw.as_py().lower().split(b"\n")
-                want = sorted(want)
-                ids, values, owner, _ = tokens([own[k] for k in want], width)
-                cut = np.searchsorted(ids, np.arange(len(owner) + 1))
-                for k in range(len(owner)):
-                    ds.append(d)
-                    ls.append(want[int(owner[k])])
-                    sets.append(values[cut[k] : cut[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(ls, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["d", "l", "s"])
-
-    sets = text.join(near, text.doc_id == near.d).select("d", "b", "ls").mapInArrow(run, "d bigint, l int, s array<bigint>").dropDuplicates(["d", "l"])
-    sets = written(sets, "sets")
-    one = lambda k: sets.select(F.col("d").alias(f"{k}doc"), F.col("l").alias(f"{k}line"), F.col("s").alias(f"s{k}"))
-    both = pairs.join(one("x"), ["xdoc", "xline"]).join(one("y"), ["ydoc", "yline"])
-    inter = F.size(F.array_intersect("sx", "sy"))
-    return both.where(100 * inter >= percent * (F.size("sx") + F.size("sy") - inter)).select("xdoc", "xline").distinct()
+    split = F.split(F.col("b").cast("string"), "\n")
+    lines = text.join(F.broadcast(needed) if few else needed, text.doc_id == F.col("d")).select("d", F.explode(F.arrays_zip(F.col("ls").alias("l"), F.transform("ls", lambda k: F.element_at(split, k + 1)).alias("t"))).alias("e")).select(F.struct(F.col("d"), F.col("e.l").alias("l")).alias("x"), F.col("e.t").cast("binary").alias("t"))
+    rows = edges.count()
+    together = max(8, math.ceil(rows / TOGETHER))
+    own = edges.join(lines, "x")
+    blocks = F.when(F.col("m") <= 2 * BLOCK, F.lit(0)).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
+    own = own.withColumn("blocks", blocks).withColumn("s", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("x"), F.col("blocks"))).otherwise(0).cast("int"))
+    meets = F.when(F.col("blocks") == 0, F.array(F.struct(F.pmod(F.xxhash64("y"), F.lit(together)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.xxhash64("y").alias("g"), F.least("s", o).alias("i"), F.greatest("s", o).alias("j")))
+    )
+    dealt = own.select(F.explode(meets).alias("e"), "s", "x", "y", "t").select("e.g", "e.i", "e.j", "s", F.col("x.d").alias("xdoc"), F.col("x.l").alias("xline"), F.col("y.d").alias("ydoc"), F.col("y.l").alias("yline"), "t")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        xd, xl, yd, yl, s = (np.array(t.column(c)) for c in ("xdoc", "xline", "ydoc", "yline", "s"))
+        order = np.lexsort((xl, xd, yl, yd))
+        xd, xl, yd, yl, s = xd[order], xl[order], yd[order], yl[order], s[order]
+        texts = [t.column("t")[int(k)].as_py() for k in order]
+        ids, values, owner, _ = tokens(texts, width)  # each is one line
+        ids = owner[ids]
+        heads = np.append(np.flatnonzero(np.concatenate([[True], (yd[1:] != yd[:-1]) | (yl[1:] != yl[:-1])])), len(yd))
+        cut = np.searchsorted(ids, heads)
+        out = []
+        for lo, hi, p, q in zip(heads[:-1], heads[1:], cut[:-1], cut[1:]):
+            a = b = np.arange(hi - lo)
+            if i >= 0 and i != j:
+                a, b = np.flatnonzero(s[lo:hi] == i), np.flatnonzero(s[lo:hi] == j)
+                if len(a) and len(b):
+                    out += [matched(ids[p:q] - lo, values[p:q], a, b, percent) + lo, matched(ids[p:q] - lo, values[p:q], b, a, percent) + lo]
+            else:
+                out.append(matched(ids[p:q] - lo, values[p:q], a, b, percent) + lo)
+        hit = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        return pa.table({"xdoc": pa.array(xd[hit], pa.int64()), "xline": pa.array(xl[hit], pa.int32())})
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(compare, "xdoc bigint, xline int")
 
 
 def removed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -259,31 +304,23 @@ def removed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     common, total = frequent(docs, width)
     buckets = max(16, math.ceil(total * (1 - percent / 100) / BUCKET))
     got = written(joined(entries(docs, common, buckets, width, percent), percent), "joined")
-    gone = got.where("kind = 0").select("xdoc", "xline")
-    gone = written(gone.unionByName(verified(got.where("kind = 1").select("xdoc", "xline", "ydoc", "yline"), docs, width, percent)).distinct(), "gone")
-    hot = got.where("kind = 2")
-    if hot.limit(1).count():
-        open_ = hot.join(gone, ["xdoc", "xline"], "left_anti")
-        y = hot.select("token", F.col("xdoc").alias("ydoc"), F.col("xline").alias("yline"), F.col("n").alias("m"), F.col("pos").alias("p"))
-        need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
-        fit = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least("pos", "p") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= need)
-        before = (F.col("ydoc") < F.col("xdoc")) | (F.col("ydoc") == F.col("xdoc")) & (F.col("yline") < F.col("xline"))
-        more = open_.drop("ydoc", "yline").join(y, "token").where(fit & before).select("xdoc", "xline", "ydoc", "yline")
-        gone = gone.unionByName(verified(more, docs, width, percent)).distinct()
+    gone = got.where("ydoc is null").select("xdoc", "xline")
+    gone = gone.unionByName(verified(got.where("ydoc is not null"), docs, width, percent))
     return gone.groupBy(F.col("xdoc").alias("doc_id")).agg(F.sort_array(F.collect_set("xline")).alias("lines"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without lines that match an earlier line, with `n_lines` and `n_removed`. Lines are parted by line feeds; blank ones stay. No
     document goes: where all lines go, the text is empty. A null text stays null; rows of a null doc_id stay as they are and no line is
-    matched with theirs; of rows with one doc_id, what is removed at a place goes from each; an empty table gives no rows."""
-    own = removed(docs, width, percent).withColumnRenamed("doc_id", "_doc").withColumnRenamed("lines", "_lines")
-    out = docs.join(own, docs.doc_id == own._doc, "left").drop("_doc")
+    matched with theirs; rows of one doc_id are taken to have one text, and lose alike; an empty table gives no rows."""
+    own = written(removed(docs, width, percent).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines")), "removed")
+    few = own.limit(DOCS_MOST + 1).count() <= DOCS_MOST
+    out = docs.join(F.broadcast(own) if few else own, docs.doc_id == own._doc, "left").drop("_doc")
     split = F.split("text", "\n")
     kept = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_lines", i)), "\n"))
-    return out.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
