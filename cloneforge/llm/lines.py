@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .shingles import HASHES, P, mixed
+from .shingles import P, mixed
 
 WIDTH, PERCENT = 5, 80
 #: Frequent tokens at most; entries of one bucket of inverted lists, about.
@@ -34,20 +34,56 @@ STEP = 4 << 20
 LONG = 32_767
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_bytes = mixed(np.arange(1, 257, dtype=np.uint64))
+_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _upto(n: int) -> list[np.ndarray]:
+    """Powers of P and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(P), pow(int(P), -1, 1 << 64))):
+            own = np.full(n, base, np.uint64)
+            own[0] = 1
+            _powers[k] = np.cumprod(own)
+    return _powers
+
+
+def _hashed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words in buf, and their hashes: polynomials of their bytes, as differences of sums from the beginning of a block."""
+    starts, hashes, at = [], [], 0
+    while at < len(buf):
+        stop = len(buf)
+        if stop - at > STEP:  # a block ends at a blank
+            back = np.flatnonzero(SPACE[buf[at + STEP // 2 : at + STEP]])
+            stop = at + STEP // 2 + int(back[-1]) + 1 if len(back) else at + STEP
+            while stop < len(buf) and not SPACE[buf[stop - 1]]:
+                on = np.flatnonzero(SPACE[buf[stop : stop + STEP]])
+                stop = stop + int(on[0]) + 1 if len(on) else min(len(buf), stop + STEP)
+        part = buf[at:stop]
+        turn = np.diff(SPACE[part].view(np.int8), prepend=1, append=1)
+        st, en = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        power, inverse = _upto(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_bytes[part] * power[: len(part)], out=total[1:])
+        starts.append(st + at)
+        hashes.append(mixed((total[en] - total[st]) * inverse[st] + (en - st).astype(np.uint64)))
+        at = stop
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents' texts, for each token of each line, in order of lines, the line and the hash; for each line that has words, its
     document's place in texts and its place in the document."""
-    own: list[bytes] = []
-    counts, owner, place = [], [], []
-    for d, raw in enumerate(texts):
-        for k, line in enumerate(raw.lower().split(b"\n")):
-            if got := line.split():
-                own += got
-                counts.append(len(got))
-                owner.append(d)
-                place.append(k)
-    h = np.fromiter(map(HASHES.__getitem__, own), np.uint64, len(own))
-    n = np.array(counts, np.int64)
+    buf = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+    start, h = _hashed(buf)
+    counts = np.diff(np.searchsorted(start, np.flatnonzero(buf == 10)), prepend=0, append=len(start))
+    each = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    some = np.flatnonzero(counts[: each.sum()] > 0)
+    n = counts[some]
+    owner = np.repeat(np.arange(len(texts)), each)[some]
+    place = some - (np.cumsum(each) - each)[owner]
     line = np.repeat(np.arange(len(n)), n)
     ids, values = line[:0], h[:0]
     if len(h) >= width:
@@ -65,7 +101,7 @@ def words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
             more = n[short] > k
             acc[more] = acc[more] * P + h[begin[more] + k]
         ids, values = np.concatenate([ids, short]), np.concatenate([values, mixed(acc + n[short].astype(np.uint64))])
-    return ids, values, np.array(owner, np.int64), np.array(place, np.int64)
+    return ids, values, owner, place
 
 
 def tokens(texts: list[bytes], width: int, rank=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
