@@ -1,47 +1,19 @@
-"""What several operators share: the shared folder, written intermediate tables, table access."""
+"""What several operators share: the shared folder, written intermediate tables, table access, names that can't clash."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_own: list[tuple[str, str]] = []
+from cloneforge.plans.storage import shared_dir, table, written
 
+__all__ = ["guarded", "shared_dir", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset: a temporary folder in local mode
-    (driver and executor are one machine there), else a folder in the warehouse."""
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        if not any(k == "tmp" for k, _ in _own):
-            _own.append(("tmp", tempfile.mkdtemp(prefix="cloneforge-")))
-        return "file://" + next(v for k, v in _own if k == "tmp")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cloneforge"
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back. The files outlive
-    lost executors, and each value is computed once, however often the result is used."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cloneforge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _own.append(("path", path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@atexit.register
-def _clean() -> None:
-    for kind, path in _own:
-        local = path.removeprefix("file://")
-        if kind == "tmp" or path.startswith("file://") and os.path.isdir(local):
-            shutil.rmtree(local, ignore_errors=True)
+def guarded(docs: DataFrame, needed: Sequence[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f(docs) with all columns of docs but the needed ones under names that clash with nothing, and afterwards the columns of docs alone, under their own names."""
+    names = {c: c if c in needed else f"_kept_{k}" for k, c in enumerate(docs.columns)}
+    out = f(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import guarded, table, written
 
 WINDOW = 10
 #: Share of hit words from which the pipeline drops a document.
@@ -236,22 +236,25 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs, hit spans cut out; documents with at least the share `coverage` of hit words go. Other columns stay as they are."""
-    hit = found(docs, benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-    kept = hit.where((n_hit == 0) | (n_hit < coverage * F.col("n_words"))).drop("items", "n_words")
-    at, names = docs.columns.index("text"), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            texts = columns[at].to_pylist()
-            for k, spans in enumerate(columns[len(names)]):
-                if len(spans):
-                    texts[k] = without(texts[k].encode(), [(s["a"], s["b"]) for s in spans.as_py()]).decode()
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
-
-    return kept.select(*names, "spans").mapInArrow(run, docs.schema)
+    def of(docs_: DataFrame) -> DataFrame:
+        at, names = docs_.columns.index("text"), docs_.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = batch.columns
+                texts = columns[at].to_pylist()
+                for k, spans in enumerate(columns[len(names)]):
+                    if len(spans):
+                        texts[k] = without(texts[k].encode(), [(s["a"], s["b"]) for s in spans.as_py()]).decode()
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+
+        hit = found(docs_, benchmark, window).where((n_hit == 0) | (n_hit < coverage * F.col("n_words")))
+        return hit.select(*names, "spans").mapInArrow(run, docs_.schema)
+
+    return guarded(docs, ["text"], of)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import guarded, table, written
 from .shingles import P, mixed
 
 WIDTH, PERCENT = 5, 80
@@ -198,11 +198,15 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             sig1, sig2 = np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(mixed(values ^ P), start)  # lines come in order of (doc_id, place)
             order = np.lexsort((np.arange(n_lines), sig2, sig1))
             twin = np.concatenate([[False], (sig1[order][1:] == sig1[order][:-1]) & (sig2[order][1:] == sig2[order][:-1])])
+            first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(n_lines)))]
+            other = (docs_[owner[order]] != docs_[owner[first]]) | (place[order] != place[first])  # a row that comes again is no other line
+            out = np.zeros(n_lines, bool)
+            out[order[twin]] = True
             gone = np.zeros(n_lines, bool)
-            gone[order[twin]] = True
+            gone[order[twin & other]] = True
             pos = np.arange(len(values)) - start[ids]
             prefix = n - (percent * n + 99) // 100 + 1
-            keep = np.flatnonzero((pos < prefix[ids]) & ~gone[ids])
+            keep = np.flatnonzero((pos < prefix[ids]) & ~out[ids])
             ids, values, pos = ids[keep], values[keep], pos[keep]
             bucket = (values % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -241,7 +245,8 @@ def joined(packed: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((line, doc, same, token))
             # equal sets, by 64 bits of hashes, n and place in order; the later ones go, and the first stands for them
             twin = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (same[order][1:] == same[order][:-1]) & (n[order][1:] == n[order][:-1]) & (pos[order][1:] == pos[order][:-1])])
-            gone = order[twin & (pos[order] == 0)]
+            first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
+            gone = order[twin & (pos[order] == 0) & ((doc[order] != doc[first]) | (line[order] != line[first]))]
             rest = order[~twin]
             rest = rest[np.lexsort((line[rest], doc[rest], token[rest]))]
             first = np.flatnonzero(np.concatenate([[True], token[rest][1:] != token[rest][:-1]]))
@@ -314,6 +319,8 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         xd, xl, yd, yl, s = (np.array(t.column(c)) for c in ("xdoc", "xline", "ydoc", "yline", "s"))
         order = np.lexsort((xl, xd, yl, yd))
+        again = np.concatenate([[False], (np.diff(xd[order]) == 0) & (np.diff(xl[order]) == 0) & (np.diff(yd[order]) == 0) & (np.diff(yl[order]) == 0)])
+        order = order[~again]  # of repeated rows
         xd, xl, yd, yl, s = xd[order], xl[order], yd[order], yl[order], s[order]
         texts = [t.column("t")[int(k)].as_py() for k in order]
         ids, values, owner, _ = tokens(texts, width)  # each is one line
@@ -357,6 +364,11 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return out.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def cleaned(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """deduplicated() with the columns of docs alone, whatever their names."""
+    return guarded(docs, ["doc_id", "text"], lambda d: deduplicated(d, width, percent))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

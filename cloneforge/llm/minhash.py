@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import table, written
+from .common import guarded, table, written
 from .graphs import components
 
 K, RUN, SHORT_RUN = 64, 4, 2
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, one document of each component left; repeated rows of it stay."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return guarded(docs, ["doc_id"], lambda d: d.join(gone, d.doc_id == gone._gone, "left_anti"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

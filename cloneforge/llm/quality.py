@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import guarded, table
 
 #: Labelled rows that the model is fitted on at most, and pairs drawn from them.
 SAMPLE, PAIRS = 20_000, 60_000
@@ -50,7 +51,7 @@ def features(text: str) -> list[float]:
     ends = sum(c for w, c in counts.items() if w[-1] in ".!?")
     lone = sum(c for w, c in counts.items() if not w[0].isalnum() and len(w) == 1)
     same = sum(1 for a, b in zip(words, words[1:]) if a == b)
-    # how many of 64 even stretches' words are new there
+    # how much of the second half is new
     half = n // 2
     first = set(words[:half])
     new = sum(1 for w in words[half:] if w not in first) / max(1, n - half)
@@ -121,6 +122,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py() or "") for t in batch.column(2)], pa.list_(pa.float64()))], names=["id", "y", "x"])
 
+    docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen._id).select(F.col("_id").cast("long").alias("id"), F.col("_y").cast("int").alias("y"), "text")
     got = rows.mapInArrow(run, "id bigint, y int, x array<double>").toArrow()
     if not got.num_rows:
@@ -132,8 +134,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with `score`. Null and empty texts are scored as texts without words; repeated rows get equal scores; without labels of
+    """docs with `score`, which takes the place of a column of that name. Null and empty texts are scored as texts without words; repeated rows get equal scores; without labels of
     both classes every score is 0.7, so that nothing is rejected; an empty table gives no rows."""
+    docs = docs.drop("score")
     model = learned(docs, labels)
     at, names = docs.columns.index("text"), docs.columns
 
@@ -145,14 +148,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score = model.scores(np.array([features(t.as_py() or "") for t in batch.column(at)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score below GOOD."""
-    return scored(docs, labels).where(F.col("score") >= GOOD).select(*docs.columns)
+    return guarded(docs, ["doc_id", "text"], lambda d: scored(d, labels).where(F.col("score") >= GOOD))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
