@@ -174,7 +174,7 @@ def group_trees(edges: DataFrame, root: str | None, keys: Sequence[str] = ()) ->
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
         place = {x: k for k, x in enumerate(names)}
         start = root if root is not None else pdf["root"].iloc[0]
-        out = pd.DataFrame({**{k: [] for k in keys}, "parent": [], "child": [], "dist": []})
+        out = pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "parent": pd.Series(dtype=object), "child": pd.Series(dtype=object), "dist": pd.Series(dtype="int64")})
         if start not in place:
             return out
         w = np.full((len(names), len(names)), np.inf)

@@ -109,7 +109,8 @@ def refined(findings: DataFrame, closed: DataFrame, tree: DataFrame, lineage: Da
                     found[p] = {**own_[0], "cell": p, **{k: sum(x[k] for x in own_) / len(own_) for k in ("score", "pvalue", "adjustp")}, "depth": int(sum(x["depth"] for x in own_) / len(own_)) - 1}
             if all(len(path[c]) <= 2 for c in found) and int(pdf["hang"].iloc[0]) <= len(found):
                 found = {}
-        return pd.DataFrame([{k: r[k] for k in ("cell", "depth", "region", "score", "pvalue", "adjustp")} for r in found.values()], columns=["cell", "depth", "region", "score", "pvalue", "adjustp"])
+        kinds = {"cell": object, "depth": "int32", "region": object, "score": float, "pvalue": float, "adjustp": float}
+        return pd.DataFrame({k: pd.Series([r[k] for r in found.values()], dtype=t) for k, t in kinds.items()})
 
     return own.groupBy("region", "sign").applyInPandas(run, "cell string, depth int, region string, score double, pvalue double, adjustp double")
 
