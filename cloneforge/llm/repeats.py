@@ -34,6 +34,8 @@ STEP, PLACE = 4 << 20, 23
 BUCKET, GROUP = 500_000, 16_000_000
 #: Texts of one step that share an anchor, from which on every group is told of it instead of each text.
 HOT = 64
+#: Stands for every document.
+EVERY = np.iinfo(np.int64).min
 
 
 def _gram(h: np.ndarray, k: int) -> np.ndarray:
@@ -160,7 +162,7 @@ ASKED = "bucket int, doc array<bigint>, text array<bigint>, hash array<int>"
 
 
 def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Anchors by bucket: the document (null: of many), the hash of its text, and the rest of the anchor's hash."""
+    """Anchors by bucket: the document (EVERY: of many), the hash of its text, and the rest of the anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +187,7 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 order = np.argsort(who, kind="stable")
                 h, who, hot = h[order], who[order], hot[order]
                 rest = (h // np.uint64(buckets)).astype(np.uint32).view(np.int32)
-                yield _lists(["bucket", "doc", "text", "hash"], (h % np.uint64(buckets)).astype(np.int64), [(np.where(hot, -1, ids[who]), pa.int64()), (np.where(hot, 0, keys[who]), pa.int64()), (rest, pa.int32())])
+                yield _lists(["bucket", "doc", "text", "hash"], (h % np.uint64(buckets)).astype(np.int64), [(np.where(hot, EVERY, ids[who]), pa.int64()), (np.where(hot, 0, keys[who]), pa.int64()), (rest, pa.int32())])
 
     return docs.mapInArrow(run, ASKED)
 
@@ -206,7 +208,7 @@ def shared(packed: DataFrame, groups: int) -> DataFrame:
         other = np.concatenate([[False], (text[1:] != text[:-1]) & ~first[1:]])
         hot = np.bincount(member, text == 0)[member] > 0
         more = (np.bincount(member, other)[member] > 0) & ~hot | hot & first
-        doc, h, hot = doc[more], h[more], hot[more]
+        doc, h, hot = np.where(hot, EVERY, doc)[more], h[more], hot[more]
         bucket = np.full(len(h), t.column("bucket")[0].as_py())
         by = np.where(hot, -1, group_of(doc, groups))
         return pa.Table.from_batches([_lists(["grp", "doc", "bucket", "hash"], by, [(doc, pa.int64()), (bucket, pa.int32()), (h, pa.int32())])])
@@ -225,8 +227,8 @@ def stretches(docs: DataFrame, told: DataFrame, buckets: int, least: int) -> Dat
         flat = lambda x: np.array(b.column(x).combine_chunks().flatten()) if b.num_rows else np.zeros(0, np.int64)
         doc, bucket, h = flat("doc").astype(np.int64), flat("bucket").astype(np.uint64), flat("hash").astype(np.int32)
         code = bucket << np.uint64(32) | h.view(np.uint32).astype(np.uint64)
-        each = np.sort(code[doc == -1])
-        mine = np.sort(mixed(mixed(code[doc != -1]) ^ doc[doc != -1].view(np.uint64)))
+        each = np.sort(code[doc == EVERY])
+        mine = np.sort(mixed(mixed(code[doc != EVERY]) ^ doc[doc != EVERY].view(np.uint64)))
         ids = np.array(a.column("doc_id"), np.int64) if a.column("doc_id").null_count == 0 else np.array([x if x is not None else -1 for x in a.column("doc_id").to_pylist()], np.int64)
         live = np.array([x is not None for x in a.column("doc_id").to_pylist()], bool)
         order = np.argsort(ids, kind="stable")
