@@ -149,6 +149,14 @@ def summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("n_pairs"), F.min("w").alias("min_w"), F.max("w").alias("max_w"), F.avg("w").alias("mean_w"), F.sum("w").alias("sum_w"))
 
 
+def histogram(edges: DataFrame, buckets: int = 20) -> DataFrame:
+    """(bucket, n) of the distances of unordered pairs, in as many buckets of equal width, from 1; equal distances alone make one bucket."""
+    own = edges.where("src < dst")
+    ends = own.agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    share = (F.col("w") - F.col("lo")) / F.greatest(F.lit(1), F.col("hi") - F.col("lo"))
+    return own.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(buckets), F.floor(share * buckets) + 1).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))  # one row
+
+
 def asymmetry(edges: DataFrame) -> DataFrame:
     """The largest difference between the two directions of a pair, and how many pairs differ."""
     back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("w2"))

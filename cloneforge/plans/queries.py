@@ -232,6 +232,11 @@ def distance_asymmetry(spark: SparkSession, d: str) -> DataFrame:
     return distance.asymmetry(written(med(spark, d), "distances"))
 
 
+@query(f"WITH {_med('none')}, own AS (SELECT w FROM med WHERE src < dst) SELECT CAST(least(20, floor(CAST(w - lo AS DOUBLE) / greatest(1, hi - lo) * 20) + 1) AS INTEGER) AS bucket, count(*) AS n FROM own, (SELECT min(w) AS lo, max(w) AS hi FROM own) GROUP BY 1")
+def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return distance.histogram(written(med(spark, d, "none"), "distances"))
+
+
 @query("SELECT CAST(a.p_partkey AS VARCHAR) AS src, CAST(b.p_partkey AS VARCHAR) AS dst FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) + (a.p_size * 10.0 - b.p_size * 10.0) * (a.p_size * 10.0 - b.p_size * 10.0) < 900")
 def spatial_gated_pairs(spark: SparkSession, d: str) -> DataFrame:
     coords = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("cell"), F.col("p_retailprice").alias("x"), (F.col("p_size") * F.lit(10.0)).alias("y"))
