@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloneforge.plans.storage import shared_dir, table, written
 
-__all__ = ["guarded", "shared_dir", "table", "written"]
+__all__ = ["cached", "guarded", "shared_dir", "table", "using", "written"]
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(owner: str, clear: Callable[[], None]) -> None:
+    """Tells how a Python worker forgets what `owner` keeps from task to task."""
+    _caches[owner] = clear
+
+
+_last = [""]
+
+
+def using(owner: str) -> None:
+    """At the beginning of a task: workers serve one operator after another, keep only the last one's caches, and give memory back when it changes."""
+    if _last[0] == owner:
+        return
+    _last[0] = owner
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def guarded(docs: DataFrame, needed: Sequence[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:

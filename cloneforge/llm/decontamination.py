@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import guarded, table, written
+from .common import cached, guarded, table, using, written
 
 WINDOW = 10
 #: Share of hit words from which the pipeline drops a document.
@@ -154,6 +154,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
 
 
 _built: dict[str, Items] = {}
+cached("decontamination", _built.clear)
 
 
 def built(key: str, items: list[tuple[str, bytes]], window: int) -> Items:
@@ -177,12 +178,12 @@ def shards_of(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str
 FOUND = "spans array<struct<a:int,b:int>>, items array<string>, n_words bigint"
 
 
-def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with `spans` (of hit words, from and to, apart and in order), `items` (ids of the items met, sorted) and `n_words`.
+def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, cut: bool = False) -> DataFrame:
+    """docs (with cut: without the spans in their texts) with `spans` (of hit words, from and to, apart and in order), `items` (ids of the items met, sorted) and `n_words`.
     Null and empty texts have no words; an item without words meets nothing; equal items are met together."""
     shards = [s for s in shards_of(benchmark, shard_bytes) if s] or [[]]
     if len(shards) == 1:
-        return _scan(docs, shards[0], window)
+        return _scan(docs, shards[0], window, cut)
     own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     parts = None
     for s in shards:
@@ -191,27 +192,46 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
     per = parts.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("n_words").alias("n_words"))
     # one span may end in another's: glue them
     glue = F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    return own.join(per.withColumn("spans", glue), "_row").drop("_row")
+    out = own.join(per.withColumn("spans", glue), "_row").drop("_row")
+    return _recut(out) if cut else out
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+def _recut(hit: DataFrame) -> DataFrame:
+    """hit with its spans cut out of its texts."""
+    at, names = hit.columns.index("text"), hit.columns
+    by = names.index("spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            columns[at] = pa.array(_cut(columns[at].to_pylist(), [[(s["a"], s["b"]) for s in x] for x in columns[by].to_pylist()]), columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return hit.mapInArrow(run, hit.schema)
+
+
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: bool = False) -> DataFrame:
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(FOUND).fields])
     at = docs.columns.index("text")
     keep = [c for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("decontamination")
         own = built(key, items, window)
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            spans, met, n = [], [], []
-            for raw in batch.column(at).cast(pa.large_binary()):
+            spans, met, n, columns = [], [], [], batch.columns
+            for raw in columns[at].cast(pa.large_binary()):
                 words = words_of(raw.as_py() or b"")
                 s, m = own.hits(words)
-                spans.append([{"a": a, "b": b} for a, b in merged(s)])
+                spans.append(merged(s))
                 met.append(sorted(m))
                 n.append(len(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(met, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*keep, "spans", "items", "n_words"])
+            if cut:
+                columns[at] = pa.array(_cut(columns[at].to_pylist(), spans), columns[at].type)
+            spans = [[{"a": a, "b": b} for a, b in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(met, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*keep, "spans", "items", "n_words"])
 
     return docs.mapInArrow(run, schema)
 
@@ -234,27 +254,15 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _cut(texts: list[str | None], spans: list[list[list[int]]]) -> list[str | None]:
+    return [without(t.encode(), s).decode() if s else t for t, s in zip(texts, spans)]
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs, hit spans cut out; documents with at least the share `coverage` of hit words go. Other columns stay as they are."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-
-    def of(docs_: DataFrame) -> DataFrame:
-        at, names = docs_.columns.index("text"), docs_.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = batch.columns
-                texts = columns[at].to_pylist()
-                for k, spans in enumerate(columns[len(names)]):
-                    if len(spans):
-                        texts[k] = without(texts[k].encode(), [(s["a"], s["b"]) for s in spans.as_py()]).decode()
-                columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
-
-        hit = found(docs_, benchmark, window).where((n_hit == 0) | (n_hit < coverage * F.col("n_words")))
-        return hit.select(*names, "spans").mapInArrow(run, docs_.schema)
-
-    return guarded(docs, ["text"], of)
+    good = (n_hit == 0) | (n_hit < coverage * F.col("n_words"))
+    return guarded(docs, ["text"], lambda d: found(d, benchmark, window, cut=True).where(good).select(*d.columns))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, table, written
+from .common import cached, guarded, table, using, written
 from .shingles import P, mixed
 
 WIDTH, PERCENT = 5, 80
@@ -29,7 +29,7 @@ TRIED, BLOCK, TOGETHER = 32, 512, 20_000
 #: Documents up to which a table by doc_id is broadcast.
 DOCS_MOST = 200_000
 #: Bytes of text that are worked on together, about.
-STEP = 4 << 20
+STEP = 2 << 20
 #: n and pos are told up to here; lines with more tokens pass the filters.
 LONG = 32_767
 
@@ -38,6 +38,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _bytes = mixed(np.arange(1, 257, dtype=np.uint64))
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+cached("lines", lambda: _powers.__setitem__(slice(None), [np.zeros(0, np.uint64)] * 2))
 
 
 def _upto(n: int) -> list[np.ndarray]:
@@ -126,6 +127,7 @@ def tokens(texts: list[bytes], width: int, rank=None) -> tuple[np.ndarray, np.nd
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """doc_ids and texts, some MB at a time, in order of doc_id; rows without doc_id are left out."""
+    using("lines")
     rows, held = [], 0
     for batch in batches:
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -236,6 +238,7 @@ def fits(nx, ny, px, py, percent: int):
 
 def joined(packed: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
+        using("lines")
         flat = lambda x: np.array(t.column(x).combine_chunks().flatten())
         doc, line = flat("doc"), flat("line")
         if t.column("bucket")[0].as_py() < 0:
@@ -316,6 +319,7 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     dealt = own.select(F.explode(meets).alias("e"), "s", "x", "y", "t").select("e.g", "e.i", "e.j", "s", F.col("x.d").alias("xdoc"), F.col("x.l").alias("xline"), F.col("y.d").alias("ydoc"), F.col("y.l").alias("yline"), "t")
 
     def compare(t: pa.Table) -> pa.Table:
+        using("lines")
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         xd, xl, yd, yl, s = (np.array(t.column(c)) for c in ("xdoc", "xline", "ydoc", "yline", "s"))
         order = np.lexsort((xl, xd, yl, yd))

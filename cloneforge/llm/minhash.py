@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import guarded, table, written
+from .common import guarded, table, using, written
 from .graphs import components
 
 K, RUN, SHORT_RUN = 64, 4, 2
@@ -42,6 +42,7 @@ def features(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, n (size of the shingle set), key (equal for equal sets), sketch (the k least hashes, in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("shingles")
         for batch in batches:
             n, keys, sketches = [], [], []
             for raw in batch.column(1):
@@ -86,6 +87,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     one = lambda x: text.select(F.col("doc_id").alias(x), F.col("t").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("shingles")
         last, own = None, None
         for batch in batches:
             keep = []
@@ -152,6 +154,7 @@ def leftover(entries: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFr
     dealt = own.join(texts, own.doc == texts.doc_id).select("cluster", F.explode(meets).alias("m"), "u", "s", "doc", "c", "t").select("cluster", "m.*", "u", "s", "doc", "c", "t")
 
     def compare(t: pa.Table) -> pa.Table:
+        using("shingles")
         one = {x: t.column(x)[0].as_py() for x in ("u1", "s1", "u2", "s2")}
         doc, c, u, s = (np.array(t.column(x)) for x in ("doc", "c", "u", "s"))
         a, b = np.flatnonzero((u == one["u1"]) & (s == one["s1"])), np.flatnonzero((u == one["u2"]) & (s == one["s2"]))

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import table, written
+from .common import cached, table, using, written
 
 #: Entries of a worker's word caches; words beyond are encoded each time they occur.
-WHOLE_WORDS, BARE_WORDS = 350_000, 500_000
+WHOLE_WORDS, BARE_WORDS = 250_000, 350_000
 END_ID = 2
 LENGTH = 4096
 #: Bytes of text encoded at a time.
@@ -89,6 +89,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+cached("packing", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -112,6 +113,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     end id last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("packing")
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import guarded, table
+from .common import guarded, table, using
 
 #: Labelled rows that the model is fitted on at most, and pairs drawn from them.
 SAMPLE, PAIRS = 20_000, 60_000
@@ -119,6 +119,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py() or "") for t in batch.column(2)], pa.list_(pa.float64()))], names=["id", "y", "x"])
 
@@ -141,6 +142,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for batch in batches:
             if model is None or not batch.num_rows:
                 score = np.full(batch.num_rows, GOOD)
