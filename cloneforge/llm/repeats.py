@@ -29,10 +29,12 @@ from .shingles import P, mixed
 
 LEAST, GRAM = 50, 24
 #: Bytes worked on at a time; a longer text is cut into pieces that overlap. Below 1 << PLACE.
-STEP, PLACE = 4 << 20, 23
+STEP, PLACE = 1 << 20, 23
 #: Anchors in a bucket and bytes of text in a group of documents, about.
-BUCKET, GROUP = 500_000, 16_000_000
-#: Texts of one step that share an anchor, from which on every group is told of it instead of each text.
+BUCKET, GROUP = 500_000, 8_000_000
+#: Anchors that are told to the buckets at a time, about.
+TOLD = 500_000
+#: Texts of these that share an anchor, from which on every group is told of it instead of each text.
 HOT = 64
 #: Stands for every document.
 EVERY = np.iinfo(np.int64).min
@@ -172,12 +174,14 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                     first[key] = (d, raw.as_py())
             keys = np.array(list(first), np.int64)
             ids = np.array([d for d, _ in first.values()], np.int64)
-            for who, _, own in pieces([t for _, t in first.values()], least):
-                text, h, _, _ = anchors(own, least)
-                who = np.array(who, np.int64)[text]
+            got: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def told() -> pa.RecordBatch:
+                h, who = (np.concatenate(x) for x in zip(*got))
+                got.clear()
                 order = np.lexsort((who, h))
                 h, who = h[order], who[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])[: len(h)]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])
                 h, who = h[new], who[new]
                 _, index, count = np.unique(h, return_index=True, return_counts=True)
                 hot = np.repeat(count >= HOT, count)
@@ -187,7 +191,16 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 order = np.argsort(who, kind="stable")
                 h, who, hot = h[order], who[order], hot[order]
                 rest = (h // np.uint64(buckets)).astype(np.uint32).view(np.int32)
-                yield _lists(["bucket", "doc", "text", "hash"], (h % np.uint64(buckets)).astype(np.int64), [(np.where(hot, EVERY, ids[who]), pa.int64()), (np.where(hot, 0, keys[who]), pa.int64()), (rest, pa.int32())])
+                return _lists(["bucket", "doc", "text", "hash"], (h % np.uint64(buckets)).astype(np.int64), [(np.where(hot, EVERY, ids[who]), pa.int64()), (np.where(hot, 0, keys[who]), pa.int64()), (rest, pa.int32())])
+
+            for who, _, own in pieces([t for _, t in first.values()], least):
+                text, h, _, _ = anchors(own, least)
+                if len(h):
+                    got.append((h, np.array(who, np.int64)[text]))
+                if sum(len(x) for x, _ in got) > TOLD:
+                    yield told()
+            if got:
+                yield told()
 
     return docs.mapInArrow(run, ASKED)
 
