@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloneforge.plans.storage import shared_dir, table, written
 
-__all__ = ["cached", "guarded", "shared_dir", "table", "using", "written"]
+__all__ = ["cached", "guarded", "parts", "shared_dir", "table", "using", "written"]
 
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -40,6 +40,14 @@ def using(owner: str) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes, so that what goes back to Spark comes in small pieces too."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def guarded(docs: DataFrame, needed: Sequence[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f(docs) with all columns of docs but the needed ones under names that clash with nothing, and afterwards the columns of docs alone, under their own names."""
     names = {c: c if c in needed else f"_kept_{k}" for k, c in enumerate(docs.columns)}

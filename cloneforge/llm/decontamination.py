@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cached, guarded, table, using, written
+from .common import cached, guarded, parts, table, using, written
 
 WINDOW = 10
 #: Share of hit words from which the pipeline drops a document.
@@ -185,11 +185,11 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
     if len(shards) == 1:
         return _scan(docs, shards[0], window, cut)
     own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    parts = None
+    all_ = None
     for s in shards:
         part = _scan(own.select("_row", "text"), s, window).drop("text")
-        parts = part if parts is None else parts.unionByName(part)
-    per = parts.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("n_words").alias("n_words"))
+        all_ = part if all_ is None else all_.unionByName(part)
+    per = all_.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("n_words").alias("n_words"))
     # one span may end in another's: glue them
     glue = F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
     out = own.join(per.withColumn("spans", glue), "_row").drop("_row")
@@ -220,7 +220,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: boo
         using("decontamination")
         own = built(key, items, window)
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        for batch in batches:
+        for batch in parts(batches):
             spans, met, n, columns = [], [], [], batch.columns
             for raw in columns[at].cast(pa.large_binary()):
                 words = words_of(raw.as_py() or b"")

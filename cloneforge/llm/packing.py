@@ -126,7 +126,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 ids.append(raw)
                 before += n[-1]
                 held += len(raw)
-                if held > 4 * STEP:
+                if held > STEP:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=SCHEMA)
                     keys, ids, begin, n, held = [], [], [], [], 0
             if keys:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import guarded, table, using
+from .common import guarded, parts, table, using
 
 #: Labelled rows that the model is fitted on at most, and pairs drawn from them.
 SAMPLE, PAIRS = 20_000, 60_000
@@ -143,7 +143,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("quality")
-        for batch in batches:
+        for batch in parts(batches):
             if model is None or not batch.num_rows:
                 score = np.full(batch.num_rows, GOOD)
             else:
