@@ -27,7 +27,7 @@ from .common import table, written
 from .minhash import IDS_MOST
 from .shingles import P, mixed
 
-LEAST, GRAM = 50, 24
+LEAST, GRAM = 50, 20
 #: Bytes worked on at a time; a longer text is cut into pieces that overlap. Below 1 << PLACE.
 STEP, PLACE = 1 << 20, 23
 #: Anchors in a bucket and bytes of text in a group of documents, about.
