@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[tuple[str, str]] = []
+#: Rows that go to Python at a time while a table is written; rows may hold whole documents.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executors, and each value is computed once, however often the result is used."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cloneforge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(ROWS, int(before))) if int(before) > 0 else str(ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     _own.append(("path", path))
     return spark.read.schema(df.schema).parquet(path)
 
