@@ -1,10 +1,11 @@
-"""HTML extraction by union-free wrappers. A page is a stream of text fields, each with the path of elements that holds it. The streams of one
-host are aligned one after another: where texts differ, the field is a slot; neighbours of one path are a repeated group; fields that
-only some pages have are optional. What results is the host's wrapper: a regular expression without alternatives. Pages that name
-their article by an element are cut there; for others the wrapper tells which container the slots' text is in. Menus, adverts
-and the like are told by their elements' names, roles, classes and ids, in either case.
-
-Wrappers are folded from all pages: within a batch first, then by host and a salt, then by host.
+"""HTML extraction by union-free wrappers. A page is a stream of text fields, each with the path of elements that holds it. The streams of all pages of
+one host are aligned one after another: where texts differ, the field is a slot; neighbours of one path are a repeated group; fields that
+only some pages have are optional. What results is the host's wrapper: a regular expression without alternatives. It tells template from
+text: a field that says the same on all its pages is template, unless it stands beside slots, or is optional and stands under a container of slots.
+What is left is checked by names: menus, adverts and the like go, as told by their elements' names, roles, classes and ids, and of a page that names its
+article by an element what is outside goes.
+
+Wrappers are folded from all pages: equal shapes within a batch first, then the shapes of a host by salts of their hashes, in the order of the shapes, then paths by host.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .common import table, written
 #: Bytes of all wrappers up to which they are broadcast.
 WRAPPERS_MOST = 8 << 20
 SALTS = 32
-#: Fields of a wrapper at most that alignment keeps apart; a longer one is cut to its repeated groups.
+#: Fields of a wrapper up to which streams are aligned with it.
 FIELDS_MOST = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +67,7 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
     """What an element is to the article, and its name with classes. inside: does it stand in an <article>?"""
     own = attributes(raw) if len(raw) > 1 else {}
     names = own.get("class", "")
-    label = f"{name}.{'.'.join(sorted(names.split()))}" if names else name
+    label = f"{name}.{'.'.join(sorted(names.split()))}".replace("/", "|") if names else name
     if name in ("body", "html"):
         return KEEP, name
     if name in DROPPED or name == "header" and not inside:
@@ -88,11 +90,12 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
     return KEEP, label
 
 
-def fields(page: str) -> list[tuple[str, str, int, bool]]:
-    """The text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP); what is dropped is not among them."""
+def fields(page: str) -> list[tuple[str, str, int]]:
+    """The text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like."""
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int, int]] = []  # name, path, drop depth begun here, mark
     parts: list[str] = []
+    refused: list[str] = []
     mark, path, dropping, inside = KEEP, "", 0, 0
     at, n = 0, len(page)
 
@@ -102,12 +105,17 @@ def fields(page: str) -> list[tuple[str, str, int, bool]]:
             parts.clear()
             if text:
                 out.append((path, text, mark))
+        if refused:
+            text = " ".join(entities.unescape("".join(refused)).split())
+            refused.clear()
+            if text:
+                out.append((path, text, DROP))
 
     def leave() -> None:
         nonlocal dropping, path, mark, inside
         name, label, dropped, kind = stack.pop()
         if name in ("td", "th"):
-            parts.append("" if dropping else " ")
+            (refused if dropping else parts).append(" ")
         elif name not in INLINE:
             flush()
         dropping -= dropped
@@ -118,16 +126,15 @@ def fields(page: str) -> list[tuple[str, str, int, bool]]:
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            if not dropping:
-                parts.append(page[at:])
+            (refused if dropping else parts).append(page[at:])
             break
-        if m.start() > at and not dropping:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            (refused if dropping else parts).append(page[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1] and not dropping:
-                parts.append(entities.unescape(m[1]))
+            if m[1]:
+                (refused if dropping else parts).append(entities.unescape(m[1]))
             continue
         name = name.lower()
         if m[2]:
@@ -182,27 +189,39 @@ def fields(page: str) -> list[tuple[str, str, int, bool]]:
     return out
 
 
-def main_text(page: str, region: str | None) -> str:
-    """The article's blocks, one a line: those in <article>, or else in the main container, or else in the host's region, or else all."""
-    own = fields(page)
+def main_text(page: str, template: frozenset[str] | None) -> str:
+    """The article's blocks, one a line: those that the host's wrapper doesn't hold for template, and of these what passes the check by names: those in <article>, or
+    else in the main container, or else all. Where nothing is left, the check alone tells."""
+    own = [f for f in fields(page) if f[2] != DROP]
     marks = {f[2] for f in own}
     best = MAIN if MAIN in marks else CONTENT if CONTENT in marks else KEEP
     if best != KEEP:
         own = [f for f in own if f[2] == best]
-    elif region is not None and any(f[0].startswith(region) for f in own):
-        own = [f for f in own if f[0].startswith(region)]
-    return "\n".join(f[1] for f in own)
+    return "\n".join(f[1] for f in [f for f in own if f[0] not in template] or own) if template else "\n".join(f[1] for f in own)
 
 
-# --- wrappers: lists of [path, text or None for a slot, optional, repeated, characters]
+# --- wrappers: lists of [path, hash of the text or None for a slot, optional, repeated, pages]; a path ends in REFUSED where the names speak against it
 
+REFUSED = "/!"
+#: In place of a path: all pages of a wrapper.
+WHOLE = "/"
 
-def stream(page: str) -> list[list] | None:
-    """None for a page that names its article."""
-    own = fields(page)
-    if any(f[2] != KEEP for f in own):
-        return None
-    return grouped([[f[0], f[1] if len(f[1]) <= 120 else None, False, False, len(f[1])] for f in own])
+
+def stream(page: str) -> list[list]:
+    """Neighbours of one path are one field; so are all fields of one path where a page has very many."""
+    own = [(path + REFUSED if mark == DROP else path, text) for path, text, mark in fields(page)]
+    runs: list[tuple[str, list[str]]] = []
+    for path, text in own:
+        if runs and runs[-1][0] == path:
+            runs[-1][1].append(text)
+        else:
+            runs.append((path, [text]))
+    if len(runs) > FIELDS_MOST:
+        by: dict[str, list[str]] = {}
+        for path, text in own:
+            by.setdefault(path, []).append(text)
+        runs = list(by.items())
+    return [[path, xxhash.xxh3_64_hexdigest("\n".join(texts)), False, len(texts) > 1, 1] for path, texts in runs]
 
 
 def grouped(wrapper: list[list]) -> list[list]:
@@ -211,7 +230,7 @@ def grouped(wrapper: list[list]) -> list[list]:
     for f in wrapper:
         if out and out[-1][0] == f[0]:
             last = out[-1]
-            last[1], last[2], last[3], last[4] = (last[1] if last[1] == f[1] else None), last[2] and f[2], True, last[4] + f[4]
+            last[1], last[2], last[3], last[4] = (last[1] if last[1] == f[1] else None), last[2] and f[2], True, max(last[4], f[4])
         else:
             out.append(list(f))
     return out
@@ -220,79 +239,124 @@ def grouped(wrapper: list[list]) -> list[list]:
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """The wrapper that matches what either matches."""
     out: list[list] = []
-    for tag, i, i2, j, j2 in SequenceMatcher(None, [f[0] for f in a], [f[0] for f in b], autojunk=False).get_opcodes():
+    before, after = [f[0] for f in a], [f[0] for f in b]
+    same = [("equal", 0, len(a), 0, len(b))]
+    for tag, i, i2, j, j2 in same if before == after else SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
         if tag == "equal":
             out += [[x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], x[4] + y[4]] for x, y in zip(a[i:i2], b[j:j2])]
         else:
             out += [[x[0], x[1], True, x[3], x[4]] for x in [*a[i:i2], *b[j:j2]]]
-    out = grouped(out)
-    if len(out) > FIELDS_MOST:  # one field for each path
-        by: dict[str, list] = {}
-        for f in out:
-            by[f[0]] = grouped([by[f[0]], f])[0] if f[0] in by else f
-        out = list(by.values())[:FIELDS_MOST]
+    return grouped(out)
+
+
+def told(wrapper: list[list]) -> dict[str, list]:
+    """What a wrapper says of each path: the hash of its texts or None for a slot, whether all pages have it, pages."""
+    out: dict[str, list] = {}
+    for path, text, optional, _, n in wrapper:
+        if path in out:
+            own = out[path]
+            # where only some pages have it, its texts needn't be on one page
+            own[0] = None if text is None or own[0] is None or text != own[0] and (optional or not own[1]) else own[0] + text
+            own[1], own[2] = own[1] or not optional, max(own[2], n)
+        else:
+            out[path] = [text, not optional, n]
+    for own in out.values():
+        own[0] = own[0] and xxhash.xxh3_64_hexdigest(own[0])
     return out
 
 
-def region(wrapper: list[list]) -> str | None:
-    """The container that most of the slots' text stands in."""
-    sums: dict[str, int] = {}
-    for path, text, _, _, chars in wrapper:
-        if text is None:
-            up = path.rpartition("/")[0]
-            sums[up] = sums.get(up, 0) + chars
-    return max(sums, key=lambda k: (sums[k], k)) + "/" if sums else None
-
-
 def host() -> F.Column:
     """Of the url, without user and port."""
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) as JSON; hosts whose pages all name their article have none, as nothing asks for it."""
+    """(host, path, slot, required, n): what the wrappers of a host say of each path, and the pages that have it."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[list]] = {}
+            by: dict[tuple, list] = {}
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (own := stream(raw.as_py() or "")) is not None:
-                    by[key] = aligned(by[key], own) if key in by else own
-            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([json.dumps(w) for w in by.values()], pa.string())], names=["host", "wrapper"])
+                own = stream(raw.as_py() or "")
+                shape = (key, *[f[0] for f in own])
+                if shape in by:
+                    by[shape] = [aligned(by[shape][0], own), by[shape][1] + 1]
+                else:
+                    by[shape] = [own, 1]
+            shapes = [xxhash.xxh3_64_intdigest("\n".join(k[1:])) - (1 << 63) for k in by]
+            columns = [pa.array([k[0] for k in by], pa.string()), pa.array(shapes, pa.int64()), pa.array([json.dumps(w) for w, _ in by.values()], pa.string()), pa.array([n for _, n in by.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "shape", "wrapper", "pages"])
 
     def merge(t: pa.Table) -> pa.Table:
-        own = None
-        for w in sorted(t.column("wrapper").to_pylist()):
-            own = json.loads(w) if own is None else aligned(own, json.loads(w))
-        return pa.table({"host": t.column("host")[:1], "wrapper": [json.dumps(own)]})
-
-    parts = pages.select(host().alias("host"), "html").mapInArrow(fold, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return parts.groupBy("host", "salt").applyInArrow(merge, "host string, wrapper string").groupBy("host").applyInArrow(merge, "host string, wrapper string")
+        by: dict[tuple, list] = {}
+        for raw, n in zip(t.column("wrapper").to_pylist(), t.column("pages").to_pylist()):
+            w = json.loads(raw)
+            shape = tuple(f[0] for f in w)
+            by[shape] = [aligned(by[shape][0], w), by[shape][1] + n] if shape in by else [w, n]
+        rows: list[tuple] = []
+        own, total = None, 0
+
+        def give() -> None:
+            rows.append((WHOLE, None, total, total))
+            rows.extend((path, text, total if required else 0, n) for path, (text, required, n) in told(own).items())
+
+        for shape in sorted(by):
+            w, n = by.pop(shape)
+            own, total = w if own is None else aligned(own, w), total + n
+            own = own[:FIELDS_MOST]
+        if own is not None:
+            give()
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+        return pa.table([pa.array([t.column("host")[0].as_py()] * len(rows), pa.string()), *columns], names=["host", "path", "text", "required", "n"])
+
+    shapes = pages.select(host().alias("host"), "html").mapInArrow(fold, "host string, shape bigint, wrapper string, pages bigint").withColumn("salt", F.pmod(F.col("shape"), F.lit(SALTS)))
+    parts = shapes.groupBy("host", "salt").applyInArrow(merge, "host string, path string, text string, required bigint, n bigint")
+    per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"))
+    per = written(per, "wrappers")
+    total = per.where(F.col("path") == WHOLE).select("host", F.col("n").alias("pages"))
+    slot = F.col("null") | F.coalesce("differ", F.lit(False))
+    return per.where(F.col("path") != WHOLE).join(total, "host").select("host", "path", slot.alias("slot"), (F.col("required") == F.col("pages")).alias("required"), "n")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """(host, template): the paths of each host that say the same on all their pages, two at least, and neither stand beside slots nor, when optional, below a container of slots.
+    A host without slots has none, as nothing tells its text from its template."""
+    parent = F.when(F.col("path") == "", "/").otherwise(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)))"))
+    kept = found.where(~F.col("path").endswith(REFUSED))
+    containers = kept.where("slot").select("host", parent.alias("above")).distinct()
+    same = kept.where("not slot and n > 1").join(containers.select("host").distinct(), "host", "left_semi")
+    # an optional path is looked for with all it stands in, a required one with its parent
+    names = F.split(parent, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
+    above = F.when(F.col("required"), F.array(parent)).otherwise(F.transform(above, lambda x: F.when(x.endswith("/"), x).otherwise(F.concat(x, F.lit("/")))))
+    asks = same.select("host", "path", F.explode(F.array_distinct(above)).alias("above"))
+    beside = asks.join(containers, ["host", "above"], "left_semi").select("host", "path").distinct()
+    return same.join(beside, ["host", "path"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars. A null or empty html has an empty text; a null url is a host of its own; repeated rows get
+    """page_id, url, text, n_chars. A null or empty html has an empty text; pages with a null url are of one host; repeated rows get
     equal texts; an empty table gives no rows."""
-    found = written(wrappers(pages), "wrappers")
-    size = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    found = written(templates(wrappers(pages)), "templates")
+    size = found.agg(F.sum(F.length(F.array_join("template", "\n")))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, str | None] = {}
+        known: dict[str, frozenset[str] | None] = {}
         for batch in batches:
             texts = []
-            for raw, w in zip(batch.column("html"), batch.column("wrapper").to_pylist()):
-                if w not in known:
+            for raw, key, template in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("template")):
+                if key not in known:
                     known.clear() if len(known) > 1000 else None
-                    known[w] = region(json.loads(w)) if w else None
-                texts.append(main_text(raw.as_py() or "", known[w]))
+                    known[key] = frozenset(template.as_py()) if template.is_valid else None
+                texts.append(main_text(raw.as_py() or "", known[key]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
     if size == 0:
-        own = own.withColumn("wrapper", F.lit(None).cast("string"))
+        own = own.withColumn("template", F.lit(None).cast("array<string>"))
     else:
         own = own.join(F.broadcast(found) if size <= WRAPPERS_MOST else found, "host", "left")
-    return own.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return own.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,21 @@ def test_wrapper_finds_the_region(spark):
     assert all(t.split("\n")[0] == f"Title {k}" and "Always" not in t and "Share" not in t and len(t.split("\n")) == 3 for k, t in got.items())
 
 
+def texts(spark, pages):
+    rows = [(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_wrapper_of_pages_that_name_their_article(spark):
+    page = '<body><nav>{k} n</nav><article><div class="w-1/2"><p>Always here</p></div><ul><li>Home<li>About</ul><h1>Daily</h1><p>text {k}</p>{more}</article><div>x {k}</div></body>'
+    got = texts(spark, [page.format(k=k, more=f"<section><h3>Note {k}</h3></section>" if k == 2 else "<blockquote><p>Twice</p></blockquote>" if k > 3 else "") for k in range(6)])
+    assert got == {k: f"Daily\ntext {k}" + ("\nNote 2" if k == 2 else "\nTwice" if k > 3 else "") for k in range(6)}
+    # copies alone tell nothing, and neither does one page
+    assert set(texts(spark, [page.format(k=1, more="")] * 3).values()) == {"Always here\nHome\nAbout\nDaily\ntext 1"}
+    # an article that all pages share stays, though what is around it differs
+    assert set(texts(spark, [f"<article><p>same</p></article><div><p>{k}</p></div>" for k in range(3)]).values()) == {"same"}
+
+
 def test_alignment():
     one = lambda *p: [[x, x, False, False, 1] for x in p]
     got = html.aligned(one("a", "b", "c"), one("a", "c", "d"))
