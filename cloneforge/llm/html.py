@@ -303,7 +303,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for shape in sorted(by):
             w, n = by.pop(shape)
             own, total = w if own is None else aligned(own, w), total + n
-            own = own[:FIELDS_MOST]
+            if len(own) > FIELDS_MOST:  # what it says of its paths is kept, and another one begun
+                give()
+                own, total = None, 0
         if own is not None:
             give()
         columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))]

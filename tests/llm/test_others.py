@@ -111,6 +111,17 @@ def test_wrapper_of_pages_that_name_their_article(spark):
     assert set(texts(spark, [f"<article><p>same</p></article><div><p>{k}</p></div>" for k in range(3)]).values()) == {"same"}
 
 
+def test_wrapper_of_many_paths_and_containers(spark, monkeypatch):
+    # classes of their own on each page; the text is in two containers, and comes after the classes
+    page = '<body>{own}<div class="top"><h1>Title {k}</h1></div><div class="q7"><p>text {k} and more</p></div><div class="z"><p>Always here</p></div></body>'
+    pages = [page.format(k=k, own="".join(f'<div class="c{k}-{n}"><p>a {k} {n}</p></div>' for n in range(60))) for k in range(12)]
+    own = lambda k: "".join(f"a {k} {n}\n" for n in range(60))
+    want = {k: f"{own(k)}Title {k}\ntext {k} and more" for k in range(12)}
+    assert texts(spark, pages) == want
+    monkeypatch.setattr(html, "SALTS", 1)
+    assert texts(spark, pages) == want and texts(spark, pages[::-1]) == {k: want[11 - k] for k in want}
+
+
 def test_alignment():
     one = lambda *p: [[x, x, False, False, 1] for x in p]
     got = html.aligned(one("a", "b", "c"), one("a", "c", "d"))
