@@ -22,8 +22,6 @@ from .common import table, written
 
 #: Turns in one stretch.
 STRETCH = 4096
-#: Letters that a passage has at least to be looked for.
-LETTERS = 8
 
 MARK = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 WROTE = re.compile(r"^\s*(?:on\b.{0,200}\bwrote|.{1,100} (?:wrote|writes|said)|-{2,} ?original message ?-{2,})\s*:?\s*$", re.I)
@@ -55,12 +53,13 @@ def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else text, [(d, "\n".join(p)) for d, p in passages]
 
 
-def hashes(text: str) -> dict[int, int]:
-    """Of a text as a whole, its paragraphs and its lines: hash and letters, for letters and digits alone in lower case."""
+def hashes(text: str, signs: bool) -> dict[int, int]:
+    """Of a text as a whole, its paragraphs and its lines: hash and letters, for letters and digits alone in lower case. A text without any is told by its
+    signs; parts without any are only if signs is set, so that a rule or a bracket of a longer quote links to nothing."""
     out: dict[int, int] = {}
     for part in {text, *re.split(r"\n\s*\n", text), *text.split("\n")}:
-        plain = PLAIN.sub("", part).lower()
-        if len(plain) >= LETTERS:
+        plain = PLAIN.sub("", part).lower() or ("".join(part.split()) if signs or part == text else "")
+        if plain:
             out[xxhash.xxh3_64_intdigest(plain) - (1 << 63)] = len(plain)
     return out
 
@@ -76,8 +75,8 @@ def parse(messages: DataFrame) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 text, passages = parsed(t) if t is not None else (None, [])
                 own.append(text)
-                said.append(list(hashes(text)) if text else [])
-                quotes.append([{"depth": d, "hash": h, "letters": k} for d, p in passages for h, k in hashes(p).items()])
+                said.append(list(hashes(text, True)) if text else [])
+                quotes.append([{"depth": d, "hash": h, "letters": k} for d, p in passages for h, k in hashes(p, False).items()])
                 n.append(len(passages))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quotes, kind), pa.array(n, pa.int32())], names=["conv_id", "turn", "role", "own", "said", "quotes", "n_quotes"])
 

@@ -162,6 +162,13 @@ def test_quotes(spark):
     assert got[1, 2].text == "I disagree with that." and got[1, 2].n_quotes == 2 and got[1, 0].text == CHAT[0][3]
 
 
+def test_quotes_of_short_messages(spark):
+    chat = ["Shall we begin?", "Yes.", "好的", "👍", "> Yes.\nThen let us.", "> 好的\nFine.", "> 👍\nSo do I.", "> not said\n> ---\nHm.", "> No.\nWho says that?"]
+    rows = [(1, k, "r", t) for k, t in enumerate([*chat, "a\n---\nb", "> Shall we begin?\n> yes\nAgain."])]
+    got = {r.turn: (r.reply_to, r.quoted) for r in quotes.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [got[k] for k in range(4, 11)] == [(1, True), (2, True), (3, True), (6, False), (7, False), (8, False), (0, True)]
+
+
 def test_quotes_over_stretches(spark, monkeypatch):
     rows = [(7, 2 * k, "r", f"message number {k} says this" if k % 5 else f"> message number {max(0, k - 4)} says this\nagain {k} and on") for k in range(60)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
