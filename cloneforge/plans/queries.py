@@ -309,6 +309,7 @@ up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() O
   FROM own o LEFT JOIN (SELECT c.descendant, w.cell, w.depth FROM clo c JOIN own w ON w.cell = c.anc WHERE c.hops > 0) u ON u.descendant = o.cell)
 SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
 def ancestor_network(spark: SparkSession, d: str) -> DataFrame:
+    """Of cells with two-digit names and cell 0 alone, as in the SQL; ancestor_network_of_findings has all that have a finding."""
     _, closed, cells = heaped(spark, d)
     return trees.network(cells.where("length(cell) = 2 or cell = '0'").select("cell", "depth"), closed)
 
@@ -476,6 +477,16 @@ FOUND = """found AS (SELECT s.cell, l.depth, l.subtreesize, s.chrom, s.bin, s.sc
   (SELECT cell, chrom, bin, amp AS score FROM levels UNION ALL SELECT cell, chrom, bin, del FROM levels) s JOIN lineage l USING (cell) WHERE abs(s.score) >= 0.35)"""
 
 
+@query(f"""{HEAPED}, {LEVELS}, {FOUND}, own AS (SELECT DISTINCT cell, depth FROM found),
+up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() OVER (PARTITION BY o.cell ORDER BY u.depth DESC NULLS LAST, u.cell DESC) AS k
+  FROM own o LEFT JOIN (SELECT c.descendant, w.cell, w.depth FROM clo c JOIN own w ON w.cell = c.anc WHERE c.hops > 0) u ON u.descendant = o.cell)
+SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
+def ancestor_network_of_findings(spark: SparkSession, d: str) -> DataFrame:
+    """ancestor_network of all cells that have a finding, in place of those with short names."""
+    closed, cells, levels = heap_levels(spark, d)
+    return trees.network(found(levels, cells), closed)
+
+
 @query(f"""{HEAPED}, {LEVELS}, {MAP}, {PERMUTED}, {FOUND}, named AS (SELECT chrom || ':' || bin AS region, score, subtreesize FROM found), signs AS (SELECT region, count(*) AS lineage, CASE WHEN count(*) FILTER (WHERE score < 0) > 1 THEN -1 WHEN count(*) FILTER (WHERE score > 0) > 1 THEN 1 END AS sg FROM named GROUP BY 1 HAVING count(*) > 1),
 own AS (SELECT n.region, s.sg, n.subtreesize, row_number() OVER () AS id FROM named n JOIN signs s ON s.region = n.region AND sign(n.score) = s.sg),
 psizes AS (SELECT perm_id, cell, subtreesize FROM lineage, (SELECT CAST(unnest(range(1, {PERMS + 1})) AS INTEGER) AS perm_id) WHERE subtreesize >= 5 AND cell <> '0'),

@@ -104,3 +104,22 @@ def test_network(spark):
 def test_reach(spark):
     edges = spark.createDataFrame([("r", "a", 1), ("a", "b", 1), ("r", "b", 9), ("x", "r", 1)], "src string, dst string, w bigint")
     assert {(r.node, r.hops) for r in arborescence.reach(edges, "r").collect()} == {("r", 0), ("a", 1), ("b", 1)}
+
+
+def test_network_of_all_cells_with_findings(spark, tmp_path):
+    # cell 1 leads to all others but 0; a name of three digits has a finding too
+    from cloneforge.plans import queries
+
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in rng.choice([-0.5, 0.0, 0.5], 64)]) for k in range(600)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.node2: (r.node1, r.dist) for r in queries.queries()["ancestor_network_of_findings"](spark, str(tmp_path)).collect()}
+    closed, cells, levels = queries.heap_levels(spark, str(tmp_path))
+    depth = {r.cell: r.depth for r in queries.found(levels, cells).select("cell", "depth").collect()}
+    want = {}
+    for cell in depth:
+        up = int(cell) // 2
+        while up and str(up) not in depth:
+            up //= 2
+        want[cell] = (str(up), depth[cell] - depth[str(up)]) if up else ("root", depth[cell])
+    assert got == want and any(len(c) == 3 for c in got)
