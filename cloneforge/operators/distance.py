@@ -123,16 +123,21 @@ def all_pairs(packed: DataFrame, mode: str = "directed", keys: Sequence[str] = (
     return dealt.groupBy(*keys, "_i", "_j").applyInArrow(run, schema)
 
 
-def sparse_pairs(packed: DataFrame) -> DataFrame:
-    """(src, dst, w), src < dst, without a zero rule, for profiles with few breakpoints: sums of the cells' own breakpoints, less what pairs share, by an equi-join on
-    the breakpoints' places. Pairs that share none are not listed: for them w is the half of both cells' sums."""
-    points = packed.select("cell", "chrom", F.posexplode(breakpoints(F.col("cns"))).alias("i", "d")).where("d <> 0")
-    total = points.groupBy("cell").agg(F.sum(F.abs("d")).alias("s"))
+def sparse_pairs(packed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst, w) of all pairs, src < dst, without a zero rule, for profiles with few breakpoints: sums of the cells' own breakpoints, less what pairs share, by an equi-join on
+    the breakpoints' places. Pairs that share none come from blocks of cells: for them w is the half of both cells' sums."""
+    own = packed.select("cell", "chrom", breakpoints(F.col("cns")).alias("ds"))
+    points = own.select("cell", "chrom", F.posexplode("ds").alias("i", "d")).where("d <> 0")
+    total = own.groupBy("cell").agg(F.sum(F.aggregate("ds", F.lit(0).cast("long"), lambda acc, x: acc + F.abs(x))).alias("s"))
     a = points.select(F.col("cell").alias("src"), "chrom", "i", F.col("d").alias("x"))
     b = points.select(F.col("cell").alias("dst"), "chrom", "i", F.col("d").alias("y"))
-    shared = a.join(b, ["chrom", "i"]).where("src < dst").groupBy("src", "dst").agg(F.sum(F.abs("x") + F.abs("y") - F.abs(F.col("x") - F.col("y"))).alias("less"))
-    one = lambda k: total.select(F.col("cell").alias(k), F.col("s").alias(f"s_{k}"))
-    return shared.join(one("src"), "src").join(one("dst"), "dst").select("src", "dst", ((F.col("s_src") + F.col("s_dst") - F.col("less")) / 2).cast("long").alias("w"))
+    shared = a.join(b, ["chrom", "i"]).where("src < dst").select("src", "dst", (F.abs(F.col("x") - F.col("y")) - F.abs("x") - F.abs("y")).cast("long").alias("part"))
+    blocks = max(1, math.ceil(packed.select("cell").distinct().count() / block))
+    dealt = total.withColumn("_b", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one = dealt.select(F.col("cell").alias("src"), F.col("s").alias("x"), F.col("_b").alias("_i"), F.col("_o").alias("_j"))
+    two = dealt.select(F.col("cell").alias("dst"), F.col("s").alias("y"), F.col("_o").alias("_i"), F.col("_b").alias("_j"))
+    whole = one.join(two, ["_i", "_j"]).where("src < dst").select("src", "dst", (F.col("x") + F.col("y")).alias("part"))
+    return whole.unionByName(shared).groupBy("src", "dst").agg((F.sum("part") / 2).cast("long").alias("w"))
 
 
 def near_pairs(coords: DataFrame, radius: float) -> DataFrame:

@@ -72,6 +72,15 @@ def test_sparse_equals_dense(spark):
     assert sparse and all(dense[k] == w for k, w in sparse.items())
 
 
+def test_sparse_has_pairs_that_share_no_breakpoint(spark):
+    cells = {"flat": [2, 2, 2, 2], "also": [2, 2, 2, 2], "left": [3, 2, 2, 2], "right": [2, 2, 2, 5], "same": [3, 3, 2, 2]}
+    packed = spark.createDataFrame([(c, k, v if k == "1" else [2, 2]) for c, v in cells.items() for k in ("1", "2")], "cell string, chrom string, cns array<int>")
+    dense = sorted(map(tuple, distance.all_pairs(packed, "none").where("src < dst").select("src", "dst", "w").collect()))
+    assert len(dense) == 10
+    for block in (2, 256):
+        assert sorted(map(tuple, distance.sparse_pairs(packed, block).collect())) == dense
+
+
 def test_properties(spark):
     packed, _ = profiles(spark, 8)
     w = {(r.src, r.dst): r.w for r in distance.all_pairs(packed, "none").collect()}
