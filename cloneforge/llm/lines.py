@@ -26,6 +26,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT_MOST, BUCKET = 50_000, 500_000
 #: Lists of up to so many lines have the filters tried on all pairs; lines of a block of a family, and of small families that one task gets together.
 TRIED, BLOCK, TOGETHER = 32, 512, 20_000
+#: Tokens that a task counts at most; what it then misses of a count is one in so many of its tokens at most.
+COUNTED = 4 * FREQUENT_MOST
 #: Documents up to which a table by doc_id is broadcast.
 DOCS_MOST = 200_000
 #: Bytes of text that are worked on together, about.
@@ -149,22 +151,47 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
 
 
+def summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once, with the sum of its n."""
+    if not len(values):
+        return values, n
+    order = np.argsort(values, kind="stable")
+    values, n = values[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.add.reduceat(n, first)
+
+
+def lowered(values: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A summary of heavy hitters (Misra-Gries): at most so many values; counts are less by what comes third, or gone where they were no more."""
+    if len(n) <= most:
+        return values, n, 0
+    less = int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])
+    keep = n > less
+    return values[keep], n[keep] - less, less
+
+
 def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
-    """Counts of the tokens that make at least one in FREQUENT_MOST of all, as far as they repeat within a batch, and the number of all tokens."""
+    """Counts of the tokens that make at least one in FREQUENT_MOST of all, and the number of all tokens. All occurrences are counted, over all steps of a task, in summaries
+    of COUNTED tokens: counts may be short by one in COUNTED of all tokens, and tokens that may be frequent are taken for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, total, short = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
         for _, texts in _steps(batches):
             _, values, _, _ = words(texts, width)
-            values = np.sort(values)
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(values)))
-            more = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array([None, *values[first[more]].view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([[len(values)], n[more]]), pa.int64())], names=["token", "n"])
-
-    counted = written(_slim(docs).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
-    total = (counted.where("token is null").agg(F.sum("n")).first()[0]) or 0
+            total += len(values)
+            own = summed(values, np.ones(len(values), np.int64))
+            held, counts, less = lowered(*summed(np.concatenate([held, own[0]]), np.concatenate([counts, own[1]])), COUNTED)
+            short += less
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64()), pa.array([short], pa.int64())], names=["token", "n", "short"])
+        for at in range(0, len(held), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(held[part].view(np.int64)), pa.array(counts[part]), pa.array(np.zeros(len(held[part]), np.int64))], names=["token", "n", "short"])
+
+    counted = written(_slim(docs).mapInArrow(run, "token bigint, n bigint, short bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "tokens")
+    whole = counted.where("token is null").agg(F.sum("n"), F.sum("short")).first()
+    total, short = whole[0] or 0, whole[1] or 0
     least = max(16, math.ceil(total / FREQUENT_MOST))
-    got = counted.where(F.col("token").isNotNull() & (F.col("n") >= least)).toArrow()
+    got = counted.where(F.col("token").isNotNull() & (F.col("n") + short >= least)).toArrow()
     return dict(zip(got.column("token").to_pylist(), got.column("n").to_pylist())), total
 
 

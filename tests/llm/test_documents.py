@@ -217,6 +217,17 @@ def test_lines(spark, monkeypatch, width, block):
     assert [got[k] for k in range(len(texts))] == brute_lines(texts, width)
 
 
+def test_frequent_tokens_that_come_once_a_step(spark, monkeypatch):
+    # each document is a step of its own, and each says the same line once
+    monkeypatch.setattr(lines, "STEP", 1)
+    docs = cases.documents(spark, [f"a b c d e\nown{k} b{k} c{k} d{k} e{k}" for k in range(40)])
+    got, total = lines.frequent(docs.coalesce(1), 5)
+    assert list(got.values()) == [40] and total == 80
+    monkeypatch.setattr(lines, "COUNTED", 3)
+    few, total = lines.frequent(docs.coalesce(1), 5)
+    assert total == 80 and max(few.values()) >= 40 - 80 // 4
+
+
 def test_lines_odd(spark):
     docs = cases.odd(spark)
     out = lines.cleaned(docs)
