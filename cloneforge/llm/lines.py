@@ -3,8 +3,9 @@
 
 Pass one counts tokens and finds the frequent ones, of which there are a bounded number. Pass two orders each line's tokens by rarity
 (those that aren't frequent first, then by the count's magnitude; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens,
-to inverted lists. Equal lines are told by their sets' hashes, within each batch already. Of a list's other lines stay those that have a partner by
-the length filter and the positional filter; they join the family of the list's first line. Any two lines that can match thus meet in a
+to inverted lists. Equal lines are told by 128 bits of their sets, within each batch already. Of a list's other lines stay those that have a partner by
+the length filter, the positional filter and a filter on bitmaps (each token turns one of 64 bits, so that two sets differ in at least as many
+tokens as their bitmaps in bits); they join the family of the list's first line. Any two lines that can match thus meet in a
 family, where the sizes of intersections are counted on the full sets. A large family is cut into blocks; each block meets each once.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +26,18 @@ from .shingles import P, mixed
 WIDTH, PERCENT = 5, 80
 #: Frequent tokens at most; entries of one bucket of inverted lists, about.
 FREQUENT_MOST, BUCKET = 50_000, 500_000
-#: Lists of up to so many lines have the filters tried on all pairs; lines of a block of a family, and of small families that one task gets together.
-TRIED, BLOCK, TOGETHER = 32, 512, 20_000
+#: Lists of up to so many lines have the filters tried on all pairs, neighbours by neighbours or as a matrix; lines of a block of a family, and of small families that one task gets together.
+TRIED, MATRIX, BLOCK, TOGETHER = 32, 4096, 512, 20_000
 #: Tokens that a task counts at most; what it then misses of a count is one in so many of its tokens at most.
 COUNTED = 4 * FREQUENT_MOST
-#: Documents up to which a table by doc_id is broadcast.
-DOCS_MOST = 200_000
+#: Documents, and numbers of lines of them all, up to which a table of lines by doc_id is broadcast.
+DOCS_MOST, LINES_MOST = 200_000, 2_000_000
 #: Bytes of text that are worked on together, about.
 STEP = 2 << 20
 #: n and pos are told up to here; lines with more tokens pass the filters.
 LONG = 32_767
+#: Lines of a step, or 2 ** 22 of them, up to which a line's number fits into a sort key.
+KEYED = 1 << 22
 
 
 SPACE = np.zeros(256, bool)
@@ -110,6 +114,11 @@ def words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def tokens(texts: list[bytes], width: int, rank=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As words(), each token of a line once, in order of (line, rank, hash); rank, below 64, is given for an array of hashes."""
     ids, values, owner, place = words(texts, width)
+    if len(owner) >= KEYED:
+        order = np.lexsort((values, rank(values), ids)) if rank else np.lexsort((values, ids))
+        ids, values = ids[order], values[order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (values[1:] != values[:-1])])
+        return ids[new], values[new], owner, place
     if rank is None:
         key = ids.astype(np.uint64) << np.uint64(42) | values >> np.uint64(22)
     else:
@@ -187,19 +196,24 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(held[part].view(np.int64)), pa.array(counts[part]), pa.array(np.zeros(len(held[part]), np.int64))], names=["token", "n", "short"])
 
-    counted = written(_slim(docs).mapInArrow(run, "token bigint, n bigint, short bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "tokens")
-    whole = counted.where("token is null").agg(F.sum("n"), F.sum("short")).first()
+    tokens_ = written(_slim(docs).mapInArrow(run, "token bigint, n bigint, short bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "tokens")
+    whole = tokens_.where("token is null").agg(F.sum("n"), F.sum("short")).first()
     total, short = whole[0] or 0, whole[1] or 0
     least = max(16, math.ceil(total / FREQUENT_MOST))
-    got = counted.where(F.col("token").isNotNull() & (F.col("n") + short >= least)).toArrow()
+    got = tokens_.where(F.col("token").isNotNull() & (F.col("n") + short >= least)).toArrow()
     return dict(zip(got.column("token").to_pylist(), got.column("n").to_pylist())), total
 
 
-ENTRIES = "bucket int, token array<int>, doc array<bigint>, line array<int>, n array<smallint>, pos array<smallint>, same array<int>"
+ENTRIES = "bucket int, token array<int>, doc array<bigint>, line array<int>, n array<smallint>, pos array<smallint>, same array<bigint>, bits array<bigint>"
+
+
+def signed(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets, each from its start in values: a sum of hashes, and the bitmap in which each value turns one bit."""
+    return np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(np.uint64(1) << (mixed(values ^ P) & np.uint64(63)), start)
 
 
 def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, percent: int) -> DataFrame:
-    """Prefix tokens, packed by batch and bucket; in bucket -1 the lines that an equal line of their batch precedes."""
+    """Prefix tokens, packed by batch and bucket; in a bucket below 0, one for each partition, the lines that an equal line of their batch precedes."""
     keys = np.array(list(common), np.int64).view(np.uint64)
     magnitude = 1 + np.log2(np.maximum(1, np.array(list(common.values()), np.int64))).astype(np.int64)
     order = np.argsort(keys)
@@ -216,7 +230,7 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "token", "doc", "line", "n", "pos", "same"]
+        names, apart = ["bucket", "token", "doc", "line", "n", "pos", "same", "bits"], -1 - TaskContext.get().partitionId()
         for docs_, texts in _steps(batches):
             ids, values, owner, place = tokens(texts, width, rank if len(keys) else None)
             if not len(ids):
@@ -224,9 +238,9 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             n_lines = len(owner)
             n = np.bincount(ids, minlength=n_lines)
             start = np.cumsum(n) - n
-            sig1, sig2 = np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(mixed(values ^ P), start)  # lines come in order of (doc_id, place)
-            order = np.lexsort((np.arange(n_lines), sig2, sig1))
-            twin = np.concatenate([[False], (sig1[order][1:] == sig1[order][:-1]) & (sig2[order][1:] == sig2[order][:-1])])
+            same, map_ = signed(values, start)
+            order = np.lexsort((np.arange(n_lines), map_, same))  # lines come in order of (doc_id, place)
+            twin = np.concatenate([[False], (same[order][1:] == same[order][:-1]) & (map_[order][1:] == map_[order][:-1]) & (n[order][1:] == n[order][:-1])])
             first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(n_lines)))]
             other = (docs_[owner[order]] != docs_[owner[first]]) | (place[order] != place[first])  # a row that comes again is no other line
             out = np.zeros(n_lines, bool)
@@ -244,10 +258,10 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             offsets = np.append(first, len(bucket)).astype(np.int32)
             as_list = lambda x, kind, o=offsets: pa.ListArray.from_arrays(pa.array(o), pa.array(x, kind))
             rest = (values // np.uint64(buckets)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), as_list(rest, pa.int32()), as_list(docs_[owner[ids]], pa.int64()), as_list(place[ids], pa.int32()), as_list(np.minimum(n[ids], LONG), pa.int16()), as_list(np.minimum(pos, LONG), pa.int16()), as_list(sig1[ids].astype(np.uint32).view(np.int32), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), as_list(rest, pa.int32()), as_list(docs_[owner[ids]], pa.int64()), as_list(place[ids], pa.int32()), as_list(np.minimum(n[ids], LONG), pa.int16()), as_list(np.minimum(pos, LONG), pa.int16()), as_list(same[ids].view(np.int64), pa.int64()), as_list(map_[ids].view(np.int64), pa.int64())], names=names)
             if gone.any():
                 none = lambda kind: pa.array([[]], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none(pa.int32()), pa.array([docs_[owner[gone]]], pa.list_(pa.int64())), pa.array([place[gone]], pa.list_(pa.int32())), none(pa.int16()), none(pa.int16()), none(pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([apart], pa.int32()), none(pa.int32()), pa.array([docs_[owner[gone]]], pa.list_(pa.int64())), pa.array([place[gone]], pa.list_(pa.int32())), none(pa.int16()), none(pa.int16()), none(pa.int64()), none(pa.int64())], names=names)
 
     return _slim(docs).mapInArrow(run, ENTRIES)
 
@@ -256,11 +270,25 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
 JOINED = "xdoc bigint, xline int, ydoc bigint, yline int"
 
 
-def fits(nx, ny, px, py, percent: int):
-    """Length filter and positional filter: what is common can still reach the share."""
+def fits(nx, ny, px, py, bx, by, percent: int):
+    """Length filter, positional filter and bitmap filter: what is common can still reach the share."""
     need = -(-percent * (nx + ny) // (100 + percent))
     good = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(px, py) + np.minimum(nx - px, ny - py) >= need)
-    return good | (nx >= LONG) | (ny >= LONG)
+    return good & (np.bitwise_count(bx ^ by) + 2 * need <= nx + ny) | (nx >= LONG) | (ny >= LONG)
+
+
+def partnered(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Which lines of one list have a partner by the filters?"""
+    out = np.zeros(len(n), bool)
+    for a in range(0, len(n), BLOCK):
+        x = slice(a, a + BLOCK)
+        y = slice(a, len(n))  # pairs before were tried from the other side
+        ok = fits(n[x, None], n[None, y], pos[x, None], pos[None, y], bits[x, None], bits[None, y], percent)
+        at = np.arange(ok.shape[0])
+        ok[at, at] = False
+        out[x] |= ok.any(1)
+        out[y] |= ok.any(0)
+    return out
 
 
 def joined(packed: DataFrame, percent: int) -> DataFrame:
@@ -271,10 +299,10 @@ def joined(packed: DataFrame, percent: int) -> DataFrame:
         if t.column("bucket")[0].as_py() < 0:
             gone, x, y = np.arange(len(doc)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
-            token, n, pos, same = flat("token"), flat("n").astype(np.int64), flat("pos").astype(np.int64), flat("same")
-            order = np.lexsort((line, doc, same, token))
-            # equal sets, by 64 bits of hashes, n and place in order; the later ones go, and the first stands for them
-            twin = np.concatenate([[False], (token[order][1:] == token[order][:-1]) & (same[order][1:] == same[order][:-1]) & (n[order][1:] == n[order][:-1]) & (pos[order][1:] == pos[order][:-1])])
+            token, n, pos, same, bits = flat("token"), flat("n").astype(np.int64), flat("pos").astype(np.int64), flat("same"), flat("bits").view(np.uint64)
+            order = np.lexsort((line, doc, pos, n, bits, same, token))
+            # equal sets, by 128 bits, number and place in order; the later ones go, and the first stands for them
+            twin = np.concatenate([[False], np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (token, same, bits, n, pos)])])
             first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
             gone = order[twin & (pos[order] == 0) & ((doc[order] != doc[first]) | (line[order] != line[first]))]
             rest = order[~twin]
@@ -285,11 +313,15 @@ def joined(packed: DataFrame, percent: int) -> DataFrame:
             rest, size = rest[np.repeat(some, size)], size[some]
             group = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(rest)) - (np.cumsum(size) - size)[group]
-            stays = np.repeat(size > TRIED, size)
+            stays = np.repeat(size > MATRIX, size)
             for d in range(1, min(int(size.max(initial=0)), TRIED)):
                 ok = np.flatnonzero((place >= d) & (size <= TRIED)[group])
-                fit = ok[fits(n[rest[ok]], n[rest[ok - d]], pos[rest[ok]], pos[rest[ok - d]], percent)]
+                fit = ok[fits(n[rest[ok]], n[rest[ok - d]], pos[rest[ok]], pos[rest[ok - d]], bits[rest[ok]], bits[rest[ok - d]], percent)]
                 stays[fit] = stays[fit - d] = True
+            begin = np.cumsum(size) - size
+            for k in np.flatnonzero((size > TRIED) & (size <= MATRIX)):
+                one = slice(begin[k], begin[k] + size[k])
+                stays[one] = partnered(n[rest[one]], pos[rest[one]], bits[rest[one]], percent)
             rest, group = rest[stays], group[stays]
             head = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
             x, y = rest, rest[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(rest) else rest
@@ -324,6 +356,12 @@ def matched(ids: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, p
     return b[good.any(0)]
 
 
+def small(by_doc: DataFrame, lines: str) -> bool:
+    """May a table of lines by doc_id be broadcast?"""
+    docs, n = by_doc.agg(F.count(F.lit(1)), F.sum(F.size(lines))).first()
+    return docs <= DOCS_MOST and (n or 0) <= LINES_MOST
+
+
 def verified(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(xdoc, xline) of the lines that match an earlier one of a family. edges: x is in the family of y."""
     x, y = F.struct(F.col("xdoc").alias("d"), F.col("xline").alias("l")), F.struct(F.col("ydoc").alias("d"), F.col("yline").alias("l"))
@@ -331,7 +369,7 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     sizes = edges.groupBy("y").agg((F.count(F.lit(1)) + 1).alias("m"))
     edges = written(edges.unionByName(sizes.select(F.col("y").alias("x"), "y")).join(sizes, "y"), "families")
     needed = written(edges.select("x").distinct().groupBy(F.col("x.d").alias("d")).agg(F.collect_list("x.l").alias("ls")), "needed")
-    few = needed.limit(DOCS_MOST + 1).count() <= DOCS_MOST
+    few = small(needed, "ls")
     text = _slim(docs)
     split = F.split(F.col("b").cast("string"), "\n")
     lines = text.join(F.broadcast(needed) if few else needed, text.doc_id == F.col("d")).select("d", F.explode(F.arrays_zip(F.col("ls").alias("l"), F.transform("ls", lambda k: F.element_at(split, k + 1)).alias("t"))).alias("e")).select(F.struct(F.col("d"), F.col("e.l").alias("l")).alias("x"), F.col("e.t").cast("binary").alias("t"))
@@ -388,7 +426,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     document goes: where all lines go, the text is empty. A null text stays null; rows of a null doc_id stay as they are and no line is
     matched with theirs; rows of one doc_id are taken to have one text, and lose alike; an empty table gives no rows."""
     own = written(removed(docs, width, percent).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines")), "removed")
-    few = own.limit(DOCS_MOST + 1).count() <= DOCS_MOST
+    few = small(own, "_lines")
     out = docs.join(F.broadcast(own) if few else own, docs.doc_id == own._doc, "left").drop("_doc")
     split = F.split("text", "\n")
     kept = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_lines", i)), "\n"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -228,6 +229,48 @@ def test_frequent_tokens_that_come_once_a_step(spark, monkeypatch):
     assert total == 80 and max(few.values()) >= 40 - 80 // 4
 
 
+@pytest.mark.parametrize(("tried", "matrix"), [(2, 4096), (32, 4096), (2, 3)])
+def test_lines_by_each_way_of_filtering(spark, monkeypatch, tried, matrix):
+    monkeypatch.setattr(lines, "TRIED", tried)
+    monkeypatch.setattr(lines, "MATRIX", matrix)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(30)]
+    texts = []
+    for _ in range(80):  # one family whose lines differ in up to five words
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(30)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own) + "\n" + cases.sentence(rng, 8))
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.deduplicated(cases.documents(spark, texts).repartition(5), 1).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts, 1)
+
+
+def test_lines_whose_sums_of_hashes_collide(spark, monkeypatch):
+    # the bitmap, the number of tokens and the place in the order still tell them apart
+    one = lines.signed
+    monkeypatch.setattr(lines, "signed", lambda values, start: (one(values, start)[0] * 0, one(values, start)[1]))
+    texts = cases.corpus(8, 120)
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.deduplicated(cases.documents(spark, texts).coalesce(1), 2).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts, 2)
+
+
+def test_more_lines_in_a_step_than_a_sort_key_tells(monkeypatch):
+    n = (1 << 22) + 10
+    ids, values, owner, _ = lines.tokens([b"a b\n" * n], 2)
+    assert len(owner) == n and (ids == np.arange(n)).all() and (values == values[0]).all()
+    texts = [t.encode() for t in cases.corpus(3, 80)]
+    whole = lines.tokens(texts, 2)
+    monkeypatch.setattr(lines, "KEYED", 1)
+    assert all((np.sort(a) == np.sort(b)).all() for a, b in zip(whole, lines.tokens(texts, 2)))
+
+
+def test_tables_of_lines_that_are_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LINES_MOST", 1)
+    texts = cases.corpus(6, 60)
+    out = lines.deduplicated(cases.documents(spark, texts), 2)
+    assert [(r.n_removed, r.text) for r in out.orderBy("doc_id").collect()] == brute_lines(texts, 2)
+
+
 def test_lines_odd(spark):
     docs = cases.odd(spark)
     out = lines.cleaned(docs)
