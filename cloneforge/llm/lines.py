@@ -5,7 +5,7 @@ Pass one counts tokens and finds the frequent ones, of which there are a bounded
 (those that aren't frequent first, then by the count's magnitude; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens,
 to inverted lists. Equal lines are told by 128 bits of their sets, within each batch already. Of a list's other lines stay those that have a partner by
 the length filter, the positional filter and a filter on bitmaps (each token turns one of 64 bits, so that two sets differ in at least as many
-tokens as their bitmaps in bits); they join the family of the list's first line. Any two lines that can match thus meet in a
+tokens as their bitmaps in bits); they join the family of one of them. Any two lines that can match thus meet in a
 family, where the sizes of intersections are counted on the full sets. A large family is cut into blocks; each block meets each once.
 """
 
@@ -160,6 +160,15 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value once, with the number of its places."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each value once, with the sum of its n."""
     if not len(values):
@@ -188,7 +197,7 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
         for _, texts in _steps(batches):
             _, values, _, _ = words(texts, width)
             total += len(values)
-            own = summed(values, np.ones(len(values), np.int64))
+            own = counted(values)
             held, counts, less = lowered(*summed(np.concatenate([held, own[0]]), np.concatenate([counts, own[1]])), COUNTED)
             short += less
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64()), pa.array([short], pa.int64())], names=["token", "n", "short"])
@@ -291,6 +300,16 @@ def partnered(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int) ->
     return out
 
 
+def sorted_by(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """An order by key, and by (doc, line) where keys are equal."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    own = order[tied]
+    order[tied] = own[np.lexsort((line[own], doc[own], key[own]))]
+    return order
+
+
 def joined(packed: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         using("lines")
@@ -300,13 +319,12 @@ def joined(packed: DataFrame, percent: int) -> DataFrame:
             gone, x, y = np.arange(len(doc)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
             token, n, pos, same, bits = flat("token"), flat("n").astype(np.int64), flat("pos").astype(np.int64), flat("same"), flat("bits").view(np.uint64)
-            order = np.lexsort((line, doc, pos, n, bits, same, token))
-            # equal sets, by 128 bits, number and place in order; the later ones go, and the first stands for them
+            order = sorted_by(token.view(np.uint32).astype(np.uint64) << np.uint64(32) | same.view(np.uint64) >> np.uint64(32), doc, line)
+            # equal sets, by 128 bits, number and place in order; the later ones go, and the first stands for them; what a collision parts goes the way of the others
             twin = np.concatenate([[False], np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (token, same, bits, n, pos)])])
             first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
             gone = order[twin & (pos[order] == 0) & ((doc[order] != doc[first]) | (line[order] != line[first]))]
             rest = order[~twin]
-            rest = rest[np.lexsort((line[rest], doc[rest], token[rest]))]
             first = np.flatnonzero(np.concatenate([[True], token[rest][1:] != token[rest][:-1]]))
             size = np.diff(np.append(first, len(rest)))
             some = size > 1
