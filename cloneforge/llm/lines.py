@@ -3,8 +3,8 @@
 
 Pass one counts tokens and finds the frequent ones, of which there are a bounded number. Pass two orders each line's tokens by rarity
 (those that aren't frequent first, then by the count's magnitude; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens,
-to inverted lists. Equal lines are told by 128 bits of their sets, within each batch already. Of a list's other lines stay those that have a partner by
-the length filter, the positional filter and a filter on bitmaps (each token turns one of 64 bits, so that two sets differ in at least as many
+to inverted lists. Equal lines are told by a sum of hashes, a bitmap and the number of tokens, within each batch already. Of a list's other lines stay those that have a partner by
+the length filter, the positional filter and a filter on bitmaps (each token turns one of 32 bits, so that two sets differ in at least as many
 tokens as their bitmaps in bits); they join the family of one of them. Any two lines that can match thus meet in a
 family, where the sizes of intersections are counted on the full sets. A large family is cut into blocks; each block meets each once.
 """
@@ -213,12 +213,23 @@ def frequent(docs: DataFrame, width: int = WIDTH) -> tuple[dict[int, int], int]:
     return dict(zip(got.column("token").to_pylist(), got.column("n").to_pylist())), total
 
 
-ENTRIES = "bucket int, token array<int>, doc array<bigint>, line array<int>, n array<smallint>, pos array<smallint>, same array<bigint>, bits array<bigint>"
+#: An entry of an inverted list, and rows of many.
+ENTRY = np.dtype([("same", "<u8"), ("token", "<u4"), ("bits", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i2"), ("pos", "<i2")])
+ENTRIES = "bucket int, entries binary"
 
 
 def signed(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sets, each from its start in values: a sum of hashes, and the bitmap in which each value turns one bit."""
-    return np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(np.uint64(1) << (mixed(values ^ P) & np.uint64(63)), start)
+    return np.add.reduceat(mixed(values), start), np.bitwise_xor.reduceat(np.uint32(1) << (mixed(values ^ P) & np.uint64(31)).astype(np.uint32), start)
+
+
+def packed(bucket: np.ndarray, cut: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket, with its entries from cut to cut; columns that aren't given are 0."""
+    own = np.zeros(cut[-1], ENTRY)
+    for name, values in columns.items():
+        own[name] = values
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(bucket), [None, pa.py_buffer((cut * ENTRY.itemsize).astype(np.int64)), pa.py_buffer(own.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), blobs.cast(pa.binary())], names=["bucket", "entries"])
 
 
 def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, percent: int) -> DataFrame:
@@ -239,7 +250,7 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, apart = ["bucket", "token", "doc", "line", "n", "pos", "same", "bits"], -1 - TaskContext.get().partitionId()
+        apart = -1 - TaskContext.get().partitionId()
         for docs_, texts in _steps(batches):
             ids, values, owner, place = tokens(texts, width, rank if len(keys) else None)
             if not len(ids):
@@ -264,13 +275,11 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             order = np.argsort(bucket, kind="stable")
             ids, values, pos, bucket = ids[order], values[order], pos[order], bucket[order]
             own, first = np.unique(bucket, return_index=True)
-            offsets = np.append(first, len(bucket)).astype(np.int32)
-            as_list = lambda x, kind, o=offsets: pa.ListArray.from_arrays(pa.array(o), pa.array(x, kind))
-            rest = (values // np.uint64(buckets)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), as_list(rest, pa.int32()), as_list(docs_[owner[ids]], pa.int64()), as_list(place[ids], pa.int32()), as_list(np.minimum(n[ids], LONG), pa.int16()), as_list(np.minimum(pos, LONG), pa.int16()), as_list(same[ids].view(np.int64), pa.int64()), as_list(map_[ids].view(np.int64), pa.int64())], names=names)
+            rest = (values // np.uint64(buckets)).astype(np.uint32)
+            cut = np.append(first, len(bucket))
+            yield packed(own, cut, same=same[ids], token=rest, bits=map_[ids], doc=docs_[owner[ids]], line=place[ids], n=np.minimum(n[ids], LONG), pos=np.minimum(pos, LONG))
             if gone.any():
-                none = lambda kind: pa.array([[]], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([apart], pa.int32()), none(pa.int32()), pa.array([docs_[owner[gone]]], pa.list_(pa.int64())), pa.array([place[gone]], pa.list_(pa.int32())), none(pa.int16()), none(pa.int16()), none(pa.int64()), none(pa.int64())], names=names)
+                yield packed(np.array([apart]), np.array([0, gone.sum()]), doc=docs_[owner[gone]], line=place[gone])
 
     return _slim(docs).mapInArrow(run, ENTRIES)
 
@@ -313,14 +322,14 @@ def sorted_by(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 def joined(packed: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         using("lines")
-        flat = lambda x: np.array(t.column(x).combine_chunks().flatten())
-        doc, line = flat("doc"), flat("line")
+        got = np.frombuffer(b"".join(x.as_py() for x in t.column("entries")), ENTRY)
+        doc, line = got["doc"].copy(), got["line"].copy()
         if t.column("bucket")[0].as_py() < 0:
             gone, x, y = np.arange(len(doc)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
-            token, n, pos, same, bits = flat("token"), flat("n").astype(np.int64), flat("pos").astype(np.int64), flat("same"), flat("bits").view(np.uint64)
-            order = sorted_by(token.view(np.uint32).astype(np.uint64) << np.uint64(32) | same.view(np.uint64) >> np.uint64(32), doc, line)
-            # equal sets, by 128 bits, number and place in order; the later ones go, and the first stands for them; what a collision parts goes the way of the others
+            token, n, pos, same, bits = got["token"].copy(), got["n"].astype(np.int64), got["pos"].astype(np.int64), got["same"].copy(), got["bits"].copy()
+            order = sorted_by(token.astype(np.uint64) << np.uint64(32) | same >> np.uint64(32), doc, line)
+            # equal sets, by sum, bitmap, number and place in order; the later ones go, and the first stands for them; what a collision parts goes the way of the others
             twin = np.concatenate([[False], np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (token, same, bits, n, pos)])])
             first = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
             gone = order[twin & (pos[order] == 0) & ((doc[order] != doc[first]) | (line[order] != line[first]))]
