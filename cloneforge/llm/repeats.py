@@ -2,9 +2,11 @@
 
 A repeat of LEAST bytes is found where it can be shared: every window of LEAST bytes has one anchor, the place of its least k-gram hash, which
 its bytes alone decide; so equal windows have equal anchors.
-1. Anchors' hashes are dealt to buckets, which report back those that occur in more than one text.
+1. Anchors' hashes are dealt to buckets, which report those that occur in more than one text to the groups of documents that have them. Of an anchor that more
+   than one text of a batch has, the groups of these texts are told at once, and its bucket gets a mark in place of them.
 2. For reported anchors, the stretch of all windows that have this anchor is sent to a bucket by the anchor's hash; of equal stretches in
-   one group of documents, only that of the smallest doc_id, as the others are known to be repeats.
+   one group of documents, only that of the smallest doc_id, as the others are known to be repeats. A bucket that would get too many gets none: their windows
+   are dealt to further buckets, by their own hashes, so that one passage in many surroundings meets in as many buckets as it has windows.
 3. Each bucket sorts the suffixes that begin a window and occur more than once, has the longest common prefixes of neighbours, and a stack scan yields the
    tree's intervals. An interval whose occurrences are preceded by different bytes is a maximal repeat, with all its occurrences. All but
    those in the smallest document are covered.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +37,8 @@ STEP, PLACE = 1 << 20, 23
 BUCKET, GROUP = 500_000, 8_000_000
 #: Anchors that are told to the buckets at a time, about.
 TOLD = 500_000
-#: Texts of these that share an anchor, from which on every group is told of it instead of each text.
-HOT = 64
-#: Stands for every document.
-EVERY = np.iinfo(np.int64).min
+#: Stretches from which on a bucket's windows are dealt to others.
+LOAD_MOST = 2 * BUCKET
 
 
 def _gram(h: np.ndarray, k: int) -> np.ndarray:
@@ -160,11 +161,12 @@ def _lists(names: list[str], by: np.ndarray, columns: list[tuple[np.ndarray, pa.
     return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.ListArray.from_arrays(offsets, pa.array(c[order], kind)) for c, kind in columns)], names=names)
 
 
-ASKED = "bucket int, doc array<bigint>, text array<bigint>, hash array<int>"
+ASKED = "bucket int, grp array<int>, text array<bigint>, hash array<int>"
 
 
-def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Anchors by bucket: the document (EVERY: of many), the hash of its text, and the rest of the anchor's hash."""
+def asked(docs: DataFrame, buckets: int, groups: int, least: int) -> DataFrame:
+    """Anchors by bucket: the group of the document (-1: a mark of many texts), the hash of its text (of a mark: texts) and the rest of the anchor's hash. In bucket -1 - g what group g
+    is told at once: the anchor's bucket in place of the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +175,7 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 if d is not None and (key not in first or d < first[key][0]):
                     first[key] = (d, raw.as_py())
             keys = np.array(list(first), np.int64)
-            ids = np.array([d for d, _ in first.values()], np.int64)
+            owner = group_of(np.array([d for d, _ in first.values()], np.int64), groups)
             got: list[tuple[np.ndarray, np.ndarray]] = []
 
             def told() -> pa.RecordBatch:
@@ -184,14 +186,17 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])
                 h, who = h[new], who[new]
                 _, index, count = np.unique(h, return_index=True, return_counts=True)
-                hot = np.repeat(count >= HOT, count)
-                keep = ~hot
-                keep[index[count >= HOT]] = True
-                h, who, hot = h[keep], who[keep], hot[keep]
-                order = np.argsort(who, kind="stable")
-                h, who, hot = h[order], who[order], hot[order]
-                rest = (h // np.uint64(buckets)).astype(np.uint32).view(np.int32)
-                return _lists(["bucket", "doc", "text", "hash"], (h % np.uint64(buckets)).astype(np.int64), [(np.where(hot, EVERY, ids[who]), pa.int64()), (np.where(hot, 0, keys[who]), pa.int64()), (rest, pa.int32())])
+                many = np.repeat(count > 1, count)
+                one, mark = np.flatnonzero(~many), index[count > 1]
+                local = np.flatnonzero(many)
+                _, once = np.unique(np.stack([h[local].view(np.int64), owner[who[local]]]), axis=1, return_index=True) if len(local) else (None, local)
+                local = local[once]
+                at = np.concatenate([one, mark, local])
+                bucket, rest = (h[at] % np.uint64(buckets)).astype(np.int64), (h[at] // np.uint64(buckets)).astype(np.uint32).view(np.int32)
+                grp = np.concatenate([owner[who[one]], np.full(len(mark), -1), bucket[len(one) + len(mark) :]])
+                text = np.concatenate([keys[who[one]], count[count > 1], np.zeros(len(local), np.int64)])
+                by = np.concatenate([bucket[: len(one) + len(mark)], -1 - owner[who[local]]])
+                return _lists(["bucket", "grp", "text", "hash"], by, [(grp, pa.int32()), (text, pa.int64()), (rest, pa.int32())])
 
             for who, _, own in pieces([t for _, t in first.values()], least):
                 text, h, _, _ = anchors(own, least)
@@ -205,26 +210,35 @@ def asked(docs: DataFrame, buckets: int, least: int) -> DataFrame:
     return docs.mapInArrow(run, ASKED)
 
 
-SHARED = "grp int, doc array<bigint>, bucket array<int>, hash array<int>"
+SHARED = "grp int, bucket array<int>, hash array<int>, load bigint"
 
 
-def shared(packed: DataFrame, groups: int) -> DataFrame:
-    """Anchors that occur in more than one text, by the group of the document; in group -1 those of which every group is told."""
+def shared(packed: DataFrame) -> DataFrame:
+    """Anchors that occur in more than one text, by the groups of documents that have them; with group -1 the texts that have such anchors of a bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         flat = lambda x: np.array(t.column(x).combine_chunks().flatten())
-        doc, text, h = flat("doc"), flat("text"), flat("hash")
-        order = np.lexsort((text, h))
-        doc, text, h = doc[order], text[order], h[order]
+        grp, text, h = flat("grp").astype(np.int64), flat("text"), flat("hash")
+        own = t.column("bucket")[0].as_py()
+        if own < 0:
+            code = np.unique(grp << 32 | h.view(np.uint32).astype(np.int64))
+            rows = _lists(["grp", "bucket", "hash"], np.full(len(code), -1 - own), [((code >> 32), pa.int32()), ((code & 0xFFFFFFFF).astype(np.uint32).view(np.int32), pa.int32())])
+            return pa.Table.from_batches([rows]).append_column("load", pa.nulls(rows.num_rows, pa.int64()))
+        marked = grp < 0
+        order = np.lexsort((text, marked, h))
+        grp, text, h, marked = grp[order], text[order], h[order], marked[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
         member = np.cumsum(first) - 1
         other = np.concatenate([[False], (text[1:] != text[:-1]) & ~first[1:]])
-        hot = np.bincount(member, text == 0)[member] > 0
-        more = (np.bincount(member, other)[member] > 0) & ~hot | hot & first
-        doc, h, hot = np.where(hot, EVERY, doc)[more], h[more], hot[more]
-        bucket = np.full(len(h), t.column("bucket")[0].as_py())
-        by = np.where(hot, -1, group_of(doc, groups))
-        return pa.Table.from_batches([_lists(["grp", "doc", "bucket", "hash"], by, [(doc, pa.int64()), (bucket, pa.int32()), (h, pa.int32())])])
+        more = np.bincount(member, other | marked)[member] > 0
+        load = int(np.where(marked, text, 1)[more].sum())
+        tell = more & ~marked
+        pairs = np.unique(grp[tell] << 32 | h[tell].view(np.uint32).astype(np.int64))
+        to, rest = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        rows = _lists(["grp", "bucket", "hash"], to, [(np.full(len(to), own), pa.int32()), (rest, pa.int32())])
+        rows = pa.Table.from_batches([rows]).append_column("load", pa.nulls(rows.num_rows, pa.int64()))
+        mine = pa.table({"grp": pa.array([-1], pa.int32()), "bucket": pa.array([[own]], pa.list_(pa.int32())), "hash": pa.array([[]], pa.list_(pa.int32())), "load": pa.array([load], pa.int64())})
+        return pa.concat_tables([rows, mine])
 
     return packed.groupBy("bucket").applyInArrow(run, SHARED)
 
@@ -232,16 +246,15 @@ def shared(packed: DataFrame, groups: int) -> DataFrame:
 STRETCHES = "bucket int, bytes array<binary>, doc array<bigint>, start array<bigint>, length array<bigint>"
 
 
-def stretches(docs: DataFrame, told: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Stretches of windows that have a shared anchor, by bucket; of equal ones in a group, that of the smallest document. In bucket -1, as spans
-    (doc, start, length), those that equal one of a smaller document of the group."""
+def stretches(docs: DataFrame, told: DataFrame, buckets: int, least: int, hot: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Stretches of windows that have a shared anchor, by bucket; of equal ones in a group, that of the smallest document. In bucket -1 - g, as spans
+    (doc, start, length), those of group g that equal one of a smaller document of it. hot: buckets whose windows go to others, with the first of these and their number."""
+    hot = hot or {}
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         flat = lambda x: np.array(b.column(x).combine_chunks().flatten()) if b.num_rows else np.zeros(0, np.int64)
-        doc, bucket, h = flat("doc").astype(np.int64), flat("bucket").astype(np.uint64), flat("hash").astype(np.int32)
-        code = bucket << np.uint64(32) | h.view(np.uint32).astype(np.uint64)
-        each = np.sort(code[doc == EVERY])
-        mine = np.sort(mixed(mixed(code[doc != EVERY]) ^ doc[doc != EVERY].view(np.uint64)))
+        bucket, h = flat("bucket").astype(np.uint64), flat("hash").astype(np.int32)
+        each = np.sort(bucket << np.uint64(32) | h.view(np.uint32).astype(np.uint64))
         ids = np.array(a.column("doc_id"), np.int64) if a.column("doc_id").null_count == 0 else np.array([x if x is not None else -1 for x in a.column("doc_id").to_pylist()], np.int64)
         live = np.array([x is not None for x in a.column("doc_id").to_pylist()], bool)
         order = np.argsort(ids, kind="stable")
@@ -257,11 +270,20 @@ def stretches(docs: DataFrame, told: DataFrame, buckets: int, least: int) -> Dat
                 continue
             d = ids[np.array(who)[text]]
             code = (hs % np.uint64(buckets)) << np.uint64(32) | (hs // np.uint64(buckets)).astype(np.uint32).astype(np.uint64)
-            some = np.flatnonzero(held(code, each) | held(mixed(mixed(code) ^ d.view(np.uint64)), mine))
+            some = np.flatnonzero(held(code, each))
             begins = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             buf = b"".join(own)
             starts = (first[some] - begins[text[some]] + np.array(offset)[text[some]]).tolist()
             for dd, bk, lo, hi, s in zip(d[some].tolist(), (hs[some] % np.uint64(buckets)).astype(np.int64).tolist(), first[some].tolist(), (last[some] + least).tolist(), starts):
+                if bk in hot:
+                    begin, n = hot[bk]
+                    parts = [(buf[k : k + least], s + k - lo) for k in range(lo, hi - least + 1)]
+                    for x, at in parts:
+                        if (before := seen.setdefault(x, dd)) == dd:
+                            kept.append((x, begin + xxhash.xxh3_64_intdigest(x) % n, dd, at))
+                        else:
+                            spans.append((dd, at, least))
+                    continue
                 x = buf[lo:hi]
                 if (before := seen.setdefault(x, dd)) == dd:  # documents come by doc_id
                     kept.append((x, bk, dd, s))
@@ -279,7 +301,7 @@ def stretches(docs: DataFrame, told: DataFrame, buckets: int, least: int) -> Dat
             out.append(pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), cut(xs, pa.binary()), cut(ds, pa.int64()), cut(ss, pa.int64()), cut([0] * len(ss), pa.int64())], names=names))
         if spans:
             one = [pa.array([list(c)], pa.list_(pa.int64())) for c in zip(*spans)]
-            out.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([[]], pa.list_(pa.binary())), *one], names=names))
+            out.append(pa.RecordBatch.from_arrays([pa.array([-1 - a.column("grp")[0].as_py()], pa.int32()), pa.array([[]], pa.list_(pa.binary())), *one], names=names))
         kinds = pa.schema([("bucket", pa.int32()), ("bytes", pa.list_(pa.binary())), *((x, pa.list_(pa.int64())) for x in names[2:])])
         return pa.Table.from_batches(out, schema=kinds)
 
@@ -377,10 +399,13 @@ def deduplicated(docs: DataFrame, least: int = LEAST, whole: bool = True) -> Dat
     copies = written(slim.join(classes.drop("m"), ["key", "key2", "n"]).where("doc_id > rep").select("doc_id", "n").distinct(), "copies")
     few = copies.limit(IDS_MOST + 1).count() <= IDS_MOST
     live = own.join(F.broadcast(copies.select("doc_id")) if few else copies.select("doc_id"), "doc_id", "left_anti")
-    told = written(shared(asked(keyed.select("doc_id", "key", "t"), buckets, least), groups), "shared")
-    every = told.where("grp < 0").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    told = told.where("grp >= 0").unionByName(every)
-    spans = covered(stretches(live.withColumn("grp", group(groups)), told, buckets, least), groups, least)
+    told = written(shared(asked(keyed.select("doc_id", "key", "t"), buckets, groups, least)), "shared")
+    # so few that the driver has them: each stands for LOAD_MOST stretches
+    hot, begin = {}, buckets
+    for r in told.where((F.col("grp") < 0) & (F.col("load") > LOAD_MOST)).select(F.col("bucket")[0].alias("b"), "load").orderBy("b").collect():
+        n = math.ceil(r.load * (least - GRAM + 1) / BUCKET)
+        hot[r.b], begin = (begin, n), begin + n
+    spans = covered(stretches(live.withColumn("grp", group(groups)), told.where("grp >= 0"), buckets, least, hot), groups, least)
     one = lambda c: F.array(c.cast("long"))
     spans = spans.unionByName(copies.select(group(groups).alias("grp"), one(F.col("doc_id")).alias("doc"), one(F.lit(0)).alias("start"), one(F.col("n")).alias("length")))
 

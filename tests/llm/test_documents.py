@@ -379,16 +379,33 @@ def brute_repeats(rows, least):
     return out
 
 
-@pytest.mark.parametrize("step", [4 << 20, 200])
-def test_repeats(spark, monkeypatch, step):
+@pytest.mark.parametrize(("step", "most"), [(1 << 20, 1 << 20), (333, 20), (1 << 20, 0)])
+def test_repeats(spark, monkeypatch, step, most):
     monkeypatch.setattr(repeats, "STEP", step)
-    monkeypatch.setattr(repeats, "HOT", 5)
+    monkeypatch.setattr(repeats, "LOAD_MOST", most)
     texts = cases.corpus(8, 100) + ["ab" * 60, "ab" * 70, "aa" * 50, "é" * 80, "é" * 30]
     want = brute_repeats(list(enumerate(texts)), 50)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.deduplicated(cases.documents(spark, texts)).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 1000
 
 
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    # one anchor, and nearly as many different stretches as documents: its windows are spread over buckets
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(62))
+    own = lambda: "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(90))
+    texts = [own() + passage + own() for _ in range(300)]
+    monkeypatch.setattr(repeats, "LOAD_MOST", 100)
+    monkeypatch.setattr(repeats, "BUCKET", 500)
+    monkeypatch.setattr(repeats, "GROUP", 5000)
+    sizes = []
+    one = repeats.covered
+    monkeypatch.setattr(repeats, "covered", lambda sent, groups, least: sizes.extend(r.n for r in sent.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.size("doc")).alias("n")).collect()) or one(sent, groups, least))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.deduplicated(cases.documents(spark, texts).repartition(4)).collect()}
+    assert got == brute_repeats(list(enumerate(texts)), 50)
+    assert max(sizes) < 1500 and len(sizes) > 13
+
+
 def test_repeats_odd(spark):
     docs = cases.odd(spark)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.deduplicated(docs).collect()]
