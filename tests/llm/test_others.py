@@ -1,5 +1,7 @@
 """Vectors, pages, conversations, and the pipeline as a whole."""
 
+import random
+import collections
 import os
 
 import numpy as np
@@ -160,6 +162,65 @@ def test_quotes(spark):
         (1, 0): (None, False, 0, 0), (1, 1): (0, False, 0, 1), (1, 2): (1, True, 0, 2), (1, 3): (0, True, 1, 0), (1, 4): (3, False, 1, 1), (1, 9): (4, False, 1, 2), (2, 0): (None, False, 0, 0),
     }
     assert got[1, 2].text == "I disagree with that." and got[1, 2].n_quotes == 2 and got[1, 0].text == CHAT[0][3]
+    assert [got[1, k].place for k in (0, 1, 2, 3, 4, 9)] == [0, 1, 2, 3, 4, 5]
+    # what nobody said stays
+    assert got[1, 9].text == CHAT[5][3] and got[2, 0].text == CHAT[6][3]
+
+
+def conversation(rng, n):
+    """Messages, and what is known of them: whom they answer, and what is left of them."""
+    own, rows, truth = [], [], []
+    for k in range(n):
+        said = [f"own{k}p{p} " + cases.sentence(rng, rng.randrange(2, 12)) for p in range(rng.randrange(1, 4))]
+        text, left, to = [], [], k - 1 if k else None
+        kind = rng.randrange(5) if k else 0
+        if kind in (1, 2, 3):
+            to = rng.randrange(k)
+            part = own[to] if kind == 1 else [rng.choice(own[to])]
+            if rng.random() < 0.5:
+                text += [f"On a day r{to} wrote:", ""]
+            if kind == 3 and truth[to][0] is not None:
+                text += [f">> {x}" for x in own[truth[to][0]]]
+            for i, x in enumerate(part):
+                w = x.split(" ")
+                cut = rng.randrange(1, len(w) + 1)  # wrapped anew
+                text += ([">"] if i else []) + ["> " + " ".join(w[:cut]).upper()] + (["> " + " ".join(w[cut:])] if cut < len(w) else [])
+        elif kind == 4:
+            left = [f">>> code{k} = {k}", f"> a proverb of {k}"]
+            text += left
+        text += ["", *"\n\n".join(said).split("\n")]
+        left = "\n".join([*left, "", *"\n\n".join(said).split("\n")]).strip("\n") if kind != 0 and kind != 4 else "\n".join(text)
+        rows.append("\n".join(text))
+        own.append(said)
+        truth.append((to, kind in (1, 2, 3), left))
+    return rows, truth
+
+
+def in_order(truth):
+    """Each message, then what answers it: the next message first."""
+    children = collections.defaultdict(list)
+    for k, (to, _, _) in enumerate(truth):
+        children[to].append(k)
+    out, stack = [], [0]
+    while stack:
+        k = stack.pop()
+        out.append(k)
+        stack += children[k][::-1]
+    return {k: i for i, k in enumerate(out)}
+
+
+@pytest.mark.parametrize("stretch", [4096, 5])
+def test_random_quotes(spark, monkeypatch, stretch):
+    monkeypatch.setattr(quotes, "STRETCH", stretch)
+    rng = random.Random(6)
+    chats = [conversation(rng, n) for n in (1, 2, 30, 60)]
+    df = spark.createDataFrame([(c, k, "r", t) for c, (texts, _) in enumerate(chats) for k, t in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.linked(df.repartition(3)).collect()}
+    for c, (_, truth) in enumerate(chats):
+        order = in_order(truth)
+        for k, (to, quoted, left) in enumerate(truth):
+            r = got[c, k]
+            assert (r.reply_to, r.quoted, r.text, r.place) == (to, quoted, left, order[k])
 
 
 def test_quotes_of_short_messages(spark):
@@ -175,7 +236,7 @@ def test_quotes_over_stretches(spark, monkeypatch):
     whole = sorted(map(tuple, quotes.linked(df).collect()))
     monkeypatch.setattr(quotes, "STRETCH", 7)
     assert sorted(map(tuple, quotes.linked(df).collect())) == whole
-    assert len({r[7] for r in whole}) > 5
+    assert len({r[7] for r in whole}) > 5 and sorted(r[9] for r in whole) == list(range(60))
 
 
 def test_quotes_odd(spark):
