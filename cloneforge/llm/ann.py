@@ -2,15 +2,20 @@
 
 For a vector x, reconstructed as x - r, an error along x hurts the scores that matter, those near the top, more than one across it: the loss is
 |r|^2 + (eta - 1) (r . x / |x|)^2. Codes of four bits for each pair of dimensions are chosen, and codebooks fitted on a
-bounded sample, under this loss. A query's tables of inner products with all codewords are scanned over all codes; of each block of
-rows the best are reranked by exact inner products of the original vectors.
+bounded sample, under this loss.
 
-Equal vectors are one class. Queries and rows are dealt to blocks; a task holds one block of each.
+1. Each row is encoded once; its code is stored, two subspaces a byte.
+2. A query's inner products with all codewords make a table of sixteen entries of eight bits for each subspace. The tables are scanned over the codes of each block of rows.
+3. Of all blocks' best rows by code the RERANKED best of each query are the shortlist.
+4. The shortlist goes back to the blocks that hold the vectors, and is reranked by exact inner products.
+
+Equal vectors are one class. Rows are dealt to blocks by hash, so that a block holds its share of a query's shortlist; it gives that share and six standard deviations more.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,10 @@ from pyspark.sql import Window as W
 
 from .common import table, written
 
-#: Vectors that codebooks are fitted on at most; rows and queries of one task, about; rows of a block that are reranked.
-SAMPLE, ROWS, QUERIES, RERANKED = 4_000, 16_384, 4_096, 256
+#: Vectors that codebooks are fitted on at most; rows and queries of one task, about; bytes of its vectors, about; rows that are reranked for a query.
+SAMPLE, ROWS, QUERIES, BYTES, RERANKED = 4_000, 65_536, 4_096, 64 << 20, 512
+#: Rows and queries from which a block is cut into more, where there are cores for them.
+ROWS_LEAST, QUERIES_LEAST = 4_096, 256
 #: Codewords (four bits), dimensions of a subspace, and the share of a score from which errors count.
 WORDS, WIDTH, AT = 16, 2, 0.2
 EVERY, TOP = 20, 20
@@ -77,52 +84,64 @@ class Codebooks:
         size = m * WORDS * WIDTH
         for _ in range(rounds):
             code = books.encode(x, 2)
-            place = (np.arange(m)[None] * WORDS + code)[:, :, None] * WIDTH + np.arange(WIDTH)  # n x m x WIDTH
-            count = np.bincount(place.ravel(), minlength=size).astype(float)
-            b = np.bincount(place.ravel(), parts.ravel(), minlength=size)
-            a = np.diag(count + 1e-6)
-            b += 1e-6 * books.words.ravel()
-            for i in range(0, n, 2000):  # normal equations of the loss, codes held
-                z = np.zeros((len(at[i : i + 2000]), size))
-                z[np.arange(len(z))[:, None], place[i : i + 2000].reshape(len(z), -1)] = unit[i : i + 2000].reshape(len(z), -1)
-                a += (eta - 1) * z.T @ z
-                b += (eta - 1) * z.T @ np.linalg.norm(own[i : i + 2000], axis=1)
-            books.words = np.linalg.solve(a, b).reshape(m, WORDS, WIDTH)
+            place = ((np.arange(m)[None] * WORDS + code)[:, :, None] * WIDTH + np.arange(WIDTH)).reshape(n, -1)
+            books.words = _solved(place, own, unit.reshape(n, -1), books.words.ravel(), eta).reshape(m, WORDS, WIDTH)
         return books
 
     def packed(self, code: np.ndarray) -> np.ndarray:
-        """Two codes a byte, one row for each pair of subspaces."""
+        """Two codes a byte, one row for each vector."""
         if code.shape[1] % 2:
             code = np.pad(code, ((0, 0), (0, 1)))
-        return np.ascontiguousarray((code[:, ::2] * WORDS + code[:, 1::2]).T.astype(np.uint8))
+        return np.ascontiguousarray((code[:, ::2] * WORDS + code[:, 1::2]).astype(np.uint8))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Of each query, for each pair of subspaces, the 256 sums of inner products."""
+        """Of each query, for each subspace, the inner products with its codewords, less their least, in steps of which 255 are the widest table's."""
         own = self.padded(q).reshape(len(q), -1, WIDTH)
         one = np.einsum("nmd,mwd->nmw", own, self.words)
-        if one.shape[1] % 2:
-            one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
-        return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS).astype(np.float32)
-
-
-def best(books: Codebooks, q: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score): of each query the rows of largest inner product among those that the codes rank first; ties to smaller ids."""
-    codes = books.packed(books.encode(x))
-    qs, rows, scores = [], [], []
-    for i0 in range(0, len(q), 64):
-        lut = books.tables(q[i0 : i0 + 64])
-        for i, t in enumerate(lut, i0):
-            near = t[0][codes[0]]
-            for k in range(1, len(codes)):
-                near += t[k][codes[k]]
-            some = np.argpartition(near, len(near) - reranked)[len(near) - reranked :] if len(near) > reranked else np.arange(len(near))
-            exact = (x[some] * q[i]).sum(1)
-            order = np.lexsort((ids[some], -exact))[:top]
-            qs.append(np.full(len(order), i))
-            rows.append(some[order])
-            scores.append(exact[order])
-    none = np.zeros(0)
-    return (np.concatenate(qs), np.concatenate(rows), np.concatenate(scores)) if qs else (none.astype(int), none.astype(int), none)
+        one -= one.min(2, keepdims=True)
+        return np.rint(one * (255 / np.maximum(one.max((1, 2), keepdims=True), 1e-300))).astype(np.uint8)
+
+
+def _solved(place: np.ndarray, x: np.ndarray, unit: np.ndarray, words: np.ndarray, eta: float, steps: int = 60) -> np.ndarray:
+    """Codewords of the least loss, codes held, by conjugate gradients on its normal equations: rows have one place for each dimension, and no matrix is made."""
+    size, ridge = len(words), 1e-6
+    count = np.bincount(place.ravel(), minlength=size) + ridge
+    back = lambda v: np.bincount(place.ravel(), (unit * v[:, None]).ravel(), minlength=size)
+    apply = lambda w: count * w + (eta - 1) * back((unit * w[place]).sum(1))
+    b = np.bincount(place.ravel(), x.ravel(), minlength=size) + ridge * words + (eta - 1) * back(np.linalg.norm(x, axis=1))
+    w = words.copy()
+    r = b - apply(w)
+    z = r / count
+    p, old = z, r @ z
+    for _ in range(steps):
+        if old <= 1e-18 * max(1.0, b @ b):
+            break
+        ap = apply(p)
+        alpha = old / (p @ ap)
+        w, r = w + alpha * p, r - alpha * ap
+        z = r / count
+        new = r @ z
+        p, old = z + new / old * p, new
+    return w
+
+
+def scanned(tables: np.ndarray, codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query the places and sums of the `most` best rows by code. codes: a row for each pair of subspaces."""
+    if tables.shape[1] % 2:
+        tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
+    n = codes.shape[1]
+    for t in tables.astype(np.uint32):
+        pairs = (t[::2, :, None] + t[1::2, None, :]).reshape(-1, WORDS * WORDS)  # the two tables of a byte's codes
+        near = pairs[0][codes[0]]
+        for k in range(1, len(codes)):
+            near += pairs[k][codes[k]]
+        some = np.argpartition(near, n - most)[n - most :] if n > most else np.arange(n)
+        yield some, near[some]
+
+
+def chosen(sums: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest sums, of equal ones those of smaller ids."""
+    return np.lexsort((ids, -sums.astype(np.int64)))[:most]
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -135,12 +154,13 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", reranked: int = RERANKED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the `top` other rows of largest inner product, as found. Unusable
     vectors take no part, nor do those of another length than most have (of equally common lengths the smaller). Equal vectors
-    tie, and go by vec_id; of rows with one id, one takes part; an empty table gives no rows."""
-    own = usable(vectors, vec_id, embedding).dropDuplicates(["id"])
+    tie, and go by vec_id; of rows of one id the least vector takes part; an empty table gives no rows."""
+    spark = vectors.sparkSession
+    own = usable(vectors, vec_id, embedding)
     lengths = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = lengths[0].d if lengths else 1
-    own = own.where(F.size("v") == dim).withColumn("key", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(1), "v"), F.element_at("v", 1), F.element_at("v", -1)))
-    own = written(own, "vectors")
+    own = own.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    own = written(own.withColumn("key", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(1), "v"), F.element_at("v", 1), F.element_at("v", -1))), "vectors")
     w = W.partitionBy("key").orderBy("id")
     # the smallest ids of each class, so many as a result can hold, and one more
     few = own.select("key", "id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1)
@@ -150,29 +170,76 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str =
     asked = own.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "key")
     queries = written(reps.join(asked.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("q"), "v"), "queries")
     m = queries.count()
-    row_blocks, query_blocks = max(1, math.ceil(n / ROWS)), max(1, math.ceil(m / QUERIES))
+    cores = spark.sparkContext.defaultParallelism
+    blocks = lambda count, most, least: max(1, math.ceil(count / most), min(cores, math.ceil(count / least)))
+    row_blocks, query_blocks = blocks(n, min(ROWS, max(1, BYTES // (8 * dim))), ROWS_LEAST), blocks(m, QUERIES, QUERIES_LEAST)
+    share = reranked / row_blocks
+    most = min(reranked, math.ceil(share + 6 * math.sqrt(share)) + 8) if row_blocks > 1 else reranked
     sample = np.array([r.v for r in reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()], float).reshape(-1, dim)
     books = Codebooks.fit(sample) if len(sample) else None
 
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     every_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    rows = reps.select(block("rep", row_blocks).alias("rb"), F.col("rep").alias("id"), "v").withColumn("qb", every_(query_blocks))
-    asks = queries.select(block("q", query_blocks).alias("qb"), F.col("q").alias("id"), "v").withColumn("rb", every_(row_blocks))
+    matrix = lambda column: np.array(column.combine_chunks().flatten(), float).reshape(-1, dim)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.array(t.column("id"))
-            v = np.array(t.column("v").combine_chunks().flatten(), float).reshape(len(ids), dim)
-            order = np.argsort(ids, kind="stable")
-            return ids[order], v[order]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = books.packed(books.encode(np.array(batch.column("v").flatten(), float).reshape(-1, dim)))
+                yield pa.RecordBatch.from_arrays([batch.column("rb"), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["rb", "id", "code"])
 
-        (qi, q), (xi, x) = arrays(a), arrays(b)
-        if not len(qi) or not len(xi):
-            return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        at, row, score = best(books, q, x, xi, top + 1, reranked)
-        return pa.table({"q": qi[at], "rep": xi[row], "score": score})
+    rows = reps.select(block("rep", row_blocks).alias("rb"), F.col("rep").alias("id"), "v")
+    codes = written(rows.mapInArrow(encode, "rb int, id bigint, code binary"), "codes")
+    asks = queries.select(block("q", query_blocks).alias("qb"), F.col("q").alias("id"), "v").withColumn("rb", every_(row_blocks))
 
-    found = asks.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInArrow(run, "q bigint, rep bigint, score double")
+    def scan(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            ids = np.array(b.column("id"))
+            own = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            lut, rb = books.tables(matrix(a.column("v"))), b.column("rb")[0].as_py()
+            for q, (some, sums) in zip(a.column("id").to_pylist(), scanned(lut, np.ascontiguousarray(own.T), most)):
+                out.append((q, rb, ids[some].tobytes(), sums.astype("<u4").tobytes()))
+        q, rb, who, sums = zip(*out) if out else ([], [], [], [])
+        return pa.table({"q": pa.array(q, pa.int64()), "rb": pa.array(rb, pa.int32()), "ids": pa.array(who, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    near = asks.groupBy("qb", "rb").cogroup(codes.withColumn("qb", every_(query_blocks)).groupBy("qb", "rb")).applyInArrow(scan, "q bigint, rb int, ids binary, sums binary")
+
+    def shortlist(t: pa.Table) -> pa.Table:
+        by: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        for q, rb, ids, sums in zip(*(t.column(c).to_pylist() for c in ("q", "rb", "ids", "sums"))):
+            by.setdefault(q, []).append((rb, ids, sums))
+        out = []
+        for q, got in by.items():
+            ids, sums = np.frombuffer(b"".join(x[1] for x in got), np.int64), np.frombuffer(b"".join(x[2] for x in got), "<u4")
+            rb = np.repeat([x[0] for x in got], [len(x[1]) // 8 for x in got])
+            best = chosen(sums, ids, reranked)
+            for k in np.unique(rb[best]):
+                out.append((int(k), q, ids[best][rb[best] == k].tobytes()))
+        rb, q, ids = zip(*out) if out else ([], [], [])
+        return pa.table({"rb": pa.array(rb, pa.int32()), "q": pa.array(q, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    merges = max(query_blocks, math.ceil(m * row_blocks * most * 12 / BYTES))
+    listed = near.groupBy(block("q", merges).alias("part")).applyInArrow(shortlist, "rb int, q bigint, ids binary")
+    listed = listed.join(queries.select("q", F.col("v").alias("qv")), "q")
+
+    def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
+        qs, found, scores = [], [], []
+        if a.num_rows and b.num_rows:
+            ids = np.array(b.column("id"))
+            order = np.argsort(ids)
+            ids, x = ids[order], matrix(b.column("v"))[order]
+            for q, some, v in zip(a.column("q").to_pylist(), a.column("ids").to_pylist(), matrix(a.column("qv"))):
+                some = np.frombuffer(some, np.int64)
+                exact = (x[np.searchsorted(ids, some)] * v).sum(1)
+                best = np.lexsort((some, -exact))[: top + 1]
+                qs.append(np.full(len(best), q))
+                found.append(some[best])
+                scores.append(exact[best])
+        whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"q": whole(qs, pa.int64()), "rep": whole(found, pa.int64()), "score": whole(scores, pa.float64())})
+
+    found = listed.groupBy("rb").cogroup(rows.groupBy("rb")).applyInArrow(rerank, "q bigint, rep bigint, score double")
     w = W.partitionBy("q").orderBy(F.desc("score"), "rep")
     found = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1).drop("k")
     members = found.join(reps.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("id"), "score")

@@ -5,6 +5,7 @@ import collections
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def test_search(spark):
     x = rng.normal(size=(600, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
-    got = ann.search(df, reranked=120).toPandas()
+    got = ann.search(df, reranked=120).toPandas()  # of a few rows by four bits, a fifth
     want = exact(np.arange(600), x, 20, 20)
     assert set(got.query_id) == set(want)
     hits = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
@@ -38,9 +39,37 @@ def test_search(spark):
         assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, x[g.vec_id] @ x[q]) and (np.diff(g.score) <= 1e-15).all()
 
 
+def test_recall_of_a_short_list_over_blocks(spark, monkeypatch):
+    # no row has near ones, which is the hardest; 1.7 % of the rows are reranked
+    monkeypatch.setattr(ann, "ROWS", 5000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(30_000), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = ann.search(df, every=300).toPandas()
+    want = exact(np.arange(30_000), x, 300, 20)
+    recall = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id")) / (20 * len(want))
+    assert set(got.query_id) == set(want) and recall >= 0.9
+
+
+def test_codewords_solve_the_normal_equations():
+    rng = np.random.default_rng(8)
+    n, m = 200, 3
+    x, code = rng.normal(size=(n, 2 * m)), rng.integers(0, 16, (n, m))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    place = ((np.arange(m)[None] * 16 + code)[:, :, None] * 2 + np.arange(2)).reshape(n, -1)
+    z, u = np.zeros((n, 96)), np.zeros((n, 96))
+    np.put_along_axis(z, place, unit, 1)
+    np.put_along_axis(u, place, 1.0, 1)
+    a = np.diag(u.sum(0) + 1e-6) + 4.0 * z.T @ z
+    b = (u * 0).sum(0) + np.bincount(place.ravel(), x.ravel(), minlength=96) + 4.0 * z.T @ np.linalg.norm(x, axis=1)
+    assert np.allclose(ann._solved(place, x, unit, np.zeros(96), 5.0, 400), np.linalg.solve(a, b), atol=1e-5)
+
+
 def test_search_blocks_ties_and_copies(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROWS", 40)
     monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "ROWS_LEAST", 10)
     rng = np.random.default_rng(2)
     x = rng.integers(-2, 3, (150, 4)).astype(float)
     x[x.any(1) == 0] = 1
@@ -53,7 +82,7 @@ def test_search_blocks_ties_and_copies(spark, monkeypatch):
 
 def test_search_odd(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (20, [2.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [3.0, 3.0]), (7, [3.0, 3.0])]
+    rows = [(0, [1.0, 2.0]), (20, [2.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [3.0, 3.0]), (7, [3.0, 3.0]), (7, [9.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as score", "2 as key", "3 as rank")
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df).collect()}
     assert got == {(0, 1, 7, 9.0), (0, 2, 20, 4.0), (20, 1, 7, 9.0), (20, 2, 0, 4.0)}
