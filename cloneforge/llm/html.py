@@ -1,7 +1,8 @@
 """HTML extraction by union-free wrappers. A page is a stream of text fields, each with the path of elements that holds it. The streams of all pages of
 one host are aligned one after another: where texts differ, the field is a slot; neighbours of one path are a repeated group; fields that
 only some pages have are optional. What results is the host's wrapper: a regular expression without alternatives. It tells template from
-text: a field that says the same on all its pages is template, unless it stands beside slots, or is optional and stands under a container of slots.
+text: a field that says the same on all its pages is template, unless it stands beside slots, or is optional and stands under a container of slots; and so is a
+repeated group of links, whatever they say.
 What is left is checked by names: menus, adverts and the like go, as told by their elements' names, roles, classes and ids, and of a page that names its
 article by an element what is outside goes.
 
@@ -26,12 +27,14 @@ from .common import table, written
 #: Bytes of all wrappers up to which they are broadcast.
 WRAPPERS_MOST = 8 << 20
 SALTS = 32
+#: Share of a repeated group's characters in links from which it is a menu.
+LINKED = 0.9
 #: Fields of a wrapper up to which streams are aligned with it.
 FIELDS_MOST = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics".split())
 #: Elements that never hold the article's text.
 DROPPED = RAW | frozenset("head nav footer aside form button input option optgroup fieldset dialog menu canvas audio video applet datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -41,6 +44,12 @@ BOILER = frozenset(
     "newsletter subscribe subscription signup login sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist replies respond disqus discussion "
     "share sharing social related recommended recommendations widget widgets search pagination pager toolbar skip copyright disclaimer paywall".split()
 )
+#: Words that leave a class or id of BOILER words what it is; any other word makes it a name of its own, such as `social-history`.
+PLAIN_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons card cards col column container content count desktop fixed float floating follow footer form global google grid group head heading holder icon icons image "
+    "img info inner international item items js label large leaderboard left like link links list lists logo main meta mini mobile module more native news outer page panel placeholder post posts primary rectangle right row secondary "
+    "section side site skyscraper slot small space sticky stories story strip text thread title top unit us user wrap wrapper zone".split()
+)
 #: Words that make a `header` in a class the article's own, as headings stand in it.
 OWN = frozenset("article post entry story section content".split())
 MAIN_WORDS = frozenset("article-body articlebody article-content article post-content post-body entry-content entry story-body story content main main-content maincontent body-content page-content text".split())
@@ -48,6 +57,7 @@ MAIN_WORDS = frozenset("article-body articlebody article-content article post-co
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z0-9]+")
+SIZE = re.compile(r"[a-z]?[0-9]+(?:x[0-9]+)?")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Elements that end an open one of the same kind, up to the elements given.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -79,7 +89,8 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
         for mark in marks.split():
             words = WORDS.findall(CAMEL.sub(r"\1-\2", mark).lower())
             bad = [w for w in words if w in BOILER]
-            if bad and not (bad == ["header"] and OWN & set(words)) and not (name in HEADINGS and bad == ["header"]):
+            own_name = any(w not in BOILER and w not in PLAIN_WORDS and not w.isdigit() and not SIZE.fullmatch(w) for w in words)
+            if bad and not own_name and not (bad == ["header"] and OWN & set(words)) and not (name in HEADINGS and bad == ["header"]):
                 return DROP, label
     if name == "article" or own.get("itemprop") == "articleBody":
         return MAIN, label
@@ -90,29 +101,33 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
     return KEEP, label
 
 
-def fields(page: str) -> list[tuple[str, str, int]]:
-    """The text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like."""
-    out: list[tuple[str, str, int]] = []
+def fields(page: str) -> list[tuple[str, str, int, int]]:
+    """The text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like; characters in links, as written."""
+    out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str, int, int]] = []  # name, path, drop depth begun here, mark
     parts: list[str] = []
     refused: list[str] = []
-    mark, path, dropping, inside = KEEP, "", 0, 0
+    mark, path, dropping, inside, links, linked = KEEP, "", 0, 0, 0, 0
     at, n = 0, len(page)
 
+    def add(text: str) -> None:
+        nonlocal linked
+        (refused if dropping else parts).append(text)
+        if links:
+            linked += len(text)
+
     def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                out.append((path, text, mark))
-        if refused:
-            text = " ".join(entities.unescape("".join(refused)).split())
-            refused.clear()
-            if text:
-                out.append((path, text, DROP))
+        nonlocal linked
+        for own, kind in ((parts, mark), (refused, DROP)):
+            if own:
+                text = " ".join(entities.unescape("".join(own)).split())
+                own.clear()
+                if text:
+                    out.append((path, text, kind, min(linked, len(text))))
+        linked = 0
 
     def leave() -> None:
-        nonlocal dropping, path, mark, inside
+        nonlocal dropping, path, mark, inside, links
         name, label, dropped, kind = stack.pop()
         if name in ("td", "th"):
             (refused if dropping else parts).append(" ")
@@ -120,21 +135,22 @@ def fields(page: str) -> list[tuple[str, str, int]]:
             flush()
         dropping -= dropped
         inside -= name == "article"
+        links -= name == "a"
         path = stack[-1][1] if stack else ""
         mark = stack[-1][3] if stack else KEEP
 
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            (refused if dropping else parts).append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            (refused if dropping else parts).append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
             if m[1]:
-                (refused if dropping else parts).append(entities.unescape(m[1]))
+                add(entities.unescape(m[1]))
             continue
         name = name.lower()
         if m[2]:
@@ -179,6 +195,7 @@ def fields(page: str) -> list[tuple[str, str, int]]:
         drop = int(kind == DROP)
         dropping += drop
         inside += name == "article"
+        links += name == "a"
         if name not in INLINE:
             path = f"{path}/{label}" if len(stack) < 60 else path
         mark = MAIN if MAIN in (mark, kind) else CONTENT if CONTENT in (mark, kind) else KEEP
@@ -192,36 +209,42 @@ def fields(page: str) -> list[tuple[str, str, int]]:
 def main_text(page: str, template: frozenset[str] | None) -> str:
     """The article's blocks, one a line: those that the host's wrapper doesn't hold for template, and of these what passes the check by names: those in <article>, or
     else in the main container, or else all. Where nothing is left, the check alone tells."""
-    own = [f for f in fields(page) if f[2] != DROP]
-    marks = {f[2] for f in own}
-    best = MAIN if MAIN in marks else CONTENT if CONTENT in marks else KEEP
-    if best != KEEP:
-        own = [f for f in own if f[2] == best]
-    return "\n".join(f[1] for f in [f for f in own if f[0] not in template] or own) if template else "\n".join(f[1] for f in own)
+    found = [f for f in fields(page) if f[2] != DROP]
+
+    def checked(own: list) -> list:
+        marks = {f[2] for f in own}
+        best = MAIN if MAIN in marks else CONTENT if CONTENT in marks else KEEP
+        return own if best == KEEP else [f for f in own if f[2] == best]
 
+    own = [f for f in checked(found) if not template or f[0] not in template] or checked(found)
+    return "\n".join(f[1] for f in own)
 
-# --- wrappers: lists of [path, hash of the text or None for a slot, optional, repeated, pages]; a path ends in REFUSED where the names speak against it
 
-REFUSED = "/!"
+# --- wrappers: lists of [path, hash of the text or None for a slot, optional, repeated, pages, characters, characters in links]; a path ends in REFUSED where the names speak against it,
+# and in STATED in an <article>
+
+REFUSED, STATED = "/!", "/="
 #: In place of a path: all pages of a wrapper.
 WHOLE = "/"
 
 
 def stream(page: str) -> list[list]:
     """Neighbours of one path are one field; so are all fields of one path where a page has very many."""
-    own = [(path + REFUSED if mark == DROP else path, text) for path, text, mark in fields(page)]
-    runs: list[tuple[str, list[str]]] = []
-    for path, text in own:
-        if runs and runs[-1][0] == path:
-            runs[-1][1].append(text)
-        else:
-            runs.append((path, [text]))
+    own = [(path + {DROP: REFUSED, MAIN: STATED}.get(mark, ""), text, linked) for path, text, mark, linked in fields(page)]
+    runs: list[tuple[str, list[str], list[int]]] = []
+    for path, text, linked in own:
+        if not (runs and runs[-1][0] == path):
+            runs.append((path, [], []))
+        runs[-1][1].append(text)
+        runs[-1][2].append(linked)
     if len(runs) > FIELDS_MOST:
-        by: dict[str, list[str]] = {}
-        for path, text in own:
-            by.setdefault(path, []).append(text)
-        runs = list(by.items())
-    return [[path, xxhash.xxh3_64_hexdigest("\n".join(texts)), False, len(texts) > 1, 1] for path, texts in runs]
+        by: dict[str, tuple[str, list[str], list[int]]] = {}
+        for path, text, linked in own:
+            one = by.setdefault(path, (path, [], []))
+            one[1].append(text)
+            one[2].append(linked)
+        runs = list(by.values())
+    return [[path, xxhash.xxh3_64_hexdigest("\n".join(texts)), False, len(texts) > 1, 1, sum(map(len, texts)), sum(linked)] for path, texts, linked in runs]
 
 
 def grouped(wrapper: list[list]) -> list[list]:
@@ -230,7 +253,7 @@ def grouped(wrapper: list[list]) -> list[list]:
     for f in wrapper:
         if out and out[-1][0] == f[0]:
             last = out[-1]
-            last[1], last[2], last[3], last[4] = (last[1] if last[1] == f[1] else None), last[2] and f[2], True, max(last[4], f[4])
+            last[1:] = [last[1] if last[1] == f[1] else None, last[2] and f[2], True, max(last[4], f[4]), last[5] + f[5], last[6] + f[6]]
         else:
             out.append(list(f))
     return out
@@ -243,23 +266,23 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     same = [("equal", 0, len(a), 0, len(b))]
     for tag, i, i2, j, j2 in same if before == after else SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
         if tag == "equal":
-            out += [[x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], x[4] + y[4]] for x, y in zip(a[i:i2], b[j:j2])]
+            out += [[x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], x[4] + y[4], x[5] + y[5], x[6] + y[6]] for x, y in zip(a[i:i2], b[j:j2])]
         else:
-            out += [[x[0], x[1], True, x[3], x[4]] for x in [*a[i:i2], *b[j:j2]]]
+            out += [[*x[:2], True, *x[3:]] for x in [*a[i:i2], *b[j:j2]]]
     return grouped(out)
 
 
 def told(wrapper: list[list]) -> dict[str, list]:
-    """What a wrapper says of each path: the hash of its texts or None for a slot, whether all pages have it, pages."""
+    """What a wrapper says of each path: the hash of its texts or None for a slot, whether all pages have it, pages, whether it is repeated, characters, characters in links."""
     out: dict[str, list] = {}
-    for path, text, optional, _, n in wrapper:
+    for path, text, optional, repeated, n, chars, linked in wrapper:
         if path in out:
             own = out[path]
             # where only some pages have it, its texts needn't be on one page
             own[0] = None if text is None or own[0] is None or text != own[0] and (optional or not own[1]) else own[0] + text
-            own[1], own[2] = own[1] or not optional, max(own[2], n)
+            own[1:] = [own[1] or not optional, max(own[2], n), True, own[4] + chars, own[5] + linked]
         else:
-            out[path] = [text, not optional, n]
+            out[path] = [text, not optional, n, repeated, chars, linked]
     for own in out.values():
         own[0] = own[0] and xxhash.xxh3_64_hexdigest(own[0])
     return out
@@ -271,7 +294,7 @@ def host() -> F.Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, slot, required, n): what the wrappers of a host say of each path, and the pages that have it."""
+    """(host, path, slot, required, n, repeated, linked): what the wrappers of a host say of each path, the pages that have it, and the share of its characters in links."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,8 +320,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         own, total = None, 0
 
         def give() -> None:
-            rows.append((WHOLE, None, total, total))
-            rows.extend((path, text, total if required else 0, n) for path, (text, required, n) in told(own).items())
+            rows.append((WHOLE, None, total, total, False, 0, 0))
+            rows.extend((path, text, total if required else 0, n, *more) for path, (text, required, n, *more) in told(own).items())
 
         for shape in sorted(by):
             w, n = by.pop(shape)
@@ -308,32 +331,37 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 own, total = None, 0
         if own is not None:
             give()
-        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))]
-        return pa.table([pa.array([t.column("host")[0].as_py()] * len(rows), pa.string()), *columns], names=["host", "path", "text", "required", "n"])
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+        return pa.table([pa.array([t.column("host")[0].as_py()] * len(rows), pa.string()), *columns], names=["host", "path", "text", "required", "n", "repeated", "chars", "linked"])
 
     shapes = pages.select(host().alias("host"), "html").mapInArrow(fold, "host string, shape bigint, wrapper string, pages bigint").withColumn("salt", F.pmod(F.col("shape"), F.lit(SALTS)))
-    parts = shapes.groupBy("host", "salt").applyInArrow(merge, "host string, path string, text string, required bigint, n bigint")
-    per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"))
+    parts = shapes.groupBy("host", "salt").applyInArrow(merge, "host string, path string, text string, required bigint, n bigint, repeated boolean, chars bigint, linked bigint")
+    per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"), F.max("repeated").alias("repeated"), (F.sum("linked") / F.greatest(F.sum("chars"), F.lit(1))).alias("linked"))
     per = written(per, "wrappers")
     total = per.where(F.col("path") == WHOLE).select("host", F.col("n").alias("pages"))
     slot = F.col("null") | F.coalesce("differ", F.lit(False))
-    return per.where(F.col("path") != WHOLE).join(total, "host").select("host", "path", slot.alias("slot"), (F.col("required") == F.col("pages")).alias("required"), "n")
+    return per.where(F.col("path") != WHOLE).join(total, "host").select("host", "path", slot.alias("slot"), (F.col("required") == F.col("pages")).alias("required"), "n", "repeated", "linked")
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """(host, template): the paths of each host that say the same on all their pages, two at least, and neither stand beside slots nor, when optional, below a container of slots.
-    A host without slots has none, as nothing tells its text from its template."""
+    """(host, template): the paths of each host that are template by its wrapper. Those that say the same on all their pages, two at least, and neither stand beside slots nor, when optional, below a container of slots:
+    a host without slots has none, as nothing tells its text from its template. And those that are a repeated group, on two pages at least, whose text is in links nearly throughout: menus, whatever they say.
+    In an <article> neither counts against a list of links."""
+    plain = F.regexp_replace("path", "/[!=]$", "")
+    own = found.withColumns({"refused": F.col("path").endswith(REFUSED), "stated": F.col("path").endswith(STATED), "path": plain})
     parent = F.when(F.col("path") == "", "/").otherwise(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)))"))
-    kept = found.where(~F.col("path").endswith(REFUSED))
+    menus = own.where(F.col("repeated") & (F.col("linked") >= LINKED) & (F.col("n") > 1)).select("host", "path").join(own.where("stated").select("host", "path"), ["host", "path"], "left_anti")
+    kept = own.where(~F.col("refused")).join(menus, ["host", "path"], "left_anti")
     containers = kept.where("slot").select("host", parent.alias("above")).distinct()
-    same = kept.where("not slot and n > 1").join(containers.select("host").distinct(), "host", "left_semi")
+    same = kept.where("not slot and n > 1").join(containers.select("host").distinct(), "host", "left_semi").join(kept.where("slot").select("host", "path"), ["host", "path"], "left_anti")
     # an optional path is looked for with all it stands in, a required one with its parent
     names = F.split(parent, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
     above = F.when(F.col("required"), F.array(parent)).otherwise(F.transform(above, lambda x: F.when(x.endswith("/"), x).otherwise(F.concat(x, F.lit("/")))))
     asks = same.select("host", "path", F.explode(F.array_distinct(above)).alias("above"))
     beside = asks.join(containers, ["host", "above"], "left_semi").select("host", "path").distinct()
-    return same.join(beside, ["host", "path"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
+    same = same.join(beside, ["host", "path"], "left_anti").select("host", "path")
+    return same.unionByName(menus).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("template"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -153,12 +153,42 @@ def test_wrapper_of_many_paths_and_containers(spark, monkeypatch):
     assert texts(spark, pages) == want and texts(spark, pages[::-1]) == {k: want[11 - k] for k in want}
 
 
+def test_names_that_only_sound_like_boilerplate(spark):
+    page = '<article><p>a</p><section class="social-history"><p>b</p></section><p>c <math>x</math> d</p><object><p>e</p></object><div class="related-posts-2">f</div><div class="ad-300x250">g</div></article>'
+    assert texts(spark, [page]) == {0: "a\nb\nc x d\ne"}
+
+
+def test_a_menu_whose_links_change(spark):
+    page = '<body><div class="k1">{links}</div><div class="k2"><p>text {k} has a <a href="/">link</a></p><p>more {k}</p></div></body>'
+    pages = [page.format(k=k, links="".join(f'<span><a href="/{k}{i}">go {k} {i}</a></span><br/><ul><li><a href="#">{i}{k}</a></li><li><a>{k}</a></li></ul>' for i in range(1))) for k in range(6)]
+    got = texts(spark, pages)
+    assert all("has a link" in t and f"more {k}" in t and f"0{k}" not in t for k, t in got.items())
+    # one page alone tells no menu, and a list of links in an article stays
+    assert texts(spark, ["<article><p>a {0}</p><ul><li><a>x{0}</a></li><li><a>y{0}</a></li></ul></article>".format(k) for k in range(3)]) == {k: f"a {k}\nx{k}\ny{k}" for k in range(3)}
+
+
+def test_wrappers_whatever_the_partitions(spark):
+    # classes say nothing: what changes is the article, and a group that comes once, twice or not at all is part of it
+    rng = random.Random(3)
+    page = '<body><div class="k1"><span>Menu one</span></div><div class="k2"><h2>{title}</h2>{groups}<p>Written by the desk</p></div><div class="k3"><p>All rights reserved</p></div></body>'
+    pages, want = [], {}
+    for k in range(120):
+        title, groups = cases.sentence(rng, 4), [cases.sentence(rng, rng.randrange(3, 9)) for _ in range(rng.randrange(1, 4))]
+        note = k % 3 == 0
+        pages.append(page.format(title=title, groups="".join(f"<p>{g}</p>" for g in groups) + (f"<blockquote>{title} again</blockquote>" if note else "")))
+        want[k] = "\n".join([title, *groups, *([f"{title} again"] if note else []), "Written by the desk"])
+    df = spark.createDataFrame([(k, f"http://h{k % 2}.example/{k}", p) for k, p in enumerate(pages)], "page_id bigint, url string, html string")
+    one = {r.page_id: r.text for r in html.extracted(df.coalesce(1)).collect()}
+    many = {r.page_id: r.text for r in html.extracted(df.repartition(50)).collect()}
+    assert one == many == want
+
+
 def test_alignment():
-    one = lambda *p: [[x, x, False, False, 1] for x in p]
+    one = lambda *p: [[x, x, False, False, 1, 4, 0] for x in p]
     got = html.aligned(one("a", "b", "c"), one("a", "c", "d"))
     assert [(f[0], f[2]) for f in got] == [("a", False), ("b", True), ("c", False), ("d", True)]
     assert html.grouped(one("a", "b", "b", "c"))[1][3] is True
-    assert html.aligned([["a", "x", False, False, 1]], [["a", "y", False, False, 2]]) == [["a", None, False, False, 3]]
+    assert html.aligned([["a", "x", False, False, 1, 5, 1]], [["a", "y", False, False, 2, 6, 2]]) == [["a", None, False, False, 3, 11, 3]]
 
 
 def test_pages_odd(spark):
