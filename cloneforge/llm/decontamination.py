@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cached, guarded, parts, table, using, written
+from .shingles import P, mixed, word_hashes
 
 WINDOW = 10
 #: Share of hit words from which the pipeline drops a document.
 COVERAGE = 0.5
-#: Bytes of items that one automaton holds, about; more items are dealt to several, each of which reads all documents.
+#: Bytes of items that one automaton holds, about; more items are dealt to several, each of which reads the documents that may hold any.
 SHARD_BYTES = 1 << 20
+#: Bits, as a power of two, of the filter that tells such documents: one for each pair of neighbours in an item, by hash.
+FILTER = 27
 
 #: Lower-cases A-Z and makes the word breaks blanks: what isn't 0-9, A-Z, a-z or beyond 7F.
 BREAKS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -185,17 +188,56 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_byt
     if len(shards) == 1:
         return _scan(docs, shards[0], window, cut)
     own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    all_ = None
+    likely = written(_likely(own.select("_row", "text"), shards, window), "likely")
+    all_, texts = None, likely.where("text is not null").select("_row", "text")
     for s in shards:
-        part = _scan(own.select("_row", "text"), s, window).drop("text")
+        part = _scan(texts, s, window).drop("text", "n_words")
         all_ = part if all_ is None else all_.unionByName(part)
-    per = all_.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("n_words").alias("n_words"))
+    per = all_.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # one span may end in another's: glue them
     glue = F.aggregate("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    out = own.join(per.withColumn("spans", glue), "_row").drop("_row")
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    per = per.select("_row", glue.alias("_spans"), F.col("items").alias("_items"))
+    out = own.join(likely.select("_row", "n_words"), "_row").join(per, "_row", "left")
+    out = out.select(*docs.columns, F.coalesce("_spans", none("array<struct<a:int,b:int>>")).alias("spans"), F.coalesce("_items", none("array<string>")).alias("items"), "n_words")
     return _recut(out) if cut else out
 
 
+def _pairs(words: list[bytes]) -> np.ndarray:
+    """Places in the filter of neighbours."""
+    h = word_hashes(words)
+    return (mixed(h[:-1] * P + h[1:]) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _likely(docs: DataFrame, shards: list[list[tuple[str, bytes]]], window: int) -> DataFrame:
+    """_row, n_words, and the text where it has so many neighbours in a row that are neighbours in items as the shortest item's windows have."""
+    bits = np.zeros(1 << (FILTER - 3), np.uint8)
+    least = window
+    for s in shards:
+        for _, raw in s:
+            if words := words_of(raw):
+                least = min(least, len(words))
+                at = _pairs(words)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("shingles")
+        own = filter_.value
+        for batch in parts(batches):
+            n, texts = [], []
+            for raw in batch.column(1):
+                words = words_of((raw.as_py() or "").encode())
+                at = _pairs(words) if len(words) > 1 else np.zeros(0, np.int64)
+                miss = np.flatnonzero(own[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 0)
+                longest = int(np.diff(np.concatenate([[-1], miss, [len(at)]])).max()) - 1
+                n.append(len(words))
+                texts.append(raw.as_py() if len(words) >= least and longest >= least - 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(texts, pa.string())], names=["_row", "n_words", "text"])
+
+    return docs.select("_row", F.col("text").cast("string")).mapInArrow(run, "_row bigint, n_words bigint, text string")
+
+
 def _recut(hit: DataFrame) -> DataFrame:
     """hit with its spans cut out of its texts."""
     at, names = hit.columns.index("text"), hit.columns

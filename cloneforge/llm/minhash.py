@@ -4,7 +4,7 @@ A sketch is the k least hashes of a document's shingle set. Inverted lists are k
 values: where two sets are alike to at least 0.8, their sorted union holds such a run that both retain. For sets of up to
 k values that is certain (u values of which at most u/5 are in one set only fall into at most u/5 + 1 stretches of common
 values, one of which is of 4 or more if u > 15; below, runs of two serve). Beyond k, each value of the union's sketch is common with
-probability 0.8 or more, and no run of 4 among 64 has a probability of 0.8 ** 64 < 1e-6.
+probability 0.8 or more, and that no four of 64 in a row are has a probability of 1.0e-6 where it is 0.8, and less above.
 Frequent shingles thus make no long lists: documents meet only where four values in a row agree.
 
 Equal sets are one class and enter once. In each list all are paired with the smallest id alone; pairs pass a size filter and the

@@ -5,6 +5,7 @@ stream at fixed windows; a document across a boundary becomes several pieces.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -26,18 +27,34 @@ LENGTH = 4096
 STEP = 4 << 20
 
 
+#: How a tokenizer by words parts them.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level vocabularies name bytes that can't be printed by the characters from 256 on, and all others by themselves.
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
 
 
+def by_words(path: str) -> bool:
+    """Does the tokenizer take lower-cased words one by one, apart from marks and digits, whatever white space is between them, and end them by a suffix?"""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    parts_of = lambda x, key: [{k: v for k, v in p.items()} for p in ((x or {}).get(key) or ([x] if x else []))]
+    before, split, model = parts_of(own.get("normalizer"), "normalizers"), parts_of(own.get("pre_tokenizer"), "pretokenizers"), own["model"]
+    return (
+        [p["type"] for p in before] == ["NFC", "Replace", "Lowercase"] and before[1]["pattern"] == {"Regex": r"\s+"} and before[1]["content"] == " "
+        and [p["type"] for p in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and split[0]["pattern"] == {"Regex": WORD_PATTERN}
+        and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and not model.get("dropout") and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+    )
+
+
 class Encoder:
-    """Token ids, as little-endian uint32 bytes, by a tokenizer that never joins tokens across white space: each distinct
-    word is encoded once and then looked up. Words without letters only, or beyond the caches, go to the tokenizer."""
+    """Token ids, as little-endian uint32 bytes. By a tokenizer by words each distinct word is encoded once and then looked up; words without letters only, or
+    beyond the caches, go to the tokenizer, as do whole texts where it is another kind."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = by_words(path)
         self.bare: dict[str, bytes] = {}
         whole: dict[str, bytes] = {}
         self.whole = whole
@@ -75,6 +92,8 @@ class Encoder:
         self.words = Words()
 
     def ids(self, text: str) -> bytes:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= STEP:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         out, words = [], self.words  # a very long text: without a list of all its words

@@ -59,10 +59,10 @@ def test_sharding_odd(spark):
 # --- packing
 
 
-def unpacked(docs, length):
+def unpacked(docs, length, path=None):
     import pandas as pd
 
-    pieces = packing.pack(docs, length=length).toPandas()
+    pieces = packing.pack(docs, path, length).toPandas()
     assert (pieces.offset + pieces.length <= length).all()
     at = sorted((r.sequence_id * length + r.offset, r.length) for r in pieces.itertuples())
     assert at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:]))
@@ -72,12 +72,15 @@ def unpacked(docs, length):
     return pieces, out
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_round_trip(spark, name):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.vocabulary())
+    path = packing.vocabulary(name)
+    tok = Tokenizer.from_file(path)
+    assert packing.by_words(path) == (name == "word_bpe_49k.json")
     texts = [*cases.corpus(3, 40), "Don't STOP. naïve ﬁne Ünïcode ΣΑΣ x² 12.5 <|endoftext|> 日本語。", "\x1c a\tb\r\nc\x0b  d", None, ""]
-    _, out = unpacked(cases.documents(spark, texts), 16)
+    _, out = unpacked(cases.documents(spark, texts), 16, path)
     for k, t in enumerate(texts):
         want = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         assert [x for _, ids, _ in out[k] for x in ids] == want
@@ -333,6 +336,14 @@ def test_decontamination(spark, shard):
     assert [by[k] for k in range(len(texts))] == brute_hits(texts, items)
 
 
+def test_only_likely_documents_meet_several_automata(spark):
+    items = [[("1", b"a b c d e f g h i j k")], [("2", b"l m n o p q r s t u v w")]]
+    texts = ["x y a b c d e f g h i j z", "a b c d e f g h i", "k j i h g f e d c b a " * 9, "l m n o p q r s t u", None]
+    docs = cases.documents(spark, texts).selectExpr("doc_id as _row", "text")
+    got = {r._row: (r.n_words, r.text is not None) for r in decontamination._likely(docs, items, 10).collect()}
+    assert got == {0: (13, True), 1: (9, False), 2: (99, False), 3: (10, True), 4: (0, False)}
+
+
 def test_decontamination_cuts(spark):
     passage = " ".join(f"q{k}" for k in range(12))
     docs = cases.documents(spark, [f"Before, {passage.upper()}! after. " + "more words here " * 5, passage, "clean text"])
