@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share. They are deleted when the driver ends."""
 
 from __future__ import annotations
 
@@ -38,10 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH, before)
-    _own.append(("path", path))
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """By the file system that holds it, where the driver's JVM can be reached; a local path by this process."""
+    if path.startswith("file://"):
+        _own.append(("path", path))
+    elif jvm := getattr(spark, "_jvm", None):
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
