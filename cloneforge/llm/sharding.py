@@ -24,8 +24,8 @@ LEAST_BUCKETS = 16
 
 
 def variate(keys: Sequence[Column], shard: int, weight: float) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 53 bits of a hash of shard and keys."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(shard), *keys), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    """-ln(u) / weight, u in (0, 1) from 52 bits of the MD5 of shard and keys, which is the same in any engine."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(shard)), *keys).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) * F.lit(2.0**-52)
     return -F.log(u) / F.lit(float(weight))
 
 
@@ -47,10 +47,11 @@ def assign(df: DataFrame, keys: Sequence[str], weights: Sequence[float], grown:
 def numbered(df: DataFrame, by: str, keys: Sequence[str], ties: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df with `slot`: gapless from 0 in each value of `by`. Each value is cut by a hash of the keys into
     buckets; a count per bucket gives where its numbers begin, a window numbers within it, so that no task
-    holds a whole shard. Equal keys fall in one bucket, in the order of `ties`."""
+    holds a whole shard. Rows equal in keys and ties fall in one bucket, and are numbered by one window, which spills where there are very many."""
     rows = df.count() if rows is None else rows
     n = max(LEAST_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
-    own = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit("slot")), F.lit(n)).cast("int"))
+    names = F.concat_ws("|", F.lit("slot"), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in [*keys, *ties]])
+    own = df.withColumn("_bucket", F.pmod(F.conv(F.substring(F.md5(names.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int"))
     begin = (
         own.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_begin", F.sum("_n").over(W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))

@@ -350,3 +350,18 @@ def test_pipeline_stages_on_odd_input(spark, tmp_path, make):
 @pytest.mark.parametrize("name", [n for n in registry.queries()])
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", [n for n in registry.oracle_sql()])
+def test_queries_give_what_their_sql_gives(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert set(got.columns) == set(names)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
