@@ -42,6 +42,8 @@ def cycle_nodes(chosen: DataFrame) -> DataFrame:
         up = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
         jump = written(jump.join(up, "up").select("node", F.col("up2").alias("up"), F.least("least", "least2").alias("least")), "jump")
         rounds += 1
+        if not jump.limit(1).count():  # all paths have ended: no cycle
+            break
     # a node that others reach after so many steps is on a cycle itself
     return jump.join(jump.select(F.col("up").alias("node")).distinct(), "node", "left_semi").select("node", F.col("least").alias("cycle"))
 

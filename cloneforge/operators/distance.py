@@ -93,8 +93,8 @@ def block_distance(a: np.ndarray, b: np.ndarray, cuts: Sequence[int], mode: str)
 def all_pairs(packed: DataFrame, mode: str = "directed", keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(keys, src, dst, w) of all ordered pairs of different cells. Cells are dealt to blocks; each pair of blocks meets in one task, which works both
     directions out in one go. A task holds two blocks of profiles, whatever the number of cells."""
-    whole = packed.groupBy(*keys, "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "cns"))), lambda x: x["cns"]).alias("p"))
-    whole = whole.select(*keys, "cell", F.flatten("p").alias("cns"), F.transform("p", lambda x: F.size(x)).alias("sizes"))
+    whole = packed.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p"))
+    whole = whole.select(*keys, "cell", F.flatten(F.transform("p", lambda x: x["cns"])).alias("cns"), F.transform("p", lambda x: F.struct(x["chrom"].alias("chrom"), F.size(x["cns"]).alias("n"))).alias("sizes"))
     n = whole.select("cell").distinct().count()
     blocks = max(1, math.ceil(n / block))
     own = whole.withColumn("_b", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -104,9 +104,13 @@ def all_pairs(packed: DataFrame, mode: str = "directed", keys: Sequence[str] = (
     def run(t: pa.Table) -> pa.Table:
         cell, b = np.array(t.column("cell").to_pylist(), object), np.array(t.column("_b"))
         order = np.argsort(cell)
+        shapes = t.column("sizes").to_pylist()
+        if any(x != shapes[0] for x in shapes):
+            other = next(k for k, x in enumerate(shapes) if x != shapes[0])
+            raise ValueError(f"cells {t.column('cell')[0]} and {t.column('cell')[other]} differ in their chromosomes or bins")
         m = np.array(t.column("cns").combine_chunks().flatten()).reshape(len(cell), -1)[order]
         cell, b = cell[order], b[order]
-        cuts = np.concatenate([[0], np.cumsum(t.column("sizes")[0].as_py())])
+        cuts = np.concatenate([[0], np.cumsum([x["n"] for x in shapes[0]])])
         i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
         one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
         there, back = block_distance(m[one], m[two], cuts, mode)
@@ -168,13 +172,50 @@ def asymmetry(edges: DataFrame) -> DataFrame:
     return edges.where("src < dst").join(back, ["src", "dst"]).agg(F.max(F.abs(F.col("w") - F.col("w2"))).alias("max_diff"), F.count_if(F.col("w") != F.col("w2")).alias("n_differ"))
 
 
-def approximate(packed: DataFrame, every: int, mode: str = "directed") -> DataFrame:
-    """(src, dst, w): distances of a sample, one in `every` cells by hash; other cells have those of the sampled cell nearest to them by breakpoints. Approximate by its nature."""
-    chosen = F.pmod(F.xxhash64("cell"), F.lit(every)) == 0
-    sample = packed.where(chosen)
+def long_runs(u: Column, v: Column, most: int = 10) -> Column:
+    """Distance of two chromosomes, as steps() with the symmetric rule; where more than `most` bins are left, the sum of their differences stands for it. Approximate by its nature, and no less than the distance."""
+    diff = F.aggregate(F.zip_with(u, v, lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    left = F.size(F.filter(F.arrays_zip(u.alias("a"), v.alias("b")), lambda e: (e["a"] != 0) | (e["b"] != 0)))
+    exact = steps(u, v, "symmetric")
+    return F.when((left > most) & (exact < PENALTY), diff).otherwise(exact)
+
+
+def quick_pair_distance(pairs: DataFrame, packed: DataFrame, most: int = 10) -> DataFrame:
+    """(src, dst, w) of given pairs (src, dst), by long_runs(). Approximate."""
+    u = packed.select(F.col("cell").alias("src"), "chrom", F.col("cns").alias("u"))
+    v = packed.select(F.col("cell").alias("dst"), "chrom", F.col("cns").alias("v"))
+    return pairs.join(u, "src").join(v, ["dst", "chrom"]).groupBy("src", "dst").agg(F.sum(long_runs(F.col("u"), F.col("v"), most)).alias("w"))
+
+
+def sampled(cell: Column, every: int) -> Column:
+    """Is the cell one of the sample? One in `every`, by MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(cell.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(every)) == 0
+
+
+def approximate(packed: DataFrame, every: int, mode: str = "directed", block: int = BLOCK) -> DataFrame:
+    """(src, dst, w): distances of a sample, one in `every` cells by hash; other cells have those of the sampled cell nearest to them by breakpoints. Approximate by its nature. Blocks of cells meet
+    blocks of the sample, and give the nearest one of each block."""
+    sample = packed.where(sampled(F.col("cell"), every))
     exact = all_pairs(sample, mode)
-    pairs = packed.select("cell").distinct().where(~chosen).select(F.col("cell").alias("src")).crossJoin(sample.select(F.col("cell").alias("dst")).distinct())
-    nearest = pair_distance(pairs, packed, "none").groupBy("src").agg(F.min_by("dst", F.struct("w", "dst")).alias("by")).select(F.col("src").alias("cell"), "by")
+    whole = packed.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p")).select("cell", F.transform("p", lambda x: x["cns"]).alias("p"))
+    chosen = sampled(F.col("cell"), every)
+    n, m = whole.agg(F.count_if(~chosen), F.count_if(chosen)).first()
+    rows, columns = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
+    one = whole.where(~chosen).withColumn("_i", F.pmod(F.xxhash64("cell"), F.lit(rows)).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    two = whole.where(chosen).withColumn("_j", F.pmod(F.xxhash64("cell"), F.lit(columns)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, best, far = a.column("cell").to_pylist(), [], []
+        if a.num_rows and b.num_rows:
+            theirs = sorted(zip(b.column("cell").to_pylist(), b.column("p").to_pylist()))
+            x, y = (np.concatenate([np.concatenate([_delta(np.array([c]))[0] for c in p]) for p in own]).reshape(len(own), -1) for own in (a.column("p").to_pylist(), [p for _, p in theirs]))
+            half = _half_l1(x, y)
+            at = half.argmin(1)
+            best, far = [theirs[k][0] for k in at], half[np.arange(len(at)), at].tolist()
+        return pa.table({"cell": pa.array(names if best else [], pa.string()), "by": pa.array(best, pa.string()), "w": pa.array(far, pa.int64())})
+
+    met = one.groupBy("_i", "_j").cogroup(two.groupBy("_i", "_j")).applyInArrow(run, "cell string, by string, w bigint")
+    nearest = met.groupBy("cell").agg(F.min_by("by", F.struct("w", "by")).alias("by"))
     stands = nearest.unionByName(sample.select("cell", F.col("cell").alias("by")).distinct())
     a, b = stands.select(F.col("cell").alias("src"), F.col("by").alias("s")), stands.select(F.col("cell").alias("dst"), F.col("by").alias("d"))
     e = exact.select(F.col("src").alias("s"), F.col("dst").alias("d"), "w")

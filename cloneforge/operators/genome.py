@@ -10,9 +10,6 @@ from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
 
-#: Rows of an interval table up to which it is broadcast.
-INTERVALS_MOST = 200_000
-
 
 def arms(bands: DataFrame) -> DataFrame:
     """(chrom, band, start, end, length) of the arms: from the first of their bands to the last."""
@@ -27,19 +24,14 @@ def major_bands(bands: DataFrame) -> DataFrame:
 
 
 def in_bands(points: DataFrame, bands: DataFrame) -> DataFrame:
-    """Columns of points and `band` of the interval (start, end] on the chromosome that holds pos. Intervals of one chromosome don't overlap: a point is in the first
-    that ends at or after it, if it begins before. Few intervals are broadcast; many meet the points in order of place."""
-    few = bands.limit(INTERVALS_MOST + 1).count() <= INTERVALS_MOST
-    if few:
-        own = F.broadcast(bands.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), "band"))
-        return points.join(own, "chrom").where((F.col("pos") > F.col("_s")) & (F.col("pos") <= F.col("_e"))).drop("_s", "_e")
-    cols = points.columns
-    null = lambda kind: F.lit(None).cast(kind)
-    p = points.select("chrom", F.col("pos").alias("_at"), F.struct(*cols).alias("p"), null("struct<s:bigint,band:string>").alias("b"), F.lit(1).alias("_k"))
-    b = bands.select("chrom", F.col("end").alias("_at"), null(p.schema["p"].dataType).alias("p"), F.struct(F.col("start").alias("s"), F.col("band").alias("band")).alias("b"), F.lit(2).alias("_k"))
-    w = W.partitionBy("chrom").orderBy("_at", "_k").rowsBetween(0, W.unboundedFollowing)
-    met = p.unionByName(b).withColumn("b", F.first("b", ignorenulls=True).over(w)).where("_k = 1 and b is not null and b.s < _at")
-    return met.select("p.*", "b.band")
+    """Columns of points and `band` of each interval (start, end] on the chromosome that holds pos. Places are cut into stretches as long as an interval is on the mean: an interval stands in those it
+    meets, and a point looks in its own alone, by an equi-join, which Spark broadcasts where there are few intervals."""
+    mean = bands.agg(F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(1)))).first()[0]
+    width = F.lit(max(1, int(mean or 1)))
+    upto = lambda x: F.floor(x / width)
+    own = bands.where(F.col("end") > F.col("start")).select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), "band", F.explode(F.sequence(upto(F.col("start") + 1), upto(F.col("end")))).alias("_at"))
+    met = points.withColumn("_at", upto(F.col("pos"))).join(own, ["chrom", "_at"]).where((F.col("pos") > F.col("_s")) & (F.col("pos") <= F.col("_e")))
+    return met.select(*points.columns, "band")
 
 
 def band_means(bins: DataFrame, keys: Sequence[str] = ("cell",)) -> DataFrame:

@@ -8,17 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cloneforge.plans.storage import written
 
-def fold_levels(cn: DataFrame, closed: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("feature",), keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, cell, feature, n, amp, del): over the subtree of each lineage, itself included, mean of what is above two copies, and of what is below. cn: keys, cell, feature, cn. Only
-    keys, lineage and feature outlive the first aggregate, which combines before the shuffle."""
+
+#: Features that are summed side by side in one row.
+SIDE = 8
+#: Place of the sum of gains beside a count, in one whole number.
+GAINS = 1 << 32
+
+
+def side_by_side(cn: DataFrame, feature: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """cn with SIDE features in a row: (keys, cell, all but the last of feature, piece, a0.., b0..), a: gains and, below them, how many; b: losses; and the features' places
+    (feature, piece, at). There are no more places than columns in the matrix."""
+    *by, last = feature
+    order = W.partitionBy(*by).orderBy(last)
+    places = cn.select(*feature).distinct().withColumn("_k", F.row_number().over(order) - 1)
+    places = written(places.select(*feature, F.floor(F.col("_k") / SIDE).alias("piece"), (F.col("_k") % SIDE).alias("at")), "places")
+    gain, loss = F.greatest(F.col("cn") - 2, F.lit(0)).cast("long") * GAINS + 1, F.least(F.col("cn") - 2, F.lit(0)).cast("long")
+    at = lambda x, k: F.sum(F.when(F.col("at") == k, x))
+    sums = [at(gain, k).alias(f"a{k}") for k in range(SIDE)] + [at(loss, k).alias(f"b{k}") for k in range(SIDE)]
+    return cn.join(places, list(feature)).groupBy(*keys, "cell", *by, "piece").agg(*sums), places
+
+
+def fold_levels(cn: DataFrame, closed: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("feature",), keys: Sequence[str] = (), map_: DataFrame | None = None) -> DataFrame:
+    """(keys, cell, feature, n, amp, del): over the subtree of each lineage, itself included, mean of what is above two copies, and of what is below. cn: keys, cell, feature, cn. With
+    map_ (keys, chrom, cell, label) lineages have the numbers of `cell` in place of `label`'s; feature begins with chrom then, and cn has no keys. Features are summed SIDE in a row, so that a lineage's
+    members make as many rows fewer; only keys, lineage and piece outlive the aggregate, which combines before the shuffle."""
+    *by, last = feature
     members = closed.select(F.col("anc"), F.col("desc").alias("cell"))
     if lineage is not None:
         members = members.join(lineage.select(F.col("cell").alias("anc")), "anc", "left_semi")
-    met = cn.join(members, "cell")
-    n = F.count(F.lit(1))
-    amp, del_ = F.sum(F.greatest(F.col("cn") - 2, F.lit(0))), F.sum(F.least(F.col("cn") - 2, F.lit(0)))
-    return met.groupBy(*keys, F.col("anc").alias("cell"), *feature).agg(n.alias("n"), (amp / n).alias("amp"), (del_ / n).alias("del"))
+    wide, places = side_by_side(cn, feature, keys if map_ is None else ())
+    if map_ is None:
+        met = wide.join(members, "cell")
+    else:
+        met = wide.join(map_.join(members.withColumnRenamed("cell", "label"), "label").drop("label"), ["cell", "chrom"])
+    sums = met.groupBy(*keys, "anc", *by, "piece").agg(*[F.sum(f"{x}{k}").alias(f"{x}{k}") for x in "ab" for k in range(SIDE)])
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in range(SIDE)]))
+    long = sums.select(*keys, "anc", *by, "piece", each).where("a is not null").join(places, [*by, "piece", "at"])
+    n = F.col("a") % GAINS
+    return long.select(*keys, F.col("anc").alias("cell"), *feature, n.alias("n"), (F.floor(F.col("a") / GAINS) / n).alias("amp"), (F.col("b") / n).alias("del"))
 
 
 def shuffle_key(seed: int, perm: Column, chrom: Column, cell: Column) -> Column:
@@ -41,7 +70,7 @@ def shuffled(cn: DataFrame, map_: DataFrame) -> DataFrame:
 
 def permuted_levels(cn: DataFrame, map_: DataFrame, closed: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("chrom", "feature")) -> DataFrame:
     """fold_levels() of each permutation on the given tree."""
-    return fold_levels(shuffled(cn, map_), closed, lineage, feature, ["perm_id"])
+    return fold_levels(cn, closed, lineage, feature, ["perm_id"], map_)
 
 
 def goes_on(n: int, p: float, least: int = 20, most: int = 100) -> bool:

@@ -11,16 +11,16 @@ from cloneforge.plans.storage import written
 def closure(tree: DataFrame) -> DataFrame:
     """(anc, desc, hops, dist) of each node and all it leads to, itself included. Paths are doubled: rounds grow with the logarithm of the depth."""
     edges = tree.select(F.col("parent").alias("anc"), F.col("child").alias("desc"), F.lit(1).alias("hops"), F.col("dist").cast("long").alias("dist"))
-    # paths of up to `reach` hops, and those of just `reach`
-    known = written(edges, "closure")
+    # paths of up to `reach` hops, of which those of just `reach` are in the last table
+    known = last = written(edges, "closure")
     reach = 1
     while True:
-        ends = known.where(F.col("hops") == reach)
+        ends = last.where(F.col("hops") == reach)
         onward = known.select(F.col("anc").alias("desc"), F.col("desc").alias("d2"), F.col("hops").alias("h2"), F.col("dist").alias("w2"))
         more = written(ends.join(onward, "desc").select("anc", F.col("d2").alias("desc"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("dist") + F.col("w2")).alias("dist")), "closure")
         if not more.limit(1).count():
             break
-        known = written(known.unionByName(more), "closure")
+        known, last = known.unionByName(more), more
         reach *= 2
     nodes = tree.select(F.col("parent").alias("n")).union(tree.select("child")).distinct()
     return known.unionByName(nodes.select(F.col("n").alias("anc"), F.col("n").alias("desc"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("dist")))
@@ -33,6 +33,25 @@ def lineages(closed: DataFrame) -> DataFrame:
     return up.join(down, "cell").select("cell", "depth", "height", "subtreesize", "root_dist")
 
 
+def measured(tree: DataFrame) -> DataFrame:
+    """As lineages(), without the closure: after k rounds each node points to its ancestor 2^k hops up, and knows what lies less than 2^k hops below. A round has one row for
+    each node, and rounds grow with the logarithm of the depth."""
+    tops = roots(tree).select("cell", F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("root_dist"))
+    own = tree.select(F.col("child").alias("cell"), F.col("parent").alias("up"), F.lit(1).alias("depth"), F.col("dist").cast("long").alias("root_dist")).unionByName(tops)
+    own = written(own.withColumn("subtreesize", F.lit(1).cast("long")).withColumn("height", F.lit(0)), "measures")
+    hops = 1
+    while own.where("up is not null").limit(1).count():
+        above = own.select(F.col("cell").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root_dist").alias("_dist"))
+        below = own.where("up is not null").groupBy(F.col("up").alias("cell")).agg(F.sum("subtreesize").alias("_size"), (F.max("height") + hops).alias("_height"))
+        next_ = own.join(above, "up", "left").join(below, "cell", "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        own = written(
+            next_.select("cell", F.col("_up").alias("up"), (F.col("depth") + zero("_depth")).alias("depth"), (F.col("root_dist") + zero("_dist")).alias("root_dist"),
+                         (F.col("subtreesize") + zero("_size")).alias("subtreesize"), F.greatest("height", zero("_height")).alias("height")), "measures")
+        hops *= 2
+    return own.select("cell", "depth", "height", "subtreesize", "root_dist")
+
+
 def roots(tree: DataFrame) -> DataFrame:
     return tree.select(F.col("parent").alias("cell")).distinct().join(tree.select(F.col("child").alias("cell")), "cell", "left_anti")
 

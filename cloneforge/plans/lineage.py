@@ -21,19 +21,24 @@ class Lineage:
     root: str
 
 
-def infer(profile: DataFrame, mode: str = "directed", small: int = 4000) -> Lineage:
-    """The tree of all cells of a segmented profile. Graphs of up to `small` cells are solved in one task, larger ones in rounds."""
+def infer(profile: DataFrame, mode: str = "directed", small: int = 4000, coords: DataFrame | None = None, radius: float = 30.0) -> Lineage:
+    """The tree of all cells of a segmented profile; with coords (cell, x, y), of distances between cells nearer than radius alone, and between the root and all. Graphs of up to `small` cells are
+    solved in one task, larger ones in rounds. Where the root doesn't reach every cell, ValueError."""
     profile, root = segment.with_root(profile)
-    edges = written(distance.all_pairs(segment.packed(profile), mode), "distances")
-    if profile.select("cell").distinct().count() <= small:
-        tree = arborescence.group_trees(edges, root)
+    packed = segment.packed(profile)
+    if coords is None:
+        edges = distance.all_pairs(packed, mode)
     else:
-        tree = arborescence.tree(edges, root)
-        if tree is None:
-            raise ValueError("the root does not reach every cell")
-    tree = written(tree, "tree")
-    closed = written(trees.closure(tree), "closure")
-    return Lineage(tree, closed, written(trees.lineages(closed), "lineages"), root)
+        near = distance.near_pairs(coords.where(F.col("cell") != root), radius)
+        from_root = profile.select("cell").distinct().where(F.col("cell") != root).select(F.lit(root).alias("src"), F.col("cell").alias("dst"))
+        edges = distance.pair_distance(near.unionByName(from_root), packed, mode)
+    edges = written(edges, "distances")
+    n = profile.select("cell").distinct().count()
+    tree = arborescence.group_trees(edges, root) if n <= small else arborescence.tree(edges, root)
+    tree = None if tree is None else written(tree, "tree")
+    if tree is None or tree.count() < n - 1:
+        raise ValueError("the root does not reach every cell")
+    return Lineage(tree, written(trees.closure(tree), "closure"), written(trees.measured(tree), "lineages"), root)
 
 
 def band_numbers(bins: DataFrame, bands: DataFrame) -> DataFrame:
@@ -51,18 +56,76 @@ def gene_numbers(bins: DataFrame, genes: DataFrame) -> DataFrame:
     return votes.select("cell", "chrom", F.col("gene").alias("feature"), "cn")
 
 
-def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Levels of the eligible lineages, levels under permutations on the same tree, and tests."""
+def of_pathways(genes: DataFrame, pathways: DataFrame) -> DataFrame:
+    """Genes (gene, ...) that a table of pathways (schema.PATHWAY) names, each once."""
+    return genes.join(pathways.select(F.col("name").alias("gene")).distinct(), "gene", "left_semi")
+
+
+def relative_numbers(genes: DataFrame, annotation: DataFrame, scale: float = 2) -> DataFrame:
+    """(cell, chrom, feature, cn) by gene, from relative copy numbers (GENES), of genes with a place and a number in every cell."""
+    own = genes.join(annotation.select("gene", "chrom"), "gene").where(~F.col("chrom").isin("M", "MT", "24"))
+    return segment.complete_features(own.select("cell", "chrom", F.col("gene").alias("feature"), numeric.absolute(F.col("rel"), scale).alias("cn")), ["chrom", "feature"], "cn")
+
+
+def relative_bands(genes: DataFrame, annotation: DataFrame, bands: DataFrame, scale: float = 2) -> DataFrame:
+    """(cell, chrom, feature, cn) by band, from relative copy numbers: means of the genes that begin in it."""
+    places = genome.in_bands(annotation.withColumn("pos", F.col("start")), bands).select("gene", "chrom", "band")
+    means = genome.band_means(genes.withColumn("cn", numeric.absolute(F.col("rel"), scale)).join(places, "gene"))
+    return means.select("cell", "chrom", F.concat_ws(":", "chrom", "band").alias("feature"), "cn")
+
+
+def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size: int = 5, seed: int = 1234, shuffled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Levels of the eligible lineages, levels under permutations, and tests. Permutations stand on the same tree; with shuffled (perm_id, parent, child, dist), each on a tree of its own, whose
+    lineages of like size are the background."""
     spark = numbers.sparkSession
     numbers = written(numbers.where(F.col("cell") != "root"), "numbers")
     cells = trees.eligible(lineage.cells, lineage.root, least_size)
     levels = written(score.fold_levels(numbers, lineage.closed, cells, ["chrom", "feature"]), "levels")
+    if shuffled is not None:
+        permuted, sizes = permuted_tree_levels(numbers, shuffled, least_size, seed)
+        return levels, permuted, written(stats.significance(levels, permuted, stats.size_matched(cells, sizes), ["chrom", "feature"]), "tests")
     perms = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm_id"))
     map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed)
     permuted = written(score.permuted_levels(numbers, map_, lineage.closed, cells), "permuted")
     return levels, permuted, written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests")
 
 
+def adaptively_tested(numbers: DataFrame, lineage: Lineage, step: int = 10, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """As tested(), with as many permutations as are of use, in steps: until for no test score.goes_on() or the number that the size asks for is reached. Last: permutations made."""
+    spark = numbers.sparkSession
+    numbers = written(numbers.where(F.col("cell") != "root"), "numbers")
+    cells = trees.eligible(lineage.cells, lineage.root, least_size)
+    levels = written(score.fold_levels(numbers, lineage.closed, cells, ["chrom", "feature"]), "levels")
+    n_cells, n_features = (numbers.select(*c).distinct().count() for c in (["cell"], ["chrom", "feature"]))
+    most, permuted, n = score.permutations_needed(n_cells, n_features), None, 0
+    while n < most:
+        perms = spark.range(n + 1, min(n + step, most) + 1).select(F.col("id").cast("int").alias("perm_id"))
+        map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed)
+        new = score.permuted_levels(numbers, map_, lineage.closed, cells)
+        permuted = written(new if permuted is None else permuted.unionByName(new), "permuted")
+        n = min(n + step, most)
+        tests = written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests")
+        ps = [r.p for r in tests.select(F.round("pvalue", 4).alias("p")).distinct().collect()]  # no more than permutations make different ones
+        if not any(score.goes_on(n, p, most=most) for p in ps):
+            break
+    return levels, permuted, tests, n
+
+
+def permuted_tree_levels(numbers: DataFrame, shuffled: DataFrame, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
+    """Levels (perm_id, cell, chrom, feature, amp, del) of the eligible lineages of permuted trees, on the numbers as permuted for them, and the lineages' sizes (perm_id, cell, subtreesize)."""
+    named = shuffled.select("perm_id", *[F.concat_ws("/", "perm_id", c).alias(c) for c in ("parent", "child")], "dist")  # one forest, whose nodes tell their tree
+    closed = written(trees.closure(named), "closure")
+    tops = trees.roots(named).select(F.col("cell").alias("anc"))
+    sizes = trees.measured(named).join(tops.withColumnRenamed("anc", "cell"), "cell", "left_anti").where(F.col("subtreesize") >= least_size)
+    sizes = written(sizes.select("cell", "subtreesize"), "sizes")
+    perms = shuffled.select("perm_id").distinct()
+    map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed).withColumn("label", F.concat_ws("/", "perm_id", "label"))
+    levels = written(score.permuted_levels(numbers, map_, closed, sizes), "permuted")
+    own = F.substring_index("cell", "/", 1).cast("int")
+    bare = F.expr("substr(cell, instr(cell, '/') + 1)")
+    return levels.withColumn("cell", bare), sizes.select(own.alias("perm_id"), bare.alias("cell"), "subtreesize")
+
+
 def shuffled_trees(profile: DataFrame, n_perm: int = 100, seed: int = 1234, mode: str = "directed", name: str = "root") -> DataFrame:
     """(perm_id, parent, child, dist): a tree for each permutation, each solved in a task of its own."""
     spark = profile.sparkSession
@@ -93,17 +156,45 @@ def reported(found: DataFrame, lineage: Lineage) -> DataFrame:
     return sized.select("region", F.col("score").alias("Score"), "pvalue", "adjustp", "cell", "depth", "subtreesize", numeric.direction(F.col("score")).alias("CNA"))
 
 
-def dna(spark: SparkSession, bins: DataFrame, bands: DataFrame, genes: DataFrame | None = None, n_perm: int = 500, mode: str = "directed", cutoff: float = 0.01) -> dict[str, DataFrame]:
-    """From a matrix of bins (BINS) to tree, lineages and results by band, and by gene where genes (gene, chrom, start, end) are given."""
-    lineage = infer(segment.numbered_bins(bins), mode)
+def analysed(lineage: Lineage, by_band: DataFrame, by_gene: DataFrame | None, bands: DataFrame, n_perm: int, cutoff: float, shuffled: DataFrame | None) -> dict[str, DataFrame]:
     out = {"tree": lineage.tree, "lineages": lineage.cells}
-    levels, permuted, tests = tested(band_numbers(bins, bands), lineage, n_perm)
+    levels, permuted, tests = tested(by_band, lineage, n_perm, shuffled=shuffled)
     found = written(findings(tests, lineage, cutoff), "findings")
     out |= {"band_levels": levels, "band_tests": tests, "segmental": segmental(found, bands, lineage)}
     sized = found.join(lineage.cells.select("cell", "subtreesize"), "cell")
-    sizes = permuted.select("perm_id", "cell").distinct().join(lineage.cells.select("cell", "subtreesize"), "cell")
+    if shuffled is None:
+        sizes = permuted.select("perm_id", "cell").distinct().join(lineage.cells.select("cell", "subtreesize"), "cell")
+    else:
+        sizes = permuted_tree_levels(by_band, shuffled)[1]
     out["parallel"] = stats.parallel(sized, permuted.withColumnRenamed("feature", "region"), sizes)
-    if genes is not None:
-        levels, permuted, tests = tested(gene_numbers(bins, genes), lineage, n_perm)
+    if by_gene is not None:
+        levels, permuted, tests = tested(by_gene, lineage, n_perm, shuffled=shuffled)
         out |= {"gene_levels": levels, "gene_tests": tests, "gene": reported(findings(tests, lineage, cutoff), lineage)}
     return out
+
+
+def dna(
+    spark: SparkSession, bins: DataFrame, bands: DataFrame, genes: DataFrame | None = None, n_perm: int = 500, mode: str = "directed", cutoff: float | None = None,
+    pathways: DataFrame | None = None, n_trees: int = 0, coords: DataFrame | None = None, radius: float = 30.0,
+) -> dict[str, DataFrame]:
+    """From a matrix of bins (BINS) to tree, lineages and results by band, and by gene where genes (gene, chrom, start, end) are given; with pathways (PATHWAY), by the genes that these name.
+    With n_trees, that many permuted trees are the background instead of n_perm permutations on the same tree, and the cutoff is 0.05 instead of 0.01. coords, radius: see infer()."""
+    profile = segment.numbered_bins(bins)
+    lineage = infer(profile, mode, coords=coords, radius=radius)
+    if genes is not None and pathways is not None:
+        genes = of_pathways(genes, pathways)
+    shuffled = written(shuffled_trees(profile, n_trees, mode=mode), "shuffled") if n_trees else None
+    by_gene = gene_numbers(bins, genes) if genes is not None else None
+    return analysed(lineage, band_numbers(bins, bands), by_gene, bands, n_perm, cutoff or (0.05 if n_trees else 0.01), shuffled)
+
+
+def rna(
+    spark: SparkSession, genes: DataFrame, annotation: DataFrame, bands: DataFrame, width: int = 30, scale: float = 2, n_perm: int = 500, mode: str = "directed", cutoff: float | None = None,
+    pathways: DataFrame | None = None, n_trees: int = 0, coords: DataFrame | None = None, radius: float = 30.0,
+) -> dict[str, DataFrame]:
+    """As dna(), from relative copy numbers by gene (GENES) and their places (ANNOTATION): the tree is of bins of `width` neighbouring genes, results are by band and by gene, of pathways where given."""
+    profile = written(segment.binned_genes(genes, annotation, width, scale), "profile")
+    lineage = infer(profile, mode, coords=coords, radius=radius)
+    named = annotation if pathways is None else of_pathways(annotation, pathways)
+    shuffled = written(shuffled_trees(profile, n_trees, mode=mode), "shuffled") if n_trees else None
+    return analysed(lineage, relative_bands(genes, annotation, bands, scale), relative_numbers(genes, named, scale), bands, n_perm, cutoff or (0.05 if n_trees else 0.01), shuffled)

@@ -6,6 +6,7 @@ nearest-neighbour trees of cells, or heaps, where cell k hangs on cell k div 2.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import Window as W
 from cloneforge.functions import numeric
 from cloneforge.operators import arborescence, distance, genome, regions, score, segment, stats, trees
 from cloneforge.plans import lineage as lineages
-from cloneforge.plans.storage import table, written
+from cloneforge.plans.storage import shared_dir, table, written
+from cloneforge.sources import readers, writers
 
 HOUR = 3_600_000_000
 PERMS, SEED = 5, 1234
@@ -111,7 +113,7 @@ TESTED = f"{HEAPED}, {LEVELS}, {MAP}, {PERMUTED}, {SIDES}"
 
 def heaped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tree = heap(spark, d)
-    closed = written(trees.closure(tree), "closure")
+    closed = trees.closure(tree)
     return tree, closed, written(trees.lineages(closed), "lineages")
 
 
@@ -198,6 +200,161 @@ def complete_features(spark: SparkSession, d: str) -> DataFrame:
     return segment.complete_features(own, ["user_id", "event_type"], "value")
 
 
+# --- text tables, written and read again
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/cloneforge-text-{name}-{uuid.uuid4().hex}"
+
+
+def text_table(lines: DataFrame, header: str | None, name: str) -> str:
+    """The folder of a text of lines (k, line), in order of k, under a header."""
+    spark, path = lines.sparkSession, folder(lines.sparkSession, name)
+    if header is not None:
+        lines = spark.createDataFrame([(header,)], "line string").select(F.lit(None).alias("k"), "line").unionByName(lines, allowMissingColumns=True)
+    lines.repartition(1).sortWithinPartitions(F.col("k").asc_nulls_first()).select("line").write.text(path)
+    return path
+
+
+def matrix(spark: SparkSession, d: str, sep: str, of: str, lead: list, names: list[str], scale: float = 1) -> str:
+    """A text with a row for each of the bins or cells of the profile, after a header of names and cells or bins."""
+    prof = profile(spark, d)
+    column = F.col("cell") if of == "bins" else F.concat(F.lit("chr"), "chrom", F.lit("_"), "bin")
+    by = ["chrom", "bin"] if of == "bins" else ["cell"]
+    order = F.struct("cell") if of == "bins" else F.struct("chrom", "bin")
+    columns = [r.c for r in prof.select(column.alias("c"), order.alias("o")).distinct().orderBy("o").collect()]  # a matrix has its columns in its header
+    values = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "cn"))), lambda x: x["cn"] * scale)
+    lines = prof.groupBy(*by).agg(values.alias("v")).select(F.struct(*by).alias("k"), F.concat_ws(sep, *lead, F.array_join("v", sep)).alias("line"))
+    return text_table(lines.withColumn("k", F.to_json("k")), sep.join([*names, *columns]), of)
+
+
+@query(f"WITH {PROF} SELECT cell, chrom, CAST(bin * 100 AS BIGINT) AS pos, cn FROM prof")
+def dna_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return readers.dna_matrix(spark, matrix(spark, d, "\t", "bins", [F.concat(F.lit("chr"), "chrom"), (F.col("bin") * 100).cast("string")], ["chrom", "chrompos"]))
+
+
+@query(f"WITH {PROF} SELECT cell, chrom, CAST(bin * 100 AS BIGINT) AS pos, cn FROM prof")
+def dna_matrix_by_blanks(spark: SparkSession, d: str) -> DataFrame:
+    return readers.dna_matrix(spark, matrix(spark, d, "  ", "bins", ["chrom", (F.col("bin") * 100).cast("string")], ["chrom", "chrompos"]), None)
+
+
+def rna(spark: SparkSession, d: str) -> DataFrame:
+    return readers.rna_matrix(spark, matrix(spark, d, "\t", "bins", [F.concat_ws("_", "chrom", "bin")], [], 0.5))
+
+
+GENED = "genes AS (SELECT cell, chrom || '_' || bin AS gene, chrom, bin, CAST(cn AS DOUBLE) / 2 AS rel, cn FROM prof)"
+
+
+@query(f"WITH {PROF}, {GENED} SELECT cell, gene, rel FROM genes")
+def rna_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rna(spark, d)
+
+
+@query(f"WITH {PROF} SELECT cell, chrom, bin, cn FROM prof")
+def segmented_profile(spark: SparkSession, d: str) -> DataFrame:
+    return readers.segmented(spark, matrix(spark, d, "\t", "cells", ["cell"], []))
+
+
+@query(f"WITH {PROF}, {GENED}, placed AS (SELECT *, least((row_number() OVER (PARTITION BY cell, chrom ORDER BY bin) - 1) // 5 + 1, 3) AS b FROM genes) SELECT cell, chrom, CAST(b AS INTEGER) AS bin, CAST(round_even(avg(cn), 0) AS INTEGER) AS cn FROM placed GROUP BY 1, 2, 3")
+def rna_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of five genes, from relative numbers; of 16 genes of a chromosome the last three segments' remainder goes to the third."""
+    return segment.binned_genes(rna(spark, d), gene_places(spark, d), 5)
+
+
+def gene_places(spark: SparkSession, d: str) -> DataFrame:
+    own = profile(spark, d).select("chrom", "bin").distinct()
+    return own.select(F.concat_ws("_", "chrom", "bin").alias("gene"), "chrom", (F.col("bin") * 100).cast("long").alias("start"), (F.col("bin") * 100 + 50).cast("long").alias("end"))
+
+
+@query("SELECT gene, chrom, start, stop FROM (SELECT 'g' || (p_partkey % 700) AS gene, CASE WHEN p_size % 24 = 22 THEN '23' WHEN p_size % 24 = 23 THEN '24' ELSE CAST(p_size % 24 + 1 AS VARCHAR) END AS chrom, CAST(p_size AS BIGINT) * 1000 AS start, CAST(p_size AS BIGINT) * 1000 + p_partkey AS stop, row_number() OVER (PARTITION BY p_partkey % 700 ORDER BY p_partkey) AS k FROM part) WHERE k = 1 AND chrom <> '24'")
+def annotation(spark: SparkSession, d: str) -> DataFrame:
+    """The first place of each gene in the file, without those on Y."""
+    size = F.col("p_size") % 24
+    chrom = F.when(size == 22, "chrX").when(size == 23, "chrY").otherwise(F.concat(F.lit("chr"), size + 1))
+    start = F.col("p_size").cast("long") * 1000
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("\t", F.concat(F.lit("g"), F.col("p_partkey") % 700), chrom, start.cast("string"), (start + F.col("p_partkey")).cast("string")).alias("line"))
+    return readers.annotation(spark, text_table(lines, None, "annotation")).withColumnRenamed("end", "stop")
+
+
+@query("SELECT 'g' || p_partkey AS gene, p_size FROM part WHERE p_partkey IN (SELECT n_nationkey * 3 FROM nation)")
+def pathway_genes(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat_ws("\t", F.lit("chr1"), F.lit("1"), F.lit("2"), F.concat(F.lit("g"), F.col("n_nationkey") * 3), F.concat(F.lit("p"), "n_regionkey")).alias("line"))
+    named = readers.pathways(spark, text_table(lines, "chr\tstart\tend\tname\tpathway", "pathways"))
+    return lineages.of_pathways(table(spark, d, "part").select(F.concat(F.lit("g"), "p_partkey").alias("gene"), "p_size"), named.unionByName(named))
+
+
+@query(f"WITH {HEAP} SELECT parent, child, dist FROM tree")
+def tree_table(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "tree")
+    writers.tree(heap(spark, d), path)
+    return readers.tree(spark, path)
+
+
+@query(f"WITH {PROF}, {MAP} SELECT perm_id, chrom, cell, label FROM map")
+def permutation_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "permutations")
+    writers.permutations(shuffle_map(spark, d), path)
+    return readers.permutations(spark, path).withColumn("perm_id", F.col("perm_id").cast("int"))
+
+
+@query(f"WITH {PROF} SELECT cell, " + ", ".join(f"max(cn) FILTER (chrom = '{c}' AND bin = {b}) AS chr{c}_{b}" for c in range(4) for b in range(1, 17)) + " FROM prof GROUP BY cell")
+def wide_profiles(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "profiles")
+    writers.profiles(profile(spark, d), path)
+    got = spark.read.csv(path, sep="\t", header=True)
+    return got.select("cell", *[F.col(c).cast("int") for c in got.columns[1:]])
+
+
+def nation_profile(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("chrom"), (F.col("c_custkey") % 8 + 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("cell")).crossJoin(table(spark, d, "customer").select(F.col("c_mktsegment").alias("chrom")).distinct()).crossJoin(spark.range(1, 9).select(F.col("id").cast("int").alias("bin")))
+    return grid.join(own, ["cell", "chrom", "bin"], "left").select("cell", "chrom", "bin", (F.coalesce("n", F.lit(0)) % 4 + 1).cast("int").alias("cn"))
+
+
+NATION_PROF = """prof AS (SELECT g.cell, g.chrom, g.bin, CAST(coalesce(n, 0) % 4 + 1 AS INTEGER) AS cn FROM
+  (SELECT CAST(n_nationkey AS VARCHAR) AS cell, chrom, bin FROM nation, (SELECT DISTINCT c_mktsegment AS chrom FROM customer), (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS bin)) g
+  LEFT JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS cell, c_mktsegment AS chrom, CAST(c_custkey % 8 + 1 AS INTEGER) AS bin, count(*) AS n FROM customer GROUP BY 1, 2, 3) USING (cell, chrom, bin))"""
+
+
+@query(f"WITH {_med('directed').replace(PROF, NATION_PROF)} SELECT src, " + ", ".join(f"coalesce(max(w) FILTER (dst = '{k}'), 0) AS d{k}" for k in range(25)) + " FROM med GROUP BY src")
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "distances")
+    writers.distances(distance.all_pairs(segment.packed(nation_profile(spark, d))), path)
+    got = spark.read.csv(path, sep="\t", header=True)
+    return got.select("src", *[F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(f"d{c}") for c in got.columns[1:]])
+
+
+@query(ORDERS + " SELECT 'kept' AS kind, cell, chrom || ':' || cn AS other FROM prof WHERE cell IN (SELECT par_cell FROM first) UNION ALL SELECT 'copy', cell, par_cell FROM whole JOIN first USING (p) WHERE cell <> par_cell")
+def duplicate_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "duplicates")
+    writers.duplicates(*segment.collapsed(_orders(spark, d)), path)
+    kept, copies = (spark.read.csv(f"{path}/{x}", sep="\t", header=True) for x in ("kept", "duplicates"))
+    return kept.select(F.lit("kept").alias("kind"), "cell", F.concat_ws(":", "chrom", "cn").alias("other")).unionByName(copies.select(F.lit("copy").alias("kind"), F.col("dup_cell").alias("cell"), F.col("par_cell").alias("other")))
+
+
+DRAW = "CAST(CAST(('0x' || left(md5({}), 8)) AS BIGINT) AS DOUBLE) / 4294967296"
+
+
+@query(f"""WITH own AS (SELECT g, c, {DRAW.format("'42:' || c")} AS u, {DRAW.format("'42:' || g || ':' || c")} AS noise FROM range(60) a(g), range(50) b(c))
+SELECT 'cell' || c AS cell, 'gene' || g AS gene, round(greatest(0.1, CASE WHEN g < 12 AND u < 0.3 THEN 1.5 WHEN g >= 12 AND g < 24 AND u >= 0.8 THEN 0.5 ELSE 1.0 END + 0.2 * (noise - 0.5)), 9) AS rel FROM own""")
+def synthetic_source(spark: SparkSession, d: str) -> DataFrame:
+    return readers.synthetic(spark, 60, 50).select("cell", "gene", _r("rel"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty: the limit is what is asked for."""
+    return table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
+
+
+@query("""SELECT n, p, CASE WHEN n < 20 THEN TRUE WHEN n >= 100 OR p > 0.1 OR p < 0.001 THEN FALSE ELSE NOT (n > 50 AND p > 0.05) END AS goes_on,
+  CASE WHEN n * 100 > 5000 OR n * 50 > 2000 THEN 30 WHEN n * 100 > 1000 OR n * 50 > 1000 THEN 50 ELSE 100 END AS needed FROM (SELECT CAST(n AS INTEGER) AS n, p FROM range(1, 111) t(n), (SELECT CAST(unnest([0.0005, 0.01, 0.05, 0.07, 0.1, 0.2]) AS DOUBLE) AS p))""")
+def adaptive_permutations(spark: SparkSession, d: str) -> DataFrame:
+    """When permutations go on, and how many a size asks for."""
+    rows = [(n, p, score.goes_on(n, p), score.permutations_needed(100 * n, 50 * n)) for n in range(1, 111) for p in (0.0005, 0.01, 0.05, 0.07, 0.1, 0.2)]
+    return spark.createDataFrame(rows, "n int, p double, goes_on boolean, needed int")
+
+
 # --- distances
 
 
@@ -243,9 +400,110 @@ def spatial_gated_pairs(spark: SparkSession, d: str) -> DataFrame:
     return distance.near_pairs(coords, 30.0)
 
 
+CHOSEN = "CAST(('0x' || left(md5(cell), 8)) AS BIGINT) % 10 = 0"
+
+
+@query(f"""WITH {_med('directed')}, {_med('none').replace('med AS', 'plain AS').replace('diffs', 'diffs0').replace('rises', 'rises0').replace('chroms', 'chroms0').replace('pairs', 'pairs0').split('),', 1)[1].lstrip()},
+cells AS (SELECT DISTINCT cell, {CHOSEN} AS own FROM prof),
+near AS (SELECT src AS cell, arg_min(dst, row(w, dst)) AS by FROM plain JOIN cells a ON a.cell = src AND NOT a.own JOIN cells b ON b.cell = dst AND b.own GROUP BY 1 UNION ALL SELECT cell, cell FROM cells WHERE own)
+SELECT a.cell AS src, b.cell AS dst, CASE WHEN a.by = b.by THEN 0 ELSE w END AS w FROM near a JOIN near b ON a.cell <> b.cell LEFT JOIN med ON med.src = a.by AND med.dst = b.by""")
+def approximate_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances by a sample of one cell in ten."""
+    return distance.approximate(segment.packed(profile(spark, d)), 10)
+
+
+@query(f"""WITH {HEAP}, {_med('symmetric')}, edges AS (SELECT parent AS src, child AS dst, least(parent, child) AS x, greatest(parent, child) AS y FROM tree WHERE parent <> child),
+flat AS (SELECT src, dst, x, y, a.chrom, sum(abs(a.cn - b.cn)) AS l1, count(*) FILTER (a.cn <> 0 OR b.cn <> 0) AS n, bool_or((a.cn = 0) <> (b.cn = 0)) AS bad FROM edges JOIN prof a ON a.cell = x JOIN prof b ON b.cell = y AND b.chrom = a.chrom AND b.bin = a.bin GROUP BY 1, 2, 3, 4, 5)
+SELECT f.src, f.dst, CAST(sum(CASE WHEN bad THEN 1000000 WHEN n > 10 THEN l1 ELSE coalesce(c.s, 0) END) AS BIGINT) AS w FROM flat f LEFT JOIN chroms c ON c.src = f.x AND c.dst = f.y AND c.chrom = f.chrom GROUP BY 1, 2""")
+def quick_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of given pairs, by the sum of differences where more than ten bins are left."""
+    pairs = heap(spark, d).where("parent <> child").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    return distance.quick_pair_distance(pairs, segment.packed(profile(spark, d)))
+
+
+@query(f"""WITH {_med('directed')}, place AS (SELECT CAST(vec_id AS VARCHAR) AS cell, CAST(vec_id % 50 AS DOUBLE) * 20 AS x, CAST(vec_id // 50 AS DOUBLE) * 20 AS y FROM embeddings)
+SELECT src, dst, w FROM med JOIN place a ON a.cell = src JOIN place b ON b.cell = dst WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 900""")
+def gated_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between cells nearer than 30 alone."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("cell"), ((F.col("vec_id") % 50) * 20.0).alias("x"), (F.floor(F.col("vec_id") / 50) * 20.0).alias("y"))
+    return distance.pair_distance(distance.near_pairs(own, 30.0), segment.packed(profile(spark, d)))
+
+
 # --- graphs and trees
 
 
+def region_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A complete digraph of the regions, and a root: distinct weights, so that one tree is the least."""
+    a = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("a"))
+    b = a.withColumnRenamed("a", "b")
+    weight = lambda w, k: w * (1 << 32) + F.pow(F.lit(2.0), k).cast("long")
+    inner = a.crossJoin(b).where("a <> b").select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), weight((F.col("a") * 3 + F.col("b") * 5 + F.col("a") * F.col("b")) % 7 + 1, F.col("a") * 5 + F.col("b")).alias("w"))
+    return inner.unionByName(b.select(F.lit("root").alias("src"), F.col("b").cast("string").alias("dst"), weight(40 + F.col("b") * 7 % 4, 25 + F.col("b")).alias("w")))  # 25 edges
+
+
+REGION_GRAPH = """edges AS (SELECT CAST(x.r_regionkey AS INTEGER) AS a, CAST(y.r_regionkey AS INTEGER) AS b, ((x.r_regionkey * 3 + y.r_regionkey * 5 + x.r_regionkey * y.r_regionkey) % 7 + 1) * CAST(4294967296 AS BIGINT) + (CAST(1 AS BIGINT) << (x.r_regionkey * 5 + y.r_regionkey)) AS w
+  FROM region x, region y WHERE x.r_regionkey <> y.r_regionkey UNION ALL SELECT -1, r_regionkey, (40 + r_regionkey * 7 % 4) * CAST(4294967296 AS BIGINT) + (CAST(1 AS BIGINT) << (25 + r_regionkey)) FROM region)"""
+
+
+def _followed(k: int, times: int) -> str:
+    """The node that is so many parents up from k."""
+    return str(k) if times == 0 else f"CASE {_followed(k, times - 1)} WHEN 0 THEN e0.a WHEN 1 THEN e1.a WHEN 2 THEN e2.a WHEN 3 THEN e3.a WHEN 4 THEN e4.a ELSE -1 END"
+
+
+@query(f"""WITH {REGION_GRAPH}, trees AS (SELECT {", ".join(f"e{k}.a AS p{k}, e{k}.w AS w{k}" for k in range(5))}, {" + ".join(f"e{k}.w" for k in range(5))} AS total FROM {", ".join(f"edges e{k}" for k in range(5))}
+  WHERE {" AND ".join(f"e{k}.b = {k}" for k in range(5))} AND {" AND ".join(f"{_followed(k, 5)} = -1" for k in range(5))}), best AS (SELECT * FROM trees ORDER BY total LIMIT 1)
+{" UNION ALL ".join(f"SELECT CASE WHEN p{k} < 0 THEN 'root' ELSE CAST(p{k} AS VARCHAR) END AS parent, '{k}' AS child, w{k} AS dist FROM best" for k in range(5))}""")
+def rdmst_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The minimum tree of a digraph whose least edges make cycles, in rounds; in SQL the cheapest of all choices of parents."""
+    return arborescence.tree(written(region_graph(spark, d), "graph"), "root")
+
+
+def nation_graph(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
+    w = (F.col("a") * 37 + F.col("b") * 101 + F.col("a") * F.col("b") * 13) % 997
+    return a.crossJoin(a.withColumnRenamed("a", "b")).where("a <> b").select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), w.alias("w"))  # 600 edges
+
+
+NATION_GRAPH = "graph AS (SELECT CAST(x.n_nationkey AS VARCHAR) AS src, CAST(y.n_nationkey AS VARCHAR) AS dst, CAST((x.n_nationkey * 37 + y.n_nationkey * 101 + x.n_nationkey * y.n_nationkey * 13) % 997 AS BIGINT) AS w FROM nation x, nation y WHERE x.n_nationkey <> y.n_nationkey)"
+CYCLES = f"""{NATION_GRAPH}, chosen AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w, src) AS k FROM graph) WHERE k = 1),
+walk AS (SELECT dst AS node, src AS spot, 1 AS k FROM chosen UNION ALL SELECT walk.node, chosen.src, k + 1 FROM walk JOIN chosen ON chosen.dst = walk.spot WHERE k < 25),
+cycles AS (SELECT node, min(spot) AS cycle FROM walk WHERE node IN (SELECT node FROM walk WHERE spot = node) GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {CYCLES} SELECT node, cycle FROM cycles")
+def cycles_of_least_edges(spark: SparkSession, d: str) -> DataFrame:
+    return arborescence.cycle_nodes(arborescence.least_incoming(nation_graph(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {CYCLES}, less AS (SELECT src, dst, w - min(w) OVER (PARTITION BY dst) AS w FROM graph),
+named AS (SELECT coalesce(a.cycle, src) AS s, coalesce(b.cycle, dst) AS d, src, dst, w FROM less LEFT JOIN cycles a ON a.node = src LEFT JOIN cycles b ON b.node = dst)
+SELECT s AS src, d AS dst, w, src AS osrc, dst AS odst FROM (SELECT *, row_number() OVER (PARTITION BY s, d ORDER BY w, src, dst) AS k FROM named WHERE s <> d) WHERE k = 1""")
+def contracted_cycles(spark: SparkSession, d: str) -> DataFrame:
+    graph = written(nation_graph(spark, d), "graph")
+    cycles = arborescence.cycle_nodes(arborescence.least_incoming(graph))
+    return arborescence.contracted(arborescence.reduced(graph), cycles)
+
+
+@query("""WITH RECURSIVE links AS (SELECT CAST(c_custkey AS VARCHAR) AS src, CAST(c_custkey * 2 AS VARCHAR) AS dst FROM customer UNION SELECT CAST(c_custkey AS VARCHAR), CAST(c_custkey + 7 AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0),
+seen AS (SELECT '1' AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM seen JOIN links ON src = node WHERE hops < 60) SELECT node, min(hops) AS hops FROM seen GROUP BY node""")
+def reached(spark: SparkSession, d: str) -> DataFrame:
+    """Fewest steps from node 1, in a graph that doubles numbers and, of those divisible by three, adds seven."""
+    key = F.col("c_custkey")
+    own = table(spark, d, "customer")
+    step = lambda to, which: own.where(which).select(key.cast("string").alias("src"), to.cast("string").alias("dst"))
+    return arborescence.reach(step(key * 2, F.lit(True)).unionByName(step(key + 7, key % 3 == 0)), "1")
+
+
+@query(f"""WITH RECURSIVE {NATION_GRAPH}, own AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(w) * 1000 + min(CAST(src AS INTEGER) * 25 + CAST(dst AS INTEGER)) AS w FROM graph GROUP BY 1, 2),
+lighter AS (SELECT src, dst, w, src AS spot FROM own UNION SELECT l.src, l.dst, l.w, CASE WHEN e.src = l.spot THEN e.dst ELSE e.src END FROM lighter l JOIN own e ON e.w < l.w AND (e.src = l.spot OR e.dst = l.spot))
+SELECT src, dst, w FROM own WHERE (src, dst) NOT IN (SELECT (src, dst) FROM lighter WHERE spot = dst)""")
+def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The minimum spanning tree of an undirected graph; in SQL the edges whose ends no lighter edges connect."""
+    code = F.col("src").cast("long") * 25 + F.col("dst").cast("long")
+    own = nation_graph(spark, d).withColumn("code", code).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg((F.min("w") * 1000 + F.min("code")).alias("w"))
+    return arborescence.spanning_forest(own)
+
+
 @query(f"WITH {_med('directed')} SELECT dst AS src, src AS dst, w - min(w) OVER (PARTITION BY src) AS w FROM med")
 def reversed_and_reduced(spark: SparkSession, d: str) -> DataFrame:
     return arborescence.reduced(arborescence.reversed_edges(med(spark, d)))
@@ -268,22 +526,22 @@ def subtree_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {NEAREST}, {CLOSE}, {LINEAGE} SELECT cell, depth, height, subtreesize, root_dist FROM lineage")
 def tree_lineages(spark: SparkSession, d: str) -> DataFrame:
-    return trees.lineages(trees.closure(written(nearest_tree(med(spark, d)), "tree")))
+    return trees.measured(written(nearest_tree(med(spark, d)), "tree"))
 
 
 @query(f"WITH RECURSIVE {HEAP}, {CLOSE}, {LINEAGE} SELECT cell, depth FROM lineage")
 def tree_depth(spark: SparkSession, d: str) -> DataFrame:
-    return heaped(spark, d)[2].select("cell", "depth")
+    return trees.measured(heap(spark, d)).select("cell", "depth")
 
 
 @query(f"WITH RECURSIVE {HEAP}, {CLOSE}, {LINEAGE} SELECT cell, height FROM lineage")
 def tree_height(spark: SparkSession, d: str) -> DataFrame:
-    return heaped(spark, d)[2].select("cell", "height")
+    return trees.measured(heap(spark, d)).select("cell", "height")
 
 
 @query(f"WITH RECURSIVE {HEAP}, {CLOSE}, {LINEAGE} SELECT cell, subtreesize FROM lineage WHERE subtreesize >= 5 AND cell <> '0'")
 def subtree_size(spark: SparkSession, d: str) -> DataFrame:
-    return trees.eligible(heaped(spark, d)[2], "0").select("cell", "subtreesize")
+    return trees.eligible(trees.measured(heap(spark, d)), "0").select("cell", "subtreesize")
 
 
 @query(f"WITH {HEAP} SELECT 'root' AS kind, parent AS cell FROM (SELECT DISTINCT parent FROM tree) WHERE parent NOT IN (SELECT child FROM tree) UNION ALL SELECT 'leaf', child FROM tree WHERE child NOT IN (SELECT parent FROM tree)")
@@ -295,8 +553,8 @@ def roots_and_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {HEAP}, {CLOSE}, {LINEAGE} SELECT parent, child, subtreesize * ((SELECT max(subtreesize) FROM lineage) - subtreesize) AS through FROM tree JOIN lineage ON cell = child")
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    tree, _, cells = heaped(spark, d)
-    return trees.betweenness(cells, tree)
+    tree = heap(spark, d)
+    return trees.betweenness(written(trees.measured(tree), "lineages"), tree)
 
 
 @query(f"WITH {HEAP} SELECT parent AS src, count(*) AS n_out FROM tree GROUP BY 1")
@@ -455,7 +713,7 @@ psizes AS (SELECT perm_id, anc AS cell, count(*) AS subtreesize FROM pclo GROUP
 def permuted_sizes(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for k, arity in enumerate(ARITIES, 1):
-        own = trees.lineages(trees.closure(heap(spark, d, arity))).select(F.lit(k).alias("perm_id"), "cell", "subtreesize")
+        own = trees.measured(heap(spark, d, arity)).select(F.lit(k).alias("perm_id"), "cell", "subtreesize")
         out = own if out is None else out.unionByName(own)
     return written(out, "sizes")
 
@@ -463,7 +721,43 @@ def permuted_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{HEAPED}, {SIZES} SELECT cell, perm_id, pcell FROM (SELECT l.cell, p.perm_id, p.cell AS pcell, rank() OVER (PARTITION BY l.cell, p.perm_id ORDER BY abs(p.subtreesize - l.subtreesize)) AS k
   FROM lineage l, psizes p WHERE l.subtreesize >= 5 AND l.cell <> '0') WHERE k = 1""")
 def size_matched_background(spark: SparkSession, d: str) -> DataFrame:
-    return stats.size_matched(trees.eligible(heaped(spark, d)[2], "0"), permuted_sizes(spark, d))
+    return stats.size_matched(trees.eligible(trees.measured(heap(spark, d)), "0"), permuted_sizes(spark, d))
+
+
+TREE_LEVELS = f"""{HEAPED}, {MAP}, {SIZES}, mine AS (SELECT * FROM psizes WHERE subtreesize >= 5 AND cell <> '0'),
+permuted AS (SELECT m.perm_id, c.anc AS cell, p.chrom, p.bin, CAST(sum(greatest(p.cn - 2, 0)) AS DOUBLE) / count(*) AS amp, CAST(sum(least(p.cn - 2, 0)) AS DOUBLE) / count(*) AS del
+  FROM prof p JOIN map m ON m.cell = p.cell AND m.chrom = p.chrom JOIN pclo c ON c.perm_id = m.perm_id AND c.descendant = m.label JOIN mine l ON l.perm_id = c.perm_id AND l.cell = c.anc GROUP BY 1, 2, 3, 4)"""
+
+
+def permuted_heaps(spark: SparkSession, d: str) -> DataFrame:
+    """Three trees that stand for trees of permutations."""
+    out = None
+    for k, arity in enumerate(ARITIES, 1):
+        own = heap(spark, d, arity).withColumn("perm_id", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return written(out, "shuffled")
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return profile(spark, d).select("cell", "chrom", F.col("bin").cast("string").alias("feature"), "cn")
+
+
+@query(f"{TREE_LEVELS} SELECT perm_id, cell, chrom, CAST(bin AS VARCHAR) AS feature, round(amp, 9) AS amp, round(del, 9) AS del FROM permuted")
+def permuted_tree_levels(spark: SparkSession, d: str) -> DataFrame:
+    got = lineages.permuted_tree_levels(features(spark, d), permuted_heaps(spark, d), 5, SEED)[0]
+    return got.select("perm_id", "cell", "chrom", "feature", _r("amp"), _r("del"))
+
+
+@query(f"""{TREE_LEVELS}, {LEVELS}, sides AS (SELECT cell, chrom, bin, 'AMP' AS direction, amp AS score FROM levels UNION ALL SELECT cell, chrom, bin, 'DEL', del FROM levels),
+matched AS (SELECT cell, perm_id, pcell FROM (SELECT l.cell, p.perm_id, p.cell AS pcell, rank() OVER (PARTITION BY l.cell, p.perm_id ORDER BY abs(p.subtreesize - l.subtreesize)) AS k FROM lineage l, mine p WHERE l.subtreesize >= 5 AND l.cell <> '0') WHERE k = 1),
+back AS (SELECT m.cell, p.chrom, p.bin, 'AMP' AS direction, p.amp AS score FROM matched m JOIN permuted p ON p.perm_id = m.perm_id AND p.cell = m.pcell UNION ALL SELECT m.cell, p.chrom, p.bin, 'DEL', p.del FROM matched m JOIN permuted p ON p.perm_id = m.perm_id AND p.cell = m.pcell)
+SELECT s.cell, s.chrom, CAST(s.bin AS VARCHAR) AS feature, s.direction, round(s.score, 9) AS score, round(CAST(count(b.score) FILTER (WHERE abs(b.score) >= abs(s.score)) + 1 AS DOUBLE) / (count(b.score) + 1), 9) AS pvalue
+FROM sides s JOIN back b USING (cell, chrom, bin, direction) GROUP BY s.cell, s.chrom, s.bin, s.direction, s.score""")
+def permuted_tree_test(spark: SparkSession, d: str) -> DataFrame:
+    """Tests against lineages of like size in trees of permutations."""
+    tree, closed, cells = heaped(spark, d)
+    _, _, tests = lineages.tested(features(spark, d), lineages.Lineage(tree, closed, cells, "0"), shuffled=permuted_heaps(spark, d), seed=SEED)
+    return tests.select("cell", "chrom", "feature", "direction", _r("score"), _r("pvalue"))
 
 
 def found(levels: DataFrame, cells: DataFrame) -> DataFrame:
@@ -520,6 +814,15 @@ def region_arm_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged(spark, d).select("cell", "depth", "region", _r("score"), _r("pvalue"), _r("adjustp"))
 
 
+@query(f"{HEAPED}, {LEVELS}, {FOUND}, {MERGED} SELECT region, round(score, 9) AS score, round(pvalue, 9) AS pvalue, round(adjustp, 9) AS adjustp, m.cell, CAST(m.depth AS INTEGER) AS depth, subtreesize, CASE WHEN score < 0 THEN 'DEL' ELSE 'AMP' END AS CNA FROM merged m JOIN lineage USING (cell)")
+def result_table(spark: SparkSession, d: str) -> DataFrame:
+    path, (tree, closed, cells) = folder(spark, "results"), heaped(spark, d)
+    writers.results(lineages.reported(merged(spark, d), lineages.Lineage(tree, closed, cells, "0")), path)
+    got = spark.read.csv(path, sep="\t", header=True)
+    number = lambda c, name: F.round(F.col(c).cast("double"), 9).alias(name)
+    return got.select("region", number("Score", "score"), number("pvalue", "pvalue"), number("adjustp", "adjustp"), "cell", F.col("depth").cast("int"), F.col("subtreesize").cast("long"), "CNA")
+
+
 @query(f"""{HEAPED}, {LEVELS}, {FOUND}, {MERGED}, split AS (SELECT m.*, split_part(region, ':', 1) AS chrom, substr(split_part(region, ':', 2), 1, 1) AS arm, substr(split_part(region, ':', 2), 2) AS rest FROM merged m),
 placed AS (SELECT s.*, CASE WHEN b.band IS NOT NULL THEN 'band' WHEN s.rest <> '' THEN 'major' ELSE 'arm' END AS kind, coalesce(b.bin, try_cast(s.rest AS INTEGER)) AS spot FROM split s LEFT JOIN bands b ON b.chrom || ':' || b.band = s.region),
 runs AS (SELECT *, spot - row_number() OVER (PARTITION BY cell, kind, chrom, arm, sg ORDER BY spot) AS island FROM placed WHERE kind <> 'arm'),

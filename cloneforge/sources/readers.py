@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +59,15 @@ def bands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotation(spark: SparkSession, path: str) -> DataFrame:
-    """Genes with their places, one row a gene (the first by place); those of the chromosomes M and Y are left out."""
+    """Genes with their places, one row a gene: the first in the file. Then those of the chromosomes M and Y are left out."""
     got = spark.read.csv(path, sep="\t", schema=schema.ANNOTATION).withColumn("chrom", numeric.chrom(F.col("chrom")))
-    return first_match(got.where(~F.col("chrom").isin("M", "MT", "24")))
+    line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return first_match(got.withColumn("line", line), ["line"]).where(~F.col("chrom").isin("M", "MT", "24"))
 
 
-def first_match(annotation_: DataFrame) -> DataFrame:
-    """Of several rows of a gene the first by place."""
-    best = annotation_.groupBy("gene").agg(F.min(F.struct("chrom", "start", "end")).alias("p"))
+def first_match(annotation_: DataFrame, order: Sequence[str] = ("chrom", "start", "end")) -> DataFrame:
+    """Of several rows of a gene the first by `order`."""
+    best = annotation_.groupBy("gene").agg(F.min_by(F.struct("chrom", "start", "end"), F.struct(*order)).alias("p"))
     return best.select("gene", "p.chrom", "p.start", "p.end")
 
 
@@ -87,7 +90,9 @@ def permutations(spark: SparkSession, path: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, genes: int, cells: int, seed: int = 42) -> DataFrame:
     """Relative copy numbers around 1: the first fifth of the genes is gained in about 30 % of the cells, the next fifth lost in about 20 %. -> schema.GENES"""
-    grid = spark.range(genes * cells).select(F.floor(F.col("id") / cells).alias("g"), (F.col("id") % cells).alias("c"), F.rand(seed).alias("noise"))
-    u = F.pmod(F.xxhash64("c", F.lit(seed)), F.lit(1000)) / 1000.0
+    grid = spark.range(genes * cells).select(F.floor(F.col("id") / cells).alias("g"), (F.col("id") % cells).alias("c"))
+    # from MD5, the same in any engine: a cell's share of the draw, and the noise of each number
+    draw = lambda *x: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *x).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    u, noise = draw("c"), draw("g", "c")
     base = F.when((F.col("g") < genes * 0.2) & (u < 0.3), 1.5).when((F.col("g") >= genes * 0.2) & (F.col("g") < genes * 0.4) & (u >= 0.8), 0.5).otherwise(1.0)
-    return grid.select(F.concat(F.lit("cell"), "c").alias("cell"), F.concat(F.lit("gene"), "g").alias("gene"), F.greatest(F.lit(0.1), base + 0.2 * (F.col("noise") - 0.5)).alias("rel"))
+    return grid.select(F.concat(F.lit("cell"), "c").alias("cell"), F.concat(F.lit("gene"), "g").alias("gene"), F.greatest(F.lit(0.1), base + 0.2 * (noise - 0.5)).alias("rel"))

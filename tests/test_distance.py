@@ -89,6 +89,12 @@ def test_properties(spark):
     assert all(w[a, c] <= w[a, b] + w[b, c] for a in names for b in names for c in names if len({a, b, c}) == 3)
 
 
+def test_cells_of_other_shapes_raise(spark):
+    rows = [("a", "1", [2, 2, 3]), ("b", "1", [2, 2])]
+    with pytest.raises(Exception, match="differ in their chromosomes or bins"):
+        distance.all_pairs(spark.createDataFrame(rows, "cell string, chrom string, cns array<int>")).collect()
+
+
 def test_near_pairs(spark):
     rng = np.random.default_rng(1)
     pts = [(f"c{k}", float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-100, 100, (80, 2)))]

@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,11 +46,10 @@ def test_bands(spark):
     points = spark.createDataFrame([("1", p) for p in (0, 1, 10, 11, 40, 51)], "chrom string, pos long")
     want = {(1, "p2"), (10, "p2"), (11, "p1"), (40, "q1.1")}
     assert {(r.pos, r.band) for r in genome.in_bands(points, bands).collect()} == want
-    most, genome.INTERVALS_MOST = genome.INTERVALS_MOST, 1
-    try:
-        assert {(r.pos, r.band) for r in genome.in_bands(points, bands).collect()} == want
-    finally:
-        genome.INTERVALS_MOST = most
+    # intervals that overlap hold a point each, whatever their lengths
+    nested = bands.unionByName(spark.createDataFrame([("1", 5, 1000, "x"), ("1", 7, 7, "empty")], bands.schema))
+    assert {(r.pos, r.band) for r in genome.in_bands(points, nested).collect()} == want | {(10, "x"), (11, "x"), (40, "x"), (51, "x")}
+    assert genome.in_bands(points, bands.limit(0)).count() == 0
     assert {(r.band, r.start, r.end) for r in genome.arms(bands).collect()} == {("p", 0, 20), ("q", 20, 50)}
     assert {(r.band, r.length) for r in genome.major_bands(bands).collect()} == {("p2", 10), ("p1", 10), ("q1", 30)}
 
@@ -186,6 +186,81 @@ def test_whole_analysis(spark):
     assert out["parallel"].columns == ["region", "lineage", "pvalue"]
 
 
+def clone_of_genes():
+    """Relative numbers of 24 cells on two chromosomes of 40 genes; in half of them a chromosome's first half is doubled."""
+    rows = []
+    for k in range(24):
+        for c in (1, 2):
+            for g in range(40):
+                clone = 2.0 if k >= 12 and c == 1 and g < 20 else 1.5 if k >= 12 and c == 2 and g < 2 * (k - 12) else 1.5 if 1 < k < 12 and c == 2 and g // 5 == k % 8 else 1.0
+                rows.append((f"c{k:02d}", f"g{c}_{g}", clone))
+    places = [(f"g{c}_{g}", str(c), 10 * g + 1, 10 * g + 9) for c in (1, 2) for g in range(40)] + [("gM", "M", 1, 2)]
+    bands = [(str(c), 200 * h, 200 * h + 200, "pq"[h] + "1") for c in (1, 2) for h in (0, 1)]
+    return rows, places, bands
+
+
+@pytest.mark.parametrize("n_trees", [0, 12])
+def test_whole_analysis_of_rna(spark, n_trees):
+    rows, places, bands = clone_of_genes()
+    genes = spark.createDataFrame(rows + [("c00", "unknown", 1.0), ("c01", "gM", 9.0)], "cell string, gene string, rel double")
+    annotation = spark.createDataFrame(places, "gene string, chrom string, start long, end long")
+    bands = spark.createDataFrame(bands, "chrom string, start long, end long, band string")
+    pathways = spark.createDataFrame([("1", 1, 2, f"g1_{g}", "p") for g in (0, 30)] + [("1", 1, 2, "g1_0", "q")], "chrom string, start long, end long, name string, pathway string")
+    out = lineage.rna(spark, genes, annotation, bands, width=5, n_perm=40, cutoff=0.4 if n_trees else 0.05, pathways=pathways, n_trees=n_trees)
+    assert out["tree"].count() in (23, 24)
+    # of the pathways' genes the one that the clone has twice
+    assert {r.feature for r in out["gene_levels"].select("feature").distinct().collect()} == {"g1_0", "g1_30"}
+    if n_trees:  # a chromosome keeps its clone in permuted trees, so that these find it too
+        assert out["band_tests"].where("pvalue > 0 and pvalue <= 1").count() == out["band_tests"].count() > 0
+    else:
+        assert out["segmental"].where("CNA = 'AMP' and region = '1:p1'").count() >= 1
+        assert {r.region for r in out["gene"].where("CNA = 'AMP'").collect()} == {"g1_0"}
+    assert out["parallel"].columns == ["region", "lineage", "pvalue"]
+
+
+def test_tree_of_near_cells(spark):
+    rows = [(f"c{k}", "1", b, 2 + k * (b == 1)) for k in range(4) for b in range(1, 6)]
+    prof = spark.createDataFrame(rows, "cell string, chrom string, bin int, cn int")
+    coords = spark.createDataFrame([("c0", 0.0, 0.0), ("c1", 0.0, 100.0), ("c2", 0.0, 10.0), ("c3", 0.0, 105.0)], "cell string, x double, y double")
+    near = lineage.infer(prof, coords=coords)
+    # c2 isn't near c1, nor c3 near c2: the root, which has no place, stands in
+    assert {(r.parent, r.child) for r in near.tree.collect()} == {("c0", "c1"), ("c0", "c2"), ("c1", "c3")}
+    assert near.root == "c0"
+
+
+@pytest.mark.parametrize("small", [0, 4000])
+def test_a_root_that_does_not_reach_all(spark, monkeypatch, small):
+    prof = spark.createDataFrame([("a", "1", 1, 2), ("b", "1", 1, 3)], "cell string, chrom string, bin int, cn int")
+    monkeypatch.setattr(lineage.distance, "all_pairs", lambda *a, **k: spark.createDataFrame([("b", "a", 1)], "src string, dst string, w bigint"))
+    with pytest.raises(ValueError):
+        lineage.infer(prof, small=small)
+
+
+def test_permutations_stop_when_of_no_more_use(spark):
+    rows, places, bands = clone_of_genes()
+    genes = spark.createDataFrame(rows, "cell string, gene string, rel double")
+    annotation = spark.createDataFrame(places, "gene string, chrom string, start long, end long")
+    own = lineage.infer(segment.binned_genes(genes, annotation, 5))
+    numbers = lineage.relative_bands(genes, annotation, spark.createDataFrame(bands, "chrom string, start long, end long, band string"))
+    _, permuted, tests, n = lineage.adaptively_tested(numbers, own, step=25)
+    assert 25 <= n <= 100 and permuted.select("perm_id").distinct().count() == n and tests.count() > 0
+
+
+def test_levels_of_many_features(spark):
+    rng = random.Random(4)
+    cn = {(c, f): rng.randrange(5) for c in "abcdef" for f in range(21) if rng.random() < 0.9}
+    df = spark.createDataFrame([(c, "1", f"f{f}", n) for (c, f), n in cn.items()], "cell string, chrom string, feature string, cn int")
+    closed = spark.createDataFrame([("a", x) for x in "abcdef"] + [("b", "b"), ("b", "c")], "anc string, desc string")
+    got = {(r.cell, r.feature): (r.n, r.amp, r["del"]) for r in score.fold_levels(df, closed, None, ["chrom", "feature"]).collect()}
+    want = {}
+    for top, members in (("a", "abcdef"), ("b", "bc")):
+        for f in range(21):
+            own = [cn[c, f] for c in members if (c, f) in cn]
+            if own:
+                want[top, f"f{f}"] = (len(own), sum(max(0, x - 2) for x in own) / len(own), sum(min(0, x - 2) for x in own) / len(own))
+    assert got == want
+
+
 def test_permuted_trees(spark):
     prof = spark.createDataFrame([(f"c{k}", c, b, 2 + (k + b) % 3) for k in range(6) for c in "12" for b in (1, 2, 3)], "cell string, chrom string, bin int, cn int")
     got = lineage.shuffled_trees(prof, 3)
@@ -206,7 +281,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["rel_to_abs_round", "fixed_count_binning", "profile_dedup", "med_symmetric", "least_incoming", "subtree_closure", "point_in_band", "nearest_bin", "gene_cn_vote", "cfl_score", "bh_adjust", "region_islands", "parallel_test"])
+@pytest.mark.parametrize("name", ["rel_to_abs_round", "fixed_count_binning", "profile_dedup", "med_symmetric", "least_incoming", "subtree_closure", "point_in_band", "nearest_bin", "gene_cn_vote", "cfl_score", "bh_adjust", "region_islands", "parallel_test", "dna_matrix", "dna_matrix_by_blanks", "rna_segments", "segmented_profile", "annotation", "pathway_genes", "duplicate_tables", "synthetic_source", "rdmst_in_rounds", "contracted_cycles", "spanning_forest", "reached", "approximate_distances", "quick_distances", "permuted_tree_test", "result_table"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -87,6 +87,22 @@ def test_long_chain(spark):
     assert all(got[f"c{k:03d}"] == (k, 150 - k, 151 - k) for k in range(151))
 
 
+def test_measures_without_the_closure(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"n{int(rng.integers(max(0, k - 4), k))}", f"n{k}", int(rng.integers(1, 9))) for k in range(1, 120)] + [("x", "y", 2)]
+    tree = spark.createDataFrame(rows, "parent string, child string, dist bigint")
+    cols = ["cell", "depth", "height", "subtreesize", "root_dist"]
+    rows = lambda df: sorted(map(tuple, df.select(*cols).collect()))
+    assert rows(trees.measured(tree)) == rows(trees.lineages(trees.closure(tree)))
+
+
+def test_measures_of_a_very_long_chain(spark):
+    n = 100_000
+    chain = spark.range(1, n).selectExpr("cast(id - 1 as string) parent", "cast(id as string) child", "cast(1 as bigint) dist")
+    got = trees.measured(chain)
+    assert got.where(f"depth + height <> {n - 1} or depth + subtreesize <> {n} or depth <> root_dist").count() == 0 and got.count() == n
+
+
 def test_star_and_edge(spark):
     star = tree_of(spark, [("r", f"l{k}") for k in range(5)])
     got = {r.cell: (r.depth, r.height, r.subtreesize) for r in trees.lineages(trees.closure(star)).collect()}
