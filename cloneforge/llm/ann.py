@@ -125,18 +125,21 @@ def _solved(place: np.ndarray, x: np.ndarray, unit: np.ndarray, words: np.ndarra
     return w
 
 
-def scanned(tables: np.ndarray, codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each query the places and sums of the `most` best rows by code. codes: a row for each pair of subspaces."""
+def scanned(tables: np.ndarray, codes: np.ndarray, most: int, together: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query the places and sums of the `most` best rows by code. codes: a row for each pair of subspaces, whose tables' sums are looked up for some queries at once."""
     if tables.shape[1] % 2:
         tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-    n = codes.shape[1]
-    for t in tables.astype(np.uint32):
-        pairs = (t[::2, :, None] + t[1::2, None, :]).reshape(-1, WORDS * WORDS)  # the two tables of a byte's codes
+    n, kind = codes.shape[1], np.uint16 if tables.shape[1] * 255 < 1 << 16 else np.uint32
+    codes = codes.astype(np.intp)
+    for at in range(0, len(tables), together):
+        t = tables[at : at + together].astype(kind)
+        pairs = (t[:, ::2, :, None] + t[:, 1::2, None, :]).reshape(len(t), -1, WORDS * WORDS).transpose(1, 2, 0).copy()
         near = pairs[0][codes[0]]
         for k in range(1, len(codes)):
-            near += pairs[k][codes[k]]
-        some = np.argpartition(near, n - most)[n - most :] if n > most else np.arange(n)
-        yield some, near[some]
+            near += np.take(pairs[k], codes[k], axis=0)
+        for sums in near.T.astype(np.uint32):
+            some = np.argpartition(sums, n - most)[n - most :] if n > most else np.arange(n)
+            yield some, sums[some]
 
 
 def chosen(sums: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -175,7 +178,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str =
     row_blocks, query_blocks = blocks(n, min(ROWS, max(1, BYTES // (8 * dim))), ROWS_LEAST), blocks(m, QUERIES, QUERIES_LEAST)
     share = reranked / row_blocks
     most = min(reranked, math.ceil(share + 6 * math.sqrt(share)) + 8) if row_blocks > 1 else reranked
-    sample = np.array([r.v for r in reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()], float).reshape(-1, dim)
+    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
+    sample = np.array(sample.column("v").combine_chunks().flatten(), float).reshape(-1, dim)
     books = Codebooks.fit(sample) if len(sample) else None
 
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
