@@ -9,7 +9,9 @@ Frequent shingles thus make no long lists: documents meet only where four values
 
 Equal sets are one class and enter once. In each list all are paired with the smallest id alone; pairs pass a size filter and the
 estimate from the union's sketch, and are verified on the full sets. What stands in one list but is then still in different
-components is compared in blocks, on the full sets, so that no link is lost.
+components gets inverted lists of another kind: of the rarest shingles of the full sets, so many that sets that are alike share one. Pages of
+one template that are not alike meet in none of these, as their rarest shingles are their own. Short lists give pairs, which are filtered, estimated
+and verified as before; what long ones connect is compared in blocks, on the full sets, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ K, RUN, SHORT_RUN = 64, 4, 2
 SHORT_MOST, LONG_LEAST = 19, 13
 #: Documents of a cluster in one block, about, and columns of a matrix that compares two blocks.
 BLOCK, COLUMNS = 512, 8192
+#: Documents of a list of rare shingles up to which its pairs are tried, and counters of shingles, as a power of two.
+TRIED, COUNTERS = 32, 20
 #: Ids that are broadcast at most, to read fewer texts.
 IDS_MOST = 500_000
 #: Pairs are dropped where the estimate is so many standard deviations below the threshold.
@@ -167,6 +171,64 @@ def leftover(entries: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFr
     return dealt.groupBy("cluster", "u1", "s1", "u2", "s2").applyInArrow(compare, "a bigint, b bigint")
 
 
+def rarest(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, n, tokens) of texts (doc_id, t): the rarest shingles of each set, n - ceil(percent n) + 1 of them, by counts over all these texts, and by hash. Counts are of hashes' first bits; any order
+    would do that is the same for all sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("shingles")
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, (shingles.shingle_set(raw.as_py(), width) >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    got = texts.select("t").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 1 << COUNTERS rows at most
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    counts[np.array(got.column("at"), np.int64)] = np.array(got.column("n"), np.int64)
+    magnitude = np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    magnitude = texts.sparkSession.sparkContext.broadcast(magnitude)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("shingles")
+        by = magnitude.value
+        for batch in batches:
+            n, tokens = [], []
+            for raw in batch.column(1):
+                own = shingles.shingle_set(raw.as_py(), width)
+                order = np.argsort(by[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)], kind="stable")  # sets are in order of hashes
+                n.append(len(own))
+                tokens.append(own[order[: len(own) - (percent * len(own) + 99) // 100 + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "n", "tokens"])
+
+    return texts.select("doc_id", "t").mapInArrow(run, "doc bigint, n bigint, tokens array<bigint>")
+
+
+def remaining(entries: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between what stands in one list but is in different components so far: by lists of rare shingles of the documents of such lists."""
+    labelled = entries.join(found, entries.doc == found.node, "left").select("list", "doc", F.coalesce("component", "doc").alias("c"))
+    mixed = labelled.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("list")
+    own = written(labelled.join(mixed, "list").select("doc", "c").distinct(), "left")
+    if not own.limit(1).count():
+        return own.select(F.col("doc").alias("a"), F.col("c").alias("b"))
+    texts = written(of_ids(docs, own.select(F.col("doc").alias("doc_id"))).dropDuplicates(["doc_id"]), "texts")
+    rare = written(rarest(texts, width, percent).join(own, "doc"), "rare")
+    long = rare.select("doc", "c", "n", F.posexplode("tokens").alias("pos", "list"))
+    lists_ = long.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("list", "m")
+    met = written(long.join(lists_, "list"), "met")
+    few = met.where(F.col("m") <= TRIED)
+    one = lambda x: few.select("list", F.col("doc").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    pairs = one("a").join(one("b"), "list").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    links = verified(written(estimated(pairs, reps, percent / 100, k), "pairs"), texts.withColumnRenamed("t", "text"), width, percent)
+    large = written(met.where(F.col("m") > TRIED).select("list", "doc"), "large")
+    if large.limit(1).count():
+        links = links.unionByName(leftover(large, found, reps, texts.withColumnRenamed("t", "text"), width, percent))
+    return links
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included),
     kept (is it the smallest?). Documents without words, null texts included, are linked with nothing. Repeated rows get equal
@@ -183,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     stars = counted.where("m = 2").select("a", F.col("z").alias("b")).unionByName(more.where("doc <> a").select("a", F.col("doc").alias("b"))).where("a <> b").distinct()
     links = written(verified(written(estimated(stars, reps, threshold, k), "pairs"), docs, width, percent), "links")
     found = components(links)
-    rest = written(leftover(more.select("list", "doc"), found, reps, docs, width, percent), "leftover")
+    rest = written(remaining(more.select("list", "doc"), found, reps, docs, width, percent, k), "leftover")
     if rest.limit(1).count():
         found = components(links.unionByName(rest))
     to = classes.join(found, classes.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("component"))

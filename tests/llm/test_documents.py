@@ -165,9 +165,11 @@ def test_near_duplicates(spark, width, seed):
     assert [(got[k].component_id, got[k].n_shingles, got[k].kept) for k in range(len(texts))] == [(c, n, c == k) for k, (c, n) in enumerate(zip(comps, sizes))]
 
 
-def test_near_duplicates_of_a_family(spark, monkeypatch):
-    """One family whose members are alike to some of the others only, compared in several blocks."""
+@pytest.mark.parametrize("tried", [32, 1])
+def test_near_duplicates_of_a_family(spark, monkeypatch, tried):
+    """One family whose members are alike to some of the others only, told by lists of rare shingles, and compared in several blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "TRIED", tried)
     rng = __import__("random").Random(9)
     base = cases.sentence(rng, 120, 9999).split(" ")
     texts = []
@@ -181,6 +183,21 @@ def test_near_duplicates_of_a_family(spark, monkeypatch):
     assert [got[k] for k in range(50)] == comps and len(set(comps)) > 1
 
 
+def test_pages_of_one_template_that_are_not_alike_meet_nowhere(spark, monkeypatch):
+    rng = random.Random(10)
+    base = cases.sentence(rng, 75, 99999)
+    texts = [base + " " + " ".join(f"p{k}w{i}" for i in range(24)) for k in range(400)] + [cases.sentence(rng, 100, 99999)]
+    texts.append(texts[7] + " end")
+    pairs, blocks = [], []
+    one, other = minhash.estimated, minhash.leftover
+    monkeypatch.setattr(minhash, "estimated", lambda p, *rest: pairs.append(p.count()) or one(p, *rest))
+    monkeypatch.setattr(minhash, "leftover", lambda *a: blocks.append(a) or other(*a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(cases.documents(spark, texts), 2).collect()}
+    assert got == {k: 7 if k == 401 else k for k in range(402)}
+    # lists of neighbours pair each with the first alone, those of rare shingles pair what is alike
+    assert len(pairs) == 2 and pairs[0] < 64 * len(texts) and pairs[1] <= 2 and not blocks
+
+
 def test_near_duplicates_odd(spark):
     docs = cases.odd(spark)
     got = minhash.near_duplicates(docs.select("doc_id", "text"), 5).collect()
