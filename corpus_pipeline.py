@@ -10,6 +10,10 @@ from cloneforge.llm import decontamination, lines, minhash, packing, quality
 from cloneforge.llm.common import table, written
 
 
+#: What near copies share: shingles of so many words, and so many in a hundred of them.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """docs with n_chars anew, for texts that were cut."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -26,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near copies stays, that of the smallest doc_id: copies are alike to 0.8 by shingles of NEAR_WORDS words."""
+    return minhash.deduplicated(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
