@@ -35,7 +35,7 @@ SHORT_MOST, LONG_LEAST = 19, 13
 #: Documents of a cluster in one block, about, and columns of a matrix that compares two blocks.
 BLOCK, COLUMNS = 512, 8192
 #: Documents of a list of rare shingles up to which its pairs are tried, and counters of shingles, as a power of two.
-TRIED, COUNTERS = 32, 20
+TRIED, COUNTERS = 32, 18
 #: Ids that are broadcast at most, to read fewer texts.
 IDS_MOST = 500_000
 #: Pairs are dropped where the estimate is so many standard deviations below the threshold.

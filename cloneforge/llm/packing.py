@@ -20,11 +20,11 @@ from pyspark.sql import Window as W
 from .common import cached, table, using, written
 
 #: Entries of a worker's word caches; words beyond are encoded each time they occur.
-WHOLE_WORDS, BARE_WORDS = 250_000, 350_000
+WHOLE_WORDS, BARE_WORDS = 150_000, 250_000
 END_ID = 2
 LENGTH = 4096
 #: Bytes of text encoded at a time.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 #: How a tokenizer by words parts them.

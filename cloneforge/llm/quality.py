@@ -125,9 +125,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen._id).select(F.col("_id").cast("long").alias("id"), F.col("_y").cast("int").alias("y"), "text")
-    # of rows of one doc_id the least text, so that no more than SAMPLE come to the driver
-    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
-    got = rows.mapInArrow(run, "id bigint, y int, x array<double>").toArrow()
+    # of rows of one doc_id the least features, so that no more than SAMPLE come to the driver
+    got = rows.mapInArrow(run, "id bigint, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
     if not got.num_rows:
         return None
     x = np.array(got.column("x").combine_chunks().values).reshape(got.num_rows, -1)

@@ -335,6 +335,24 @@ def test_pipeline(spark, tmp_path):
     assert {(r.doc_id, r.start, r.length) for r in run.collect()} == {(r.doc_id, r.start, r.length) for r in out.collect()}
 
 
+def test_near_copies_go_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [cases.sentence(rng, rng.randrange(80, 300), 9999) for _ in range(40)]
+    planted = []
+    for k in range(40):  # words changed, so many that 0.8 of the five-word shingles are left, or nearly so many
+        w = texts[k].split(" ")
+        for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            w[at] = f"new{k}"
+        planted.append(" ".join(w))
+    docs = cases.documents(spark, texts + planted)
+    shingles = lambda t: {tuple(t.split(" ")[i : i + 5]) for i in range(len(t.split(" ")) - 4)}
+    alike = {40 + k for k in range(40) if 100 * len(shingles(texts[k]) & shingles(planted[k])) >= 80 * len(shingles(texts[k]) | shingles(planted[k]))}
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert set(range(80)) - left == alike and len(alike) > 25
+
+
 @pytest.mark.parametrize("make", [cases.odd, cases.empty])
 def test_pipeline_stages_on_odd_input(spark, tmp_path, make):
     import corpus_pipeline
