@@ -3,7 +3,7 @@
 
 Pass one counts tokens and finds the frequent ones, of which there are a bounded number. Pass two orders each line's tokens by rarity
 (those that aren't frequent first, then by the count's magnitude; of equal ones by hash) and deals the prefix, of n - ceil(0.8 n) + 1 tokens,
-to inverted lists. Equal lines are told by a sum of hashes, a bitmap and the number of tokens, within each batch already. Of a list's other lines stay those that have a partner by
+to inverted lists. Equal lines are told by a sum of hashes, a bitmap and the number of tokens, and within a task already as far as it remembers them. Of a list's other lines stay those that have a partner by
 the length filter, the positional filter and a filter on bitmaps (each token turns one of 32 bits, so that two sets differ in at least as many
 tokens as their bitmaps in bits); they join the family of one of them. Any two lines that can match thus meet in a
 family, where the sizes of intersections are counted on the full sets. A large family is cut into blocks; each block meets each once.
@@ -36,6 +36,8 @@ DOCS_MOST, LINES_MOST = 200_000, 2_000_000
 STEP = 2 << 20
 #: n and pos are told up to here; lines with more tokens pass the filters.
 LONG = 32_767
+#: Slots of a task's memory of lines.
+SLOTS = 1 << 20
 #: Lines of a step, or 2 ** 22 of them, up to which a line's number fits into a sort key.
 KEYED = 1 << 22
 
@@ -232,8 +234,29 @@ def packed(bucket: np.ndarray, cut: np.ndarray, **columns: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), blobs.cast(pa.binary())], names=["bucket", "entries"])
 
 
+#: What a task remembers of a line; n is 0 in an empty slot.
+SEEN = np.dtype([("same", "<u8"), ("bits", "<u4"), ("n", "<i4"), ("doc", "<i8"), ("line", "<i4")])
+
+
+def remembered(seen: np.ndarray, same: np.ndarray, bits: np.ndarray, n: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines come later than an equal one in seen, and which are that line itself? The others are put there, in place of what had their slots:
+    a line that is forgotten is met again in its lists. The number of slots is a power of two."""
+    slot = (same & np.uint64(len(seen) - 1)).astype(np.int64)
+    old = seen[slot]
+    known = (old["same"] == same) & (old["bits"] == bits) & (old["n"] == n)
+    later = known & ((doc > old["doc"]) | (doc == old["doc"]) & (line > old["line"]))
+    again = known & (doc == old["doc"]) & (line == old["line"])
+    put = np.flatnonzero(~(later | again))
+    new = np.zeros(len(put), SEEN)
+    for name, values in (("same", same), ("bits", bits), ("n", n), ("doc", doc), ("line", line)):
+        new[name] = values[put]
+    seen[slot[put]] = new
+    return later, again
+
+
 def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, percent: int) -> DataFrame:
-    """Prefix tokens, packed by batch and bucket; in a bucket below 0, one for each partition, the lines that an equal line of their batch precedes."""
+    """Prefix tokens, packed by batch and bucket; in a bucket below 0, one for each partition, the lines that an equal line of their task precedes.
+    A line that stands everywhere is thus told to its lists about once a task."""
     keys = np.array(list(common), np.int64).view(np.uint64)
     magnitude = 1 + np.log2(np.maximum(1, np.array(list(common.values()), np.int64))).astype(np.int64)
     order = np.argsort(keys)
@@ -251,6 +274,7 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = -1 - TaskContext.get().partitionId()
+        seen = np.zeros(SLOTS, SEEN)
         for docs_, texts in _steps(batches):
             ids, values, owner, place = tokens(texts, width, rank if len(keys) else None)
             if not len(ids):
@@ -267,6 +291,10 @@ def entries(docs: DataFrame, common: dict[int, int], buckets: int, width: int, p
             out[order[twin]] = True
             gone = np.zeros(n_lines, bool)
             gone[order[twin & other]] = True
+            live = np.flatnonzero(~out)
+            later, again = remembered(seen, same[live], map_[live], n[live], docs_[owner[live]], place[live])
+            out[live[later | again]] = True
+            gone[live[later]] = True
             pos = np.arange(len(values)) - start[ids]
             prefix = n - (percent * n + 99) // 100 + 1
             keep = np.flatnonzero((pos < prefix[ids]) & ~out[ids])

@@ -274,6 +274,47 @@ def test_lines_whose_sums_of_hashes_collide(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == brute_lines(texts, 2)
 
 
+def test_lines_remembered():
+    """Against a dictionary of what each slot holds."""
+    rng = np.random.default_rng(5)
+    seen, own = np.zeros(16, lines.SEEN), {}
+    for step in range(200):
+        same = rng.choice(np.arange(1, 40, dtype=np.uint64), 12, replace=False)
+        bits, n = (same % np.uint64(3)).astype(np.uint32), 1 + (same % np.uint64(5)).astype(np.int64)
+        doc, line = rng.integers(-4, 5, 12), rng.integers(0, 4, 12)
+        later, again = lines.remembered(seen, same, bits, n, doc, line)
+        before = dict(own)
+        for k in range(12):
+            slot, key, at = int(same[k]) % 16, int(same[k]), (doc[k], line[k])
+            held = before.get(slot)
+            assert later[k] == (held is not None and held[0] == key and at > held[1])
+            assert again[k] == (held is not None and held == (key, at))
+            if not later[k] and not again[k]:
+                own[slot] = (key, at)
+    assert {(int(s["same"]), int(s["doc"]), int(s["line"])) for s in seen if s["n"]} == {(k, *at) for k, at in own.values()}
+
+
+def test_lines_over_steps(spark):
+    """One task, several steps: lines of earlier steps come again, earlier and later ones of them, and rows that come twice."""
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(40)) for _ in range(9_000)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(1_500)) for _ in range(16)]
+    order = list(range(16))
+    rng.shuffle(order)
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame([(d, texts[d]) for d in order + order[:3]], schema).coalesce(1)
+    met, want = set(), {}
+    for d in range(16):
+        kept = []
+        for t in texts[d].split("\n"):
+            if t not in met:
+                kept.append(t)
+            met.add(t)
+        want[d] = "\n".join(kept)
+    got = lines.deduplicated(docs).collect()
+    assert len(got) == 19 and all(r.text == want[r.doc_id] for r in got)
+
+
 def test_more_lines_in_a_step_than_a_sort_key_tells(monkeypatch):
     n = (1 << 22) + 10
     ids, values, owner, _ = lines.tokens([b"a b\n" * n], 2)
