@@ -6,7 +6,8 @@ repeated group of links, whatever they say.
 What is left is checked by names: menus, adverts and the like go, as told by their elements' names, roles, classes and ids, and of a page that names its
 article by an element what is outside goes.
 
-Wrappers are folded from all pages: equal shapes within a batch first, then the shapes of a host by salts of their hashes, in the order of the shapes, then paths by host.
+Wrappers are folded from all pages: equal shapes within a task first, then over tasks, in rounds where one shape has very many; then the shapes of a host by salts of their
+hashes, more for a host of many shapes, in the order of the shapes; then paths by host.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from .common import table, written
 
 #: Bytes of all wrappers up to which they are broadcast.
 WRAPPERS_MOST = 8 << 20
-SALTS = 32
+#: Salts of a host at least; bytes of wrappers that one task aligns, about; fields that a task holds before it gives them away.
+SALTS, GROUP, HELD = 32, 16 << 20, 100_000
 #: Share of a repeated group's characters in links from which it is a menu.
 LINKED = 0.9
 #: Fields of a wrapper up to which streams are aligned with it.
@@ -293,22 +296,69 @@ def host() -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, slot, required, n, repeated, linked): what the wrappers of a host say of each path, the pages that have it, and the share of its characters in links."""
+#: Wrappers of one shape each; part tells rows of one shape apart.
+SHAPES = "host string, shape bigint, wrapper string, pages bigint, part bigint"
+
+
+def shaped(pages: DataFrame) -> DataFrame:
+    """SHAPES of each task: pages of one host that hold the same paths in order."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple, list] = {}
+        held, given = 0, TaskContext.get().partitionId() << 32
+
+        def give() -> pa.RecordBatch:
+            nonlocal given
+            shapes = [xxhash.xxh3_64_intdigest("\n".join(k[1:])) - (1 << 63) for k in by]
+            columns = [pa.array([k[0] for k in by], pa.string()), pa.array(shapes, pa.int64()), pa.array([json.dumps(w) for w, _ in by.values()], pa.string()), pa.array([n for _, n in by.values()], pa.int64())]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(range(given, given + len(by)), pa.int64())], names=["host", "shape", "wrapper", "pages", "part"])
+            given += len(by)
+            by.clear()
+            return out
+
         for batch in batches:
-            by: dict[tuple, list] = {}
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = stream(raw.as_py() or "")
                 shape = (key, *[f[0] for f in own])
                 if shape in by:
                     by[shape] = [aligned(by[shape][0], own), by[shape][1] + 1]
-                else:
-                    by[shape] = [own, 1]
-            shapes = [xxhash.xxh3_64_intdigest("\n".join(k[1:])) - (1 << 63) for k in by]
-            columns = [pa.array([k[0] for k in by], pa.string()), pa.array(shapes, pa.int64()), pa.array([json.dumps(w) for w, _ in by.values()], pa.string()), pa.array([n for _, n in by.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "shape", "wrapper", "pages"])
+                    continue
+                by[shape] = [own, 1]
+                held += len(own) + 1
+                if held > HELD:
+                    held = 0
+                    yield give()
+        if by:
+            yield give()
+
+    return pages.select(host().alias("host"), "html").mapInArrow(fold, SHAPES)
+
+
+def gathered(shapes: DataFrame, most: int) -> DataFrame:
+    """SHAPES with at most so many bytes, about, of one host and shape in several rows. Wrappers of one shape are aligned field by field, in any order: a shape of more
+    bytes is dealt to several tasks, each of which makes one row of its own, in as many rounds as it takes. A round has fewer tasks than rows for each shape, so that rounds end."""
+
+    def add(t: pa.Table) -> pa.Table:
+        own = None
+        for raw in t.column("wrapper"):
+            w = json.loads(raw.as_py())
+            own = w if own is None else aligned(own, w)
+        columns = [t.column("host")[:1], t.column("shape")[:1], pa.array([json.dumps(own)], pa.string()), pa.array([sum(t.column("pages").to_pylist())], pa.int64()), t.column("salt")[:1]]
+        return pa.table(columns, names=["host", "shape", "wrapper", "pages", "part"])
+
+    while True:
+        shapes = written(shapes, "shapes")
+        sizes = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("wrapper")).alias("size")).where((F.col("rows") > 1) & (F.col("size") > most))
+        tasks = F.least(F.ceil(F.col("size") / most), F.ceil(F.col("rows") / 2)).cast("long")
+        large = written(sizes.select("host", "shape", tasks.alias("tasks")), "large")
+        if large.isEmpty():
+            return shapes
+        dealt = shapes.join(large, ["host", "shape"]).withColumn("salt", F.pmod(F.xxhash64("part"), F.col("tasks")))
+        shapes = shapes.join(large, ["host", "shape"], "left_anti").unionByName(dealt.groupBy("host", "shape", "salt").applyInArrow(add, SHAPES))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, path, slot, required, n, repeated, linked): what the wrappers of a host say of each path, the pages that have it, and the share of its characters in links."""
 
     def merge(t: pa.Table) -> pa.Table:
         by: dict[tuple, list] = {}
@@ -334,7 +384,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
         return pa.table([pa.array([t.column("host")[0].as_py()] * len(rows), pa.string()), *columns], names=["host", "path", "text", "required", "n", "repeated", "chars", "linked"])
 
-    shapes = pages.select(host().alias("host"), "html").mapInArrow(fold, "host string, shape bigint, wrapper string, pages bigint").withColumn("salt", F.pmod(F.col("shape"), F.lit(SALTS)))
+    shapes = gathered(shaped(pages), GROUP)
+    many = shapes.groupBy("host").agg(F.ceil(F.sum(F.length("wrapper")) / GROUP).alias("salts")).where(F.col("salts") > SALTS)
+    shapes = shapes.join(many, "host", "left").withColumn("salt", F.pmod(F.col("shape"), F.coalesce("salts", F.lit(SALTS)))).drop("salts", "part")
     parts = shapes.groupBy("host", "salt").applyInArrow(merge, "host string, path string, text string, required bigint, n bigint, repeated boolean, chars bigint, linked bigint")
     per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"), F.max("repeated").alias("repeated"), (F.sum("linked") / F.greatest(F.sum("chars"), F.lit(1))).alias("linked"))
     per = written(per, "wrappers")

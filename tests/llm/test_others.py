@@ -1,5 +1,6 @@
 """Vectors, pages, conversations, and the pipeline as a whole."""
 
+import json
 import random
 import collections
 import os
@@ -167,6 +168,29 @@ def test_a_menu_whose_links_change(spark):
     assert texts(spark, ["<article><p>a {0}</p><ul><li><a>x{0}</a></li><li><a>y{0}</a></li></ul></article>".format(k) for k in range(3)]) == {k: f"a {k}\nx{k}\ny{k}" for k in range(3)}
 
 
+def test_shapes_in_rounds(spark):
+    """Many rows of one shape, gathered in rounds, say the same as all pages folded by one task; other shapes stay as they are."""
+    rows = [(k, "http://a.example/x", f"<h1>t{k}</h1><p>same</p><ul><li>{k % 3}<li>b</ul>") for k in range(300)] + [(k, "http://b.example/x", f"<p>{k}</p>" + "<h2>x</h2><p>y</p>" * (k % 4)) for k in range(300, 340)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {(r.host, r.shape): (json.loads(r.wrapper), r.pages) for r in html.shaped(df.coalesce(1)).collect()}
+    dealt = html.shaped(df.repartition(60)).persist()
+    assert dealt.count() > 2 * len(want) == 10
+    got = html.gathered(dealt, 1).collect()
+    dealt.unpersist()
+    assert len(got) == len(want)
+    assert {(r.host, r.shape): (json.loads(r.wrapper), r.pages) for r in got} == want
+    assert html.gathered(html.shaped(df.limit(0)), 1).count() == 0
+
+
+def test_hosts_of_many_shapes(spark, monkeypatch):
+    """With more salts than the least a page's text stays."""
+    rows = [(k, "http://a.example/x", "<nav>menu</nav>" + "".join(f"<{'h2' if k >> j & 1 else 'p'}>own {k} {j}</{'h2' if k >> j & 1 else 'p'}><hr>" for j in range(7))) for k in range(128)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    monkeypatch.setattr(html, "GROUP", 300)
+    got = {r.page_id: r.text for r in html.extracted(df).collect()}
+    assert got == {k: "\n".join(f"own {k} {j}" for j in range(7)) for k in range(128)}
+
+
 def test_wrappers_whatever_the_partitions(spark):
     # classes say nothing: what changes is the article, and a group that comes once, twice or not at all is part of it
     rng = random.Random(3)
