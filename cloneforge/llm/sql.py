@@ -76,4 +76,25 @@ met AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)"""
 
-ORACLES = {"op1_sharding": SHARDING, "op3_suffix_array": REPEATS, "op6_minhash": MINHASH, "op7_decontamination": DECONTAMINATION, "op9_lines": LINES}
+def nearest(k: int) -> str:
+    """Vectors' nearest centroids of table m<k>, as a<k>."""
+    d = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))"
+    return f"a{k} AS (SELECT rid, arg_min(c, {d} * 100 + c) AS c, min({d}) AS d FROM own, m{k} GROUP BY rid)"
+
+
+def means(k: int) -> str:
+    """Centroids m<k + 1>: floors of the means of what is nearest to those of m<k>."""
+    floor = "CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END"
+    return f"""s{k} AS (SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN own USING (rid), range(1, 65) t(i) GROUP BY c, i),
+f{k} AS (SELECT c, list({floor} ORDER BY i) AS f FROM s{k} GROUP BY c),
+m{k + 1} AS (SELECT c, coalesce(f, m) AS m FROM m{k} LEFT JOIN f{k} USING (c))"""
+
+
+BALLS = f"""WITH own AS (SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM own QUALIFY c < 16),
+{nearest(0)}, {means(0)}, {nearest(1)}, {means(1)}, {nearest(2)}, {means(2)}, {nearest(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a3 JOIN own USING (rid) JOIN m3 USING (c)"""
+
+ORACLES = {"op1_sharding": SHARDING, "op3_suffix_array": REPEATS, "op6_minhash": MINHASH, "op7_decontamination": DECONTAMINATION, "op9_lines": LINES, "op11_balls": BALLS}
