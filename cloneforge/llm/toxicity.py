@@ -29,7 +29,7 @@ LONGEST = 40
 TOXIC = 0.5
 #: Words whose stems a worker remembers.
 REMEMBERED = 300_000
-RIDGE, STEPS = 1e-3, 300
+RIDGE, STEPS = 1e-5, 300
 
 _sentence = re.compile(r"[^.!?\n]+(?:[.!?]+(?!\s)[^.!?\n]+)*[.!?]*")
 _word = re.compile(r"[^\W\d_]+")
@@ -107,10 +107,10 @@ def losses(w: np.ndarray, bags: tuple[np.ndarray, ...], y: np.ndarray) -> tuple[
     p = 1 / (1 + np.exp(-z))
     quiet = np.bincount(doc, times * -np.logaddexp(0, z), len(y))  # log of the product of 1 - p
     sure = np.maximum(-np.expm1(quiet), 1e-12)
-    loss = -np.where(y == 1, np.log(sure), quiet).mean() + RIDGE / 2 * (w[:-1] ** 2).sum() / max(1, len(w) - 1)
+    loss = -np.where(y == 1, np.log(sure), quiet).mean() + RIDGE / 2 * (w[:-1] ** 2).sum()
     pull = times * p * np.where(y == 1, -np.exp(quiet) / sure, 1.0)[doc] / len(y)
     grad = np.concatenate([np.bincount(column, pull[row] * count, len(w) - 1), [pull.sum()]])
-    grad[:-1] += RIDGE * w[:-1] / max(1, len(w) - 1)
+    grad[:-1] += RIDGE * w[:-1]
     return float(loss), grad
 
 
