@@ -44,15 +44,35 @@ def steps(u: Column, v: Column, mode: str = "directed") -> Column:
     return F.when(F.exists(F.zip_with(u, v, bad), lambda x: x), F.lit(PENALTY).cast("long")).otherwise(total)
 
 
+def known(cns: Column) -> Column:
+    """Copy numbers of a chromosome, none of them null: a null makes the query fail, as no distance could tell what it stands for. segment.complete_features() drops what isn't known of all cells."""
+    return F.when(cns.isNull() | F.exists(cns, lambda x: x.isNull()), F.raise_error(F.lit("a copy number is null: drop its feature first, by segment.complete_features()"))).otherwise(cns)
+
+
 def pair_distance(pairs: DataFrame, packed: DataFrame, mode: str = "directed") -> DataFrame:
-    """(src, dst, w) of given pairs (src, dst): array functions on the chromosomes of both."""
-    u = packed.select(F.col("cell").alias("src"), "chrom", F.col("cns").alias("u"))
-    v = packed.select(F.col("cell").alias("dst"), "chrom", F.col("cns").alias("v"))
+    """(src, dst, w) of given pairs (src, dst): array functions on the chromosomes of both. Fails on null copy numbers."""
+    u = packed.select(F.col("cell").alias("src"), "chrom", known(F.col("cns")).alias("u"))
+    v = packed.select(F.col("cell").alias("dst"), "chrom", known(F.col("cns")).alias("v"))
     both = pairs.join(u, "src").join(v, ["dst", "chrom"])
     return both.groupBy("src", "dst").agg(F.sum(steps(F.col("u"), F.col("v"), mode)).alias("w"))
 
 
-def _half_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def whole_profiles(packed: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(cell, cns) of whole cells, chromosomes in order of their names, and where these begin, and the end. ValueError where cells differ in chromosomes or bins, or a copy number is null."""
+    whole = packed.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p"))
+    shape = F.transform("p", lambda x: F.struct(x["chrom"], F.size(x["cns"]).alias("n")))
+    null = F.exists("p", lambda x: x["cns"].isNull() | F.exists(x["cns"], lambda c: c.isNull()))
+    told = whole.agg(F.min(shape).alias("lo"), F.max(shape).alias("hi"), F.min_by("cell", shape).alias("a"), F.max_by("cell", shape).alias("b"), F.min(F.when(null, F.col("cell"))).alias("null")).first()
+    if told.null is not None:
+        raise ValueError(f"a copy number of cell {told.null} is null: drop its feature first, by segment.complete_features()")
+    if told.lo != told.hi:
+        raise ValueError(f"cells {told.a} and {told.b} differ in their chromosomes or bins")
+    cuts = np.cumsum([0, *(x.n for x in told.lo or [])]).tolist()
+    return whole.select("cell", F.flatten(F.transform("p", lambda x: x["cns"])).alias("cns")), cuts
+
+
+def half_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Half the L1 distances of all rows of a to all of b."""
     out = np.empty((len(a), len(b)), np.int64)
     small = max(1, (1 << 18) // max(1, a.shape[1]))
     for i in range(len(a)):
@@ -61,7 +81,8 @@ def _half_l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out // 2
 
 
-def _delta(x: np.ndarray) -> np.ndarray:
+def deltas(x: np.ndarray) -> np.ndarray:
+    """breakpoints() of rows."""
     return np.diff(np.pad(x.astype(np.int32), ((0, 0), (1, 1)), constant_values=2), axis=1)
 
 
@@ -74,9 +95,9 @@ def block_distance(a: np.ndarray, b: np.ndarray, cuts: Sequence[int], mode: str)
         zx, zy = (x == 0), (y == 0)
         if mode == "symmetric":  # zeros are squeezed out; where patterns differ, the penalty stands anyway
             squeeze = lambda m, z: np.take_along_axis(np.where(z, 2, m), np.argsort(z, axis=1, kind="stable"), 1)
-            own = _half_l1(_delta(squeeze(x, zx)), _delta(squeeze(y, zy)))
+            own = half_l1(deltas(squeeze(x, zx)), deltas(squeeze(y, zy)))
         else:
-            own = _half_l1(_delta(x), _delta(y))
+            own = half_l1(deltas(x), deltas(y))
         if mode == "none" or not (zx.any() or zy.any()):
             there += own
             back += own
@@ -92,8 +113,8 @@ def block_distance(a: np.ndarray, b: np.ndarray, cuts: Sequence[int], mode: str)
 
 def all_pairs(packed: DataFrame, mode: str = "directed", keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(keys, src, dst, w) of all ordered pairs of different cells. Cells are dealt to blocks; each pair of blocks meets in one task, which works both
-    directions out in one go. A task holds two blocks of profiles, whatever the number of cells."""
-    whole = packed.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p"))
+    directions out in one go. A task holds two blocks of profiles, whatever the number of cells. Fails on null copy numbers."""
+    whole = packed.withColumn("cns", known(F.col("cns"))).groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p"))
     whole = whole.select(*keys, "cell", F.flatten(F.transform("p", lambda x: x["cns"])).alias("cns"), F.transform("p", lambda x: F.struct(x["chrom"].alias("chrom"), F.size(x["cns"]).alias("n"))).alias("sizes"))
     n = whole.select("cell").distinct().count()
     blocks = max(1, math.ceil(n / block))
@@ -129,8 +150,8 @@ def all_pairs(packed: DataFrame, mode: str = "directed", keys: Sequence[str] = (
 
 def sparse_pairs(packed: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst, w) of all pairs, src < dst, without a zero rule, for profiles with few breakpoints: sums of the cells' own breakpoints, less what pairs share, by an equi-join on
-    the breakpoints' places. Pairs that share none come from blocks of cells: for them w is the half of both cells' sums."""
-    own = packed.select("cell", "chrom", breakpoints(F.col("cns")).alias("ds"))
+    the breakpoints' places. Pairs that share none come from blocks of cells: for them w is the half of both cells' sums. Fails on null copy numbers."""
+    own = packed.select("cell", "chrom", breakpoints(known(F.col("cns"))).alias("ds"))
     points = own.select("cell", "chrom", F.posexplode("ds").alias("i", "d")).where("d <> 0")
     total = own.groupBy("cell").agg(F.sum(F.aggregate("ds", F.lit(0).cast("long"), lambda acc, x: acc + F.abs(x))).alias("s"))
     a = points.select(F.col("cell").alias("src"), "chrom", "i", F.col("d").alias("x"))
@@ -181,9 +202,9 @@ def long_runs(u: Column, v: Column, most: int = 10) -> Column:
 
 
 def quick_pair_distance(pairs: DataFrame, packed: DataFrame, most: int = 10) -> DataFrame:
-    """(src, dst, w) of given pairs (src, dst), by long_runs(). Approximate."""
-    u = packed.select(F.col("cell").alias("src"), "chrom", F.col("cns").alias("u"))
-    v = packed.select(F.col("cell").alias("dst"), "chrom", F.col("cns").alias("v"))
+    """(src, dst, w) of given pairs (src, dst), by long_runs(). Approximate. Fails on null copy numbers."""
+    u = packed.select(F.col("cell").alias("src"), "chrom", known(F.col("cns")).alias("u"))
+    v = packed.select(F.col("cell").alias("dst"), "chrom", known(F.col("cns")).alias("v"))
     return pairs.join(u, "src").join(v, ["dst", "chrom"]).groupBy("src", "dst").agg(F.sum(long_runs(F.col("u"), F.col("v"), most)).alias("w"))
 
 
@@ -194,7 +215,8 @@ def sampled(cell: Column, every: int) -> Column:
 
 def approximate(packed: DataFrame, every: int, mode: str = "directed", block: int = BLOCK) -> DataFrame:
     """(src, dst, w): distances of a sample, one in `every` cells by hash; other cells have those of the sampled cell nearest to them by breakpoints. Approximate by its nature. Blocks of cells meet
-    blocks of the sample, and give the nearest one of each block."""
+    blocks of the sample, and give the nearest one of each block. Fails on null copy numbers."""
+    packed = packed.withColumn("cns", known(F.col("cns")))
     sample = packed.where(sampled(F.col("cell"), every))
     exact = all_pairs(sample, mode)
     whole = packed.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("chrom", "cns"))).alias("p")).select("cell", F.transform("p", lambda x: x["cns"]).alias("p"))
@@ -208,8 +230,8 @@ def approximate(packed: DataFrame, every: int, mode: str = "directed", block: in
         names, best, far = a.column("cell").to_pylist(), [], []
         if a.num_rows and b.num_rows:
             theirs = sorted(zip(b.column("cell").to_pylist(), b.column("p").to_pylist()))
-            x, y = (np.concatenate([np.concatenate([_delta(np.array([c]))[0] for c in p]) for p in own]).reshape(len(own), -1) for own in (a.column("p").to_pylist(), [p for _, p in theirs]))
-            half = _half_l1(x, y)
+            x, y = (np.concatenate([np.concatenate([deltas(np.array([c]))[0] for c in p]) for p in own]).reshape(len(own), -1) for own in (a.column("p").to_pylist(), [p for _, p in theirs]))
+            half = half_l1(x, y)
             at = half.argmin(1)
             best, far = [theirs[k][0] for k in at], half[np.arange(len(at)), at].tolist()
         return pa.table({"cell": pa.array(names if best else [], pa.string()), "by": pa.array(best, pa.string()), "w": pa.array(far, pa.int64())})
