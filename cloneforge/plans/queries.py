@@ -70,6 +70,9 @@ pairs AS (SELECT src, dst, CAST(sum(CASE WHEN {there} THEN 1000000 ELSE s END) A
 med AS (SELECT src, dst, w FROM pairs UNION ALL SELECT dst, src, w2 FROM pairs)"""
 
 
+pairs_sql = _med
+
+
 def med(spark: SparkSession, d: str, mode: str = "directed") -> DataFrame:
     return distance.all_pairs(segment.packed(profile(spark, d)), mode)
 
