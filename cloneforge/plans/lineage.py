@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
-from cloneforge.operators import arborescence, distance, genome, regions, score, segment, stats, trees
+from cloneforge.operators import arborescence, distance, genome, implicit, regions, score, segment, stats, trees
 from cloneforge.plans.storage import written
 
 
@@ -21,20 +21,20 @@ class Lineage:
     root: str
 
 
-def infer(profile: DataFrame, mode: str = "directed", small: int = 4000, coords: DataFrame | None = None, radius: float = 30.0) -> Lineage:
-    """The tree of all cells of a segmented profile; with coords (cell, x, y), of distances between cells nearer than radius alone, and between the root and all. Graphs of up to `small` cells are
-    solved in one task, larger ones in rounds. Where the root doesn't reach every cell, ValueError."""
-    profile, root = segment.with_root(profile)
+def infer(profile: DataFrame, mode: str = "directed", small: int = 300, coords: DataFrame | None = None, radius: float = 30.0) -> Lineage:
+    """The tree of all cells of a segmented profile; with coords (cell, x, y), of distances between cells nearer than radius alone, and between the root and all. Features that aren't known of
+    all cells are left out. Graphs of up to `small` cells are solved in one task; larger ones in rounds, and without a table of all pairs. Where the root doesn't reach every cell, ValueError."""
+    profile, root = segment.with_root(segment.complete_features(profile, ["chrom", "bin"], "cn"))
+    profile = written(profile, "profile")
     packed = segment.packed(profile)
+    n = profile.select("cell").distinct().count()
     if coords is None:
-        edges = distance.all_pairs(packed, mode)
+        tree = arborescence.group_trees(distance.all_pairs(packed, mode), root) if n <= small else implicit.tree(packed, root, mode)
     else:
         near = distance.near_pairs(coords.where(F.col("cell") != root), radius)
         from_root = profile.select("cell").distinct().where(F.col("cell") != root).select(F.lit(root).alias("src"), F.col("cell").alias("dst"))
-        edges = distance.pair_distance(near.unionByName(from_root), packed, mode)
-    edges = written(edges, "distances")
-    n = profile.select("cell").distinct().count()
-    tree = arborescence.group_trees(edges, root) if n <= small else arborescence.tree(edges, root)
+        edges = written(distance.pair_distance(near.unionByName(from_root), packed, mode), "distances")
+        tree = arborescence.group_trees(edges, root) if n <= small else arborescence.tree(edges, root)
     tree = None if tree is None else written(tree, "tree")
     if tree is None or tree.count() < n - 1:
         raise ValueError("the root does not reach every cell")
@@ -74,8 +74,8 @@ def relative_bands(genes: DataFrame, annotation: DataFrame, bands: DataFrame, sc
     return means.select("cell", "chrom", F.concat_ws(":", "chrom", "band").alias("feature"), "cn")
 
 
-def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size: int = 5, seed: int = 1234, shuffled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Levels of the eligible lineages, levels under permutations, and tests. Permutations stand on the same tree; with shuffled (perm_id, parent, child, dist), each on a tree of its own, whose
+def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size: int = 5, seed: int = 1234, shuffled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Levels of the eligible lineages, levels under permutations, tests, and the sizes (perm_id, cell, subtreesize) of permuted lineages. Permutations stand on the same tree; with shuffled (perm_id, parent, child, dist), each on a tree of its own, whose
     lineages of like size are the background."""
     spark = numbers.sparkSession
     numbers = written(numbers.where(F.col("cell") != "root"), "numbers")
@@ -83,11 +83,12 @@ def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size:
     levels = written(score.fold_levels(numbers, lineage.closed, cells, ["chrom", "feature"]), "levels")
     if shuffled is not None:
         permuted, sizes = permuted_tree_levels(numbers, shuffled, least_size, seed)
-        return levels, permuted, written(stats.significance(levels, permuted, stats.size_matched(cells, sizes), ["chrom", "feature"]), "tests")
+        return levels, permuted, written(stats.significance(levels, permuted, stats.size_matched(cells, sizes), ["chrom", "feature"]), "tests"), sizes
     perms = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm_id"))
     map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed)
     permuted = written(score.permuted_levels(numbers, map_, lineage.closed, cells), "permuted")
-    return levels, permuted, written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests")
+    sizes = permuted.select("perm_id", "cell").distinct().join(lineage.cells.select("cell", "subtreesize"), "cell")
+    return levels, permuted, written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests"), sizes
 
 
 def adaptively_tested(numbers: DataFrame, lineage: Lineage, step: int = 10, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -158,17 +159,13 @@ def reported(found: DataFrame, lineage: Lineage) -> DataFrame:
 
 def analysed(lineage: Lineage, by_band: DataFrame, by_gene: DataFrame | None, bands: DataFrame, n_perm: int, cutoff: float, shuffled: DataFrame | None) -> dict[str, DataFrame]:
     out = {"tree": lineage.tree, "lineages": lineage.cells}
-    levels, permuted, tests = tested(by_band, lineage, n_perm, shuffled=shuffled)
+    levels, permuted, tests, sizes = tested(by_band, lineage, n_perm, shuffled=shuffled)
     found = written(findings(tests, lineage, cutoff), "findings")
     out |= {"band_levels": levels, "band_tests": tests, "segmental": segmental(found, bands, lineage)}
     sized = found.join(lineage.cells.select("cell", "subtreesize"), "cell")
-    if shuffled is None:
-        sizes = permuted.select("perm_id", "cell").distinct().join(lineage.cells.select("cell", "subtreesize"), "cell")
-    else:
-        sizes = permuted_tree_levels(by_band, shuffled)[1]
     out["parallel"] = stats.parallel(sized, permuted.withColumnRenamed("feature", "region"), sizes)
     if by_gene is not None:
-        levels, permuted, tests = tested(by_gene, lineage, n_perm, shuffled=shuffled)
+        levels, _, tests, _ = tested(by_gene, lineage, n_perm, shuffled=shuffled)
         out |= {"gene_levels": levels, "gene_tests": tests, "gene": reported(findings(tests, lineage, cutoff), lineage)}
     return out
 
@@ -178,7 +175,9 @@ def dna(
     pathways: DataFrame | None = None, n_trees: int = 0, coords: DataFrame | None = None, radius: float = 30.0,
 ) -> dict[str, DataFrame]:
     """From a matrix of bins (BINS) to tree, lineages and results by band, and by gene where genes (gene, chrom, start, end) are given; with pathways (PATHWAY), by the genes that these name.
-    With n_trees, that many permuted trees are the background instead of n_perm permutations on the same tree, and the cutoff is 0.05 instead of 0.01. coords, radius: see infer()."""
+    With n_trees, that many permuted trees are the background instead of n_perm permutations on the same tree, and the cutoff is 0.05 instead of 0.01. coords, radius: see infer(). Bins that
+    aren't known of all cells are left out."""
+    bins = segment.complete_features(bins, ["chrom", "pos"], "cn")
     profile = segment.numbered_bins(bins)
     lineage = infer(profile, mode, coords=coords, radius=radius)
     if genes is not None and pathways is not None:
@@ -192,7 +191,9 @@ def rna(
     spark: SparkSession, genes: DataFrame, annotation: DataFrame, bands: DataFrame, width: int = 30, scale: float = 2, n_perm: int = 500, mode: str = "directed", cutoff: float | None = None,
     pathways: DataFrame | None = None, n_trees: int = 0, coords: DataFrame | None = None, radius: float = 30.0,
 ) -> dict[str, DataFrame]:
-    """As dna(), from relative copy numbers by gene (GENES) and their places (ANNOTATION): the tree is of bins of `width` neighbouring genes, results are by band and by gene, of pathways where given."""
+    """As dna(), from relative copy numbers by gene (GENES) and their places (ANNOTATION): the tree is of bins of `width` neighbouring genes, results are by band and by gene, of pathways where given.
+    Genes that aren't known of all cells are left out."""
+    genes = segment.complete_features(genes, ["gene"], "rel")
     profile = written(segment.binned_genes(genes, annotation, width, scale), "profile")
     lineage = infer(profile, mode, coords=coords, radius=radius)
     named = annotation if pathways is None else of_pathways(annotation, pathways)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
-from cloneforge.operators import arborescence, distance, genome, regions, score, segment, stats, trees
+from cloneforge.operators import arborescence, distance, genome, implicit, nearest, regions, score, segment, stats, trees
 from cloneforge.plans import lineage as lineages
 from cloneforge.plans.storage import shared_dir, table, written
 from cloneforge.sources import readers, writers
@@ -575,10 +575,42 @@ def ancestor_network(spark: SparkSession, d: str) -> DataFrame:
     return trees.network(cells.where("length(cell) = 2 or cell = '0'").select("cell", "depth"), closed)
 
 
-@query()
+ROOTED = f"""{PROF.replace("prof AS", "cells AS")}, prof AS (SELECT cell, chrom, bin, cn FROM cells UNION ALL SELECT DISTINCT 'root', chrom, bin, 2 FROM cells)"""
+
+
+@query(f"""WITH {ROOTED}{_med("directed").removeprefix(PROF)}, least_of AS (SELECT dst, min(w) AS w FROM med WHERE dst <> 'root' GROUP BY dst)
+SELECT CAST(sum(w) AS BIGINT) AS weight, count(*) AS n_edges, CAST(1 AS BIGINT) AS n_roots FROM least_of""")
 def rdmst(spark: SparkSession, d: str) -> DataFrame:
-    """The minimum tree of the whole distance graph from cell 0: its weight, edges and roots."""
-    return arborescence.facts(arborescence.group_trees(med(spark, d), "0"))
+    """The minimum tree of all cells and a root, without a table of their pairs: its weight, edges and roots. In SQL the sum of least edges into cells, below which no tree can be, so that a tree of that weight is proved to be least."""
+    own, root = segment.with_root(profile(spark, d))
+    return arborescence.facts(implicit.tree(segment.packed(own), root))
+
+
+def region_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Cells for regions, near to each other and far from the root, so that their least edges make cycles."""
+    own = table(spark, d, "region").select(F.col("r_regionkey").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    cn = 5 + (F.col("r") * 3 + F.col("i") * 7 + F.col("r") * F.col("i")) % 3 - F.when(F.col("r") * 5 == F.col("i"), 5).otherwise(0)
+    long = own.select(F.col("r").cast("string").alias("cell"), F.floor(F.col("i") / 12).cast("string").alias("chrom"), (F.col("i") % 12 + 1).cast("int").alias("bin"), cn.cast("int").alias("cn"))
+    return long.unionByName(long.select("chrom", "bin").distinct().select(F.lit("root").alias("cell"), "chrom", "bin", F.lit(2).alias("cn")))
+
+
+REGION_PROFILE = """cells AS (SELECT CAST(r_regionkey AS VARCHAR) AS cell, CAST(i // 12 AS VARCHAR) AS chrom, CAST(i % 12 + 1 AS INTEGER) AS bin, 5 + (r_regionkey * 3 + i * 7 + r_regionkey * i) % 3 - CASE WHEN r_regionkey * 5 = i THEN 5 ELSE 0 END AS cn
+  FROM region, range(24) t(i)), prof AS (SELECT * FROM cells UNION ALL SELECT DISTINCT 'root', chrom, bin, 2 FROM cells)"""
+
+
+@query(f"""WITH {REGION_PROFILE}{_med("directed").removeprefix(PROF)}, edges AS (SELECT CASE src WHEN 'root' THEN -1 ELSE CAST(src AS INTEGER) END AS a, CAST(dst AS INTEGER) AS b, w FROM med WHERE dst <> 'root'),
+totals AS (SELECT {" + ".join(f"e{k}.w" for k in range(5))} AS total FROM {", ".join(f"edges e{k}" for k in range(5))} WHERE {" AND ".join(f"e{k}.b = {k}" for k in range(5))} AND {" AND ".join(f"{_followed(k, 5)} = -1" for k in range(5))})
+SELECT CAST(min(total) AS BIGINT) AS weight, CAST(5 AS BIGINT) AS n_edges, CAST(1 AS BIGINT) AS n_roots FROM totals""")
+def implicit_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The minimum tree of cells whose least edges make cycles, without a table of pairs; in SQL the cheapest of all choices of parents."""
+    return arborescence.facts(implicit.tree(segment.packed(region_profile(spark, d)), "root", listed=1))
+
+
+@query(f"WITH {ROOTED}{_med('directed').removeprefix(PROF)} SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w, src) AS k FROM med WHERE dst <> 'root') WHERE k = 1")
+def nearest_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The least edge into each cell, by the metric index in place of all pairs."""
+    own, root = segment.with_root(profile(spark, d))
+    return nearest.nearest_parents(segment.packed(own), root)
 
 
 @query()
@@ -759,7 +791,7 @@ FROM sides s JOIN back b USING (cell, chrom, bin, direction) GROUP BY s.cell, s.
 def permuted_tree_test(spark: SparkSession, d: str) -> DataFrame:
     """Tests against lineages of like size in trees of permutations."""
     tree, closed, cells = heaped(spark, d)
-    _, _, tests = lineages.tested(features(spark, d), lineages.Lineage(tree, closed, cells, "0"), shuffled=permuted_heaps(spark, d), seed=SEED)
+    _, _, tests, _ = lineages.tested(features(spark, d), lineages.Lineage(tree, closed, cells, "0"), shuffled=permuted_heaps(spark, d), seed=SEED)
     return tests.select("cell", "chrom", "feature", "direction", _r("score"), _r("pvalue"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloneforge import schema
@@ -22,16 +22,27 @@ def _wide(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
     return text.select(cols.alias("f")).where(~(first & (F.col("f")[1] == names[1]))).select(*[F.col("f")[k].alias(n) for k, n in enumerate(names)])
 
 
+def number(x: Column) -> Column:
+    """A field as a number: also 2.0, 1e5 and quoted ones; null where it is empty, NA or no number."""
+    return F.regexp_replace(x, '^[\\s"]+|[\\s"]+$', "").try_cast("double")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def dna_matrix(spark: SparkSession, path: str, sep: str | None = "\t") -> DataFrame:
-    """Rows are bins: chrom, position, then one column for each cell. sep None: any white space. -> schema.BINS"""
+    """Rows are bins: chrom, position, then one column for each cell, whose names may hold dots and blanks. sep None: any white space. Fields that are empty, NA or no numbers
+    are null. -> schema.BINS"""
     wide = _wide(spark, path, sep)
     chrom, pos, *cells = wide.columns
-    long = wide.unpivot([chrom, pos], cells, "cell", "cn")
-    return long.select("cell", numeric.chrom(F.col(f"`{chrom}`")).alias("chrom"), F.col(f"`{pos}`").cast("long").alias("pos"), F.col("cn").cast("int").alias("cn"))
+    long = wide.unpivot([F.col(quoted(c)) for c in (chrom, pos)], [F.col(quoted(c)) for c in cells], "cell", "cn")
+    return long.select("cell", numeric.chrom(F.col(quoted(chrom))).alias("chrom"), number(F.col(quoted(pos))).cast("long").alias("pos"), number(F.col("cn")).cast("int").alias("cn"))
 
 
 def rna_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Rows are genes: the name, then one column for each cell; the header may lack the name's field. -> schema.GENES"""
+    """Rows are genes: the name, then one column for each cell; the header may lack the name's field. Fields that are
+    empty, NA or no numbers are null. -> schema.GENES"""
     head = spark.read.text(path).first()[0].split(sep)
     lines = spark.read.text(path).select(F.split("value", sep).alias("f"))
     body = lines.where(F.col("f") != F.array(*[F.lit(x) for x in head]))
@@ -39,18 +50,18 @@ def rna_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     cells = head if width and width[0] == len(head) + 1 else head[1:]
     clean = [c.strip('"') for c in cells]
     named = F.posexplode(F.slice("f", 2, len(cells))).alias("k", "rel")
-    return body.select(F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("gene"), named).select(F.array(*[F.lit(c) for c in clean])[F.col("k")].alias("cell"), "gene", F.col("rel").cast("double").alias("rel"))
+    return body.select(F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("gene"), named).select(F.array(*[F.lit(c) for c in clean])[F.col("k")].alias("cell"), "gene", number(F.col("rel")).alias("rel"))
 
 
 def segmented(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Rows are cells; columns chr<k>_<bin>, one name fewer than fields. -> schema.PROFILE"""
+    """Rows are cells; columns chr<k>_<bin>, one name fewer than fields. Fields that are empty, NA or no numbers are null. -> schema.PROFILE"""
     head = spark.read.text(path).first()[0].split(sep)
     lines = spark.read.text(path).select(F.split("value", sep).alias("f"))
     body = lines.where(F.size("f") == len(head) + 1)
     names = F.array(*[F.lit(x.strip('"')) for x in head])
     long = body.select(F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("cell"), F.posexplode(F.slice("f", 2, len(head))).alias("k", "cn"))
     key = names[F.col("k")]
-    return long.select("cell", numeric.chrom(F.substring_index(key, "_", 1)).alias("chrom"), F.substring_index(key, "_", -1).cast("int").alias("bin"), F.col("cn").cast("double").cast("int").alias("cn"))
+    return long.select("cell", numeric.chrom(F.substring_index(key, "_", 1)).alias("chrom"), F.substring_index(key, "_", -1).cast("int").alias("bin"), number(F.col("cn")).cast("int").alias("cn"))
 
 
 def bands(spark: SparkSession, path: str) -> DataFrame:
