@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cloneforge.operators.ordered import running
 from cloneforge.plans.storage import written
 
 
@@ -30,24 +31,35 @@ def side_by_side(cn: DataFrame, feature: Sequence[str], keys: Sequence[str]) ->
     return cn.join(places, list(feature)).groupBy(*keys, "cell", *by, "piece").agg(*sums), places
 
 
-def fold_levels(cn: DataFrame, closed: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("feature",), keys: Sequence[str] = (), map_: DataFrame | None = None) -> DataFrame:
+def fold_levels(cn: DataFrame, spans: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("feature",), keys: Sequence[str] = (), map_: DataFrame | None = None) -> DataFrame:
     """(keys, cell, feature, n, amp, del): over the subtree of each lineage, itself included, mean of what is above two copies, and of what is below. cn: keys, cell, feature, cn. With
-    map_ (keys, chrom, cell, label) lineages have the numbers of `cell` in place of `label`'s; feature begins with chrom then, and cn has no keys. Features are summed SIDE in a row, so that a lineage's
-    members make as many rows fewer; only keys, lineage and piece outlive the aggregate, which combines before the shuffle."""
+    map_ (keys, chrom, cell, label) lineages have the numbers of `cell` in place of `label`'s; feature begins with chrom then, and cn has no keys. spans: trees.spans(). Numbers are summed along the order of spans, and a
+    subtree's sum is the difference between its end and its beginning, so that no cell meets its ancestors; features are summed SIDE in a row."""
     *by, last = feature
-    members = closed.select(F.col("anc"), F.col("desc").alias("cell"))
-    if lineage is not None:
-        members = members.join(lineage.select(F.col("cell").alias("anc")), "anc", "left_semi")
     wide, places = side_by_side(cn, feature, keys if map_ is None else ())
+    sums = [f"{x}{k}" for x in "ab" for k in range(SIDE)]
+    at = spans.select("cell", "first")
     if map_ is None:
-        met = wide.join(members, "cell")
+        rows = wide.join(at, "cell")
+        lines = rows.select(*keys).distinct() if keys else None
     else:
-        met = wide.join(map_.join(members.withColumnRenamed("cell", "label"), "label").drop("label"), ["cell", "chrom"])
-    sums = met.groupBy(*keys, "anc", *by, "piece").agg(*[F.sum(f"{x}{k}").alias(f"{x}{k}") for x in "ab" for k in range(SIDE)])
+        rows = wide.join(map_, ["cell", "chrom"]).drop("cell").withColumnRenamed("label", "cell").join(at, "cell")
+        lines = map_.select(*keys).distinct()
+    group = [*keys, *by, "piece"]
+    none = F.lit(0).cast("long")
+    data = rows.select(*group, F.col("first").alias("at"), F.lit(1).alias("kind"), "cell", *[F.coalesce(x, none).alias(x) for x in sums])
+    tops = spans if lineage is None else spans.join(lineage.select("cell").distinct(), "cell", "left_semi")
+    ends = tops.select("cell", F.inline(F.array(F.struct(F.col("first").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("last").alias("at"), F.lit(2).alias("kind")))))
+    marks = ends.crossJoin(places.select(*by, "piece").distinct())  # two rows for each of the results' lineages and pieces
+    marks = marks if lines is None else marks.crossJoin(lines)
+    marks = marks.select(*group, "at", "kind", "cell", *[none.alias(x) for x in sums])
+    told = running(data.unionByName(marks), group, ["at", "kind", "cell"], sums).where("kind <> 1")
+    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+    both = told.groupBy(*group, "cell").agg(*[F.sum(F.col(f"{x}_before") * sign).alias(x) for x in sums])
     each = F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in range(SIDE)]))
-    long = sums.select(*keys, "anc", *by, "piece", each).where("a is not null").join(places, [*by, "piece", "at"])
+    long = both.select(*group, "cell", each).where("a > 0").join(places, [*by, "piece", "at"])
     n = F.col("a") % GAINS
-    return long.select(*keys, F.col("anc").alias("cell"), *feature, n.alias("n"), (F.floor(F.col("a") / GAINS) / n).alias("amp"), (F.col("b") / n).alias("del"))
+    return long.select(*keys, "cell", *feature, n.alias("n"), (F.floor(F.col("a") / GAINS) / n).alias("amp"), (F.col("b") / n).alias("del"))
 
 
 def shuffle_key(seed: int, perm: Column, chrom: Column, cell: Column) -> Column:
@@ -68,9 +80,14 @@ def shuffled(cn: DataFrame, map_: DataFrame) -> DataFrame:
     return cn.join(map_, ["cell", "chrom"]).drop("cell").withColumnRenamed("label", "cell")
 
 
-def permuted_levels(cn: DataFrame, map_: DataFrame, closed: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("chrom", "feature")) -> DataFrame:
+def permuted_levels(cn: DataFrame, map_: DataFrame, spans: DataFrame, lineage: DataFrame | None = None, feature: Sequence[str] = ("chrom", "feature")) -> DataFrame:
     """fold_levels() of each permutation on the given tree."""
-    return fold_levels(cn, closed, lineage, feature, ["perm_id"], map_)
+    return fold_levels(cn, spans, lineage, feature, ["perm_id"], map_)
+
+
+def of_use(n: Column, p: Column, least: int = 20, most: int = 100) -> Column:
+    """goes_on() of columns."""
+    return (n < least) | ((n < most) & (p <= 0.1) & (p >= 0.001) & ~((n > 50) & (p > 0.05)))
 
 
 def goes_on(n: int, p: float, least: int = 20, most: int = 100) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloneforge.operators.ordered import running
 from cloneforge.plans.storage import written
 
 
@@ -71,11 +72,31 @@ def betweenness(lineage: DataFrame, tree: DataFrame) -> DataFrame:
     return sized.select("parent", "child", (F.col("subtreesize") * (F.col("n") - F.col("subtreesize"))).alias("through"))
 
 
-def network(significant: DataFrame, closed: DataFrame) -> DataFrame:
-    """(node1, node2, dist) of cells (cell, depth) that have a finding: the deepest one above, or `root`, and the difference of depths."""
-    own = significant.select("cell", "depth").distinct()
-    above = closed.where("hops > 0").select(F.col("desc").alias("cell"), F.col("anc").alias("up"))
-    up = own.select(F.col("cell").alias("up"), F.col("depth").alias("updepth"))
-    best = own.join(above, "cell").join(up, "up").groupBy("cell").agg(F.max(F.struct("updepth", "up")).alias("m"))
-    joined = own.join(best, "cell", "left")
-    return joined.select(F.coalesce("m.up", F.lit("root")).alias("node1"), F.col("cell").alias("node2"), (F.col("depth") - F.coalesce("m.updepth", F.lit(0))).alias("dist"))
+def spans(tree: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(cell, first, last): nodes numbered so that first to last of each are those of its subtree, itself being the first. Siblings are in order of their names, trees of a forest too. A node lies as much after its parent as its
+    elder siblings' subtrees hold, and one more; these steps are summed along the way to the root by doubled pointers. sizes: measured() of the tree, if known."""
+    sizes = (measured(tree) if sizes is None else sizes).select("cell", "subtreesize")
+    tops = roots(tree).join(sizes, "cell").select(F.lit(None).cast("string").alias("up"), "cell", "subtreesize")
+    kids = tree.select(F.col("parent").alias("up"), F.col("child").alias("cell")).join(sizes, "cell").select("up", "cell", "subtreesize")
+    steps = running(kids.unionByName(tops), ["up"], ["cell"], ["subtreesize"])
+    own = steps.select("cell", "up", "subtreesize", (F.col("subtreesize_before") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("first"))
+    own = written(own, "spans")
+    while own.where("up is not null").limit(1).count():
+        above = own.select(F.col("cell").alias("up"), F.col("up").alias("_up"), F.col("first").alias("_first"))
+        own = written(own.join(above, "up", "left").select("cell", F.col("_up").alias("up"), "subtreesize", (F.col("first") + F.coalesce("_first", F.lit(0))).alias("first")), "spans")
+    return own.select("cell", "first", (F.col("first") + F.col("subtreesize") - 1).alias("last"))
+
+
+def network(significant: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node1, node2, dist) of cells (cell, depth) that have a finding: the deepest one above, or `root`, and the difference of depths. Each node points to an ancestor, and carries the deepest marked one on the way there;
+    pointers are doubled until they reach a marked one or the root."""
+    marked = significant.select("cell", "depth").distinct()
+    own = tree.select(F.col("child").alias("cell"), F.col("parent").alias("up")).join(marked.select(F.col("cell").alias("up"), F.col("cell").alias("mark")), "up", "left")
+    own = written(own.select("cell", "up", "mark"), "marks")
+    while own.where("mark is null and up is not null").limit(1).count():
+        above = own.select(F.col("cell").alias("up"), F.col("up").alias("_up"), F.col("mark").alias("_mark"))
+        onward = own.where("mark is null and up is not null").join(above, "up", "left").select("cell", F.col("_up").alias("up"), F.col("_mark").alias("mark"))
+        own = written(onward.unionByName(own.where("mark is not null or up is null")), "marks")
+    up = marked.select(F.col("cell").alias("mark"), F.col("depth").alias("updepth"))
+    joined = marked.join(own.select("cell", "mark"), "cell", "left").join(up, "mark", "left")
+    return joined.select(F.coalesce("mark", F.lit("root")).alias("node1"), F.col("cell").alias("node2"), (F.col("depth") - F.coalesce("updepth", F.lit(0))).alias("dist"))

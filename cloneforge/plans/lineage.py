@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from cloneforge.plans.storage import written
 @dataclass
 class Lineage:
     tree: DataFrame
-    closed: DataFrame
+    spans: DataFrame
     cells: DataFrame
     root: str
 
@@ -38,7 +39,8 @@ def infer(profile: DataFrame, mode: str = "directed", small: int = 300, coords:
     tree = None if tree is None else written(tree, "tree")
     if tree is None or tree.count() < n - 1:
         raise ValueError("the root does not reach every cell")
-    return Lineage(tree, written(trees.closure(tree), "closure"), written(trees.measured(tree), "lineages"), root)
+    cells = written(trees.measured(tree), "lineages")
+    return Lineage(tree, trees.spans(tree, cells), cells, root)
 
 
 def band_numbers(bins: DataFrame, bands: DataFrame) -> DataFrame:
@@ -80,48 +82,55 @@ def tested(numbers: DataFrame, lineage: Lineage, n_perm: int = 500, least_size:
     spark = numbers.sparkSession
     numbers = written(numbers.where(F.col("cell") != "root"), "numbers")
     cells = trees.eligible(lineage.cells, lineage.root, least_size)
-    levels = written(score.fold_levels(numbers, lineage.closed, cells, ["chrom", "feature"]), "levels")
+    levels = written(score.fold_levels(numbers, lineage.spans, cells, ["chrom", "feature"]), "levels")
     if shuffled is not None:
         permuted, sizes = permuted_tree_levels(numbers, shuffled, least_size, seed)
         return levels, permuted, written(stats.significance(levels, permuted, stats.size_matched(cells, sizes), ["chrom", "feature"]), "tests"), sizes
     perms = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm_id"))
     map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed)
-    permuted = written(score.permuted_levels(numbers, map_, lineage.closed, cells), "permuted")
+    permuted = written(score.permuted_levels(numbers, map_, lineage.spans, cells), "permuted")
     sizes = permuted.select("perm_id", "cell").distinct().join(lineage.cells.select("cell", "subtreesize"), "cell")
     return levels, permuted, written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests"), sizes
 
 
-def adaptively_tested(numbers: DataFrame, lineage: Lineage, step: int = 10, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """As tested(), with as many permutations as are of use, in steps: until for no test score.goes_on() or the number that the size asks for is reached. Last: permutations made."""
+def adaptively_tested(numbers: DataFrame, lineage: Lineage, step: int = 10, least_size: int = 5, seed: int = 1234, feature: Sequence[str] = ("chrom", "feature")) -> tuple[DataFrame, int]:
+    """Tests (cell, feature, direction, score, extreme, n, pvalue, adjustp), each with as many permutations n as are of use to it: they are made in steps, until score.goes_on() says no of a test, or until the number is reached that the
+    size asks for. Of a test only the counts of permutations and of extreme ones are kept; tests that are done take no part in later steps, nor do features and lineages that have none left. Also: permutations made at most."""
     spark = numbers.sparkSession
     numbers = written(numbers.where(F.col("cell") != "root"), "numbers")
     cells = trees.eligible(lineage.cells, lineage.root, least_size)
-    levels = written(score.fold_levels(numbers, lineage.closed, cells, ["chrom", "feature"]), "levels")
-    n_cells, n_features = (numbers.select(*c).distinct().count() for c in (["cell"], ["chrom", "feature"]))
-    most, permuted, n = score.permutations_needed(n_cells, n_features), None, 0
-    while n < most:
+    n_cells, n_features = (numbers.select(*c).distinct().count() for c in (["cell"], feature))
+    most, n, keys = score.permutations_needed(n_cells, n_features), 0, ["cell", *feature, "direction"]
+    zero = F.lit(0).cast("long")
+    all_cells, chroms = written(numbers.select("cell").distinct(), "names"), numbers.select("chrom").distinct()
+    live = written(stats.sides(score.fold_levels(numbers, lineage.spans, cells, feature)).select(*keys, "score", zero.alias("extreme"), zero.alias("n")), "live")
+    done = live.limit(0)
+    while n < most and live.limit(1).count():
         perms = spark.range(n + 1, min(n + step, most) + 1).select(F.col("id").cast("int").alias("perm_id"))
-        map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed)
-        new = score.permuted_levels(numbers, map_, lineage.closed, cells)
-        permuted = written(new if permuted is None else permuted.unionByName(new), "permuted")
+        map_ = score.shuffled_cells(all_cells, chroms.join(live.select("chrom").distinct(), "chrom", "left_semi"), perms, seed)
+        own = numbers.join(live.select(*feature).distinct(), list(feature), "left_semi")
+        new = stats.sides(score.permuted_levels(own, map_, lineage.spans, cells.join(live.select("cell").distinct(), "cell", "left_semi"), feature))
+        met = new.withColumnRenamed("score", "_score").join(live.select(*keys, "score"), keys)
+        more = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.abs("_score") >= F.abs("score")).alias("_extreme"))
+        sums = live.join(more, keys, "left").select(*keys, "score", (F.col("extreme") + F.coalesce("_extreme", zero)).alias("extreme"), (F.col("n") + F.coalesce("_n", zero)).alias("n"))
+        told = written(sums.withColumn("_on", score.of_use(F.col("n"), (F.col("extreme") + 1) / (F.col("n") + 1), most=most)), "told")
+        done = done.unionByName(told.where("not _on").drop("_on"))
+        live = told.where("_on").drop("_on")
         n = min(n + step, most)
-        tests = written(stats.significance(levels, permuted, None, ["chrom", "feature"]), "tests")
-        ps = [r.p for r in tests.select(F.round("pvalue", 4).alias("p")).distinct().collect()]  # no more than permutations make different ones
-        if not any(score.goes_on(n, p, most=most) for p in ps):
-            break
-    return levels, permuted, tests, n
+    whole = done.unionByName(live).where("n > 0").withColumn("pvalue", (F.col("extreme") + 1) / (F.col("n") + 1))
+    return written(stats.adjusted(whole, ["cell", "direction"]), "tests"), n
 
 
 def permuted_tree_levels(numbers: DataFrame, shuffled: DataFrame, least_size: int = 5, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
     """Levels (perm_id, cell, chrom, feature, amp, del) of the eligible lineages of permuted trees, on the numbers as permuted for them, and the lineages' sizes (perm_id, cell, subtreesize)."""
     named = shuffled.select("perm_id", *[F.concat_ws("/", "perm_id", c).alias(c) for c in ("parent", "child")], "dist")  # one forest, whose nodes tell their tree
-    closed = written(trees.closure(named), "closure")
-    tops = trees.roots(named).select(F.col("cell").alias("anc"))
-    sizes = trees.measured(named).join(tops.withColumnRenamed("anc", "cell"), "cell", "left_anti").where(F.col("subtreesize") >= least_size)
+    whole = written(trees.measured(named), "lineages")
+    spans = trees.spans(named, whole)
+    sizes = whole.join(trees.roots(named), "cell", "left_anti").where(F.col("subtreesize") >= least_size)
     sizes = written(sizes.select("cell", "subtreesize"), "sizes")
     perms = shuffled.select("perm_id").distinct()
     map_ = score.shuffled_cells(numbers.select("cell").distinct(), numbers.select("chrom").distinct(), perms, seed).withColumn("label", F.concat_ws("/", "perm_id", "label"))
-    levels = written(score.permuted_levels(numbers, map_, closed, sizes), "permuted")
+    levels = written(score.permuted_levels(numbers, map_, spans, sizes), "permuted")
     own = F.substring_index("cell", "/", 1).cast("int")
     bare = F.expr("substr(cell, instr(cell, '/') + 1)")
     return levels.withColumn("cell", bare), sizes.select(own.alias("perm_id"), bare.alias("cell"), "subtreesize")
@@ -142,7 +151,7 @@ def findings(tests: DataFrame, lineage: Lineage, cutoff: float = 0.01, least: fl
     """Significant features of the lineages, without redundant lineages: cell, depth, region, score, pvalue, adjustp."""
     found = stats.significant(tests, cutoff, least).join(lineage.cells.select("cell", "depth"), "cell")
     found = found.select("cell", "depth", F.col("feature").alias("region"), "score", "pvalue", "adjustp")
-    return regions.refined(found, lineage.closed, lineage.tree, trees.eligible(lineage.cells, lineage.root))
+    return regions.refined(found, trees.closure(lineage.tree), lineage.tree, trees.eligible(lineage.cells, lineage.root))
 
 
 def segmental(found: DataFrame, bands: DataFrame, lineage: Lineage) -> DataFrame:

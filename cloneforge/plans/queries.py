@@ -116,15 +116,15 @@ TESTED = f"{HEAPED}, {LEVELS}, {MAP}, {PERMUTED}, {SIDES}"
 
 def heaped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tree = heap(spark, d)
-    closed = trees.closure(tree)
-    return tree, closed, written(trees.lineages(closed), "lineages")
+    cells = written(trees.measured(tree), "lineages")
+    return tree, trees.spans(tree, cells), cells
 
 
 def heap_levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Closure, lineages and levels of the eligible ones."""
-    _, closed, cells = heaped(spark, d)
+    tree, spans, cells = heaped(spark, d)
     own = trees.eligible(cells, "0")
-    return closed, cells, score.fold_levels(profile(spark, d), closed, own, ["chrom", "bin"])
+    return tree, spans, cells, score.fold_levels(profile(spark, d), spans, own, ["chrom", "bin"])
 
 
 def shuffle_map(spark: SparkSession, d: str) -> DataFrame:
@@ -133,13 +133,13 @@ def shuffle_map(spark: SparkSession, d: str) -> DataFrame:
     return score.shuffled_cells(prof.select("cell").distinct(), prof.select("chrom").distinct(), perms, SEED)
 
 
-def heap_permuted(spark: SparkSession, d: str, closed: DataFrame, cells: DataFrame) -> DataFrame:
-    return score.permuted_levels(profile(spark, d), shuffle_map(spark, d), closed, trees.eligible(cells, "0"), ["chrom", "bin"])
+def heap_permuted(spark: SparkSession, d: str, spans: DataFrame, cells: DataFrame) -> DataFrame:
+    return score.permuted_levels(profile(spark, d), shuffle_map(spark, d), spans, trees.eligible(cells, "0"), ["chrom", "bin"])
 
 
 def heap_tests(spark: SparkSession, d: str) -> DataFrame:
-    closed, cells, levels = heap_levels(spark, d)
-    return stats.significance(levels, heap_permuted(spark, d, closed, cells), None, ["chrom", "bin"])
+    tree, spans, cells, levels = heap_levels(spark, d)
+    return stats.significance(levels, heap_permuted(spark, d, spans, cells), None, ["chrom", "bin"])
 
 
 def _r(c: str, digits: int = 9):
@@ -338,10 +338,11 @@ def duplicate_tables(spark: SparkSession, d: str) -> DataFrame:
 DRAW = "CAST(CAST(('0x' || left(md5({}), 8)) AS BIGINT) AS DOUBLE) / 4294967296"
 
 
-@query(f"""WITH own AS (SELECT g, c, {DRAW.format("'42:' || c")} AS u, {DRAW.format("'42:' || g || ':' || c")} AS noise FROM range(60) a(g), range(50) b(c))
+@query(f"""WITH own AS (SELECT g, c, {DRAW.format("'42:' || c")} AS u, {DRAW.format("'42:' || g || ':' || c")} AS noise FROM range(60) a(g), range((SELECT count(*) FROM customer)) b(c))
 SELECT 'cell' || c AS cell, 'gene' || g AS gene, round(greatest(0.1, CASE WHEN g < 12 AND u < 0.3 THEN 1.5 WHEN g >= 12 AND g < 24 AND u >= 0.8 THEN 0.5 ELSE 1.0 END + 0.2 * (noise - 0.5)), 9) AS rel FROM own""")
 def synthetic_source(spark: SparkSession, d: str) -> DataFrame:
-    return readers.synthetic(spark, 60, 50).select("cell", "gene", _r("rel"))
+    """Made-up numbers of sixty genes in as many cells as there are customers."""
+    return readers.synthetic(spark, 60, table(spark, d, "customer").count()).select("cell", "gene", _r("rel"))
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20")
@@ -350,14 +351,6 @@ def first_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
 
 
-@query("""SELECT n, p, CASE WHEN n < 20 THEN TRUE WHEN n >= 100 OR p > 0.1 OR p < 0.001 THEN FALSE ELSE NOT (n > 50 AND p > 0.05) END AS goes_on,
-  CASE WHEN n * 100 > 5000 OR n * 50 > 2000 THEN 30 WHEN n * 100 > 1000 OR n * 50 > 1000 THEN 50 ELSE 100 END AS needed FROM (SELECT CAST(n AS INTEGER) AS n, p FROM range(1, 111) t(n), (SELECT CAST(unnest([0.0005, 0.01, 0.05, 0.07, 0.1, 0.2]) AS DOUBLE) AS p))""")
-def adaptive_permutations(spark: SparkSession, d: str) -> DataFrame:
-    """When permutations go on, and how many a size asks for."""
-    rows = [(n, p, score.goes_on(n, p), score.permutations_needed(100 * n, 50 * n)) for n in range(1, 111) for p in (0.0005, 0.01, 0.05, 0.07, 0.1, 0.2)]
-    return spark.createDataFrame(rows, "n int, p double, goes_on boolean, needed int")
-
-
 # --- distances
 
 
@@ -571,8 +564,8 @@ up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() O
 SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
 def ancestor_network(spark: SparkSession, d: str) -> DataFrame:
     """Of cells with two-digit names and cell 0 alone, as in the SQL; ancestor_network_of_findings has all that have a finding."""
-    _, closed, cells = heaped(spark, d)
-    return trees.network(cells.where("length(cell) = 2 or cell = '0'").select("cell", "depth"), closed)
+    tree, spans, cells = heaped(spark, d)
+    return trees.network(cells.where("length(cell) = 2 or cell = '0'").select("cell", "depth"), tree)
 
 
 ROOTED = f"""{PROF.replace("prof AS", "cells AS")}, prof AS (SELECT cell, chrom, bin, cn FROM cells UNION ALL SELECT DISTINCT 'root', chrom, bin, 2 FROM cells)"""
@@ -695,22 +688,65 @@ BANDS = """bands AS (SELECT CAST(i // 16 AS VARCHAR) AS chrom, b * b * 100 + b *
   FROM (SELECT CAST(i AS BIGINT) AS i, CAST(i % 16 AS BIGINT) AS b FROM (SELECT unnest(range(64)) AS i)))"""
 
 
-@query(f"WITH {BANDS} SELECT chrom, arm AS band, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS length FROM bands GROUP BY 1, 2")
+def part_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Bands for parts: five chromosomes, on which those of the smaller sizes make the short arm."""
+    own = table(spark, d, "part")
+    arm = F.when(F.col("p_size") <= 25, "p").otherwise("q")
+    at = (F.col("p_size") * 1_000_000 + F.floor(F.col("p_partkey") / 5)).cast("long")
+    band = F.concat(arm, F.floor((F.col("p_size") - 1) % 25 / 5).cast("string"), F.lit("."), F.col("p_partkey").cast("string"))
+    return own.select((F.col("p_partkey") % 5).cast("string").alias("chrom"), at.alias("start"), (at + 1).alias("end"), band.alias("band"))
+
+
+PART_BANDS = """bands AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS chrom, p_size * 1000000 + p_partkey // 5 AS start, p_size * 1000000 + p_partkey // 5 + 1 AS stop, CASE WHEN p_size <= 25 THEN 'p' ELSE 'q' END AS arm,
+  CASE WHEN p_size <= 25 THEN 'p' ELSE 'q' END || ((p_size - 1) % 25 // 5) AS major FROM part)"""
+
+
+@query(f"WITH {PART_BANDS} SELECT chrom, arm AS band, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS length FROM bands GROUP BY 1, 2")
 def arm_extent(spark: SparkSession, d: str) -> DataFrame:
-    return genome.arms(bin_bands(spark)).withColumnRenamed("end", "stop")
+    return genome.arms(part_bands(spark, d)).withColumnRenamed("end", "stop")
 
 
-@query(f"WITH {BANDS} SELECT chrom, major AS band, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS length FROM bands GROUP BY 1, 2")
+@query(f"WITH {PART_BANDS} SELECT chrom, major AS band, min(start) AS start, max(stop) AS stop, max(stop) - min(start) AS length FROM bands GROUP BY 1, 2")
 def major_band_extent(spark: SparkSession, d: str) -> DataFrame:
-    return genome.major_bands(bin_bands(spark)).withColumnRenamed("end", "stop")
+    return genome.major_bands(part_bands(spark, d)).withColumnRenamed("end", "stop")
+
+
+@query(f"""WITH {PART_BANDS}, spots AS (SELECT event_id, CAST(user_id % 5 AS VARCHAR) AS chrom, (event_id % 50 + 1) * 1000000 + event_id % 997 + 1 AS pos FROM events)
+SELECT event_id, chrom, pos, min(band) AS band FROM (SELECT event_id, s.chrom, pos, b.major || '.' || b.k AS band FROM spots s JOIN (SELECT chrom, start, stop, major, p_partkey AS k FROM (SELECT *, CAST(start % 1000000 * 5 + CAST(chrom AS BIGINT) AS BIGINT) AS p_partkey FROM bands)) b ON b.chrom = s.chrom AND pos > b.start AND pos <= b.stop) GROUP BY ALL""")
+def bands_of_a_file(spark: SparkSession, d: str) -> DataFrame:
+    """Points in bands that come from a table without a header, in folders as Spark writes it."""
+    path = folder(spark, "bands")
+    part_bands(spark, d).write.csv(path, sep="\t")
+    spots = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).cast("string").alias("chrom"), ((F.col("event_id") % 50 + 1) * 1_000_000 + F.col("event_id") % 997 + 1).alias("pos"))
+    return genome.in_bands(spots, readers.bands(spark, path)).select("event_id", "chrom", "pos", "band")
 
 
 # --- levels, permutations, tests
 
 
+STEP = 20
+MOST = "(SELECT CASE WHEN count(DISTINCT cell) > 5000 OR count(DISTINCT chrom || bin) > 2000 THEN 30 WHEN count(DISTINCT cell) > 1000 OR count(DISTINCT chrom || bin) > 1000 THEN 50 ELSE 100 END FROM prof)"
+
+
+@query(f"""{HEAPED}, {LEVELS}, {MAP.replace(f"range(1, {PERMS + 1})", "range(1, 101)")}, {PERMUTED}, {SIDES.split("tests AS")[0]}
+steps AS (SELECT least(k, {MOST}) AS k FROM range({STEP}, 101, {STEP}) t(k)),
+hits AS (SELECT s.cell, s.chrom, s.bin, s.direction, any_value(s.score) AS score, ceil(perm_id / {STEP}.0) * {STEP} AS part, count(*) AS m, count(*) FILTER (abs(b.score) >= abs(s.score)) AS x FROM sides s JOIN back b USING (cell, chrom, bin, direction) GROUP BY s.cell, s.chrom, s.bin, s.direction, part),
+sums AS (SELECT cell, chrom, bin, direction, score, CAST(sum(x) OVER o AS BIGINT) AS extreme, CAST(sum(m) OVER o AS BIGINT) AS n FROM hits WINDOW o AS (PARTITION BY cell, chrom, bin, direction ORDER BY part)),
+ends AS (SELECT *, (extreme + 1) / (n + 1) AS pvalue FROM sums),
+stops AS (SELECT *, row_number() OVER (PARTITION BY cell, chrom, bin, direction ORDER BY n) AS k FROM ends WHERE n >= 20 AND (n >= {MOST} OR pvalue > 0.1 OR pvalue < 0.001 OR (n > 50 AND pvalue > 0.05))),
+tests AS (SELECT cell, chrom, bin, direction, score, extreme, n, pvalue FROM stops WHERE k = 1)
+SELECT cell, chrom, bin, direction, round(score, 9) AS score, extreme, n, round(pvalue, 9) AS pvalue, round(least(1, min(pvalue * m / r) OVER (PARTITION BY cell, direction ORDER BY pvalue DESC RANGE UNBOUNDED PRECEDING)), 9) AS adjustp FROM
+  (SELECT *, count(*) OVER (PARTITION BY cell, direction) AS m, count(*) OVER (PARTITION BY cell, direction ORDER BY pvalue RANGE UNBOUNDED PRECEDING) AS r FROM tests)""".replace("back AS (SELECT cell, chrom, bin, 'AMP'", "back AS (SELECT perm_id, cell, chrom, bin, 'AMP'").replace("UNION ALL SELECT cell, chrom, bin, 'DEL', del FROM permuted", "UNION ALL SELECT perm_id, cell, chrom, bin, 'DEL', del FROM permuted"))
+def adaptive_permutations(spark: SparkSession, d: str) -> DataFrame:
+    """Each lineage and bin with as many permutations as are of use to it."""
+    tree, spans, cells = heaped(spark, d)
+    tests, _ = lineages.adaptively_tested(profile(spark, d), lineages.Lineage(tree, spans, cells, "0"), STEP, seed=SEED, feature=["chrom", "bin"])
+    return tests.select("cell", "chrom", "bin", "direction", _r("score"), "extreme", "n", _r("pvalue"), _r("adjustp"))
+
+
 @query(f"{HEAPED}, {LEVELS} SELECT cell, chrom, bin, n, round(amp, 9) AS amp, round(del, 9) AS del FROM levels")
 def cfl_score(spark: SparkSession, d: str) -> DataFrame:
-    return heap_levels(spark, d)[2].select("cell", "chrom", "bin", "n", _r("amp"), _r("del"))
+    return heap_levels(spark, d)[3].select("cell", "chrom", "bin", "n", _r("amp"), _r("del"))
 
 
 @query(f"WITH {PROF}, {MAP} SELECT perm_id, chrom, cell, label FROM map")
@@ -720,8 +756,8 @@ def permute_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HEAPED}, {MAP}, {PERMUTED} SELECT perm_id, cell, chrom, bin, round(amp, 9) AS amp, round(del, 9) AS del FROM permuted")
 def permuted_cfl(spark: SparkSession, d: str) -> DataFrame:
-    _, closed, cells = heaped(spark, d)
-    return heap_permuted(spark, d, closed, cells).select("perm_id", "cell", "chrom", "bin", _r("amp"), _r("del"))
+    tree, spans, cells = heaped(spark, d)
+    return heap_permuted(spark, d, spans, cells).select("perm_id", "cell", "chrom", "bin", _r("amp"), _r("del"))
 
 
 @query(f"{TESTED} SELECT cell, chrom, bin, direction, round(score, 9) AS score, round(pvalue, 9) AS pvalue FROM tests")
@@ -790,8 +826,8 @@ SELECT s.cell, s.chrom, CAST(s.bin AS VARCHAR) AS feature, s.direction, round(s.
 FROM sides s JOIN back b USING (cell, chrom, bin, direction) GROUP BY s.cell, s.chrom, s.bin, s.direction, s.score""")
 def permuted_tree_test(spark: SparkSession, d: str) -> DataFrame:
     """Tests against lineages of like size in trees of permutations."""
-    tree, closed, cells = heaped(spark, d)
-    _, _, tests, _ = lineages.tested(features(spark, d), lineages.Lineage(tree, closed, cells, "0"), shuffled=permuted_heaps(spark, d), seed=SEED)
+    tree, spans, cells = heaped(spark, d)
+    _, _, tests, _ = lineages.tested(features(spark, d), lineages.Lineage(tree, spans, cells, "0"), shuffled=permuted_heaps(spark, d), seed=SEED)
     return tests.select("cell", "chrom", "feature", "direction", _r("score"), _r("pvalue"))
 
 
@@ -812,8 +848,8 @@ up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() O
 SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
 def ancestor_network_of_findings(spark: SparkSession, d: str) -> DataFrame:
     """ancestor_network of all cells that have a finding, in place of those with short names."""
-    closed, cells, levels = heap_levels(spark, d)
-    return trees.network(found(levels, cells), closed)
+    tree, spans, cells, levels = heap_levels(spark, d)
+    return trees.network(found(levels, cells), tree)
 
 
 @query(f"""{HEAPED}, {LEVELS}, {MAP}, {PERMUTED}, {FOUND}, named AS (SELECT chrom || ':' || bin AS region, score, subtreesize FROM found), signs AS (SELECT region, count(*) AS lineage, CASE WHEN count(*) FILTER (WHERE score < 0) > 1 THEN -1 WHEN count(*) FILTER (WHERE score > 0) > 1 THEN 1 END AS sg FROM named GROUP BY 1 HAVING count(*) > 1),
@@ -823,10 +859,10 @@ near AS (SELECT id, region, sg, perm_id, cell FROM (SELECT o.id, o.region, o.sg,
 counts AS (SELECT n.region, n.perm_id, count(*) FILTER (WHERE CASE WHEN n.sg > 0 THEN q.amp >= 0.5 ELSE q.del <= -0.5 END) AS c FROM near n JOIN permuted q ON q.perm_id = n.perm_id AND q.cell = n.cell AND q.chrom || ':' || q.bin = n.region GROUP BY 1, 2)
 SELECT s.region, s.lineage, round(p.pvalue, 9) AS pvalue FROM signs s LEFT JOIN (SELECT c.region, CAST(count(*) FILTER (WHERE c.c >= o.need) + 1 AS DOUBLE) / (count(*) + 1) AS pvalue FROM counts c JOIN (SELECT region, count(*) AS need FROM own GROUP BY 1) o USING (region) GROUP BY 1) p USING (region)""")
 def parallel_test(spark: SparkSession, d: str) -> DataFrame:
-    closed, cells, levels = heap_levels(spark, d)
+    tree, spans, cells, levels = heap_levels(spark, d)
     region = F.concat_ws(":", "chrom", "bin").alias("region")
     own = found(levels, cells).select(region, "score", "subtreesize")
-    permuted = written(heap_permuted(spark, d, closed, cells), "permuted").select("perm_id", "cell", region, "amp", "del")
+    permuted = written(heap_permuted(spark, d, spans, cells), "permuted").select("perm_id", "cell", region, "amp", "del")
     sizes = permuted.select("perm_id", "cell").distinct().join(cells.select("cell", "subtreesize"), "cell")
     return stats.parallel(own, permuted, sizes).select("region", "lineage", _r("pvalue"))
 
@@ -839,7 +875,7 @@ _round = "round(score, 9) AS score, round(pvalue, 9) AS pvalue, round(adjustp, 9
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    _, cells, levels = heap_levels(spark, d)
+    _, _, cells, levels = heap_levels(spark, d)
     own = found(levels, cells).join(F.broadcast(bin_bands(spark).select("chrom", "bin", "band")), ["chrom", "bin"])  # 64 rows
     return regions.by_arm(own.select("cell", "depth", "chrom", "band", "score", "pvalue", "adjustp"), bin_bands(spark).drop("bin"))
 
@@ -851,8 +887,8 @@ def region_arm_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HEAPED}, {LEVELS}, {FOUND}, {MERGED} SELECT region, round(score, 9) AS score, round(pvalue, 9) AS pvalue, round(adjustp, 9) AS adjustp, m.cell, CAST(m.depth AS INTEGER) AS depth, subtreesize, CASE WHEN score < 0 THEN 'DEL' ELSE 'AMP' END AS CNA FROM merged m JOIN lineage USING (cell)")
 def result_table(spark: SparkSession, d: str) -> DataFrame:
-    path, (tree, closed, cells) = folder(spark, "results"), heaped(spark, d)
-    writers.results(lineages.reported(merged(spark, d), lineages.Lineage(tree, closed, cells, "0")), path)
+    path, (tree, spans, cells) = folder(spark, "results"), heaped(spark, d)
+    writers.results(lineages.reported(merged(spark, d), lineages.Lineage(tree, spans, cells, "0")), path)
     got = spark.read.csv(path, sep="\t", header=True)
     number = lambda c, name: F.round(F.col(c).cast("double"), 9).alias(name)
     return got.select("region", number("Score", "score"), number("pvalue", "pvalue"), number("adjustp", "adjustp"), "cell", F.col("depth").cast("int"), F.col("subtreesize").cast("long"), "CNA")
@@ -870,13 +906,13 @@ def region_islands(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refine_merge(spark: SparkSession, d: str) -> DataFrame:
-    tree, closed, cells = heaped(spark, d)
-    _, _, levels = heap_levels(spark, d)
+    tree, spans, cells = heaped(spark, d)
+    _, _, _, levels = heap_levels(spark, d)
     own = found(levels, cells).select("cell", "depth", F.concat_ws(":", "chrom", "bin").alias("region"), "score", "pvalue", "adjustp")
-    return regions.refined(own, closed, tree, trees.eligible(cells, "0"))
+    return regions.refined(own, trees.closure(tree), tree, trees.eligible(cells, "0"))
 
 
 @query(f"""{HEAPED}, {LEVELS}, {FOUND} SELECT cell, string_agg(region, ',' ORDER BY k) AS label FROM (SELECT cell, chrom || ':' || bin AS region, row_number() OVER (PARTITION BY cell ORDER BY pvalue, abs(score) DESC, chrom || ':' || bin) AS k FROM found) WHERE k <= 3 GROUP BY cell""")
 def top3_labels(spark: SparkSession, d: str) -> DataFrame:
-    _, cells, levels = heap_levels(spark, d)
+    _, _, cells, levels = heap_levels(spark, d)
     return regions.top_labels(found(levels, cells).select("cell", F.concat_ws(":", "chrom", "bin").alias("region"), "score", "pvalue"))

@@ -243,16 +243,23 @@ def test_permutations_stop_when_of_no_more_use(spark):
     annotation = spark.createDataFrame(places, "gene string, chrom string, start long, end long")
     own = lineage.infer(segment.binned_genes(genes, annotation, 5))
     numbers = lineage.relative_bands(genes, annotation, spark.createDataFrame(bands, "chrom string, start long, end long, band string"))
-    _, permuted, tests, n = lineage.adaptively_tested(numbers, own, step=25)
-    assert 25 <= n <= 100 and permuted.select("perm_id").distinct().count() == n and tests.count() > 0
+    tests, n = lineage.adaptively_tested(numbers, own, step=25)
+    rows = tests.collect()
+    assert 25 <= n <= 100 and rows
+    for r in rows:  # each went on as long as it was of use, and no longer
+        assert r.n % 25 == 0 and r.n <= n and not score.goes_on(r.n, r.pvalue) and r.pvalue == (r.extreme + 1) / (r.n + 1)
+    # the counts are those of the permutations themselves
+    _, permuted, whole, _ = lineage.tested(numbers, own, 25)
+    by = {(r.cell, r.feature, r.direction): r.pvalue for r in whole.collect()}
+    assert all(by[r.cell, r.feature, r.direction] == r.pvalue for r in rows if r.n == 25)
 
 
 def test_levels_of_many_features(spark):
     rng = random.Random(4)
     cn = {(c, f): rng.randrange(5) for c in "abcdef" for f in range(21) if rng.random() < 0.9}
     df = spark.createDataFrame([(c, "1", f"f{f}", n) for (c, f), n in cn.items()], "cell string, chrom string, feature string, cn int")
-    closed = spark.createDataFrame([("a", x) for x in "abcdef"] + [("b", "b"), ("b", "c")], "anc string, desc string")
-    got = {(r.cell, r.feature): (r.n, r.amp, r["del"]) for r in score.fold_levels(df, closed, None, ["chrom", "feature"]).collect()}
+    spans = spark.createDataFrame([("a", 0, 5), ("b", 1, 2)] + [(x, k + 2, k + 2) for k, x in enumerate("cdef")], "cell string, first bigint, last bigint")
+    got = {(r.cell, r.feature): (r.n, r.amp, r["del"]) for r in score.fold_levels(df, spans, spans.where("cell in ('a', 'b')"), ["chrom", "feature"]).collect()}
     want = {}
     for top, members in (("a", "abcdef"), ("b", "bc")):
         for f in range(21):

@@ -113,7 +113,7 @@ def test_star_and_edge(spark):
 def test_network(spark):
     tree = tree_of(spark, [("r", "a"), ("a", "b"), ("b", "c"), ("r", "d")])
     found = spark.createDataFrame([("a", 1), ("c", 3), ("d", 1)], "cell string, depth int")
-    got = {(r.node1, r.node2, r.dist) for r in trees.network(found, trees.closure(tree)).collect()}
+    got = {(r.node1, r.node2, r.dist) for r in trees.network(found, tree).collect()}
     assert got == {("root", "a", 1), ("a", "c", 2), ("root", "d", 1)}
 
 
@@ -130,7 +130,7 @@ def test_network_of_all_cells_with_findings(spark, tmp_path):
     rows = [(k, [float(v) for v in rng.choice([-0.5, 0.0, 0.5], 64)]) for k in range(600)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.node2: (r.node1, r.dist) for r in queries.queries()["ancestor_network_of_findings"](spark, str(tmp_path)).collect()}
-    closed, cells, levels = queries.heap_levels(spark, str(tmp_path))
+    _, _, cells, levels = queries.heap_levels(spark, str(tmp_path))
     depth = {r.cell: r.depth for r in queries.found(levels, cells).select("cell", "depth").collect()}
     want = {}
     for cell in depth:
