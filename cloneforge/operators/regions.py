@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cloneforge.plans.storage import written
+
 SIGN = F.signum
 
 
@@ -57,62 +58,44 @@ def combined(findings: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def refined(findings: DataFrame, closed: DataFrame, tree: DataFrame, lineage: DataFrame) -> DataFrame:
-    """findings (cell, depth, region, score, pvalue, adjustp) without redundant lineages, each region and direction on its own, in order of depth. Where a region is found in a lineage and
-    in some below it: if all eligible lineages below have it, the upper one stays; else the first found one that is not above the least depth of those without it, or, if there is none, the upper one. Then
+    """findings (cell, depth, region, score, pvalue, adjustp) without redundant lineages, each region and direction on its own. Where a region is found in a lineage and
+    in some below it: if all eligible lineages below have it, the uppermost one stays; else the first found one that is not above the least depth of those without it, or, if there is none, the uppermost one. Then
     of lineages of one region those below others go, and two or more with one parent (but the root) become the parent, until nothing changes; what hangs on the root alone stays
-    only where more eligible lineages hang there. closed: anc, desc; tree: parent, child; lineage: eligible cells with depth. A task has one region of one direction, and of the tree the
-    part that concerns it."""
-    kept = findings.withColumn("sign", SIGN("score"))
-    cells = kept.select("region", "sign", F.col("cell").alias("anc")).distinct()
-    below = cells.join(closed.where("hops > 0").select("anc", "desc"), "anc").join(lineage.select(F.col("cell").alias("desc"), F.col("depth").alias("ddepth")), "desc", "left")
-    under = below.groupBy("region", "sign", "anc").agg(F.collect_list(F.struct("desc", "ddepth")).alias("below"))
-    # ancestors with their distances, for merging upwards
-    up = cells.join(closed.select(F.col("desc").alias("cell"), F.col("anc").alias("up"), "hops").withColumnRenamed("cell", "anc"), "anc").groupBy("region", "sign", "anc").agg(F.transform(F.sort_array(F.collect_list(F.struct("hops", "up"))), lambda x: x["up"]).alias("path"))
-    tops = tree.select("parent").distinct().join(tree.select(F.col("child").alias("parent")), "parent", "left_anti")
-    hang = tree.join(tops, "parent", "left_semi").join(lineage.select(F.col("cell").alias("child")), "child", "left_semi").agg(F.count(F.lit(1)).alias("hang"))
-    own = kept.join(under.withColumnRenamed("anc", "cell"), ["region", "sign", "cell"], "left").join(up.withColumnRenamed("anc", "cell"), ["region", "sign", "cell"], "left").crossJoin(hang)  # one row
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["depth", "cell"], kind="stable").to_dict("records")
-        under_ = {r["cell"]: {x["desc"]: x["ddepth"] for x in (r["below"] if r["below"] is not None else [])} for r in rows}
-        path = {r["cell"]: list(r["path"]) for r in rows}
-        live = {r["cell"]: r for r in rows}
-        done: list[dict] = []
-        for r in rows:
-            if r["cell"] not in live:
-                continue
-            sub = [x for x in live.values() if x["cell"] == r["cell"] or x["cell"] in under_[r["cell"]]]
-            without = [d for c, d in under_[r["cell"]].items() if d is not None and d == d and c not in live]
-            keep = r
-            if len(sub) > 1 and without:
-                late = [x for x in sub if x["depth"] >= min(without)]
-                keep = late[0] if late else r
-            for x in sub:
-                del live[x["cell"]]
-            done.append(keep)
-        found = {r["cell"]: dict(r) for r in done}
-        if len(found) > 1:
-            while True:
-                for c in list(found):
-                    if any(a in found for a in path[c][1:]):
-                        del found[c]
-                parents: dict[str, list[str]] = {}
-                for c in found:
-                    if len(path[c]) > 2:  # its parent isn't the root
-                        parents.setdefault(path[c][1], []).append(c)
-                many = {p: cs for p, cs in parents.items() if len(cs) > 1}
-                if not many:
-                    break
-                for p, cs in many.items():
-                    own_ = [found.pop(c) for c in cs]
-                    path[p] = path[cs[0]][1:]
-                    found[p] = {**own_[0], "cell": p, **{k: sum(x[k] for x in own_) / len(own_) for k in ("score", "pvalue", "adjustp")}, "depth": int(sum(x["depth"] for x in own_) / len(own_)) - 1}
-            if all(len(path[c]) <= 2 for c in found) and int(pdf["hang"].iloc[0]) <= len(found):
-                found = {}
-        kinds = {"cell": object, "depth": "int32", "region": object, "score": float, "pvalue": float, "adjustp": float}
-        return pd.DataFrame({k: pd.Series([r[k] for r in found.values()], dtype=t) for k, t in kinds.items()})
-
-    return own.groupBy("region", "sign").applyInPandas(run, "cell string, depth int, region string, score double, pvalue double, adjustp double")
+    only where more eligible lineages hang there. closed: anc, desc, hops; tree: parent, child; lineage: eligible cells with depth. Rounds go up the tree, a level or more each; a row stands for one
+    region, direction and lineage."""
+    group = ["region", "sign"]
+    figures = ["score", "pvalue", "adjustp"]
+    roots = tree.select("parent").distinct().join(tree.select(F.col("child").alias("parent")), "parent", "left_anti")
+    above = closed.where("hops > 0").select(F.col("desc").alias("cell"), F.col("anc").alias("up"), "hops")
+    own = written(findings.withColumn("sign", SIGN("score")).select(*group, "cell", "depth", *figures), "found")
+    # the uppermost found lineage above each
+    met = own.select(*group, "cell").join(above, "cell").join(own.select(*group, F.col("cell").alias("up")), [*group, "up"])
+    named = own.select(*group, "cell", "depth").join(met.groupBy(*group, "cell").agg(F.max_by("up", "hops").alias("top")), [*group, "cell"], "left")
+    named = written(named.withColumn("top", F.coalesce("top", "cell")), "named")
+    # the least depth at which an eligible lineage below it lacks the finding: there are more of them than found ones
+    eligible = lineage.select("cell", F.col("depth").alias("ddepth"))
+    below = above.join(named.select(F.col("top").alias("up")).distinct(), "up", "left_semi").join(eligible, "cell").groupBy(F.col("up").alias("top"), "ddepth").agg(F.count(F.lit(1)).alias("all"))
+    have = named.where("cell <> top").join(eligible, "cell").groupBy(*group, "top", "ddepth").agg(F.count(F.lit(1)).alias("have"))
+    lacks = named.select(*group, "top").distinct().join(below, "top").join(have, [*group, "top", "ddepth"], "left").where(F.col("all") > F.coalesce("have", F.lit(0)))
+    lacks = lacks.groupBy(*group, "top").agg(F.min("ddepth").alias("lacks"))
+    late = named.join(lacks, [*group, "top"], "left").groupBy(*group, "top").agg(F.min(F.when(F.col("depth") >= F.col("lacks"), F.struct("depth", "cell"))).alias("m"))
+    chosen = late.select(*group, F.coalesce("m.cell", "top").alias("cell"))
+    live = written(own.join(chosen, [*group, "cell"], "left_semi"), "live")
+    several = live.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
+    while True:
+        under = live.select(*group, "cell").join(above, "cell").join(live.select(*group, F.col("cell").alias("up")), [*group, "up"], "left_semi")
+        tops = live.join(under, [*group, "cell"], "left_anti")
+        kids = tops.join(tree.select(F.col("child").alias("cell"), "parent"), "cell").join(roots, "parent", "left_anti")
+        merged = kids.groupBy(*group, "parent").agg(F.count(F.lit(1)).alias("n"), (F.min("depth") - 1).alias("depth"), *[F.avg(x).alias(x) for x in figures]).where("n > 1")
+        merged = written(merged, "merged")
+        gone = kids.join(merged.select(*group, "parent"), [*group, "parent"], "left_semi").select(*group, "cell")
+        live = written(tops.join(gone, [*group, "cell"], "left_anti").unionByName(merged.select(*group, F.col("parent").alias("cell"), "depth", *figures)), "live")
+        if not merged.limit(1).count():
+            break
+    hang = tree.join(roots, "parent", "left_semi").join(lineage.select(F.col("cell").alias("child")), "child", "left_semi").count()
+    deep = live.join(tree.select(F.col("child").alias("cell"), "parent"), "cell").join(roots, "parent", "left_anti").select(*group).distinct()
+    shallow = live.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(several, group, "left_semi").join(deep, group, "left_anti").where(F.col("n") >= hang)
+    return live.join(shallow, group, "left_anti").select("cell", F.col("depth").cast("int").alias("depth"), "region", *figures)
 
 
 def top_labels(findings: DataFrame, most: int = 3) -> DataFrame:

@@ -904,12 +904,36 @@ def region_islands(spark: SparkSession, d: str) -> DataFrame:
     return regions.combined(merged(spark, d), bin_bands(spark).drop("bin")).select("cell", "depth", "region", _r("score"), _r("pvalue"), _r("adjustp"))
 
 
-@query()
+#: Rounds of merging in SQL, of which a heap of depth k needs k at most; one more changes nothing.
+ROUNDS = 20
+
+
+def _merging(k: int) -> str:
+    """Findings m<k + 1>, from m<k>: those below others go, and several with one parent but the root become it."""
+    return f"""t{k} AS (SELECT x.*, tree.parent FROM m{k} x LEFT JOIN tree ON tree.child = x.cell AND tree.parent <> '0'
+  WHERE NOT EXISTS (SELECT 1 FROM m{k} y JOIN clo ON clo.anc = y.cell WHERE y.region = x.region AND y.sg = x.sg AND clo.descendant = x.cell AND clo.hops > 0)),
+g{k} AS (SELECT region, sg, parent AS cell, min(depth) - 1 AS depth, avg(score) AS score, avg(pvalue) AS pvalue, avg(adjustp) AS adjustp FROM t{k} WHERE parent IS NOT NULL GROUP BY region, sg, parent HAVING count(*) > 1),
+m{k + 1} AS (SELECT region, sg, cell, depth, score, pvalue, adjustp FROM t{k} WHERE NOT EXISTS (SELECT 1 FROM g{k} WHERE g{k}.region = t{k}.region AND g{k}.sg = t{k}.sg AND g{k}.cell = t{k}.parent) UNION ALL SELECT * FROM g{k})"""
+
+
+@query(f"""{HEAPED}, {LEVELS}, {FOUND}, own AS (SELECT cell, depth, chrom || ':' || bin AS region, sign(score) AS sg, score, pvalue, adjustp FROM found),
+eligible AS (SELECT cell, depth FROM lineage WHERE subtreesize >= 5 AND cell <> '0'),
+pairs AS (SELECT a.region, a.sg, a.cell AS anc, b.cell, b.depth FROM own a JOIN clo ON clo.anc = a.cell JOIN own b ON b.cell = clo.descendant AND b.region = a.region AND b.sg = a.sg),
+uppermost AS (SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.region = o.region AND p.sg = o.sg AND p.cell = o.cell AND p.anc <> o.cell)),
+lacking AS (SELECT o.region, o.sg, o.cell, min(e.depth) AS least FROM uppermost o JOIN clo ON clo.anc = o.cell AND clo.hops > 0 JOIN eligible e ON e.cell = clo.descendant
+  LEFT JOIN own f ON f.cell = e.cell AND f.region = o.region AND f.sg = o.sg WHERE f.cell IS NULL GROUP BY ALL),
+kept AS (SELECT u.region, u.sg, coalesce(arg_min(p.cell, CAST(p.depth AS VARCHAR).lpad(9, '0') || p.cell) FILTER (p.depth >= l.least), u.cell) AS cell FROM uppermost u JOIN pairs p ON p.region = u.region AND p.sg = u.sg AND p.anc = u.cell
+  LEFT JOIN lacking l ON l.region = u.region AND l.sg = u.sg AND l.cell = u.cell GROUP BY u.region, u.sg, u.cell),
+m0 AS (SELECT own.region, own.sg, own.cell, own.depth, own.score, own.pvalue, own.adjustp FROM own JOIN kept USING (region, sg, cell)),
+{", ".join(_merging(k) for k in range(ROUNDS))},
+ends AS (SELECT m.*, count(*) OVER w AS n, max(m.depth) OVER w AS deep, (SELECT count(*) FROM m0 WHERE m0.region = m.region AND m0.sg = m.sg) AS n0 FROM m{ROUNDS} m WINDOW w AS (PARTITION BY m.region, m.sg))
+SELECT cell, CAST(depth AS INTEGER) AS depth, region, {_round} FROM ends WHERE NOT (n0 > 1 AND deep <= 1 AND n >= (SELECT count(*) FROM eligible JOIN tree ON child = cell WHERE parent = '0'))""")
 def refine_merge(spark: SparkSession, d: str) -> DataFrame:
-    tree, spans, cells = heaped(spark, d)
-    _, _, _, levels = heap_levels(spark, d)
+    """Findings without redundant lineages, merged up the tree."""
+    tree, spans, cells, levels = heap_levels(spark, d)
     own = found(levels, cells).select("cell", "depth", F.concat_ws(":", "chrom", "bin").alias("region"), "score", "pvalue", "adjustp")
-    return regions.refined(own, trees.closure(tree), tree, trees.eligible(cells, "0"))
+    done = regions.refined(own, trees.closure(tree), tree, trees.eligible(cells, "0"))
+    return done.select("cell", "depth", "region", _r("score"), _r("pvalue"), _r("adjustp"))
 
 
 @query(f"""{HEAPED}, {LEVELS}, {FOUND} SELECT cell, string_agg(region, ',' ORDER BY k) AS label FROM (SELECT cell, chrom || ':' || bin AS region, row_number() OVER (PARTITION BY cell ORDER BY pvalue, abs(score) DESC, chrom || ':' || bin) AS k FROM found) WHERE k <= 3 GROUP BY cell""")
