@@ -15,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -58,6 +58,10 @@ OWN = frozenset("article post entry story section content".split())
 MAIN_WORDS = frozenset("article-body articlebody article-content article post-content post-body entry-content entry story-body story content main main-content maincontent body-content page-content text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>", re.S)
+#: What behind the last `>` isn't text.
+UNCLOSED = re.compile(r"<!--.*|<!\[CDATA\[(.*)|<[!?].*", re.S)
+#: Characters of a path from which its hash stands for what an element hangs on; so it does for very long class names.
+PATH_MOST = 2000
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z0-9]+")
 SIZE = re.compile(r"[a-z]?[0-9]+(?:x[0-9]+)?")
@@ -105,13 +109,19 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
 
 
 def fields(page: str) -> list[tuple[str, str, int, int]]:
-    """The text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like; characters in links, as written."""
+    """In time linear in the page, however malformed: the text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like; characters in links, as written."""
     out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, str, int, int]] = []  # name, path, drop depth begun here, mark
     parts: list[str] = []
     refused: list[str] = []
     mark, path, dropping, inside, links, linked = KEEP, "", 0, 0, 0, 0
     at, n = 0, len(page)
+    closed = page.rfind(">")  # behind it no element begins
+    endless: set[str] = set()  # names of which no end tag is left
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name stand
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
 
     def add(text: str) -> None:
         nonlocal linked
@@ -132,6 +142,7 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
     def leave() -> None:
         nonlocal dropping, path, mark, inside, links
         name, label, dropped, kind = stack.pop()
+        places[name].pop()
         if name in ("td", "th"):
             (refused if dropping else parts).append(" ")
         elif name not in INLINE:
@@ -143,21 +154,21 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
         mark = stack[-1][3] if stack else KEEP
 
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= closed else UNCLOSED.search(page, at)
         if not m:
             add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[3] if m.re is TOKEN else None
         if name is None:
             if m[1]:
                 add(entities.unescape(m[1]))
             continue
         name = name.lower()
         if m[2]:
-            if any(x[0] == name for x in stack):
+            if places.get(name):
                 while stack[-1][0] != name:
                     leave()
                 leave()
@@ -167,22 +178,21 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
         if name in VOID:
             if not dropping:
                 if name in INLINE:
-                    parts.append(" " if name in ("br", "wbr") else "")
+                    parts.append(" " if name == "br" else "")
                 else:
                     flush()
             continue
         if name in BREAK_P:
-            while any(x[0] == "p" for x in stack) and not any(x[0] in ("button", "table") for x in stack[max(k for k, x in enumerate(stack) if x[0] == "p") :]):
+            while places.get("p") and last(("button", "table")) < places["p"][-1]:
                 leave()
         if name in ENDS and name != "p":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SCOPES[name]:
-                    break
-                if stack[k][0] in ENDS[name]:
-                    while len(stack) > k:
-                        leave()
+            while (k := last(ENDS[name])) > last(SCOPES[name]):
+                while len(stack) > k:
+                    leave()
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not end:
+                endless.add(name)
             at = end.end() if end else n if name in ("script", "style") else at
             if not end and name not in ("script", "style"):
                 continue
@@ -200,8 +210,9 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
         inside += name == "article"
         links += name == "a"
         if name not in INLINE:
-            path = f"{path}/{label}" if len(stack) < 60 else path
+            path = f"{path if len(path) < PATH_MOST else '~' + xxhash.xxh3_128_hexdigest(path)}/{label if len(label) < PATH_MOST else xxhash.xxh3_128_hexdigest(label)}"
         mark = MAIN if MAIN in (mark, kind) else CONTENT if CONTENT in (mark, kind) else KEEP
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, path, drop, mark))
         if m[4].endswith("/") and name not in INLINE and name not in BREAK_P:
             leave()

@@ -4,6 +4,7 @@ import json
 import random
 import collections
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -407,3 +408,19 @@ def test_queries_give_what_their_sql_gives(spark, name):
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert set(got.columns) == set(names)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a href=\"" * 110_000, "<div>" * 200_000, "<div>" * 100_000 + "</b>" * 120_000, "<ul>" + "<div>" * 80_000 + "<li>" * 120_000, "<p><button>" + "<div>" * 200_000, "<title>" * 140_000, "<div class='" + "x" * 500_000 + "'>" + "<div>t" * 80_000, "<!-- " * 200_000])
+def test_malformed_pages_take_linear_time(page):
+    begin = time.time()
+    html.fields(page)
+    assert time.time() - begin < 5
+
+
+def test_a_break_that_need_not_be_is_no_blank():
+    assert [f[1] for f in html.fields("<p>hyphen<wbr>ation and<br>more</p>")] == ["hyphenation and more"]
+
+
+def test_paths_of_deep_elements_differ():
+    found = html.fields("<div>" * 900 + "x" + "<div>y</div>" + "</div>" * 900 + "z")
+    assert [f[1] for f in found] == ["x", "y", "z"] and len({f[0] for f in found}) == 3 and max(len(f[0]) for f in found) < 2 * html.PATH_MOST
