@@ -10,8 +10,8 @@ from cloneforge.llm import decontamination, lines, minhash, packing, quality
 from cloneforge.llm.common import table, written
 
 
-#: What near copies share: shingles of so many words, and so many in a hundred of them.
-NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: What near copies share, by the contract of the operator: shingles of so many words, and so many in a hundred of them.
+NEAR_WORDS, NEAR_PERCENT = 2, 80
 
 
 def counted(docs: DataFrame) -> DataFrame:
