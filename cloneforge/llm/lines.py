@@ -25,7 +25,7 @@ from .shingles import P, mixed
 
 WIDTH, PERCENT = 5, 80
 #: Frequent tokens at most; entries of one bucket of inverted lists, about.
-FREQUENT_MOST, BUCKET = 50_000, 500_000
+FREQUENT_MOST, BUCKET = 50_000, 250_000
 #: Lists of up to so many lines have the filters tried on all pairs, neighbours by neighbours or as a matrix; lines of a block of a family, and of small families that one task gets together.
 TRIED, MATRIX, BLOCK, TOGETHER = 32, 4096, 512, 20_000
 #: Tokens that a task counts at most; what it then misses of a count is one in so many of its tokens at most.
@@ -33,11 +33,11 @@ COUNTED = 4 * FREQUENT_MOST
 #: Documents, and numbers of lines of them all, up to which a table of lines by doc_id is broadcast.
 DOCS_MOST, LINES_MOST = 200_000, 2_000_000
 #: Bytes of text that are worked on together, about.
-STEP = 2 << 20
+STEP = 1 << 20
 #: n and pos are told up to here; lines with more tokens pass the filters.
 LONG = 32_767
 #: Slots of a task's memory of lines.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: Lines of a step, or 2 ** 22 of them, up to which a line's number fits into a sort key.
 KEYED = 1 << 22
 
