@@ -8,7 +8,7 @@ import xxhash
 from .common import cached
 
 #: Words of which a worker keeps the hash.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 P, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
 
