@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[tuple[str, str]] = []
 #: Rows that go to Python at a time while a table is written; rows may hold whole documents.
-BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
