@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
+from cloneforge.operators.ordered import numbered
 
 
 def numbered_bins(bins: DataFrame) -> DataFrame:
     """Bins (BINS) with `bin`: from 1 along each chromosome, by position. Positions are numbered once, not for each cell. -> PROFILE"""
-    places = bins.select("chrom", "pos").distinct().withColumn("bin", F.row_number().over(W.partitionBy("chrom").orderBy("pos")))
-    return bins.join(places, ["chrom", "pos"]).select("cell", "chrom", "bin", "cn")
+    return bins.join(bin_numbers(bins), ["chrom", "pos"]).select("cell", "chrom", "bin", "cn")
+
+
+def bin_numbers(bins: DataFrame) -> DataFrame:
+    """(chrom, pos, bin): each position's number along its chromosome, which may hold more of them than a task."""
+    places = numbered(bins.select("chrom", "pos").distinct(), ["chrom"], ["pos"], "bin")
+    return places.select("chrom", "pos", F.col("bin").cast("int").alias("bin"))
 
 
 def fixed_count_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int) -> DataFrame:
@@ -29,10 +35,11 @@ def fixed_count_bins(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
 def binned_genes(genes: DataFrame, annotation: DataFrame, width: int = 30, scale: float = 2, keys: Sequence[str] = ()) -> DataFrame:
     """Segments of `width` genes each, from relative copy numbers (GENES) and places. Genes' bins are worked out once, by place, and joined. -> PROFILE, with keys
     (such as perm_id) before."""
-    own, along = W.partitionBy("chrom"), W.partitionBy("chrom").orderBy("start", "gene")
     known = genes.select("gene").distinct().join(annotation, "gene").where(~F.col("chrom").isin("M", "MT", "24"))
-    most = F.greatest(F.bround(F.count(F.lit(1)).over(own) / width, 0), F.lit(1)).cast("int")
-    places = known.select("gene", "chrom", F.least((F.floor((F.row_number().over(along) - 1) / width) + 1).cast("int"), most).alias("bin"))
+    ranked = numbered(known.select("gene", "chrom", "start"), ["chrom"], ["start", "gene"], "_k")
+    counts = ranked.groupBy("chrom").agg(F.max("_k").alias("_n"))
+    most = F.greatest(F.bround(F.col("_n") / width, 0), F.lit(1)).cast("int")
+    places = ranked.join(counts, "chrom").select("gene", "chrom", F.least((F.floor((F.col("_k") - 1) / width) + 1).cast("int"), most).alias("bin"))
     means = genes.withColumn("cn", numeric.absolute(F.col("rel"), scale)).join(places, "gene").groupBy(*keys, "cell", "chrom", "bin").agg(F.sum("cn").alias("t"), F.count(F.lit(1)).alias("n"))
     return means.select(*keys, "cell", "chrom", "bin", numeric.half_even_mean(F.col("t"), F.col("n")).cast("int").alias("cn"))
 

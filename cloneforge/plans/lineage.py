@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
 from cloneforge.operators import arborescence, distance, genome, implicit, regions, score, segment, stats, trees
@@ -53,7 +52,7 @@ def band_numbers(bins: DataFrame, bands: DataFrame) -> DataFrame:
 def gene_numbers(bins: DataFrame, genes: DataFrame) -> DataFrame:
     """(cell, chrom, feature, cn) by gene (gene, chrom, start, end), from bins (BINS)."""
     profile = segment.numbered_bins(bins)
-    places = bins.select("chrom", "pos").distinct().withColumn("bin", F.row_number().over(W.partitionBy("chrom").orderBy("pos")))
+    places = segment.bin_numbers(bins)
     votes = genome.gene_votes(genome.gene_spans(genes, places), profile)
     return votes.select("cell", "chrom", F.col("gene").alias("feature"), "cn")
 
