@@ -2,9 +2,10 @@
 one host are aligned one after another: where texts differ, the field is a slot; neighbours of one path are a repeated group; fields that
 only some pages have are optional. What results is the host's wrapper: a regular expression without alternatives. It tells template from
 text: a field that says the same on all its pages is template, unless it stands beside slots, or is optional and stands under a container of slots; and so is a
-repeated group of links, whatever they say.
+repeated group of links, whatever they say. And it tells the region: the deepest container that holds nearly all characters of slots that aren't in links, and the title; what is outside, such as
+adverts and footers that change from page to page, goes.
 What is left is checked by names: menus, adverts and the like go, as told by their elements' names, roles, classes and ids, and of a page that names its
-article by an element what is outside goes.
+article by an element what is outside goes, wherever the region is.
 
 Wrappers are folded from all pages: equal shapes within a task first, then over tasks, in rounds where one shape has very many; then the shapes of a host by salts of their
 hashes, more for a host of many shapes, in the order of the shapes; then paths by host.
@@ -32,6 +33,8 @@ WRAPPERS_MOST = 8 << 20
 SALTS, GROUP, HELD = 32, 16 << 20, 100_000
 #: Share of a repeated group's characters in links from which it is a menu.
 LINKED = 0.9
+#: Share of a host's own characters that its region holds at least.
+REGION = 0.8
 #: Fields of a wrapper up to which streams are aligned with it.
 FIELDS_MOST = 400
 
@@ -108,15 +111,17 @@ def judged(name: str, raw: str, inside: bool) -> tuple[int, str]:
     return KEEP, label
 
 
-def fields(page: str) -> list[tuple[str, str, int, int]]:
-    """In time linear in the page, however malformed: the text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like; characters in links, as written."""
-    out: list[tuple[str, str, int, int]] = []
+def fields(page: str, region: str | None = None) -> list[tuple[str, str, int, int, int]]:
+    """In time linear in the page, however malformed: the text blocks of a page in order: path, text, strongest mark around it (MAIN, CONTENT or KEEP), or DROP in menus, adverts and the like; characters in links, as written;
+    which element of the path `region` it stands in, from 1, or 0."""
+    out: list[tuple[str, str, int, int, int]] = []
     stack: list[tuple[str, str, int, int]] = []  # name, path, drop depth begun here, mark
     parts: list[str] = []
     refused: list[str] = []
     mark, path, dropping, inside, links, linked = KEEP, "", 0, 0, 0, 0
     at, n = 0, len(page)
     closed = page.rfind(">")  # behind it no element begins
+    regions, within = 0, 0
     endless: set[str] = set()  # names of which no end tag is left
     places: dict[str, list[int]] = {}  # where in the stack elements of a name stand
 
@@ -136,11 +141,11 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
                 text = " ".join(entities.unescape("".join(own)).split())
                 own.clear()
                 if text:
-                    out.append((path, text, kind, min(linked, len(text))))
+                    out.append((path, text, kind, min(linked, len(text)), within))
         linked = 0
 
     def leave() -> None:
-        nonlocal dropping, path, mark, inside, links
+        nonlocal dropping, path, mark, inside, links, within
         name, label, dropped, kind = stack.pop()
         places[name].pop()
         if name in ("td", "th"):
@@ -150,6 +155,8 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
         dropping -= dropped
         inside -= name == "article"
         links -= name == "a"
+        if path == region and name not in INLINE:
+            within = 0
         path = stack[-1][1] if stack else ""
         mark = stack[-1][3] if stack else KEEP
 
@@ -211,6 +218,9 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
         links += name == "a"
         if name not in INLINE:
             path = f"{path if len(path) < PATH_MOST else '~' + xxhash.xxh3_128_hexdigest(path)}/{label if len(label) < PATH_MOST else xxhash.xxh3_128_hexdigest(label)}"
+            if path == region:
+                regions += 1
+                within = regions
         mark = MAIN if MAIN in (mark, kind) else CONTENT if CONTENT in (mark, kind) else KEEP
         places.setdefault(name, []).append(len(stack))
         stack.append((name, path, drop, mark))
@@ -220,17 +230,22 @@ def fields(page: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def main_text(page: str, template: frozenset[str] | None) -> str:
-    """The article's blocks, one a line: those that the host's wrapper doesn't hold for template, and of these what passes the check by names: those in <article>, or
-    else in the main container, or else all. Where nothing is left, the check alone tells."""
-    found = [f for f in fields(page) if f[2] != DROP]
+def main_text(page: str, template: frozenset[str] | None, region: str | None = None) -> str:
+    """The article's blocks, one a line. Names go first where they call an element the article or the main container: then its blocks alone are looked at. Of these stay what the host's wrapper doesn't hold for template, and of
+    pages whose names call nothing so, what stands in the host's region, if the page has one. Where nothing is left, names alone tell."""
+    found = [f for f in fields(page, region) if f[2] != DROP]
 
     def checked(own: list) -> list:
         marks = {f[2] for f in own}
         best = MAIN if MAIN in marks else CONTENT if CONTENT in marks else KEEP
         return own if best == KEEP else [f for f in own if f[2] == best]
 
-    own = [f for f in checked(found) if not template or f[0] not in template] or checked(found)
+    def placed(own: list) -> list:
+        # an element of the region's path that holds loose text alone is another one, of the same looks
+        good = {f[4] for f in own if f[4] and f[0] != region}
+        return [f for f in own if f[4] in good or f[2] != KEEP] if good else own
+
+    own = placed([f for f in checked(found) if not template or f[0] not in template]) or checked(found)
     return "\n".join(f[1] for f in own)
 
 
@@ -244,7 +259,7 @@ WHOLE = "/"
 
 def stream(page: str) -> list[list]:
     """Neighbours of one path are one field; so are all fields of one path where a page has very many."""
-    own = [(path + {DROP: REFUSED, MAIN: STATED}.get(mark, ""), text, linked) for path, text, mark, linked in fields(page)]
+    own = [(path + {DROP: REFUSED, MAIN: STATED}.get(mark, ""), text, linked) for path, text, mark, linked, _ in fields(page)]
     runs: list[tuple[str, list[str], list[int]]] = []
     for path, text, linked in own:
         if not (runs and runs[-1][0] == path):
@@ -369,7 +384,7 @@ def gathered(shapes: DataFrame, most: int) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, slot, required, n, repeated, linked): what the wrappers of a host say of each path, the pages that have it, and the share of its characters in links."""
+    """(host, path, slot, required, n, repeated, linked, chars): what the wrappers of a host say of each path, the pages that have it, the share of its characters in links, and their number."""
 
     def merge(t: pa.Table) -> pa.Table:
         by: dict[tuple, list] = {}
@@ -399,11 +414,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     many = shapes.groupBy("host").agg(F.ceil(F.sum(F.length("wrapper")) / GROUP).alias("salts")).where(F.col("salts") > SALTS)
     shapes = shapes.join(many, "host", "left").withColumn("salt", F.pmod(F.col("shape"), F.coalesce("salts", F.lit(SALTS)))).drop("salts", "part")
     parts = shapes.groupBy("host", "salt").applyInArrow(merge, "host string, path string, text string, required bigint, n bigint, repeated boolean, chars bigint, linked bigint")
-    per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"), F.max("repeated").alias("repeated"), (F.sum("linked") / F.greatest(F.sum("chars"), F.lit(1))).alias("linked"))
+    per = parts.groupBy("host", "path").agg((F.count("text") < F.count(F.lit(1))).alias("null"), (F.min("text") != F.max("text")).alias("differ"), F.sum("required").alias("required"), F.sum("n").alias("n"), F.max("repeated").alias("repeated"), (F.sum("linked") / F.greatest(F.sum("chars"), F.lit(1))).alias("linked"), F.sum("chars").alias("chars"))
     per = written(per, "wrappers")
     total = per.where(F.col("path") == WHOLE).select("host", F.col("n").alias("pages"))
     slot = F.col("null") | F.coalesce("differ", F.lit(False))
-    return per.where(F.col("path") != WHOLE).join(total, "host").select("host", "path", slot.alias("slot"), (F.col("required") == F.col("pages")).alias("required"), "n", "repeated", "linked")
+    return per.where(F.col("path") != WHOLE).join(total, "host").select("host", "path", slot.alias("slot"), (F.col("required") == F.col("pages")).alias("required"), "n", "repeated", "linked", "chars")
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -427,29 +442,48 @@ def templates(found: DataFrame) -> DataFrame:
     return same.unionByName(menus).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("template"))
 
 
+def regions(found: DataFrame) -> DataFrame:
+    """(host, region): the deepest container of each host that holds the share REGION at least of its own characters, and its title: those of texts that change from page to page, or that one page alone has, outside of
+    links and of what names refuse. The title is what changes in headings of the highest rank. More than half of what a region holds changes from page to page, so that copies, and a page alone, have none."""
+    own = found.where(~F.col("path").endswith(REFUSED) & (F.col("slot") | (F.col("n") == 1))).withColumn("path", F.regexp_replace("path", "/=$", ""))
+    rank = F.regexp_extract(F.substring_index("path", "/", -1), r"^h([1-6])(?:$|\.)", 1).try_cast("int")
+    rank = F.when(F.col("slot") & (F.col("linked") < LINKED), rank)
+    own = own.select("host", "path", (F.col("chars") * (1 - F.col("linked"))).alias("mass"), "slot", rank.alias("rank"))
+    total = own.groupBy("host").agg(F.sum("mass").alias("total"), F.min("rank").alias("top"))
+    own = own.join(total, "host").withColumn("title", (F.coalesce("rank", F.lit(9)) == F.coalesce("top", F.lit(0))).cast("int"))
+    titles = own.groupBy("host").agg(F.sum("title").alias("titles"))
+    names = F.split("path", "/")
+    above = F.when(F.size(names) > 2, F.transform(F.sequence(F.lit(2), F.size(names) - 1), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
+    held = own.select("host", "total", "mass", "slot", "title", F.explode(above).alias("region")).groupBy("host", "region")
+    held = held.agg(F.first("total").alias("total"), F.sum("mass").alias("mass"), F.sum(F.when(F.col("slot"), F.col("mass")).otherwise(0)).alias("changing"), F.sum("title").alias("held"))
+    good = held.join(titles, "host").where((F.col("mass") >= REGION * F.col("total")) & (F.col("changing") > F.col("mass") / 2) & (F.col("held") == F.col("titles")))
+    return good.groupBy("host").agg(F.max_by("region", F.struct(F.size(F.split("region", "/")), "region")).alias("region"))
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. A null or empty html has an empty text; pages with a null url are of one host; repeated rows get
     equal texts; an empty table gives no rows."""
-    found = written(templates(wrappers(pages)), "templates")
-    size = found.agg(F.sum(F.length(F.array_join("template", "\n")))).first()[0] or 0
+    told_ = wrappers(pages)
+    found = written(templates(told_).join(regions(told_), "host", "full"), "templates")
+    size = found.agg(F.sum(F.coalesce(F.length(F.array_join("template", "\n")), F.lit(0)) + F.coalesce(F.length("region"), F.lit(0)))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str] | None] = {}
+        known: dict[str, tuple[frozenset[str] | None, str | None]] = {}
         for batch in batches:
             texts = []
-            for raw, key, template in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("template")):
+            for raw, key, template, region in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("template"), batch.column("region")):
                 if key not in known:
                     known.clear() if len(known) > 1000 else None
-                    known[key] = frozenset(template.as_py()) if template.is_valid else None
-                texts.append(main_text(raw.as_py() or "", known[key]))
+                    known[key] = frozenset(template.as_py()) if template.is_valid else None, region.as_py()
+                texts.append(main_text(raw.as_py() or "", *known[key]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
     if size == 0:
-        own = own.withColumn("template", F.lit(None).cast("array<string>"))
+        own = own.withColumns({"template": F.lit(None).cast("array<string>"), "region": F.lit(None).cast("string")})
     else:
         own = own.join(F.broadcast(found) if size <= WRAPPERS_MOST else found, "host", "left")
-    return own.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return own.select("page_id", "url", "html", "host", "template", "region").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -127,6 +128,53 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.where("doc_id % 2 = 1").count() == 0
 
 
+def test_quality_by_share(spark):
+    """The threshold is a quantile of the strengths of all documents, labelled or not, and the same however they are dealt."""
+    rng = __import__("random").Random(5)
+    docs = cases.documents(spark, [x for _ in range(100) for x in (". ".join(cases.sentence(rng, 9, 4000) for _ in range(rng.randrange(2, 7))), junk(rng.randrange(99)) + cases.sentence(rng, 5), junk(3) + cases.sentence(rng, 8), "")])
+    labels = docs.where("doc_id % 4 < 2").select("doc_id", (1 - F.col("doc_id") % 4).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    strong = quality.strengths(docs.select("text"), quality.learned(docs, labels)[0]).toPandas()["strength"]
+    for share in (0.05, 0.2, 0.6):
+        got = quality.scored(docs, labels, share).toPandas()
+        up = got["score"] >= quality.GOOD
+        assert abs(up.sum() - share * 400) <= (strong == strong.quantile(1 - share)).sum() + 8
+        assert quality.accepted(docs, labels, share).count() == up.sum()
+    one = quality.scored(docs.coalesce(1), labels).orderBy("doc_id").collect()
+    assert one == quality.scored(docs.repartition(9), labels).orderBy("doc_id").collect()
+    slim = quality.scored(docs, labels, keep_text=False)
+    assert slim.columns == [c for c in docs.columns if c != "text"] + ["score"] and {r.doc_id: r.score for r in slim.collect()} == {r.doc_id: r.score for r in one}
+
+
+def test_quality_weights():
+    """Against a fit by plain loops: of the logistic loss over the same pairs, no other weights have less."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    y = (x @ [1.0, -2.0, 0.3] + rng.normal(size=60) > 0).astype(int)
+    model = quality.fit(x, y)
+    z = [[float(v) for v in row] for row in quality.expanded((x - model.mean) / model.scale)]
+    pairs = list(zip(*(p.tolist() for p in quality.drawn(y))))
+    assert all(y[a] == 1 and y[b] == 0 for a, b in pairs) and len(pairs) == y.sum() * (60 - y.sum())
+
+    def loss(w):
+        s = [sum(a * b for a, b in zip(row, w)) for row in z]
+        return sum(math.log1p(math.exp(s[b] - s[a])) for a, b in pairs) / len(pairs) + quality.RIDGE / 2 * sum(v * v for v in w)
+
+    w = [0.0] * 9
+    for _ in range(400):  # gradient descent, pair by pair
+        s = [sum(a * b for a, b in zip(row, w)) for row in z]
+        grad = [quality.RIDGE * v for v in w]
+        for a, b in pairs:
+            p = 1 / (1 + math.exp(s[a] - s[b])) / len(pairs)
+            for k in range(9):
+                grad[k] -= p * (z[a][k] - z[b][k])
+        w = [v - 0.7 * g for v, g in zip(w, grad)]
+    own = [float(v) for v in model.weights]
+    assert loss(own) <= loss(w) <= loss(own) + 5e-3
+    for k in range(9):
+        for step in (0.01, -0.01):
+            assert loss([v + step * (i == k) for i, v in enumerate(own)]) > loss(own)
+
+
 def test_quality_odd(spark):
     docs = cases.odd(spark)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

@@ -1,9 +1,10 @@
 """Vectors, pages, conversations, and the pipeline as a whole."""
 
-import json
-import random
 import collections
+import json
 import os
+import random
+import re
 import time
 
 import numpy as np
@@ -208,6 +209,39 @@ def test_wrappers_whatever_the_partitions(spark):
     assert one == many == want
 
 
+def test_wrapper_without_names(spark):
+    """Adverts and footers that change from page to page go, and so does the menu, though no element has a name that says so; the result is that of the same pages with names."""
+    rng = random.Random(8)
+    page = '<html><body><nav><ul>{menu}</ul></nav><div class="ad">{ad}</div><article><h1>{title}</h1>{body}</article><footer>&copy; h &middot; {foot}</footer></body></html>'
+    named, plain, want = [], [], {}
+    for k in range(80):
+        say = lambda n: cases.sentence(rng, n)
+        title, blocks = say(5), [say(rng.randrange(1, 40)) for _ in range(rng.randrange(1, 9))]
+        loose = say(6) if k % 5 == 0 else ""
+        html_ = page.format(menu="".join(f'<li><a href="/{w}">{w}</a></li>' for w in say(5).split()), ad=say(9), title=title, body="".join(f"<p>{b}</p>" for b in blocks) + loose, foot=say(6))
+        named.append(html_)
+        plain.append(re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", html_).replace(' class="ad"', ""))
+        want[k] = "\n".join([title, *blocks, *([loose] if loose else [])])
+    assert texts(spark, named) == want
+    assert texts(spark, plain) == want
+    # of copies and of a page alone nothing is told
+    assert "\n" in texts(spark, plain[:1])[0] and len(texts(spark, plain[:1])[0]) > len(want[0])
+
+
+def test_region(spark):
+    def region(pages):
+        got = html.regions(html.wrappers(spark.createDataFrame([(k, "http://h.example/", p) for k, p in enumerate(pages)], "page_id bigint, url string, html string"))).collect()
+        return got[0].region if got else None
+
+    body = "<p>some words of page {k}, and more</p>" * 5
+    assert region([f"<div><div><h2>t {k}</h2><section>{body.format(k=k)}</section></div></div><div>ad {k}</div>" for k in range(4)]) == "/div/div"  # with its title
+    assert region([f"<div><section>{body.format(k=k)}</section></div><h3>{k}</h3>" for k in range(4)]) is None  # the title is outside
+    assert region([f"<div><section>{body.format(k=k)}</section></div><h3>always</h3>" for k in range(4)]) == "/div/section"
+    assert region([f"<div>{body.format(k=k)}</div><section>{body.format(k=k + 9)}</section>" for k in range(4)]) is None  # neither has nearly all
+    assert region([f"<div>{body.format(k=1)}</div>"] * 3) is None and region([f"<div>{body.format(k=1)}</div>"]) is None and region([]) is None
+    assert region(["text", None, ""]) is None
+
+
 def test_alignment():
     one = lambda *p: [[x, x, False, False, 1, 4, 0] for x in p]
     got = html.aligned(one("a", "b", "c"), one("a", "c", "d"))
