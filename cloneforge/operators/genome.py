@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cloneforge.functions import numeric
+from cloneforge.operators.ordered import around
 
 
 def arms(bands: DataFrame) -> DataFrame:
@@ -40,16 +40,14 @@ def band_means(bins: DataFrame, keys: Sequence[str] = ("cell",)) -> DataFrame:
     return by.select(*keys, "chrom", "band", numeric.half_even_mean(F.col("t"), F.col("n")).cast("int").alias("cn"))
 
 
-def nearest_bins(points: DataFrame, bins: DataFrame) -> DataFrame:
+def nearest_bins(points: DataFrame, bins: DataFrame, parts: int | None = None) -> DataFrame:
     """Columns of points (chrom, pos, ...) and `bin` of the bin (chrom, pos, bin) nearest in place, of equally near ones the smaller. Points and bins meet in order of
-    place, the last bin before and the first one after; no pairs are made."""
+    place, the last bin before and the first one after, which ranges of a chromosome tell each other; no pairs are made."""
     cols = points.columns
     null = lambda kind: F.lit(None).cast(kind)
     p = points.select("chrom", F.col("pos").alias("_at"), F.struct(*cols).alias("p"), null("struct<pos:bigint,bin:int>").alias("b"))
     b = bins.select("chrom", F.col("pos").alias("_at"), null(p.schema["p"].dataType).alias("p"), F.struct(F.col("pos").cast("long").alias("pos"), F.col("bin").cast("int").alias("bin")).alias("b"))
-    upto = W.partitionBy("chrom").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    onward = W.partitionBy("chrom").orderBy("_at").rangeBetween(0, W.unboundedFollowing)
-    met = p.unionByName(b).withColumn("before", F.max("b").over(upto)).withColumn("after", F.min("b").over(onward)).where("p is not null")
+    met = around(p.unionByName(b), ["chrom"], "_at", "b", parts).where("p is not null")
     far = F.lit(2**62)
     d1, d2 = F.coalesce(F.col("_at") - F.col("before.pos"), far), F.coalesce(F.col("after.pos") - F.col("_at"), far)
     near = F.when(d1 < d2, F.col("before.bin")).when(d2 < d1, F.col("after.bin")).otherwise(F.least("before.bin", "after.bin"))

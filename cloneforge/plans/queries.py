@@ -558,14 +558,14 @@ def out_degrees(spark: SparkSession, d: str) -> DataFrame:
     return arborescence.out_degree(heap(spark, d).select(F.col("parent").alias("src"), F.col("child").alias("dst")))
 
 
-@query(f"""WITH RECURSIVE {HEAP}, {CLOSE}, own AS (SELECT cell, depth FROM (SELECT descendant AS cell, max(hops) AS depth FROM clo GROUP BY 1) WHERE length(cell) = 2 OR cell = '0'),
+@query(f"""WITH RECURSIVE {HEAP}, {CLOSE}, {LINEAGE}, own AS (SELECT cell, depth FROM lineage WHERE subtreesize >= 5),
 up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() OVER (PARTITION BY o.cell ORDER BY u.depth DESC NULLS LAST, u.cell DESC) AS k
   FROM own o LEFT JOIN (SELECT c.descendant, w.cell, w.depth FROM clo c JOIN own w ON w.cell = c.anc WHERE c.hops > 0) u ON u.descendant = o.cell)
 SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
 def ancestor_network(spark: SparkSession, d: str) -> DataFrame:
-    """Of cells with two-digit names and cell 0 alone, as in the SQL; ancestor_network_of_findings has all that have a finding."""
+    """Of all lineages of five cells and more, which are those that can have a finding; ancestor_network_of_findings has those that have one."""
     tree, spans, cells = heaped(spark, d)
-    return trees.network(cells.where("length(cell) = 2 or cell = '0'").select("cell", "depth"), tree)
+    return trees.network(cells.where("subtreesize >= 5").select("cell", "depth"), tree)
 
 
 ROOTED = f"""{PROF.replace("prof AS", "cells AS")}, prof AS (SELECT cell, chrom, bin, cn FROM cells UNION ALL SELECT DISTINCT 'root', chrom, bin, 2 FROM cells)"""
@@ -847,7 +847,7 @@ up AS (SELECT o.cell, o.depth, u.cell AS anc, u.depth AS updepth, row_number() O
   FROM own o LEFT JOIN (SELECT c.descendant, w.cell, w.depth FROM clo c JOIN own w ON w.cell = c.anc WHERE c.hops > 0) u ON u.descendant = o.cell)
 SELECT coalesce(anc, 'root') AS node1, cell AS node2, CAST(depth - coalesce(updepth, 0) AS INTEGER) AS dist FROM up WHERE k = 1""")
 def ancestor_network_of_findings(spark: SparkSession, d: str) -> DataFrame:
-    """ancestor_network of all cells that have a finding, in place of those with short names."""
+    """ancestor_network of all cells that have a finding, in place of all that can have one."""
     tree, spans, cells, levels = heap_levels(spark, d)
     return trees.network(found(levels, cells), tree)
 

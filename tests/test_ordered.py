@@ -1,11 +1,11 @@
-"""Sums along an order by ranges, interval labels of trees, and what is built on them."""
+"""Sums and neighbours along an order by ranges, interval labels of trees, and what is built on them."""
 
 import random
 import time
 
 from pyspark.sql import functions as F
 
-from cloneforge.operators import ordered, score, trees
+from cloneforge.operators import genome, ordered, score, trees
 
 TREE = "parent string, child string, dist long"
 
@@ -57,3 +57,27 @@ def test_levels_and_networks_of_a_long_chain(spark):
     marked = spark.createDataFrame([(str(k), k) for k in (3, 10_000, n - 1)], "cell string, depth int")
     assert {tuple(r) for r in trees.network(marked, chain).collect()} == {("root", "3", 3), ("3", "10000", 9997), ("10000", str(n - 1), n - 1 - 10_000)}
     assert time.time() - begin < 120
+
+
+def test_nearest_values_of_a_group_of_several_ranges(spark):
+    rng = random.Random(3)
+    rows = [("a" if k % 4 else "b", rng.randrange(500), k if rng.random() < 0.3 else None) for k in range(2000)]
+    rows = [(g, at, None if v is None else at) for g, at, v in rows] + [("c", 5, None), (None, 7, 7), (None, 9, None)]
+    df = spark.createDataFrame(rows, "g string, at int, v int").repartition(3)
+    own = {}
+    for g, at, v in rows:
+        own.setdefault(g, []).extend([] if v is None else [v])
+    got = ordered.around(df, ["g"], "at", "v", 7).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.before == max((v for v in own[r.g] if v <= r.at), default=None)
+        assert r.after == min((v for v in own[r.g] if v >= r.at), default=None)
+    assert ordered.around(df.limit(0), ["g"], "at", "v").collect() == []
+
+
+def test_nearest_bins_of_one_long_chromosome(spark):
+    bins = spark.range(1, 200_001).select(F.lit("1").alias("chrom"), (F.col("id") * 10).alias("pos"), F.col("id").cast("int").alias("bin"))
+    points = spark.range(200_000).select(F.lit("1").alias("chrom"), (F.col("id") * 10 + F.col("id") % 10).alias("pos"))
+    want = F.greatest(F.lit(1), F.col("pos") / 10 + F.when(F.col("pos") % 10 > 5, 1).otherwise(0)).cast("int")
+    got = genome.nearest_bins(points, bins, 8)
+    assert got.count() == 200_000 and got.where(F.col("bin") != want).count() == 0
