@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,30 @@ from cloneforge import schema
 from cloneforge.functions import numeric
 
 
-def _wide(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
-    if sep is not None:
-        return spark.read.csv(path, sep=sep, header=True)
-    # fields apart by any white space: the header gives the names
-    text = spark.read.text(path).where(F.trim("value") != "")
-    names = spark.read.text(path).first()[0].split()
-    cols = F.split(F.trim("value"), r"\s+")
-    first = F.col("f")[0] == names[0]
-    return text.select(cols.alias("f")).where(~(first & (F.col("f")[1] == names[1]))).select(*[F.col("f")[k].alias(n) for k, n in enumerate(names)])
+def header(spark: SparkSession, path: str, sep: str | None) -> tuple[str, list[str]]:
+    """The first line of a text, and its fields."""
+    line = spark.read.text(path).first()
+    line = line[0] if line else ""
+    return line, line.split() if sep is None else line.split(sep)
+
+
+def fields(spark: SparkSession, path: str, sep: str | None, first: str) -> DataFrame:
+    """(f): the fields of each line but the header, which every file of a folder may have, and blank lines. sep None: any white space."""
+    lines = spark.read.text(path).where(F.trim("value") != "").where(F.col("value") != first)
+    return lines.select((F.split(F.trim("value"), r"\s+") if sep is None else F.split("value", re.escape(sep), -1)).alias("f"))
+
+
+def named(names: Sequence[str], skip: int) -> Column:
+    """(k, name) for each name, of which field k is the value. The names are one literal, however many there are, so that the plan doesn't grow with the columns."""
+    clean = [n.strip().strip('"') for n in names]
+    if not clean:
+        return F.posexplode(F.expr("cast(array() as array<string>)")).alias("k", "name")
+    return F.posexplode(F.concat(F.array_repeat(F.lit(None).cast("string"), skip), F.split(F.lit("\n".join(clean)), "\n", -1))).alias("k", "name")
+
+
+def long(body: DataFrame, lead: Sequence[Column], names: Sequence[str], skip: int) -> DataFrame:
+    """Lead columns, `name` and `value` of each field from field `skip` on; null where a line is too short, and fields beyond the names are left out."""
+    return body.select(*lead, "f", named(names, skip)).where(F.col("k") >= skip).select(*[c for c in body.select(*lead).columns], "name", number(F.get("f", F.col("k"))).alias("value"))
 
 
 def number(x: Column) -> Column:
@@ -27,41 +43,33 @@ def number(x: Column) -> Column:
     return F.regexp_replace(x, '^[\\s"]+|[\\s"]+$', "").try_cast("double")
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def dna_matrix(spark: SparkSession, path: str, sep: str | None = "\t") -> DataFrame:
     """Rows are bins: chrom, position, then one column for each cell, whose names may hold dots and blanks. sep None: any white space. Fields that are empty, NA or no numbers
-    are null. -> schema.BINS"""
-    wide = _wide(spark, path, sep)
-    chrom, pos, *cells = wide.columns
-    long = wide.unpivot([F.col(quoted(c)) for c in (chrom, pos)], [F.col(quoted(c)) for c in cells], "cell", "cn")
-    return long.select("cell", numeric.chrom(F.col(quoted(chrom))).alias("chrom"), number(F.col(quoted(pos))).cast("long").alias("pos"), number(F.col("cn")).cast("int").alias("cn"))
+    are null. Names are read once and lines are cut to fields, so that there may be any number of cells. -> schema.BINS"""
+    first, head = header(spark, path, sep)
+    bare = lambda k: F.regexp_replace(F.get("f", F.lit(k)), '^"|"$', "")
+    lead = [numeric.chrom(bare(0)).alias("chrom"), number(F.get("f", F.lit(1))).cast("long").alias("pos")]
+    return long(fields(spark, path, sep, first), lead, head[2:], 2).select(F.col("name").alias("cell"), "chrom", "pos", F.col("value").cast("int").alias("cn"))
 
 
 def rna_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Rows are genes: the name, then one column for each cell; the header may lack the name's field. Fields that are
     empty, NA or no numbers are null. -> schema.GENES"""
-    head = spark.read.text(path).first()[0].split(sep)
-    lines = spark.read.text(path).select(F.split("value", sep).alias("f"))
-    body = lines.where(F.col("f") != F.array(*[F.lit(x) for x in head]))
+    first, head = header(spark, path, sep)
+    body = fields(spark, path, sep, first)
     width = body.select(F.size("f")).first()
     cells = head if width and width[0] == len(head) + 1 else head[1:]
-    clean = [c.strip('"') for c in cells]
-    named = F.posexplode(F.slice("f", 2, len(cells))).alias("k", "rel")
-    return body.select(F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("gene"), named).select(F.array(*[F.lit(c) for c in clean])[F.col("k")].alias("cell"), "gene", number(F.col("rel")).alias("rel"))
+    lead = [F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("gene")]
+    return long(body, lead, cells, 1).select(F.col("name").alias("cell"), "gene", F.col("value").alias("rel"))
 
 
 def segmented(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Rows are cells; columns chr<k>_<bin>, one name fewer than fields. Fields that are empty, NA or no numbers are null. -> schema.PROFILE"""
-    head = spark.read.text(path).first()[0].split(sep)
-    lines = spark.read.text(path).select(F.split("value", sep).alias("f"))
-    body = lines.where(F.size("f") == len(head) + 1)
-    names = F.array(*[F.lit(x.strip('"')) for x in head])
-    long = body.select(F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("cell"), F.posexplode(F.slice("f", 2, len(head))).alias("k", "cn"))
-    key = names[F.col("k")]
-    return long.select("cell", numeric.chrom(F.substring_index(key, "_", 1)).alias("chrom"), F.substring_index(key, "_", -1).cast("int").alias("bin"), number(F.col("cn")).cast("int").alias("cn"))
+    first, head = header(spark, path, sep)
+    body = fields(spark, path, sep, first).where(F.size("f") == len(head) + 1)
+    key = F.col("name")
+    got = long(body, [F.regexp_replace(F.col("f")[0], '^"|"$', "").alias("cell")], head, 1)
+    return got.select("cell", numeric.chrom(F.substring_index(key, "_", 1)).alias("chrom"), F.substring_index(key, "_", -1).cast("int").alias("bin"), F.col("value").cast("int").alias("cn"))
 
 
 def bands(spark: SparkSession, path: str) -> DataFrame:
