@@ -18,6 +18,7 @@ from cloneforge.operators import arborescence, distance, genome, implicit, neare
 from cloneforge.plans import lineage as lineages
 from cloneforge.plans.storage import shared_dir, table, written
 from cloneforge.sources import readers, writers
+from cloneforge.streaming import permutations
 
 HOUR = 3_600_000_000
 PERMS, SEED = 5, 1234
@@ -770,6 +771,19 @@ def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
     return heap_tests(spark, d).select("cell", "chrom", "bin", "direction", _r("pvalue"), _r("adjustp"))
 
 
+@query(f"{TESTED} SELECT cell, chrom, bin, direction, CAST({PERMS} AS BIGINT) AS n, round(pvalue, 9) AS pvalue, round(adjustp, 9) AS adjustp FROM adjusted")
+def permutations_as_they_arrive(spark: SparkSession, d: str) -> DataFrame:
+    """bh_adjust of permutations that a stream finds in two portions, and is started anew for the second."""
+    tree, spans, cells, levels = heap_levels(spark, d)
+    levels, permuted = written(levels, "levels"), written(heap_permuted(spark, d, spans, cells), "permuted")
+    path, output, mark = (folder(spark, x) for x in ("arriving", "counts", "mark"))
+    for portion in ("perm_id < 3", "perm_id >= 3"):
+        permuted.where(portion).write.mode("append").partitionBy("perm_id").parquet(path)
+        permutations.follow(spark, path, levels, output, mark, ["chrom", "bin"])
+    got = permutations.tests(spark.read.parquet(output), ["chrom", "bin"])
+    return got.select("cell", "chrom", "bin", "direction", "n", _r("pvalue"), _r("adjustp"))
+
+
 @query(f"{TESTED} SELECT cell, chrom, bin, direction, round(score, 9) AS score, round(pvalue, 9) AS pvalue FROM adjusted WHERE pvalue < 0.2 AND abs(score) > 0.3")
 def significant_filter(spark: SparkSession, d: str) -> DataFrame:
     return stats.significant(heap_tests(spark, d), 0.2, 0.3).select("cell", "chrom", "bin", "direction", _r("score"), _r("pvalue"))
