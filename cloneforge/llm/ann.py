@@ -8,6 +8,8 @@ bounded sample, under this loss.
 2. A query's inner products with all codewords make a table of sixteen entries of eight bits for each subspace. The tables are scanned over the codes of each block of rows.
 3. Of all blocks' best rows by code the RERANKED best of each query are the shortlist.
 4. The shortlist goes back to the blocks that hold the vectors, and is reranked by exact inner products.
+5. An exact check follows: of a row whose code is r away from it, a query q has a score of no more than that of the code and |q| |r|. Rows that might so beat the last of a query's shortlist are scored exactly, so that codes which fit some rows badly
+cost time, and no neighbours.
 
 Equal vectors are one class. Rows are dealt to blocks by hash, so that a block holds its share of a query's shortlist; it gives that share and six standard deviations more.
 """
@@ -88,6 +90,11 @@ class Codebooks:
             books.words = _solved(place, own, unit.reshape(n, -1), books.words.ravel(), eta).reshape(m, WORDS, WIDTH)
         return books
 
+    def decoded(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that packed codes stand for."""
+        code = np.stack([packed // WORDS, packed % WORDS], 2).reshape(len(packed), -1)[:, : len(self.words)]
+        return self.words[np.arange(len(self.words)), code].reshape(len(code), -1)[:, : self.dim]
+
     def packed(self, code: np.ndarray) -> np.ndarray:
         """Two codes a byte, one row for each vector."""
         if code.shape[1] % 2:
@@ -190,10 +197,10 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str =
         for batch in batches:
             if batch.num_rows:
                 codes = books.packed(books.encode(np.array(batch.column("v").flatten(), float).reshape(-1, dim)))
-                yield pa.RecordBatch.from_arrays([batch.column("rb"), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["rb", "id", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["rb", "id", "v", "code"])
 
     rows = reps.select(block("rep", row_blocks).alias("rb"), F.col("rep").alias("id"), "v")
-    codes = written(rows.mapInArrow(encode, "rb int, id bigint, code binary"), "codes")
+    codes = written(rows.mapInArrow(encode, "rb int, id bigint, v array<double>, code binary"), "codes")
     asks = queries.select(block("q", query_blocks).alias("qb"), F.col("q").alias("id"), "v").withColumn("rb", every_(row_blocks))
 
     def scan(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -207,7 +214,7 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str =
         q, rb, who, sums = zip(*out) if out else ([], [], [], [])
         return pa.table({"q": pa.array(q, pa.int64()), "rb": pa.array(rb, pa.int32()), "ids": pa.array(who, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
-    near = asks.groupBy("qb", "rb").cogroup(codes.withColumn("qb", every_(query_blocks)).groupBy("qb", "rb")).applyInArrow(scan, "q bigint, rb int, ids binary, sums binary")
+    near = asks.groupBy("qb", "rb").cogroup(codes.select("rb", "id", "code").withColumn("qb", every_(query_blocks)).groupBy("qb", "rb")).applyInArrow(scan, "q bigint, rb int, ids binary, sums binary")
 
     def shortlist(t: pa.Table) -> pa.Table:
         by: dict[int, list[tuple[int, bytes, bytes]]] = {}
@@ -243,9 +250,39 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, vec_id: str =
         whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table({"q": whole(qs, pa.int64()), "rep": whole(found, pa.int64()), "score": whole(scores, pa.float64())})
 
+    def check(a: pa.Table, b: pa.Table) -> pa.Table:
+        qs, found, scores = [], [], []
+        if a.num_rows and b.num_rows:
+            ids, x, names, asked, floor = np.array(b.column("id")), matrix(b.column("v")), np.array(a.column("id")), matrix(a.column("v")), np.array(a.column("floor"))
+            near = books.decoded(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1))
+            away, size = np.linalg.norm(x - near, axis=1), np.linalg.norm(asked, axis=1)
+            floor = floor - 1e-9 * size * (np.linalg.norm(x, axis=1) + away).max()  # what rounding may amount to
+            for at in range(0, len(names), 64):
+                q = asked[at : at + 64]
+                bound = q @ near.T
+                bound += size[at : at + 64, None] * away
+                look = ~(bound < floor[at : at + 64, None])
+                some = np.flatnonzero(look.any(0))
+                hit = look[:, some] & ~(q @ x[some].T < floor[at : at + 64, None])
+                for k in np.flatnonzero(hit.any(1)):
+                    who = some[hit[k]]
+                    exact = (x[who] * q[k]).sum(1)
+                    best = np.lexsort((ids[who], -exact))[: top + 1]
+                    qs.append(np.full(len(best), names[at + k]))
+                    found.append(ids[who][best])
+                    scores.append(exact[best])
+        whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"q": whole(qs, pa.int64()), "rep": whole(found, pa.int64()), "score": whole(scores, pa.float64())})
+
     found = listed.groupBy("rb").cogroup(rows.groupBy("rb")).applyInArrow(rerank, "q bigint, rep bigint, score double")
     w = W.partitionBy("q").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1).drop("k")
+    first = lambda df: df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1).drop("k")
+    found = written(first(found), "found")
+    floors = found.groupBy("q").agg(F.when(F.count(F.lit(1)) > top, F.min("score")).alias("floor"))
+    check_blocks = max(1, math.ceil(m / QUERIES))
+    checks = queries.join(floors, "q", "left").select(block("q", check_blocks).alias("qb"), every_(row_blocks).alias("rb"), F.col("q").alias("id"), "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    met = checks.groupBy("qb", "rb").cogroup(codes.withColumn("qb", every_(check_blocks)).groupBy("qb", "rb"))
+    found = first(found.unionByName(met.applyInArrow(check, "q bigint, rep bigint, score double")).dropDuplicates(["q", "rep"]))
     members = found.join(reps.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("id"), "score")
     w = W.partitionBy("q").orderBy(F.desc("score"), "id")
     lists = members.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("k", "id", "score"))).alias("near"))

@@ -55,6 +55,20 @@ def test_recall_of_a_short_list_over_blocks(spark, monkeypatch):
     assert set(got.query_id) == set(want) and recall >= 0.9
 
 
+def test_ann_finds_what_is_near_where_codes_tell_rows_apart_badly(spark):
+    """Rows in a few tight crowds have equal codes, and a few rows are longer than any that codebooks were fitted on."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (3, 64))[rng.integers(0, 3, 6_000)] + rng.normal(0, 1e-3, (6_000, 64))
+    x[::500] *= rng.uniform(5, 9, (12, 1))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, every=200).toPandas()
+    assert len(got) == 30 * 20
+    for q, own in got.groupby("query_id"):
+        far = (x * x[q]).sum(1)
+        far[q] = -np.inf
+        assert own.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(x)), -far))[:20].tolist()
+
+
 def test_codewords_solve_the_normal_equations():
     rng = np.random.default_rng(8)
     n, m = 200, 3
