@@ -254,6 +254,18 @@ def test_permutations_stop_when_of_no_more_use(spark):
     assert all(by[r.cell, r.feature, r.direction] == r.pvalue for r in rows if r.n == 25)
 
 
+def test_permutations_come_in_whole_steps(spark, monkeypatch):
+    """Where fewer are asked for than whole steps make, the last step is made in full, as in SQL."""
+    prof = spark.createDataFrame([(str(k), "1", b, 2 + (k * b) % 3) for k in range(12) for b in (1, 2)], "cell string, chrom string, bin int, cn int")
+    tree = spark.createDataFrame([(str(k // 2), str(k), 1) for k in range(1, 12)], "parent string, child string, dist long")
+    cells = trees.measured(tree)
+    monkeypatch.setattr(score, "permutations_needed", lambda *_: 30)
+    tests, n = lineage.adaptively_tested(prof, lineage.Lineage(tree, trees.spans(tree, cells), cells, "0"), step=20, feature=["chrom", "bin"])
+    monkeypatch.setattr(score, "of_use", lambda n, p, most: n < most)
+    whole, _ = lineage.adaptively_tested(prof, lineage.Lineage(tree, trees.spans(tree, cells), cells, "0"), step=20, feature=["chrom", "bin"])
+    assert n in (20, 40) and {r.n for r in tests.collect()} <= {20, 40} and {r.n for r in whole.collect()} == {40}
+
+
 def test_levels_of_many_features(spark):
     rng = random.Random(4)
     cn = {(c, f): rng.randrange(5) for c in "abcdef" for f in range(21) if rng.random() < 0.9}
