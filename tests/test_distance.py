@@ -107,3 +107,29 @@ def test_approximate_is_exact_within_the_sample(spark):
     exact = {(r.src, r.dst): r.w for r in distance.all_pairs(packed, "none").collect()}
     got = {(r.src, r.dst): r.w for r in distance.approximate(packed, 3, "none").collect()}
     assert set(got) == set(exact)
+
+
+@pytest.mark.parametrize("mode", distance.MODES)
+@pytest.mark.parametrize("block", [3, 256])
+def test_what_is_kept_of_pairs_is_what_all_pairs_give(spark, mode, block):
+    packed, _ = profiles(spark)
+    edges = distance.all_pairs(packed, mode, block=block).cache()
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(distance.summary_of_pairs(packed, mode, block).select("n_pairs", "min_w", "max_w", "mean_w", "sum_w"), distance.summary(edges))
+    assert same(distance.asymmetry_of_pairs(packed, mode, block), distance.asymmetry(edges))
+    assert same(distance.histogram_of_pairs(packed, mode, 5, block), distance.histogram(edges, 5))
+    assert same(distance.least(packed, mode, block=block), edges.groupBy("dst").agg(F.min(F.struct("w", "src")).alias("e")).select("e.src", "dst", "e.w"))
+    assert same(distance.least(packed, mode, smaller=True, block=block), edges.where("src < dst").groupBy("dst").agg(F.min(F.struct("w", "src")).alias("e")).select("e.src", "dst", "e.w"))
+    least = edges.groupBy("src").agg(F.min(F.struct("w", "dst")).alias("e")).select("src", "e.dst", "e.w")
+    assert same(distance.least(packed, mode, out=True, block=block), least)
+    less = least.select(F.col("src").alias("cell"), F.col("w").alias("less"))
+    assert same(distance.all_pairs(packed, mode, block=block, less=less), edges.join(less, edges.src == less.cell).select("src", "dst", F.col("w") - F.col("less")))
+
+
+def test_tiles_of_numbers_far_apart():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 3_000, (20, 9))
+    for m in (a, a % 7):
+        for mode in distance.MODES:
+            one, two = distance.block_distance(m, m, [0, 4, 9], mode), distance._plain_distance(m, m, [0, 4, 9], mode)
+            assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
