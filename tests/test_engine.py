@@ -313,3 +313,19 @@ def test_against_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda it: sorted(map(repr, it))
     assert rows(tuple(r) for r in got.select(*cols).collect()) == rows(want.select(*cols).fetchall())
+
+
+def test_a_background_by_size_is_that_of_the_matched_lineages(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TOGETHER", 2)
+    rng = random.Random(4)
+    real = spark.createDataFrame([(f"c{k}", k % 4 + 5) for k in range(12)], "cell string, subtreesize long")
+    sizes = spark.createDataFrame([(p, f"p{k}", rng.choice([5, 7, 9])) for p in (1, 2) for k in range(11)], "perm_id int, cell string, subtreesize long")
+    row = lambda: (rng.randint(0, 4) / 4, -rng.randint(0, 4) / 4)
+    levels = spark.createDataFrame([(f"c{k}", f, 1, *row()) for k in range(12) for f in "xy"], "cell string, feature string, n long, amp double, del double")
+    permuted = spark.createDataFrame([(p, f"p{k}", f, *row()) for p in (1, 2) for k in range(11) for f in "xy"], "perm_id int, cell string, feature string, amp double, del double")
+    matched = stats.size_matched(real, sizes)
+    own, theirs = {r.cell: r.subtreesize for r in real.collect()}, sizes.collect()
+    near = {(c, r.perm_id, r.cell) for c, n in own.items() for r in theirs if abs(r.subtreesize - n) == min(abs(x.subtreesize - n) for x in theirs if x.perm_id == r.perm_id)}
+    assert sorted(map(tuple, matched.select("cell", "perm_id", "pcell").collect())) == sorted(near)
+    told = lambda df: sorted(map(tuple, df.select("cell", "feature", "direction", "score", "pvalue", "adjustp").collect()))
+    assert told(stats.significance_by_size(levels, permuted, real, sizes)) == told(stats.significance(levels, permuted, matched))
