@@ -117,6 +117,58 @@ def test_one_task_and_rounds_give_trees_of_one_weight(spark):
     assert b.cells.count() == 60
 
 
+# --- sources told by losses
+
+
+def lossy(n, seed=4, share=0.16):
+    """Cells that have lost some bins, few of which have all that another one has; the first one has lost none, the last ones are copies."""
+    rng = np.random.default_rng(seed)
+    x = np.clip(rng.normal(2, 1, (n, CHROMS * BINS)).round().astype(int), 1, 4)
+    x[rng.random(x.shape) < share * (0.4 + rng.random((n, 1)))] = 0
+    x[0] = 2
+    x[-5:] = x[1:6]
+    return x
+
+
+@pytest.mark.parametrize("leaf", [20, 1 << 16])
+def test_rows_that_have_all_that_others_have(leaf, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", leaf)
+    rng = np.random.default_rng(1)
+    for bins, share in ((5, 0.5), (64, 0.05), (70, 0.2), (130, 0.02)):
+        a, b = rng.random((60, bins)) < share, rng.random((90, bins)) < share
+        a[7], b[3], b[9] = True, False, a[11]
+        got = [p for i, j in nearest._covered(a, b) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(90) if not (b[j] & ~a[i]).any()}
+
+
+def test_few_pairs_are_worked_out_where_losses_tell_sources(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "MEET", 150)  # so that groups are met in several chunks
+    x = lossy(500)
+    p = packed(spark, x).persist()
+    index = nearest.indexed(*nearest.profiles(p), "directed")
+    assert index.sparse
+    pairs = distance.all_pairs(p)
+    found, n = nearest.search(index, index.rows.where("cell <> 'c0000'"))
+    assert {(r.near[0].src, r.cell, r.near[0].w) for r in found.collect()} == {(r.src, r.dst, r.w) for r in arborescence.least_incoming(pairs, "c0000").collect()}
+    assert n < 0.05 * 500**2
+    ranked = pairs.withColumn("k", F.row_number().over(W.partitionBy("dst").orderBy("w", "src"))).where("k <= 6")
+    want = {(r.dst, r.src, r.w) for r in ranked.collect()}
+    assert any(w >= distance.PENALTY for *_, w in want)  # some have too few that cost less
+    got, _ = nearest.search(index, k=6)
+    assert {(r.cell, e.src, e.w) for r in got.collect() for e in r.near} == want
+    short, _ = nearest.search(index, index.rows.where("cell <> 'c0000'"), 6, short=True)
+    assert {(r.cell, e.src, e.w) for r in short.collect() for e in r.near} == {e for e in want if e[2] < distance.PENALTY and e[0] != "c0000"}
+
+
+def test_distances_beyond_the_penalty_without_a_loss(spark):
+    x = lossy(60)
+    x[x > 0] *= 8_000
+    p = packed(spark, x).persist()
+    index = nearest.indexed(*nearest.profiles(p), "directed")
+    found, _ = nearest.search(index)
+    assert {(r.near[0].src, r.cell, r.near[0].w) for r in found.collect()} == {(r.src, r.dst, r.w) for r in arborescence.least_incoming(distance.all_pairs(p)).collect()}
+
+
 # --- missing copy numbers
 
 
