@@ -169,6 +169,13 @@ def test_distances_beyond_the_penalty_without_a_loss(spark):
     assert {(r.near[0].src, r.cell, r.near[0].w) for r in found.collect()} == {(r.src, r.dst, r.w) for r in arborescence.least_incoming(distance.all_pairs(p)).collect()}
 
 
+@pytest.mark.parametrize("root, listed", [(0, 8), (0, 1), (3, 2)])
+def test_the_tree_of_cells_with_losses_is_least(spark, root, listed):
+    x = np.unique(lossy(40, 6), axis=0)
+    x = np.vstack([x[(x != 2).any(1)], x[(x == 2).all(1)]])[::-1]  # the first one has lost none
+    is_least_tree(implicit.tree(packed(spark, x), f"c{root:04d}", "directed", listed), x, root)
+
+
 # --- missing copy numbers
 
 
