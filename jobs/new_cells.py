@@ -54,11 +54,14 @@ def placed(new: DataFrame, batch: int, output: str, settings: dict) -> None:
     names = fresh.select("cell").distinct()
     every = nearest.indexed(rows, cuts, settings["mode"])
     found, pairs = nearest.search(every, every.rows.join(names, "cell", "left_semi"))
-    only_new = nearest.indexed(written(rows.join(names, "cell", "left_semi"), "new"), cuts, settings["mode"])
     best = spark.read.schema(PARENTS).parquet(parents).where(F.col("batch") < batch).groupBy(F.col("dst").alias("cell")).agg(F.min("w").alias("most"))
     asks = rows.join(best, "cell").select("cell", "cn", F.col("cell").alias("label"), "most")
-    moved, more = nearest.search(only_new, asks)
-    both = found.unionByName(moved).select(F.col("cell").alias("dst"), F.col("near")[0]["src"].alias("src"), F.col("near")[0]["w"].alias("w"))
+    more = 0
+    if best.limit(1).count():  # not in the first portion
+        only_new = nearest.indexed(written(rows.join(names, "cell", "left_semi"), "new"), cuts, settings["mode"])
+        moved, more = nearest.search(only_new, asks)
+        found = found.unionByName(moved)
+    both = found.select(F.col("cell").alias("dst"), F.col("near")[0]["src"].alias("src"), F.col("near")[0]["w"].alias("w"))
     overwritten(both.withColumn("batch", F.lit(batch).cast("long")), parents, ["batch"], dynamic=True)
     log.info("portion %d: worked out %d distances", batch, pairs + more)
 

@@ -159,6 +159,18 @@ def test_new_cells_over_input_that_grows(spark, tmp_path, caplog):
     assert {tuple(r) for r in new_cells.read(spark, out).collect()} == brute_places(so_far)
 
 
+def test_few_distances_of_new_cells_are_worked_out(spark, tmp_path, caplog):
+    """As a cell costs less than the penalty only from one whose losses it has, in the first portion and in a later one."""
+    caplog.set_level(logging.INFO, "jobs")
+    rows, out = vectors(9, range(400), 64), f"{tmp_path}/out"
+    for part in (rows[:300], rows[300:]):
+        spark.createDataFrame(part, VECTORS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+        new_cells.run(spark, str(tmp_path), out, f"{tmp_path}/mark")
+    assert {tuple(r) for r in new_cells.read(spark, out).collect()} == brute_places(rows, bins=16)
+    pairs = [int(n) for n in re.findall(r"worked out (\d+) distances", caplog.text)]
+    assert len(pairs) == 2 and sum(pairs) < 0.1 * 400**2
+
+
 def test_no_cells_yet(spark, tmp_path):
     spark.createDataFrame([], VECTORS).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     new_cells.run(spark, str(tmp_path), f"{tmp_path}/out", f"{tmp_path}/mark")
