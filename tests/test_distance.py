@@ -102,6 +102,19 @@ def test_near_pairs(spark):
     assert got == {(a, b) for a, x, y in pts for b, p, q in pts if a != b and (x - p) ** 2 + (y - q) ** 2 < 900}
 
 
+@pytest.mark.parametrize("alike, together", [(100, 1000), (2, 3)])
+def test_near_pairs_of_crowded_squares(spark, monkeypatch, alike, together):
+    monkeypatch.setattr(distance, "ALIKE", alike)
+    monkeypatch.setattr(distance, "TOGETHER", together)
+    rng = np.random.default_rng(2)
+    pts = [(f"c{k}", float(x) * 10, float(y) * 10) for k, (x, y) in enumerate(rng.integers(-4, 5, (150, 2)))] + [("far", 1e12, -1e12), ("zero", -0.0, 0.0)]
+    none = [("n1", None, 0.0), ("n2", float("nan"), 0.0), ("n3", float("inf"), 0.0), ("n4", 0.0, float("-inf")), ("n5", float("inf"), 0.0)]
+    near = distance.near_pairs(spark.createDataFrame(pts + none, "cell string, x double, y double"), 30.0)
+    got = [(r.src, r.dst) for r in near.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, x, y in pts for b, p, q in pts if a != b and (x - p) ** 2 + (y - q) ** 2 < 900}
+    assert near.select(F.spark_partition_id()).distinct().count() > 1  # small tables that make many pairs aren't joined in one task
+
+
 def test_approximate_is_exact_within_the_sample(spark):
     packed, _ = profiles(spark)
     exact = {(r.src, r.dst): r.w for r in distance.all_pairs(packed, "none").collect()}
