@@ -35,3 +35,23 @@ def test_permutations_that_arrive(spark, tmp_path):
     writers.permutations(permuted, str(tmp_path / "sink"))
     permutations.follow(spark, str(tmp_path / "sink"), levels, str(tmp_path / "out3"), str(tmp_path / "mark3"))
     assert spark.read.parquet(str(tmp_path / "out3")).count() == 12
+
+
+def test_no_state_is_held_and_a_portion_that_was_cut_off_is_taken_again(spark, tmp_path):
+    rng = random.Random(6)
+    rows = lambda: [(c, f, rng.randrange(5) / 4, -rng.randrange(5) / 4) for c in "abc" for f in ("1:p", "2:p")]
+    levels = spark.createDataFrame(rows(), LEVELS)
+    path, output, mark = (str(tmp_path / x) for x in ("perms", "out", "mark"))
+    got = lambda: sorted(map(tuple, spark.read.parquet(output).collect()))
+    seen = []
+    for k in range(1, 5):
+        spark.createDataFrame([(k, *r) for r in rows()], "perm_id int, " + LEVELS).coalesce(1).write.mode("append").partitionBy("perm_id").parquet(path)
+        permutations.follow(spark, path, levels, output, mark)
+        seen.append(got())
+        if k == 3:
+            for name in ("2", ".2.crc"):
+                (tmp_path / "mark/commits" / name).unlink()
+            permutations.follow(spark, path, levels, output, mark)
+            assert got() == seen[-1]
+    assert not (tmp_path / "mark/state").exists()
+    assert [{r[-1] for r in s} for s in seen] == [{1}, {2}, {3}, {4}]
