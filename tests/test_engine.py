@@ -266,6 +266,15 @@ def test_permutations_come_in_whole_steps(spark, monkeypatch):
     assert n in (20, 40) and {r.n for r in tests.collect()} <= {20, 40} and {r.n for r in whole.collect()} == {40}
 
 
+def test_wide_inputs_get_as_many_permutations_as_others(spark, monkeypatch):
+    prof = spark.range(8).select(F.col("id").cast("string").alias("cell"), F.lit("1").alias("chrom"), F.explode(F.sequence(F.lit(1), F.lit(2001))).alias("bin")).withColumn("cn", F.pmod(F.xxhash64("cell", "bin"), F.lit(3)).cast("int") + 1)
+    tree = spark.createDataFrame([(str(k // 2), str(k), 1) for k in range(1, 8)], "parent string, child string, dist long")
+    cells = trees.measured(tree)
+    monkeypatch.setattr(score, "of_use", lambda n, p, most: n < most)
+    tests, n = lineage.adaptively_tested(prof, lineage.Lineage(tree, trees.spans(tree, cells), cells, "0"), step=50, least_size=3, feature=["chrom", "bin"])
+    assert n == 100 and {r.n for r in tests.select("n").distinct().collect()} == {100}
+
+
 def test_levels_of_many_features(spark):
     rng = random.Random(4)
     cn = {(c, f): rng.randrange(5) for c in "abcdef" for f in range(21) if rng.random() < 0.9}
