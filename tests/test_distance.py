@@ -146,3 +146,32 @@ def test_tiles_of_numbers_far_apart():
         for mode in distance.MODES:
             one, two = distance.block_distance(m, m, [0, 4, 9], mode), distance._plain_distance(m, m, [0, 4, 9], mode)
             assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
+@pytest.mark.parametrize("block", [25, 600])
+def test_pairs_are_opened_from_tiles(spark, block):
+    """Blocks of several tiles, the last ones narrower than a tile; groups of their own, which have no cells in some blocks."""
+    rng = np.random.default_rng(7)
+    m = rng.choice(5, (300, 6), p=[0.05, 0.2, 0.5, 0.15, 0.1])
+    rows = [(g, f"c{k:03d}", c, m[k, 3 * c - 3 : 3 * c].tolist()) for g, n in (("x", 300), ("y", 40)) for k in range(n) for c in (1, 2)]
+    packed = spark.createDataFrame(rows, "g string, cell string, chrom int, cns array<int>").withColumn("chrom", F.col("chrom").cast("string"))
+    got = distance.all_pairs(packed, "directed", ["g"], block=block).toArrow().to_pylist()
+    there, _ = distance.block_distance(m, m, [0, 3, 6], "directed")
+    want = {(g, f"c{i:03d}", f"c{j:03d}"): int(there[i, j]) for g, n in (("x", 300), ("y", 40)) for i in range(n) for j in range(n) if i != j}
+    assert len(got) == len(want) and {(r["g"], r["src"], r["dst"]): r["w"] for r in got} == want
+
+
+def test_blocks_are_parted(monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 10)
+    m = np.random.default_rng(3).choice(4, (27, 8))
+    got, (there, back) = np.full((2, 27, 15), -1), distance.block_distance(m, m[:15], [0, 8], "directed")
+    for at, to, one, two in distance.parted(m, m[:15], [0, 8], "directed"):
+        got[:, at, to] = one, two
+    assert (got == [there, back]).all()
+
+
+def test_blocks_grow_with_the_cells():
+    """Each cell meets all blocks, so that there may be few of them."""
+    assert distance.grown(500, None, 64) == distance.blocks_of(500, None) and distance.grown(60_000, None, 64) == 59
+    assert distance.grown(615_384, None, 64) <= 65 and distance.grown(615_384, 1000, 64) == 616
+    assert 64 < distance.grown(615_384, None, 20_000) <= 601
