@@ -169,6 +169,20 @@ def test_distances_beyond_the_penalty_without_a_loss(spark):
     assert {(r.near[0].src, r.cell, r.near[0].w) for r in found.collect()} == {(r.src, r.dst, r.w) for r in arborescence.least_incoming(distance.all_pairs(p)).collect()}
 
 
+@pytest.mark.parametrize("lost", [0.0, 0.02, 0.3])
+def test_nearest_sources_of_smaller_names(spark, monkeypatch, lost):
+    """With and without losses that tell sources, and cells that find none by them."""
+    rng = np.random.default_rng(5)
+    cells = [np.where(rng.random(24) < lost, 0, rng.integers(1, 4, 24)) for _ in range(150)]
+    p = spark.createDataFrame([(str(k), c, cells[k][i : i + 12].tolist()) for k in range(150) for c, i in (("1", 0), ("2", 12))], "cell string, chrom string, cns array<int>")
+    monkeypatch.setattr(nearest, "FEW", 0)
+    all_before, seen = nearest._all_before, []
+    monkeypatch.setattr(nearest, "_all_before", lambda queries, rows, several, *a: seen.append(several) or all_before(queries, rows, several, *a))
+    got = sorted(map(tuple, nearest.nearest_before(p, block=40).collect()))
+    assert got == sorted(map(tuple, distance.least(p, smaller=True).collect())) and len(got) == 149
+    assert seen[0] == 150 if lost < 0.3 else 0 < seen[0] < 150
+
+
 @pytest.mark.parametrize("root, listed", [(0, 8), (0, 1), (3, 2)])
 def test_the_tree_of_cells_with_losses_is_least(spark, root, listed):
     x = np.unique(lossy(40, 6), axis=0)
