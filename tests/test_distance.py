@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,28 @@ def test_blocks_grow_with_the_cells():
     assert distance.grown(500, None, 64) == distance.blocks_of(500, None) and distance.grown(60_000, None, 64) == 59
     assert distance.grown(615_384, None, 64) <= 65 and distance.grown(615_384, 1000, 64) == 616
     assert 64 < distance.grown(615_384, None, 20_000) <= 601
+
+
+def test_half_tiles(monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 10)
+    monkeypatch.setattr(distance, "TILE", 4)
+    rng = np.random.default_rng(3)
+    for most in (1, 4, 500):
+        a, b = rng.integers(-most, most, (23, 5)), rng.integers(0, most, (17, 5))
+        got = np.full((23, 17), -1.0)
+        for at, to, w in distance.half_tiles(distance.narrow(a), distance.narrow(b)):
+            got[at, to] = w
+        assert (got == np.abs(a[:, None] - b[None]).sum(2) / 2).all()
+
+
+@pytest.mark.parametrize("block", [30, 600])
+def test_sparse_pairs_of_several_tiles(spark, monkeypatch, block):
+    """No row is copied for each of the blocks: these are of one row, so that what is shuffled is a row a block and pair."""
+    met, seen = distance.met, []
+    monkeypatch.setattr(distance, "met", lambda blocks, several, *a: seen.append((blocks.count(), several)) or met(blocks, several, *a))
+    packed, _ = profiles(spark, 300)
+    dense = {(r.src, r.dst): r.w for r in distance.all_pairs(packed, "none", block=600).where("src < dst").collect()}
+    seen.clear()
+    got = distance.sparse_pairs(packed, block=block).collect()
+    assert len(got) == len(dense) == 300 * 299 // 2 and {(r.src, r.dst): r.w for r in got} == dense
+    assert seen == [(math.ceil(300 / block), math.ceil(300 / block))]
