@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -202,3 +203,20 @@ def test_sparse_pairs_of_several_tiles(spark, monkeypatch, block):
     got = distance.sparse_pairs(packed, block=block).collect()
     assert len(got) == len(dense) == 300 * 299 // 2 and {(r.src, r.dst): r.w for r in got} == dense
     assert seen == [(math.ceil(300 / block), math.ceil(300 / block))]
+
+
+@pytest.mark.parametrize("block", [None, 70])
+def test_approximate_distances_are_those_of_the_nearest_sampled_cells(spark, monkeypatch, block):
+    """Over several blocks and tiles; blocks are of one row each."""
+    met, seen = distance.met, []
+    monkeypatch.setattr(distance, "met", lambda blocks, several, *a: seen.append((blocks.count(), several)) or met(blocks, several, *a))
+    rng = np.random.default_rng(9)
+    m, names = rng.choice(5, (300, 10), p=[0.05, 0.2, 0.5, 0.15, 0.1]), [f"c{k:03d}" for k in range(300)]
+    packed = spark.createDataFrame([(c, k, m[n, i : i + 5].tolist()) for n, c in enumerate(names) for k, i in (("1", 0), ("2", 5))], "cell string, chrom string, cns array<int>")
+    chosen = [n for n, c in enumerate(names) if int(hashlib.md5(c.encode()).hexdigest()[:8], 16) % 5 == 0]
+    plain, _ = distance.block_distance(m, m, [0, 5, 10], "none")
+    there, _ = distance.block_distance(m, m, [0, 5, 10], "directed")
+    by = [n if n in chosen else min(chosen, key=lambda c: (plain[n, c], c)) for n in range(300)]
+    got = distance.approximate(packed, 5, block=block).collect()
+    assert len(got) == 300 * 299 and {(r.src, r.dst): r.w for r in got} == {(names[a], names[b]): int(there[by[a], by[b]]) for a in range(300) for b in range(300) if a != b}
+    assert seen[0][0] == seen[0][1] > 1
