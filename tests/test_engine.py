@@ -338,3 +338,14 @@ def test_a_background_by_size_is_that_of_the_matched_lineages(spark, monkeypatch
     assert sorted(map(tuple, matched.select("cell", "perm_id", "pcell").collect())) == sorted(near)
     told = lambda df: sorted(map(tuple, df.select("cell", "feature", "direction", "score", "pvalue", "adjustp").collect()))
     assert told(stats.significance_by_size(levels, permuted, real, sizes)) == told(stats.significance(levels, permuted, matched))
+
+
+def test_backgrounds_of_a_common_size_are_met_by_several_tasks(spark):
+    """Few sizes, and one of most lineages, on both sides."""
+    real = spark.range(300).select(F.concat(F.lit("c"), "id").alias("cell"), F.when(F.col("id") < 280, 7).otherwise(9).cast("long").alias("subtreesize"))
+    sizes = spark.range(400).select(F.lit(1).alias("perm_id"), F.concat(F.lit("p"), "id").alias("cell"), F.when(F.col("id") < 390, 6).otherwise(10).cast("long").alias("subtreesize"))
+    got = stats.size_matched(real, sizes)
+    rows = got.collect()
+    assert len(rows) == len({tuple(r) for r in rows}) == 280 * 390 + 20 * 10
+    assert all((int(r.cell[1:]) < 280) == (int(r.pcell[1:]) < 390) for r in rows)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
